@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import bpe, chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe_codec": bpe.op5_bpe_codec,
     "op6_chat_format": chat.op6_chat_format,
 }
 
