@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat
+from . import bpe, chat, langid, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op9_language": langid.op9_language,
     "op5_bpe_codec": bpe.op5_bpe_codec,
     "op6_chat_format": chat.op6_chat_format,
 }
