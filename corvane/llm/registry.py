@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, toxicity
+from . import bpe, chat, langid, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op9_language": langid.op9_language,
     "op5_bpe_codec": bpe.op5_bpe_codec,
