@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, quality, toxicity
+from . import bpe, chat, langid, quality, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op9_language": langid.op9_language,
+    "op3_topk": vectors.op3_topk,
+    "op10_vector_links": vectors.op10_vector_links,
     "op5_bpe_codec": bpe.op5_bpe_codec,
     "op6_chat_format": chat.op6_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk": vectors.ORACLE_TOPK,
     "op6_chat_format": chat.ORACLE,
+    "op10_vector_links": vectors.ORACLE_LINKS,
 }
