@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, quality, toxicity, vectors
+from . import bpe, chat, langid, packing, quality, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": langid.op9_language,
     "op3_topk": vectors.op3_topk,
     "op10_vector_links": vectors.op10_vector_links,
+    "op4_retrieval_packing": packing.op4_retrieval_packing,
     "op5_bpe_codec": bpe.op5_bpe_codec,
     "op6_chat_format": chat.op6_chat_format,
 }
