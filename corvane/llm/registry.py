@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, neardup, packing, quality, toxicity, vectors
+from . import bpe, chat, langid, lm, neardup, packing, quality, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op9_language": langid.op9_language,
     "op3_topk": vectors.op3_topk,
+    "op7_lm_score": lm.op7_lm_score,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op10_vector_links": vectors.op10_vector_links,
     "op4_retrieval_packing": packing.op4_retrieval_packing,
