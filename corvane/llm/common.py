@@ -105,9 +105,26 @@ def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list] |
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, inputs: list[Column], f: Callable[..., list[bool]], rows: int = 500) -> DataFrame:
+    """The rows of ``df``, all columns as they are, for which ``f`` of the input columns' lists says so. No shuffle."""
+    n, m = len(df.columns), len(inputs)
+    fed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
+    out = fed.select(*fed.columns[:n]).schema
+    names = out.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ok = f(*(part.column(n + i).to_pylist() for i in range(m)))
+                yield part.select(names).filter(pa.array(ok, pa.bool_()))
+
+    return fed.mapInArrow(run, out).toDF(*df.columns)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
 
-__all__ = ["ASCII_LOWER", "BROADCAST_ROWS", "SPACE", "WORD", "Scratch", "crc_mod", "hash_sample", "map_batches", "shared_dir", "union_all", "with_broadcast"]
+__all__ = ["ASCII_LOWER", "BROADCAST_ROWS", "SPACE", "WORD", "Scratch", "crc_mod", "filter_rows", "hash_sample", "map_batches", "shared_dir", "union_all", "with_broadcast"]

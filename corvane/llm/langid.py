@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, hash_sample, map_batches
+from .common import Scratch, crc_mod, filter_rows, hash_sample, map_batches
 
 #: Training documents that are read for fitting, at most about.
 SAMPLE_ROWS = 8_000
@@ -244,6 +244,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(src, f, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double", rows=500)
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows whose language is known with at least this score; ``und`` goes. Columns stay as they are."""
+
+    def f(texts: list) -> list[bool]:
+        langs, scores = scorer(model).predict(texts)
+        return [x != "und" and s >= least for x, s in zip(langs, scores, strict=True)]
+
+    return filter_rows(docs, [F.col("text").cast("string")], f)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, fit(docs)).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, with_broadcast
+from .common import Scratch, filter_rows, map_batches, with_broadcast
 from .toxicity import labelled_sample
 
 #: Labelled rows that are read for fitting, at most about.
@@ -128,22 +128,49 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     return out.select("host", "path", "n", "host_posterior", ((F.col("s") + at_path * F.col("host_posterior")) / (F.col("n") + at_path)).alias("path_posterior")), mean
 
 
+def _logit(c: Column) -> Column:
+    p = F.greatest(F.least(c, F.lit(1 - 1e-9)), F.lit(1e-9))
+    return F.log(p / (1 - p))
+
+
 def combine(scored: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """(doc_id, host, path, evidence, host_posterior, path_posterior, quality, kept) of scored documents."""
     sites, mean = posteriors(scored)
     sites = with_broadcast(sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", "path_posterior"))
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("h", "p")
-    logit = lambda c: F.log(F.greatest(F.least(c, F.lit(1 - 1e-9)), F.lit(1e-9)) / (1 - F.greatest(F.least(c, F.lit(1 - 1e-9)), F.lit(1e-9))))
-    z = logit(F.col("evidence")) + logit(F.col("path_posterior")) - logit(F.lit(mean))
+    z = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.lit(mean))
     q = F.when(F.col("evidence") <= 0, 0.0).otherwise(1 / (1 + F.exp(-z)))
     return joined.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", q.alias("quality"), (q >= keep_from).alias("kept"))
 
 
+def source_sites() -> tuple[Column, Column]:
+    """Host and path where a table has only a source and a language: the source, and the language within it."""
+    return F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of at least this quality, all columns as they are. Texts are read twice and never shuffled while there are
+    few sites: once for the sites' posteriors, once for the decision."""
+    model = fit(docs, labels)
+    host, path = source_sites()
+    sites, mean = posteriors(evidence(docs, model, host, path))
+    sites = with_broadcast(sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), (_logit(F.col("path_posterior")) - _logit(F.lit(mean))).alias("__shift")))
+    joined = docs.join(sites, host.cast("string").eqNullSafe(F.col("__h")) & path.cast("string").eqNullSafe(F.col("__p")), "left")
+    cut = float(np.log(keep_from / (1 - keep_from)))
+
+    def f(texts: list, shifts: list) -> list[bool]:
+        p = np.clip(model.prob(np.array([features(t) for t in texts]).reshape(-1, FEATURES)), 1e-9, 1 - 1e-9)
+        ok = np.log(p / (1 - p)) + np.array([x or 0.0 for x in shifts]) >= cut
+        return [bool(k) and bool(t) and not t.isspace() for k, t in zip(ok, texts, strict=True)]
+
+    return filter_rows(joined, [F.col("text").cast("string"), F.col("__shift")], f).select(*docs.columns)
+
+
 def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, model: Evidence | None = None) -> DataFrame:
     """Quality of every row. Hosts are ``source`` and paths are languages of a source unless columns are given."""
     model = model or fit(docs, labels)
-    host = F.col("source") if host is None else host
-    path = F.concat_ws("/", F.col("source"), F.col("lang")) if path is None else path
+    by_source = source_sites()
+    host, path = by_source[0] if host is None else host, by_source[1] if path is None else path
     scored = Scratch(docs.sparkSession, "quality").keep(evidence(docs, model, host, path), "evidence")
     return combine(scored)
 
