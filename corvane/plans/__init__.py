@@ -1,6 +1,6 @@
 """Registered queries: compositions of the operators over the driver's tables."""
 
-from . import spatial_queries  # noqa: F401
+from . import spatial_queries, stream_queries  # noqa: F401
 from .registry import COVERS, ORACLE_SQL, QUERIES
 
 __all__ = ["COVERS", "ORACLE_SQL", "QUERIES"]
