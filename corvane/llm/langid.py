@@ -54,29 +54,33 @@ class Lattice:
     """All segmentations of many words at once. Pieces are numbered as listed; the number after the last means unknown."""
 
     def __init__(self, pieces: list[str]):
-        self.id = {p: i for i, p in enumerate(pieces)}
+        self.id = {p[:n]: -1 for p in pieces for n in range(1, len(p))}  # -1: only the beginning of pieces
+        self.id.update({p: i for i, p in enumerate(pieces)})
         self.unknown = len(pieces)
-        self.longest = max(map(len, pieces), default=1)
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """(word, start, end, piece) of every arc, ordered by end."""
-        get, unknown, longest = self.id.get, self.unknown, self.longest
-        word, start, end, piece = [], [], [], []
+        """(word, start, end, piece) of every arc, ordered by end. Words have at most LONGEST < 64 characters."""
+        get, unknown = self.id.get, self.unknown
+        packed: list[int] = []
+        add = packed.append
         for k, w in enumerate(words):
-            for i in range(len(w)):
-                for j in range(i + 1, min(len(w), i + longest) + 1):
+            n = len(w)
+            for i in range(n):
+                at = (k << 6 | i) << 26
+                p = get(w[i])
+                add(at | i + 1 << 20 | (unknown if p is None or p < 0 else p))
+                if p is None:
+                    continue
+                for j in range(i + 2, n + 1):
                     p = get(w[i:j])
                     if p is None:
-                        if j > i + 1:
-                            continue
-                        p = unknown
-                    word.append(k)
-                    start.append(i)
-                    end.append(j)
-                    piece.append(p)
-        out = [np.array(x, np.int64) for x in (word, start, end, piece)]
-        by_end = np.argsort(out[2], kind="stable")
-        return tuple(x[by_end] for x in out)
+                        break
+                    if p >= 0:
+                        add(at | j << 20 | p)
+        x = np.array(packed, np.int64)
+        end = x >> 20 & 63
+        x = x[np.argsort(end, kind="stable")]
+        return x >> 32, x >> 26 & 63, x >> 20 & 63, x & 0xFFFFF
 
     def forward(self, words: list[str], prob: np.ndarray, arcs=None) -> np.ndarray:
         """alpha[position, word, language]: the summed probability of all ways to that position."""
