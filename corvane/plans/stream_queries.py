@@ -203,12 +203,12 @@ def contiguous_run(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "clock_stats", "AGG-26 RPT-20",
     f"""WITH {RESULTS_SQL}, {FLAGGED}, m AS (SELECT bag, median(dt_ns) AS med FROM g GROUP BY bag)
-    SELECT g.bag, count(dt_ns) AS steps, round(any_value(med) / 1e9, 6) AS median_s, count(*) FILTER (WHERE dt_ns = 0) AS duplicates, count(*) FILTER (WHERE dt_ns > 1.5 * med) AS gaps, round(quantile_cont(dt_ns, 0.95) / 1e9, 6) AS p95_s FROM g JOIN m ON g.bag = m.bag GROUP BY g.bag""",
+    SELECT g.bag, count(dt_ns) AS steps, round(any_value(med) / 1e9, 9) AS median_s, count(*) FILTER (WHERE dt_ns = 0) AS duplicates, count(*) FILTER (WHERE dt_ns > 1.5 * med) AS gaps, round(quantile_cont(dt_ns, 0.95) / 1e9, 9) AS p95_s FROM g JOIN m ON g.bag = m.bag GROUP BY g.bag""",
 )
 def clock_stats(spark: SparkSession, d: str) -> DataFrame:
     g = ep.gap_flags(results(spark, d), GAP).withColumn("med", F.median("dt_ns").over(W.partitionBy("bag")))
     return g.groupBy("bag").agg(
-        F.count("dt_ns").alias("steps"), F.round(F.first("med") / 1e9, 6).alias("median_s"), F.count_if(F.col("dt_ns") == 0).alias("duplicates"), F.count_if(F.col("dt_ns") > 1.5 * F.col("med")).alias("gaps"), F.round(F.percentile("dt_ns", F.lit(0.95)) / 1e9, 6).alias("p95_s")
+        F.count("dt_ns").alias("steps"), F.round(F.first("med") / 1e9, 9).alias("median_s"), F.count_if(F.col("dt_ns") == 0).alias("duplicates"), F.count_if(F.col("dt_ns") > 1.5 * F.col("med")).alias("gaps"), F.round(F.percentile("dt_ns", F.lit(0.95)) / 1e9, 9).alias("p95_s")
     )
 
 
