@@ -38,7 +38,7 @@ def match_boxes(predictions: DataFrame, truth: DataFrame, minimum_iou: float, ke
     cols = ["x0", "y0", "z0", "x1", "y1", "z1"]
 
     def solve(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = p.sort_values("id"), t.sort_values("id")
+        p, t = (x.set_axis([*keys, "id", *cols], axis=1).sort_values("id") for x in (p, t))
         rows = []
         if len(p) and len(t):
             iou = box_iou_matrix(p[cols].to_numpy(float), t[cols].to_numpy(float))
@@ -47,8 +47,9 @@ def match_boxes(predictions: DataFrame, truth: DataFrame, minimum_iou: float, ke
         return pd.DataFrame(rows, columns=[*keys, "prediction", "truth", "iou"])
 
     kinds = ", ".join(f"{k} {predictions.schema[k].dataType.simpleString()}" for k in keys)
-    left = predictions.select(*[F.col(k).alias(f"l{k}") for k in keys], "id", *cols).groupBy(*[f"l{k}" for k in keys])
-    right = truth.select(*[F.col(k).alias(f"r{k}") for k in keys], "id", *cols).groupBy(*[f"r{k}" for k in keys])
+    # Both sides may come from one table, so each gets columns of its own.
+    left = predictions.select(*[F.col(c).alias(f"l_{c}") for c in (*keys, "id", *cols)]).groupBy(*[f"l_{k}" for k in keys])
+    right = truth.select(*[F.col(c).alias(f"r_{c}") for c in (*keys, "id", *cols)]).groupBy(*[f"r_{k}" for k in keys])
     return left.cogroup(right).applyInPandas(solve, f"{kinds}, prediction long, truth long, iou double")
 
 
