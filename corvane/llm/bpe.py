@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import claim_cache, map_batches
 
 #: Entries that a worker's table of words may hold before it starts anew.
 MEMO_WORDS = 600_000
@@ -179,6 +179,7 @@ _CODECS: dict[str, Codec] = {}
 
 def codec(spec: str) -> Codec:
     """The worker's codec for the tokenizer file with this content."""
+    claim_cache("bpe", _CODECS.clear)
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS.clear()
@@ -200,7 +201,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     spec = open(path or byte_bpe_path(), encoding="utf-8").read()
 
     def f(x: dict) -> dict:
-        return {id_col: x["id"], "ids": [codec(spec).encode(t or "") for t in x["text"]]}
+        return {id_col: x["id"], "ids": [c.encode(t or "") for c in [codec(spec)] for t in x["text"]]}
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(src, f, f"{id_col} {src.schema['id'].dataType.simpleString()}, ids binary", rows=500)
@@ -211,7 +212,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_i
     spec = open(path or byte_bpe_path(), encoding="utf-8").read()
 
     def f(x: dict) -> dict:
-        return {id_col: x["id"], "text": [codec(spec).decode(b or b"") for b in x["ids"]]}
+        return {id_col: x["id"], "text": [c.decode(b or b"") for c in [codec(spec)] for b in x["ids"]]}
 
     src = encoded.select(F.col(id_col).alias("id"), "ids")
     return map_batches(src, f, f"{id_col} {src.schema['id'].dataType.simpleString()}, text string", rows=500)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +27,26 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+_LAST_CACHE: list[str] = []
+
+
+def claim_cache(name: str, clear: Callable[[], None]) -> None:
+    """Says that an operator is about to fill its cache in this worker. Workers outlive stages, so the caches of
+    other operators are emptied first: a worker never holds more than one operator's."""
+    if _LAST_CACHE == [name]:
+        return
+    _CACHES[name] = clear
+    for other, f in _CACHES.items():
+        if other != name:
+            f()
+    _LAST_CACHE[:] = [name]
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)  # freed pages go back to the system
+    pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -105,19 +128,18 @@ def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list] |
     return df.mapInArrow(run, schema)
 
 
-def filter_rows(df: DataFrame, inputs: list[Column], f: Callable[..., list[bool]], rows: int = 500) -> DataFrame:
-    """The rows of ``df``, all columns as they are, for which ``f`` of the input columns' lists says so. No shuffle."""
-    n, m = len(df.columns), len(inputs)
-    fed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
-    out = fed.select(*fed.columns[:n]).schema
-    names = out.names
+def filter_rows(df: DataFrame, inputs: list[str], f: Callable[..., list[bool]], rows: int = 500) -> DataFrame:
+    """The rows of ``df``, all columns as they are, for which ``f`` of the named columns' lists says so. No shuffle."""
+    at_input = [df.columns.index(c) for c in inputs]
+    fed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = fed.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                ok = f(*(part.column(n + i).to_pylist() for i in range(m)))
-                yield part.select(names).filter(pa.array(ok, pa.bool_()))
+                ok = f(*(part.column(i).to_pylist() for i in at_input))
+                yield part.filter(pa.array(ok, pa.bool_()))
 
     return fed.mapInArrow(run, out).toDF(*df.columns)
 
@@ -127,4 +149,4 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 
-__all__ = ["ASCII_LOWER", "BROADCAST_ROWS", "SPACE", "WORD", "Scratch", "crc_mod", "filter_rows", "hash_sample", "map_batches", "shared_dir", "union_all", "with_broadcast"]
+__all__ = ["ASCII_LOWER", "BROADCAST_ROWS", "SPACE", "WORD", "Scratch", "claim_cache", "crc_mod", "filter_rows", "hash_sample", "map_batches", "shared_dir", "union_all", "with_broadcast"]

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, filter_rows, hash_sample, map_batches
+from .common import Scratch, claim_cache, crc_mod, filter_rows, hash_sample, map_batches
 
 #: Training documents that are read for fitting, at most about.
 SAMPLE_ROWS = 8_000
@@ -31,7 +31,7 @@ ROUNDS = 2
 LONGEST = 40
 #: Added to each piece's expected count.
 PRIOR = 0.05
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -173,6 +173,7 @@ _SCORERS: dict[str, _Scorer] = {}
 
 
 def scorer(m: Model) -> _Scorer:
+    claim_cache("langid", _SCORERS.clear)
     if m.key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[m.key] = _Scorer(m)
@@ -255,7 +256,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
         langs, scores = scorer(model).predict(texts)
         return [x != "und" and s >= least for x, s in zip(langs, scores, strict=True)]
 
-    return filter_rows(docs, [F.col("text").cast("string")], f)
+    return filter_rows(docs, ["text"], f, rows=200)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import claim_cache
+
 WINDOW = 2048
 #: The id that closes each document.
 CLOSE = 1
@@ -38,7 +40,7 @@ SHARD_TOKENS = 4_000_000
 #: The seed's ids that make up its query, by weight.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 
 #: What the word memo may serve: Latin letters up to U+017F and common marks, without control characters but tab to carriage return.
 _EASY = re.compile(r"[\t-\r\x20-\x7e\xa0-įı-ſ‐-‧]*")
@@ -85,6 +87,7 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(spec: str) -> WordTokenizer:
+    claim_cache("packing", _TOKENIZERS.clear)
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()

@@ -119,6 +119,7 @@ def _strength(groups: DataFrame, mean: float) -> float:
 def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     """(host, path, n, host_posterior, path_posterior) and the global mean, by grouped aggregation."""
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("q"))
+    paths = Scratch(scored.sparkSession, "sites").keep(paths, "paths")  # read several times below
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(min(max(total.s / total.n, 1e-3), 1 - 1e-3)) if total.n else 0.5
@@ -163,7 +164,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM)
         ok = np.log(p / (1 - p)) + np.array([x or 0.0 for x in shifts]) >= cut
         return [bool(k) and bool(t) and not t.isspace() for k, t in zip(ok, texts, strict=True)]
 
-    return filter_rows(joined, [F.col("text").cast("string"), F.col("__shift")], f).select(*docs.columns)
+    return filter_rows(joined, ["text", "__shift"], f, rows=200).select(*docs.columns)
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, model: Evidence | None = None) -> DataFrame:
