@@ -50,37 +50,72 @@ def read_pieces(path: str | None = None) -> list[str]:
     return list(dict.fromkeys(p for i in ids if (p := sp.id_to_piece(i).lower()) and len(p) <= 16))
 
 
+class _Table:
+    """64-bit keys to numbers, looked up for whole arrays: a few open tables, each for the keys that collided in those before."""
+
+    BITS = 18
+
+    def __init__(self, keys: np.ndarray):
+        self.parts = []
+        left = np.arange(len(keys))
+        while len(left):
+            m = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.parts) * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
+            slot = (keys[left] * m) >> np.uint64(64 - self.BITS)
+            key, value = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+            key[slot], value[slot] = keys[left], left
+            self.parts.append((m, key, value))
+            left = left[value[slot] != left]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't there."""
+        out = np.full(len(keys), -1, np.int32)
+        for m, key, value in self.parts:
+            slot = (keys * m) >> np.uint64(64 - self.BITS)
+            hit = key[slot] == keys
+            out[hit] = np.maximum(out[hit], value[slot[hit]])
+        return out
+
+
 class Lattice:
     """All segmentations of many words at once. Pieces are numbered as listed; the number after the last means unknown."""
 
+    STEP = np.uint64(0xD6E8FEB86659FD93)
+
     def __init__(self, pieces: list[str]):
-        self.id = {p[:n]: -1 for p in pieces for n in range(1, len(p))}  # -1: only the beginning of pieces
-        self.id.update({p: i for i, p in enumerate(pieces)})
         self.unknown = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
+        self.table = _Table(np.array([self._hash(p) for p in pieces], np.uint64))
+
+    def _hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.STEP) + ord(c) + 1) & (1 << 64) - 1
+        return h
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """(word, start, end, piece) of every arc, ordered by end. Words have at most LONGEST < 64 characters."""
-        get, unknown = self.id.get, self.unknown
-        packed: list[int] = []
-        add = packed.append
-        for k, w in enumerate(words):
-            n = len(w)
-            for i in range(n):
-                at = (k << 6 | i) << 26
-                p = get(w[i])
-                add(at | i + 1 << 20 | (unknown if p is None or p < 0 else p))
-                if p is None:
-                    continue
-                for j in range(i + 2, n + 1):
-                    p = get(w[i:j])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        add(at | j << 20 | p)
-        x = np.array(packed, np.int64)
-        end = x >> 20 & 63
-        x = x[np.argsort(end, kind="stable")]
-        return x >> 32, x >> 26 & 63, x >> 20 & 63, x & 0xFFFFF
+        """(word, start, end, piece) of every arc, ordered by end. Substrings of one length are hashed and looked up together."""
+        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        lens = np.array([len(w) for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), lens)
+        start = np.arange(len(c)) - np.repeat(lens.cumsum() - lens, lens)
+        room = np.repeat(lens, lens) - start
+        at, h = np.arange(len(c)), c
+        piece = self.table.find(h)
+        found = [(at, np.ones(len(c), np.int64), np.where(piece < 0, self.unknown, piece))]
+        for n in range(2, self.longest + 1):
+            ok = room[at] >= n
+            at, h = at[ok], h[ok]
+            if not len(at):
+                break
+            h = h * self.STEP + c[at + n - 1]
+            piece = self.table.find(h)
+            hit = piece >= 0
+            found.append((at[hit], np.full(int(hit.sum()), n), piece[hit]))
+        at, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        end = start[at] + size
+        order = np.argsort(end.astype(np.uint8), kind="stable")  # words have at most LONGEST characters
+        at, end = at[order], end[order]
+        return word[at], start[at], end, piece[order].astype(np.int64)
 
     def forward(self, words: list[str], prob: np.ndarray, arcs=None) -> np.ndarray:
         """alpha[position, word, language]: the summed probability of all ways to that position."""
@@ -122,7 +157,7 @@ class Lattice:
 
 def words_of(text: str | None) -> list[str]:
     out = ["▁" + w for w in (text or "").lower().split()]
-    if any(len(w) > LONGEST for w in out):
+    if out and max(map(len, out)) > LONGEST:
         out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
     return out
 
