@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.numeric import box_iou
 from .assign import assign
 
 
@@ -33,24 +37,34 @@ def box_iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def match_boxes(predictions: DataFrame, truth: DataFrame, minimum_iou: float, keys: tuple[str, ...] = ("bag", "frame")) -> DataFrame:
     """(keys, prediction, truth, iou): the one-to-one matches of each frame with the most valid pairs, then the most overlap.
 
-    Both sides hold (keys, id, x0, y0, z0, x1, y1, z1). A frame's boxes are few, so a frame is one group.
+    Both sides hold (keys, id, x0, y0, z0, x1, y1, z1). A frame's boxes are few, so they are gathered to arrays; frames
+    without a valid pair never reach Python, and the rest stream through it many frames at a time.
     """
     cols = ["x0", "y0", "z0", "x1", "y1", "z1"]
 
-    def solve(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = (x.set_axis([*keys, "id", *cols], axis=1).sort_values("id") for x in (p, t))
-        rows = []
-        if len(p) and len(t):
-            iou = box_iou_matrix(p[cols].to_numpy(float), t[cols].to_numpy(float))
-            gain = (iou >= minimum_iou) * (min(iou.shape) + 1.0) + iou
-            rows = [(*key, int(p["id"].iloc[i]), int(t["id"].iloc[j]), float(iou[i, j])) for i, j in assign(-gain) if iou[i, j] >= minimum_iou]
-        return pd.DataFrame(rows, columns=[*keys, "prediction", "truth", "iou"])
-
-    kinds = ", ".join(f"{k} {predictions.schema[k].dataType.simpleString()}" for k in keys)
-    # Both sides may come from one table, so each gets columns of its own.
-    left = predictions.select(*[F.col(c).alias(f"l_{c}") for c in (*keys, "id", *cols)]).groupBy(*[f"l_{k}" for k in keys])
-    right = truth.select(*[F.col(c).alias(f"r_{c}") for c in (*keys, "id", *cols)]).groupBy(*[f"r_{k}" for k in keys])
-    return left.cogroup(right).applyInPandas(solve, f"{kinds}, prediction long, truth long, iou double")
+    box = F.struct("id", *cols)
+    side = lambda df, n: df.groupBy(*keys).agg(F.sort_array(F.collect_list(box)).alias(n))  # noqa: E731  a scan's boxes are few
+    j = side(predictions, "ps").join(side(truth, "ts"), list(keys))
+    column = lambda b, names: [b[c] for c in names]
+    valid = F.exists("ps", lambda p: F.exists("ts", lambda t: box_iou(column(p, cols[:3]), column(p, cols[3:]), column(t, cols[:3]), column(t, cols[3:])) >= minimum_iou))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            named = [b.column(i).to_pylist() for i in range(len(keys))]
+            for n, (ps, ts) in enumerate(zip(b.column("ps").to_pylist(), b.column("ts").to_pylist(), strict=True)):
+                iou = box_iou_matrix(np.array([[p[c] for c in cols] for p in ps]), np.array([[t[c] for c in cols] for t in ts]))
+                if min(iou.shape) == 1:
+                    k = int(iou.argmax())
+                    found = [(k, 0) if iou.shape[1] == 1 else (0, k)]
+                else:
+                    found = assign(-((iou >= minimum_iou) * (min(iou.shape) + 1.0) + iou))
+                rows += [(*(x[n] for x in named), ps[i]["id"], ts[k]["id"], float(iou[i, k])) for i, k in found if iou[i, k] >= minimum_iou]
+            yield pa.RecordBatch.from_pylist([dict(zip(out.names, r, strict=True)) for r in rows], schema=out)
+
+    schema = T.StructType([*(predictions.schema[k] for k in keys), T.StructField("prediction", T.LongType()), T.StructField("truth", T.LongType()), T.StructField("iou", T.DoubleType())])
+    out = to_arrow_schema(schema)
+    return j.where(valid).mapInArrow(solve, schema)
 
 
 def oriented_ious(pairs: DataFrame) -> DataFrame:

@@ -116,21 +116,25 @@ def _with_cells(points: DataFrame, size: float, axes: tuple[str, ...]) -> DataFr
     return points.withColumns({f"c{a}": cell(a, size) for a in axes})
 
 
-def neighbour_pairs(left: DataFrame, right: DataFrame, radius: float, keys: tuple[str, ...] = ("frame",), axes: tuple[str, ...] = XYZ, ordered: bool = False) -> DataFrame:
+def neighbour_pairs(left: DataFrame, right: DataFrame, radius: float, keys: tuple[str, ...] = ("frame",), axes: tuple[str, ...] = XYZ, once: bool = False) -> DataFrame:
     """Pairs (left a_*, right b_*) with squared distance <= radius² as column ``d2``.
 
     Grid hash: the right side is copied to its neighbouring cells, so one equi-join on (keys, cell) finds every
-    pair; with ``ordered`` only pairs whose left id is smaller are kept. No cross join; Spark may split skewed cells.
+    pair. With ``once`` (both sides the same points) each unordered pair comes once, either way round, and only half
+    of the neighbouring cells are tried. No cross join; Spark may split skewed cells.
     """
     names = [c for c in left.columns if c not in keys]
     a = _with_cells(left, radius, axes).select(*keys, *[f"c{x}" for x in axes], *[F.col(c).alias(f"a_{c}") for c in names])
     others = [c for c in right.columns if c not in keys]
-    shifts = F.array(*[F.struct(*[F.lit(v).alias(f"s{x}") for x, v in zip(axes, s, strict=True)]) for s in product((-1, 0, 1), repeat=len(axes))])
+    shifts = F.array(*[F.struct(*[F.lit(v).alias(f"s{x}") for x, v in zip(axes, s, strict=True)]) for s in product((-1, 0, 1), repeat=len(axes)) if not once or s >= (0,) * len(axes)])
     b = _with_cells(right, radius, axes).withColumn("s", F.explode(shifts))
     b = b.select(*keys, *[(F.col(f"c{x}") + F.col(f"s.s{x}")).alias(f"c{x}") for x in axes], *[F.col(c).alias(f"b_{c}") for c in others])
     pairs = a.join(b, [*keys, *[f"c{x}" for x in axes]])
-    if ordered:
-        pairs = pairs.where("a_point_id < b_point_id")
+    if once:
+        own = F.lit(True)
+        for x in axes:
+            own = own & (cell(f"a_{x}", radius) == cell(f"b_{x}", radius))
+        pairs = pairs.where(~own | (F.col("a_point_id") < F.col("b_point_id")))
     d2 = sum(((F.col(f"a_{x}") - F.col(f"b_{x}")) * (F.col(f"a_{x}") - F.col(f"b_{x}")) for x in axes[1:]), (F.col(f"a_{axes[0]}") - F.col(f"b_{axes[0]}")) * (F.col(f"a_{axes[0]}") - F.col(f"b_{axes[0]}")))
     return pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*[f"c{x}" for x in axes])
 
@@ -139,7 +143,7 @@ def mutual_radius_edges(points: DataFrame, max_radius: float, keys: tuple[str, .
     """Edges (src < dst) with d² <= min(r_i, r_j)², where each point carries its own ``radius`` <= max_radius."""
     side = points.select(*keys, "point_id", *XYZ, "radius")
     r = F.least("a_radius", "b_radius")
-    return neighbour_pairs(side, side, max_radius, keys, ordered=True).where(F.col("d2") <= r * r).select(*keys, F.col("a_point_id").alias("src"), F.col("b_point_id").alias("dst"))
+    return neighbour_pairs(side, side, max_radius, keys, once=True).where(F.col("d2") <= r * r).select(*keys, F.least("a_point_id", "b_point_id").alias("src"), F.greatest("a_point_id", "b_point_id").alias("dst"))
 
 
 def radius_semi(left: DataFrame, targets: DataFrame, radius: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:

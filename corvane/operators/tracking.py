@@ -44,6 +44,7 @@ class Track:
     evidence: list[tuple[float, int]] = field(default_factory=list)
 
 
+INPUT = ["ns", "frame", "id", "cx", "cy", "cz", "ex", "ey", "ez", "relation", "support", "certain", "immediate"]
 COLUMNS = ["id", "track_id", "hits", "accumulated", "confirmed", "presence_confirmed", "intersection_confirmed", "confirmation", "vx", "track_age_s"]
 
 
@@ -62,10 +63,10 @@ class Tracker:
         g = np.vstack([np.eye(3) * dt * dt / 2, np.eye(3) * dt])
         return f @ t.state, f @ t.cov @ f.T + g @ g.T * self.p.acceleration_sigma**2
 
-    def step(self, stamp: float, o: pd.DataFrame) -> tuple[list[tuple], bool]:
+    def step(self, stamp: float, o: dict[str, np.ndarray] | pd.DataFrame) -> tuple[list[tuple], bool]:
         """Rows in COLUMNS order for the scan's objects, and whether a gap reset came before it.
 
-        ``o``: id, cx, cy, cz, ex, ey, ez, relation, support, certain (claim evidence), immediate.
+        ``o``: columns id (ascending), cx, cy, cz, ex, ey, ez, relation, support, certain (claim evidence), immediate.
         """
         p = self.p
         gap = self.last is not None and stamp - self.last > p.max_frame_gap_s
@@ -74,26 +75,27 @@ class Tracker:
         self.last = stamp
         self.frame += 1
         self.tracks = {k: t for k, t in self.tracks.items() if stamp - t.stamp <= p.max_track_gap_s}
-        o = o.sort_values("id")
-        centre, extent = o[["cx", "cy", "cz"]].to_numpy(float).reshape(-1, 3), o[["ex", "ey", "ez"]].to_numpy(float).reshape(-1, 3)
+        centre, extent = (np.stack([o[c] for c in names], 1).astype(float).reshape(-1, 3) for names in (("cx", "cy", "cz"), ("ex", "ey", "ez")))
+        count = len(o["id"])
         noise = np.eye(3) * (p.position_sigma**2 + p.pose_sigma**2)
         keys = sorted(self.tracks)
         ahead = {k: self.predict(self.tracks[k], stamp) for k in keys}
         matched: dict[int, int] = {}
-        if keys and len(o):
+        if keys and count:
             never = p.gate + p.extent_gate + 1
-            cost = np.full((len(keys), len(o) + len(keys)), never)
-            cost[:, : len(o)] = 1e6
+            cost = np.full((len(keys), count + len(keys)), never)
+            cost[:, :count] = 1e6
             for r, k in enumerate(keys):
                 s, c = ahead[k]
                 diff = centre - s[:3]
                 far = np.einsum("ni,ij,nj->n", diff, np.linalg.inv(c[:3, :3] + noise), diff)
                 shape = np.linalg.norm(np.log((extent + 0.1) / (self.tracks[k].extent + 0.1)), axis=1)
                 ok = (far <= p.gate) & (shape <= p.extent_gate)
-                cost[r, : len(o)][ok] = (far + shape)[ok]
-            matched = {j: keys[i] for i, j in assign(cost) if j < len(o) and cost[i, j] < 1e6}
+                cost[r, :count][ok] = (far + shape)[ok]
+            matched = {j: keys[i] for i, j in assign(cost) if j < count and cost[i, j] < 1e6}
         rows = []
-        for j, obj in enumerate(o.itertuples()):
+        for j in range(count):
+            relation, support, certain, immediate = (o[c][j] for c in ("relation", "support", "certain", "immediate"))
             k = matched.get(j)
             if k is None:
                 k, self.next_id = self.next_id, self.next_id + 1
@@ -107,16 +109,16 @@ class Tracker:
                 t.state, t.cov = s + gain @ (centre[j] - s[:3]), keep @ c @ keep.T + gain @ noise @ gain.T
                 t.stamp, t.extent = stamp, extent[j]
             t.seen = [f for f in [*t.seen, self.frame] if f > self.frame - p.window]
-            if obj.relation == "intersecting":
+            if relation == "intersecting":
                 t.interior = [*t.interior, self.frame]
             t.interior = [f for f in t.interior if f > self.frame - p.window]
-            t.evidence = [(a, n) for a, n in [*t.evidence, (stamp, int(obj.support))] if stamp - a <= p.evidence_window_s]
+            t.evidence = [(a, n) for a, n in [*t.evidence, (stamp, int(support))] if stamp - a <= p.evidence_window_s]
             total = sum(n for _, n in t.evidence)
             steady = len(t.seen) >= p.hits and total >= p.evidence_min
-            confirmed = bool(obj.immediate) or (int(obj.certain) >= p.claim_min and steady)
-            intersects = confirmed and obj.relation == "intersecting" and (bool(obj.immediate) or len(t.interior) >= p.hits)
-            how = "immediate_interior_geometry" if obj.immediate else "temporal_evidence" if confirmed else "pending"
-            rows.append((int(obj.id), int(k), len(t.seen), int(total), confirmed, bool(obj.immediate) or steady, intersects, how, float(t.state[3]), float(stamp - t.first)))
+            confirmed = bool(immediate) or (int(certain) >= p.claim_min and steady)
+            intersects = confirmed and relation == "intersecting" and (bool(immediate) or len(t.interior) >= p.hits)
+            how = "immediate_interior_geometry" if immediate else "temporal_evidence" if confirmed else "pending"
+            rows.append((int(o["id"][j]), int(k), len(t.seen), int(total), confirmed, bool(immediate) or steady, intersects, how, float(t.state[3]), float(stamp - t.first)))
         return rows, gap
 
 
@@ -124,10 +126,15 @@ OUT = "bag long, frame long, gap_reset boolean, id long, track_id long, hits int
 
 
 def run_scans(tracker: Tracker, bag: int, g: pd.DataFrame) -> Iterator[tuple]:
-    for (ns, frame), o in g.groupby(["ns", "frame"], sort=True):
-        rows, gap = tracker.step(ns / 1e9, o)
+    """Every row of a recording's objects, scan by scan in order: one sort, then slices of its columns."""
+    g = g.sort_values(["ns", "frame", "id"])
+    cols = {c: g[c].to_numpy() for c in INPUT}
+    ns, frame = cols["ns"], cols["frame"]
+    starts = np.flatnonzero(np.r_[True, (ns[1:] != ns[:-1]) | (frame[1:] != frame[:-1])]) if len(g) else []
+    for a, b in zip(starts, [*starts[1:], len(g)], strict=True):
+        rows, gap = tracker.step(ns[a] / 1e9, {c: v[a:b] for c, v in cols.items()})
         for r in rows:
-            yield (bag, int(frame), gap, *r)
+            yield (bag, int(frame[a]), gap, *r)
 
 
 def track(objects: DataFrame, params: TrackParams) -> DataFrame:

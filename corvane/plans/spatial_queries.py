@@ -274,7 +274,7 @@ def mutual_radius(spark: SparkSession, d: str) -> DataFrame:
 @query("fixed_radius", "JOIN-14", f"WITH {POINTS_SQL} SELECT a.frame, a.point_id AS src, b.point_id AS dst FROM p a JOIN p b ON a.frame = b.frame AND a.point_id < b.point_id AND {DIST} <= 0.25")
 def fixed_radius(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    return sp.neighbour_pairs(p, p, 0.5, ordered=True).select("frame", F.col("a_point_id").alias("src"), F.col("b_point_id").alias("dst"))
+    return sp.neighbour_pairs(p.drop("ring"), p.drop("ring"), 0.5, once=True).select("frame", F.least("a_point_id", "b_point_id").alias("src"), F.greatest("a_point_id", "b_point_id").alias("dst"))
 
 
 @query("degrees", "SEG-5", f"WITH {POINTS_SQL}, {EDGE_SQL}, t AS (SELECT frame, src AS point_id FROM e UNION ALL SELECT frame, dst FROM e), c AS (SELECT frame, point_id, count(*) AS n FROM t GROUP BY ALL) SELECT frame, point_id, coalesce(n, 0) + 1 AS degree FROM p LEFT JOIN c USING (frame, point_id)")
