@@ -417,6 +417,34 @@ def test_a_region_of_equal_prefixes_gives_few_candidates():
     assert len(i) <= n * (neardup.WINDOW + 1) and set(range(1, n)) <= set(j.tolist())
 
 
+def test_the_exact_closing_finds_every_pair_across_components(spark):
+    rng = random.Random(12)
+    base = list(range(100))
+    sets = []
+    for i in range(120):
+        x = set(base)
+        for _ in range(rng.randint(0, 12)):
+            x.discard(rng.choice(base))
+            x.add(1000 + rng.randrange(60))
+        sets.append(sorted(x))
+    comp = [rng.randrange(4) for _ in sets]
+    table = spark.createDataFrame(list(zip(range(120), comp, sets, strict=True)), "node long, c long, s array<long>")
+    near = lambda a, b: 100 * len(set(a) & set(b)) >= 85 * len(set(a) | set(b))
+    want = sorted((i, j) for i, j in itertools.combinations(range(120), 2) if comp[i] != comp[j] and near(sets[i], sets[j]))
+    got = neardup.confirmed(neardup.prefix_pairs(table, 85), table.select("node", "s"), 85)
+    assert sorted(map(tuple, got.collect())) == want and want
+
+
+def test_over_full_regions_of_several_components_are_closed(spark):
+    sig = np.arange(neardup.HASHES, dtype="<u4").tobytes()
+    rows_ = [(i, sig) for i in range(neardup.REGION + 5)] + [(100 + i, np.full(neardup.HASHES, 7 + i, "<u4").tobytes()) for i in range(3)]
+    classes = spark.createDataFrame(rows_, "node long, sig binary")
+    none = spark.createDataFrame([], "node long, component long")
+    one = spark.createDataFrame([(i, 0) for i in range(neardup.REGION + 5)], "node long, component long")
+    assert neardup.over_full(classes, none, Scratch(spark, "t")).count() == neardup.REGION + 5
+    assert neardup.over_full(classes, one, Scratch(spark, "t")).count() == 0
+
+
 # --- the pipeline ----------------------------------------------------------------------------------------------------
 
 
