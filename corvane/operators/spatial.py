@@ -192,3 +192,26 @@ def induced(edges: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("frame"
     for end in ("src", "dst"):
         edges = edges.join(nodes.select(*keys, F.col("point_id").alias(end)), [*keys, end], "left_semi")
     return edges
+
+
+def structural(points: DataFrame, limit: Column, coarse: float, fine: float, station: float, min_length: float, min_returns: int, gap: float, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """Adds ``structural``: returns of the tunnel's own cross-section (y lateral, z height).
+
+    Two conditions: the return's coarse cell is occupied over a span of stations by enough returns, and on the fine grid, thickened by
+    one row and by the gap to both sides, the occupied run at its height reaches out past ``limit`` (of column ``row``, the fine row).
+    Both are aggregates over cells; runs are islands of consecutive columns. Cells are few, points are only joined back.
+    """
+    s = cell("x", station)
+    p = points.withColumns({"sc": cell(F.col("y") + coarse / 2, coarse), "sr": cell(F.col("z") + coarse / 2, coarse), "col": cell("y", fine), "row": cell("z", fine)})
+    support = p.groupBy(*keys, "sc", "sr").agg(F.max(s).alias("hi"), F.min(s).alias("lo"), F.count("*").alias("n"))
+    support = support.where(((F.col("hi") - F.col("lo") + 1) * station >= min_length) & (F.col("n") >= min_returns)).select(*keys, "sc", "sr", F.lit(True).alias("supported"))
+    k = -int(-(gap / fine) // 1)
+    cells = p.select(*keys, "col", "row").distinct()
+    thick = cells.select(*keys, F.explode(F.sequence(F.col("col") - k, F.col("col") + k)).alias("col"), "row").select(*keys, "col", F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1)).alias("row")).distinct()
+    runs = thick.withColumn("run", F.col("col") - F.row_number().over(W.partitionBy(*keys, "row").orderBy("col")))
+    w = W.partitionBy(*keys, "row", "run")
+    runs = runs.select(*keys, "row", "col", F.min("col").over(w).alias("left"), F.max("col").over(w).alias("right"))
+    reach = F.when(F.col("col") >= 0, (F.col("right") + 1) * fine).otherwise(-F.col("left") * fine)
+    outward = cells.join(runs, [*keys, "row", "col"]).where(reach >= limit).select(*keys, "row", "col", F.lit(True).alias("outward"))
+    j = p.join(support, [*keys, "sc", "sr"], "left").join(outward, [*keys, "row", "col"], "left")
+    return j.withColumn("structural", F.coalesce(F.col("supported") & F.col("outward"), F.lit(False))).drop("sc", "sr", "col", "row", "supported", "outward")
