@@ -57,18 +57,27 @@ def ray_box(origin: list[Column], direction: list[Column], lo: list[Column], hi:
     return F.when(~missed & (far >= near) & (far > 0), F.when(near > 0, near).otherwise(0.0))
 
 
-def interpolate(x: Column, anchors: Column, x_of: str, y_of: str) -> Column:
-    """Piecewise-linear value at x over anchors sorted by ``x_of``; clamped at both ends, null without anchors.
+def bracket(x: Column, anchors: Column, x_of: str) -> Column:
+    """struct(left, right): the anchors on either side of x, of anchors sorted by ``x_of``; null beyond an end.
 
-    The bracketing pair is found by array functions on the anchor array of the row's own scan; no join.
+    Found by array functions on the anchors of the row's own scan; no join. Make it a column where several values are read off it.
     """
     below = F.filter(anchors, lambda a: a[x_of] <= x)
     above = F.filter(anchors, lambda a: a[x_of] > x)
-    left, right = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
+    return F.struct(F.try_element_at(below, F.lit(-1)).alias("left"), F.try_element_at(above, F.lit(1)).alias("right"))
+
+
+def along(x: Column, between: Column, x_of: str, y_of: str) -> Column:
+    """Piecewise-linear value at x between bracketing anchors; clamped at both ends, null without anchors."""
+    left, right = between["left"], between["right"]
     slope = (right[y_of] - left[y_of]) / (right[x_of] - left[x_of])
     return F.when(left.isNull(), right[y_of]).when(right.isNull(), left[y_of]).otherwise(left[y_of] + slope * (x - left[x_of]))
 
 
+def interpolate(x: Column, anchors: Column, x_of: str, y_of: str) -> Column:
+    return along(x, bracket(x, anchors, x_of), x_of, y_of)
+
+
 def euler_matrix(rx: Column, ry: Column, rz: Column) -> list[list[Column]]:
     """Rx · Ry · Rz."""
     cx, sx, cy, sy, cz, sz = F.cos(rx), F.sin(rx), F.cos(ry), F.sin(ry), F.cos(rz), F.sin(rz)

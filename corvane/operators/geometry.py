@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import interpolate
+from ..functions.numeric import along, bracket
 
 EDGE = "struct<x:double,y:double,slope:double,curvature:double,slope_var:double,curvature_var:double,cov:double>"
 GEOMETRY = f"plane array<double>, ground array<struct<x:double,shift:double,spread:double>>, rail array<struct<x:double,center:double,gauge:double,support:double>>, rail_head double, near {EDGE}, far {EDGE}"
@@ -72,21 +72,20 @@ def geometry_table(spark: SparkSession, rows: list[dict], key: str = "frame") ->
     return spark.createDataFrame(out, f"{key} long, {GEOMETRY}")
 
 
-def reach(x: Column, anchors: Column) -> Column:
-    """Distance from x to the nearest anchor; null without anchors. One anchor is as good as many here."""
-    return F.array_min(F.transform(anchors, lambda a: F.abs(a["x"] - x)))
+def reach(x: Column, between: Column) -> Column:
+    """Distance from x to the nearest of its bracketing anchors; null without anchors. One anchor is as good as many here."""
+    return F.least(F.abs(x - between["left"]["x"]), F.abs(between["right"]["x"] - x))
 
 
-def ground_values(x: Column, ground: Column, max_extrapolation: float) -> tuple[Column, Column]:
+def ground_values(x: Column, between: Column, max_extrapolation: float) -> tuple[Column, Column]:
     """(shift, uncertainty) of the bed at x; the uncertainty is null beyond the reach of its anchors."""
-    r = reach(x, ground)
-    return interpolate(x, ground, "x", "shift"), F.when(r <= max_extrapolation, interpolate(x, ground, "x", "spread") + F.lit(0.008) * r)
+    r = reach(x, between)
+    return along(x, between, "x", "shift"), F.when(r <= max_extrapolation, along(x, between, "x", "spread") + F.lit(0.008) * r)
 
 
-def path_values(x: Column, rail: Column, near: Column, far: Column, gauge: float, max_extrapolation: float) -> tuple[Column, Column, Column]:
+def path_values(x: Column, between: Column, enough: Column, near: Column, far: Column, gauge: float, max_extrapolation: float) -> tuple[Column, Column, Column]:
     """(centre, gauge, uncertainty) of the path at x; past either end the continuation and its own variance hold."""
-    enough = F.size(rail) >= 2
-    r = reach(x, rail)
+    r = reach(x, between)
     base = F.lit(0.06) + F.lit(0.008) * r + F.lit(0.0003) * r * r
 
     def beyond(edge: Column) -> tuple[Column, Column]:
@@ -95,9 +94,9 @@ def path_values(x: Column, rail: Column, near: Column, far: Column, gauge: float
         return edge["y"] + edge["slope"] * d + edge["curvature"] * d * d, F.sqrt(base * base + F.greatest(var, F.lit(0.0)))
 
     before, after = x < near["x"], x > far["x"]
-    centre = F.when(~enough, 0.0).when(before, beyond(near)[0]).when(after, beyond(far)[0]).otherwise(interpolate(x, rail, "x", "center"))
+    centre = F.when(~enough, 0.0).when(before, beyond(near)[0]).when(after, beyond(far)[0]).otherwise(along(x, between, "x", "center"))
     spread = F.when(before, beyond(near)[1]).when(after, beyond(far)[1]).otherwise(base)
-    return centre, F.when(enough, interpolate(x, rail, "x", "gauge")).otherwise(F.lit(gauge)), F.when(enough & (r <= max_extrapolation), spread)
+    return centre, F.when(enough, along(x, between, "x", "gauge")).otherwise(F.lit(gauge)), F.when(enough & (r <= max_extrapolation), spread)
 
 
 def width_bounds(lo: Column, hi: Column, envelope: tuple[tuple[float, float, float, float], ...]) -> tuple[Column, Column]:
@@ -118,12 +117,12 @@ def classify(points: DataFrame, geometry: DataFrame, limits: Limits, key: str =
     ``geometry`` holds one row per scan against ~10^5 points, so Spark broadcasts it while it is small and joins by scan
     otherwise. Scans without plane, ground anchors or two rail anchors have context only.
     """
-    j = points.join(geometry, key)
+    j = points.join(geometry, key).withColumns({"__g": bracket(F.col("x"), F.col("ground"), "x"), "__r": bracket(F.col("x"), F.col("rail"), "x")})
     x, y, z = (F.col(c) for c in "xyz")
     a, b, c = (F.col("plane")[i] for i in range(3))
     usable = F.col("plane").isNotNull() & (F.size("ground") >= 1) & (F.size("rail") >= 2)
-    shift, ug = ground_values(x, F.col("ground"), limits.ground_max_extrapolation)
-    centre, gauge, up = path_values(x, F.col("rail"), F.col("near"), F.col("far"), limits.gauge, limits.path_max_extrapolation)
+    shift, ug = ground_values(x, F.col("__g"), limits.ground_max_extrapolation)
+    centre, gauge, up = path_values(x, F.col("__r"), F.size("rail") >= 2, F.col("near"), F.col("far"), limits.gauge, limits.path_max_extrapolation)
     j = j.withColumns({"__shift": shift, "__ug": ug, "__centre": centre, "gauge": gauge, "__up": up})
     height = z - (a * x + b * y + c + F.col("__shift"))
     j = j.withColumn("height", height)
@@ -146,4 +145,4 @@ def classify(points: DataFrame, geometry: DataFrame, limits: Limits, key: str =
     flat_band = (F.col("height") - F.coalesce("rail_head", F.lit(0.0))).between(limits.min_running_height, top + limits.context_margin)
     context = F.when(usable, yes(band) & ~on_rail & (yes(side <= limits.segmentation_half_width) | ~path_ok)).otherwise(F.coalesce(flat_band, F.lit(True)))
     j = j.withColumns({"observed": observed, "core": core, "boundary": touch & ~core, "overlap": usable & ~on_rail & yes(side <= nominal + limits.margin), "context": context})
-    return j.drop("__shift", "__ug", "__centre", "__up", "__u", "__ulat", "plane", "ground", "rail", "rail_head", "near", "far")
+    return j.drop("__g", "__r", "__shift", "__ug", "__centre", "__up", "__u", "__ulat", "plane", "ground", "rail", "rail_head", "near", "far")

@@ -91,7 +91,7 @@ def classify(spark: SparkSession, d: str) -> DataFrame:
 def interp(spark: SparkSession, d: str) -> DataFrame:
     anchors = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(s).alias("shift")) for x, s, _ in GROUND])
     v = fn.interpolate(F.col("x"), anchors, "x", "shift")
-    return raw_points(spark, d).groupBy("frame", "ring").agg(F.round(F.min(v), 6).alias("least"), F.round(F.max(v), 6).alias("most"), F.round(F.max(geo.reach(F.col("x"), anchors)), 6).alias("reach"))
+    return raw_points(spark, d).groupBy("frame", "ring").agg(F.round(F.min(v), 6).alias("least"), F.round(F.max(v), 6).alias("most"), F.round(F.max(geo.reach(F.col("x"), fn.bracket(F.col("x"), anchors, "x"))), 6).alias("reach"))
 
 
 @query(

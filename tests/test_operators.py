@@ -114,7 +114,7 @@ def test_deep_difference_tolerates_small_floats_only(spark):
 
 def test_interpolation_clamps_and_serves_few_anchors(spark):
     arr = lambda *p: F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in p])
-    row = spark.range(1).select(*[fn.interpolate(F.lit(v), arr((1, 10), (3, 20)), "x", "y").alias(f"v{i}") for i, v in enumerate((0.0, 1.0, 2.0, 3.0, 9.0))], fn.interpolate(F.lit(5.0), arr((1, 7)), "x", "y").alias("one"), geometry.reach(F.lit(5.0), arr((1, 7))).alias("r")).first()
+    row = spark.range(1).select(*[fn.interpolate(F.lit(v), arr((1, 10), (3, 20)), "x", "y").alias(f"v{i}") for i, v in enumerate((0.0, 1.0, 2.0, 3.0, 9.0))], fn.interpolate(F.lit(5.0), arr((1, 7)), "x", "y").alias("one"), geometry.reach(F.lit(5.0), fn.bracket(F.lit(5.0), arr((1, 7)), "x")).alias("r")).first()
     assert tuple(row) == (10.0, 10.0, 15.0, 20.0, 20.0, 7.0, 4.0)
 
 
@@ -240,6 +240,34 @@ def test_label_files_and_duplicate_frames(spark, tmp_path):
         clouds.read_labels(spark, str(tmp_path))
 
 
+def test_circle_ignores_outliers_and_lines_have_none():
+    a = np.linspace(0, 1, 30)
+    x, y = 3 + 50 * np.cos(a), -2 + 50 * np.sin(a)
+    y[4] += 5
+    cx, cy, r = fits.circle(x, y)
+    assert (cx, cy, r) == pytest.approx((3, -2, 50), abs=1.0) and fits.circle(np.arange(5.0), np.arange(5.0)) is None
+
+
+def test_penalised_spline_follows_a_line_exactly():
+    x = np.linspace(0, 40, 30)
+    assert fits.penalised_spline(x, 0.2 * x + 1, 5.0, 10.0, np.array([7.0, 33.0])) == pytest.approx([2.4, 7.6], abs=1e-4)
+
+
+def test_backgrounds_are_walls_and_ceilings():
+    g = np.random.default_rng(0).random((400, 2))
+    wall, top = np.c_[40 * g[:, 0], np.full(400, 2.5), 3 * g[:, 1]], np.c_[40 * g[:, 0], 5 * g[:, 1] - 2.5, np.full(400, 3.0)]
+    kinds = {k for _, _, k, _, _ in fits.background_patches(np.r_[wall, top], 0.03, 60, 3, 20.0, 0.2, 0.9)}
+    assert kinds == {"wall", "ceiling"} and fits.background_patches(np.zeros((0, 3)), 0.03, 60, 3, 20.0, 0.2, 0.9) == []
+
+
+def test_structure_needs_length_and_outward_reach(spark):
+    wall = [(1, i, float(i), 2.05, 1.05) for i in range(12)]
+    box = [(1, 100 + i, 5.0 + 0.1 * i, 0.05, 1.05) for i in range(8)]
+    p = spatial.structural(cloud(spark, wall + box), F.lit(1.6), 0.4, 0.1, 1.0, 5.0, 3, 0.3)
+    got = {r.point_id: r.structural for r in p.collect()}
+    assert all(got[i] for i in range(12)) and not any(got[100 + i] for i in range(8))
+
+
 def test_exchange_formats():
     xyz, i = np.array([[1.0, 2.0, 3.0]]), np.array([0.5])
     assert clouds.pcd_bytes(xyz, i).endswith(np.array([1, 2, 3, 0.5], "<f4").tobytes()) and len(clouds.kitti_bytes(xyz, i)) == 16
