@@ -412,37 +412,37 @@ def test_near_duplicates_equal_brute_force(spark, words, percent):
 
 def test_a_region_of_equal_prefixes_gives_few_candidates():
     n = 3000
-    key = np.zeros((n, neardup.LEVELS), np.uint16)
+    key = np.zeros((n, neardup.LEVELS), np.uint16)  # one region, however deep
     i, j, _ = neardup.order_pairs(np.zeros(n, int), key, np.zeros((n, neardup.HASHES // 8), np.uint8), 0)
     assert len(i) <= n * (neardup.WINDOW + 1) and set(range(1, n)) <= set(j.tolist())
 
 
-def test_the_exact_closing_finds_every_pair_across_components(spark):
-    rng = random.Random(12)
-    base = list(range(100))
+def test_components_of_a_large_family_with_sparse_links_are_whole():
+    rng, n, length = random.Random(4), 600, 150
+    base = [f"w{rng.randrange(5000)}" for _ in range(length)]
     sets = []
-    for i in range(120):
-        x = set(base)
-        for _ in range(rng.randint(0, 12)):
-            x.discard(rng.choice(base))
-            x.add(1000 + rng.randrange(60))
-        sets.append(sorted(x))
-    comp = [rng.randrange(4) for _ in sets]
-    table = spark.createDataFrame(list(zip(range(120), comp, sets, strict=True)), "node long, c long, s array<long>")
-    near = lambda a, b: 100 * len(set(a) & set(b)) >= 85 * len(set(a) | set(b))
-    want = sorted((i, j) for i, j in itertools.combinations(range(120), 2) if comp[i] != comp[j] and near(sets[i], sets[j]))
-    got = neardup.confirmed(neardup.prefix_pairs(table, 85), table.select("node", "s"), 85)
-    assert sorted(map(tuple, got.collect())) == want and want
-
-
-def test_over_full_regions_of_several_components_are_closed(spark):
-    sig = np.arange(neardup.HASHES, dtype="<u4").tobytes()
-    rows_ = [(i, sig) for i in range(neardup.REGION + 5)] + [(100 + i, np.full(neardup.HASHES, 7 + i, "<u4").tobytes()) for i in range(3)]
-    classes = spark.createDataFrame(rows_, "node long, sig binary")
-    none = spark.createDataFrame([], "node long, component long")
-    one = spark.createDataFrame([(i, 0) for i in range(neardup.REGION + 5)], "node long, component long")
-    assert neardup.over_full(classes, none, Scratch(spark, "t")).count() == neardup.REGION + 5
-    assert neardup.over_full(classes, one, Scratch(spark, "t")).count() == 0
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(length)] = f"e{rng.randrange(10**6)}"
+        sets.append(neardup.shingles(" ".join(w), 5))
+    place = {x: i for i, x in enumerate(sorted({x for s in sets for x in s.tolist()}))}
+    m = np.zeros((n, len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s.tolist()]] = 1
+    both, size = m @ m.T, m.sum(1)
+    link = 100 * both >= 80 * (size[:, None] + size - both)
+    sig = np.stack([neardup.signature(s) for s in sets])
+    bits = np.packbits((sig >> 16 & 1).astype(np.uint8), axis=1)
+    found = np.zeros((n, n), bool)
+    for order in neardup._ORDERS:
+        key = (sig & 0xFFFF)[:, order]
+        o = np.lexsort(key.T[::-1])
+        i, j, _ = neardup.order_pairs(np.zeros(n, int), key[o], bits[o], neardup.least_equal_bits(0.8))
+        found[o[i], o[j]] = True
+    a, b = np.nonzero(link & (found | found.T))
+    x, y = np.nonzero(np.triu(link, 1))
+    assert vectors.local_roots(n, a, b).tolist() == vectors.local_roots(n, x, y).tolist() and len(x) > 3 * len(np.nonzero(np.triu(found, 1) & link)[0]) / 2 > 0
 
 
 # --- the pipeline ----------------------------------------------------------------------------------------------------
