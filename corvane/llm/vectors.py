@@ -273,6 +273,7 @@ def vector_links(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     info = classes.select("key", "node", "rep", "mult").join(n_links, "node", "left").join(comp, "node", "left")
     info = info.select(F.col("key").alias("k"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     info = scratch.keep(info, "info")
+    scratch.drop(classes, found)
     out = rows.select("id", "key").join(with_broadcast(info), F.col("key") == F.col("k"), "left")
     component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
