@@ -417,6 +417,27 @@ def test_a_region_of_equal_prefixes_gives_few_candidates():
     assert len(i) <= n * (neardup.WINDOW + 1) and set(range(1, n)) <= set(j.tolist())
 
 
+def test_links_in_a_large_family_of_unlinked_texts_are_all_found(spark, monkeypatch):
+    """One template with tails of their own (similarity 0.80), and pairs that share a part of the tail (0.88)."""
+    monkeypatch.setattr(neardup, "TILE_DOCS", 300)
+    template, n, pairs = " ".join(f"t{i}" for i in range(100)), 2400, 400
+    tail = lambda i, k: " ".join(f"x{i}_{j}" for j in range(k))
+    texts = [f"{template} {tail(i % (n - pairs), 5)} {tail(10**6 + i, 7)}" for i in range(n)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
+    assert got == {i: i % (n - pairs) for i in range(n)}
+
+
+def test_tile_links_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 40, 60)
+    sets = [np.unique(np.r_[base[rng.random(60) < 0.95], rng.integers(0, 300, rng.integers(1, 12))]) for _ in range(90)]
+    c, left, right = rng.integers(0, 25, 90), np.arange(50), np.arange(40, 90)
+    i, j = neardup.tile_links(sets, c, left, right, 80)
+    alike = lambda x, y: 100 * len(np.intersect1d(sets[x], sets[y])) >= 80 * len(np.union1d(sets[x], sets[y]))
+    want = {tuple(sorted((c[x], c[y]))) for x in left for y in right if c[x] != c[y] and alike(x, y)}
+    assert want and all(alike(x, y) for x, y in zip(i, j, strict=True)) and sorted(want) == sorted(tuple(sorted((c[x], c[y]))) for x, y in zip(i, j, strict=True))
+
+
 def test_components_of_a_large_family_with_sparse_links_are_whole():
     rng, n, length = random.Random(4), 600, 150
     base = [f"w{rng.randrange(5000)}" for _ in range(length)]
