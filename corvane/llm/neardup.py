@@ -6,14 +6,15 @@
    region of equal prefixes, however large, is dealt over tasks. Classes with a common prefix of ``DEPTH`` values are
    candidates. Where such a region holds more than ``REGION`` classes, the prefix that counts grows until it
    doesn't, each class keeps its next ``WINDOW`` neighbours with the longest common prefixes, and all meet the region's first.
-   A one-bit sketch of the whole signature drops pairs that are far from the threshold (over 4 standard errors).
+   A one-bit sketch of the whole signature drops pairs that are far from the threshold.
 3. Candidates are confirmed on full shingle sets: first each class with its likeliest partner, then, once
    components are known, every other pair that would join two components. Pairs inside a component change nothing.
 
 4. Over-full regions of several components are closed exactly: classes that share one, directly or over others, are a family. A family's
    classes are split by set size and salted into tiles, and every two tiles whose sizes can match are compared on full sets.
 
-A pair at similarity s stands in no common region with probability (1 - s**DEPTH)**TREES: 3e-8 at 0.8, 1e-10 at 0.85. The work of step 4 grows with
+A pair at similarity s stands in no common region with probability (1 - s**DEPTH)**TREES: 3e-8 at 0.8, 1e-10 at 0.85. The sketch, which is the
+same in all orders, drops it with no larger a probability; 2e-10 at 0.85 and 6e-8 at 0.8 bound the sum of both. The work of step 4 grows with
 the square of a family that isn't linked.
 
 Defined results: texts are lower-cased in A-Z only and split at ASCII white space; with fewer words than a shingle
@@ -170,9 +171,13 @@ def order_pairs(tree: np.ndarray, key: np.ndarray, bits: np.ndarray, least: floa
 
 
 def least_equal_bits(similarity: float) -> float:
-    """Sketch bits that a pair at this similarity shares, less 4.5 standard errors."""
-    p = (1 + similarity) / 2
-    return HASHES * p - 4.5 * math.sqrt(HASHES * p * (1 - p))
+    """The most sketch bits that may be asked for: a pair at this similarity shares fewer with a probability no larger than the forest's miss."""
+    p, bound, below = (1 + similarity) / 2, (1 - similarity**DEPTH) ** TREES, 0.0
+    for k in range(HASHES):
+        below += math.comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)
+        if below > bound:
+            return k
+    return HASHES
 
 
 def candidates(classes: DataFrame, n: int, similarity: float, scratch: Scratch) -> DataFrame:

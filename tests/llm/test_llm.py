@@ -438,6 +438,13 @@ def test_tile_links_equal_all_pairs():
     assert want and all(alike(x, y) for x, y in zip(i, j, strict=True)) and sorted(want) == sorted(tuple(sorted((c[x], c[y]))) for x, y in zip(i, j, strict=True))
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_the_sketch_loses_no_more_than_the_orders(similarity):
+    p, n = (1 + similarity) / 2, neardup.HASHES
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.ceil(neardup.least_equal_bits(similarity))))
+    assert lost <= (1 - similarity**neardup.DEPTH) ** neardup.TREES
+
+
 def test_components_of_a_large_family_with_sparse_links_are_whole():
     rng, n, length = random.Random(4), 600, 150
     base = [f"w{rng.randrange(5000)}" for _ in range(length)]
