@@ -356,6 +356,15 @@ def test_base_scores_and_counts_equal_brute_force_and_the_model_does_better(spar
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_training_document_moves_the_weights(spark):
+    n = 6000
+    texts = [f"own{i} word and{i % 7}" for i in range(n)]
+    m = lm.fit(docs_of(spark, texts).select("doc_id", "text"), n)
+    for t in texts:
+        h, kind = lm._tokens(t)
+        assert m.weights[m.features(h, m.events(h, kind))].any(2).all()
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     m = lm.Model(2 + np.arange(lm.TYPES) % (lm.CLASSES - 2), rng.standard_normal((lm.BUCKETS, lm.CLASSES)).astype(np.float32))
