@@ -1,10 +1,15 @@
 """Lexical retrieval packing: windows of related documents, found by a sharded BM25 index.
 
-Each task reads its share of the documents as a stream and closes a shard when it holds ``SHARD_DOCS`` documents
-or ``SHARD_TOKENS`` ids. A shard builds an inverted index over its documents' ids; a seed document (the
-first unused one) opens a window, the index ranks the shard's unused documents by BM25 against the seed's
-weightiest ids, and the ranked neighbours fill the window greedily. The document that reaches the window's end is cut
-there, and the rest of it opens the next window as its seed. Nothing is shuffled, and a group of copies is dealt out as it was read.
+1. One pass writes every document's ids and counts, over all documents, the document frequency of each id, the documents and their mean length:
+   the statistics of BM25 everywhere below.
+2. A document's key is its two weightiest ids that other documents have too. Documents with one first id are a group; groups of more than
+   ``SHARD_DOCS`` documents or ``SHARD_TOKENS`` ids are salted by the second id, and what is still too large by document; small groups
+   that follow each other are one shard. So a shard holds related documents, wherever they were read, and doesn't depend on files.
+3. A shard builds an inverted index over its documents' ids; a seed document (the first unused one) opens a window, the index ranks the
+   shard's unused documents by BM25 against all the seed's ids, and the ranked neighbours fill the window greedily. The document that reaches
+   the window's end is cut there, and the rest of it opens the next window as its seed.
+
+A seed doesn't query other shards: neighbours that share neither key with it can stand elsewhere.
 
 Only the last window of a shard isn't full; its pieces are cut into sequences whose lengths are powers of two, which
 need no padding. So no sequence is padded at all.
@@ -14,7 +19,7 @@ remembers words' ids (within a bound); texts with characters beyond Latin letter
 characters go to the library whole.
 
 Defined results: a null or empty text is one piece that holds the closing id alone; repeated rows are packed as rows
-of their own; an empty table gives no rows. Sequence numbers are unique; they depend on how the table is split into tasks.
+of their own; an empty table gives no rows. Sequence numbers are unique and the same however the table is dealt out.
 """
 
 from __future__ import annotations
@@ -26,19 +31,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim_cache
+from .common import Scratch, claim_cache, with_broadcast
 
 WINDOW = 2048
 #: The id that closes each document.
 CLOSE = 1
 SHARD_DOCS = 1_024
 SHARD_TOKENS = 4_000_000
-#: The seed's ids that make up its query, by weight.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 MEMO_WORDS = 400_000
 
@@ -95,13 +97,31 @@ def tokenizer(spec: str) -> WordTokenizer:
     return _TOKENIZERS[key]
 
 
+class Corpus:
+    """Document frequencies (by id), number and mean length of all documents."""
+
+    def __init__(self, df: np.ndarray, n: int, tokens: int):
+        self.df, self.mean = df, tokens / max(1, n)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    def keys(self, ids: np.ndarray) -> tuple[int, int]:
+        """The two weightiest ids that other documents have too; -1 where there are none."""
+        term, tf = np.unique(ids[:-1], return_counts=True)  # without the closing id
+        ok = self.df[term] > 1
+        term, tf = term[ok], tf[ok]
+        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
+        best = np.lexsort((term, -weight))[:2].tolist()
+        return tuple(term[best].tolist() + [-1] * (2 - len(best)))
+
+
 class Index:
-    """BM25 over one shard's documents; used documents are passed over."""
+    """BM25 over one shard's documents, by the statistics of the corpus (of the shard if none are given); used documents are passed over."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         n = len(docs)
         self.lens = np.array([len(d) for d in docs])
-        norm = K1 * (1 - B + B * self.lens / max(1.0, self.lens.mean()))
+        mean = corpus.mean if corpus else self.lens.mean()
+        norm = K1 * (1 - B + B * self.lens / max(1.0, mean))
         # One sort of (document, id) keys for the whole shard gives distinct ids and their counts.
         key = np.concatenate([d.astype(np.int64) | i << 20 for i, d in enumerate(docs)])
         key.sort()
@@ -111,7 +131,7 @@ class Index:
         self.doc_at = np.searchsorted(doc, np.arange(n + 1))
         self.terms = term
         df = np.bincount(term)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        idf = corpus.idf if corpus else np.log1p((n - df + 0.5) / (df + 0.5))
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], self.weight[order]
@@ -120,10 +140,7 @@ class Index:
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """The unused documents that share a query term with the seed, best first, ties by place."""
-        a, b = self.doc_at[seed], self.doc_at[seed + 1]
-        terms = self.terms[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weight[a:b], QUERY_TERMS)[:QUERY_TERMS]]
+        terms = self.terms[self.doc_at[seed] : self.doc_at[seed + 1]]
         spans = [slice(self.post_at[t], self.post_at[t + 1]) for t in terms]
         score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), len(used))
         score[used] = 0
@@ -131,9 +148,9 @@ class Index:
         return at[np.argsort(-score[at], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard; sequences are numbered from 0."""
-    index = Index(docs)
+    index = Index(docs, corpus)
     used = np.zeros(len(docs), bool)
     pieces: list[tuple[int, int, int, int, int]] = []
     last: list[tuple[int, int, int]] = []
@@ -208,48 +225,103 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """One row per piece; ``with_ids`` adds the piece's ids (binary, little-endian 32-bit)."""
-    spec = open(path or word_bpe_path(), encoding="utf-8").read()
+def tokenized(docs: DataFrame, spec: str) -> DataFrame:
+    """(doc_id, ids, digest): the ids of each document with the closing one, and their digest."""
+    names = ["doc_id", "ids", "digest"]
 
     def run(batches):
         tok = tokenizer(spec)
-        base = TaskContext.get().partitionId() << 40
-        held: list[tuple[object, np.ndarray]] = []
-        tokens = done = 0
-
-        def flush():
-            nonlocal tokens, done
-            ids = [h[1] for h in held]
-            pieces = pack_shard(ids, window)
-            doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-            raw = [ids[d][s : s + n].tobytes() for d, s, n, _, _ in pieces]
-            cols = [
-                pa.array([held[d][0] for d in doc.tolist()], type=kind), pa.array(start), pa.array(length), pa.array([zlib.crc32(b) for b in raw], pa.int64()),
-                pa.array(np.array([len(x) for x in ids])[doc]), pa.array(seq + base + done), pa.array(offset),
-            ]
-            done += int(seq[-1]) + 1
-            held.clear()
-            tokens = 0
-            return pa.RecordBatch.from_arrays(cols + ([pa.array(raw, pa.binary())] if with_ids else []), names)
-
         for b in batches:
-            kind = b.column("doc_id").type
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = np.append(tok.ids(t or ""), np.uint32(CLOSE)).astype("<u4")
-                    held.append((i, ids))
-                    tokens += len(ids)
-                    if len(held) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
-                        yield flush()
-        if held:
-            yield flush()
+                ids = [np.append(tok.ids(t or ""), np.uint32(CLOSE)).astype("<u4").tobytes() for t in part.column("text").to_pylist()]
+                digest = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(digest, pa.int64())], names)
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, digest long")
+
+
+def corpus_of(ids: DataFrame) -> Corpus:
+    """Counts over all documents; at most one row for each id of the vocabulary comes to the driver."""
+
+    def run(batches):
+        df, n, tokens = np.zeros(1 << 20, np.int64), 0, 0
+        for b in batches:
+            for x in b.column("ids"):
+                d = np.frombuffer(x.as_py(), "<u4")
+                df[np.unique(d)] += 1
+                n, tokens = n + 1, tokens + len(d)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, at]), pa.array(np.r_[tokens, n, df[at]])], ["term", "n"])
 
+    got = {r.term: r.n for r in ids.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = np.zeros(max([*got, 0]) + 1, np.int64)
+    for t, n in got.items():
+        if t >= 0:
+            df[t] = n
+    return Corpus(df, got.get(-1, 0), got.get(-2, 0))
+
+
+def keyed(ids: DataFrame, corpus: Corpus) -> DataFrame:
+    """``ids`` with the keys k1, k2 and the number of ids n."""
+
+    def run(batches):
+        for b in batches:
+            docs = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
+            keys = np.array([corpus.keys(d) for d in docs], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(d) for d in docs], pa.int64())], [*b.schema.names, "k1", "k2", "n"])
+
+    return ids.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ids.schema) + ", k1 long, k2 long, n long")
+
+
+def _parts():
+    return F.greatest(F.ceil(F.count("*") / F.lit(SHARD_DOCS)), F.ceil(F.sum("n") / F.lit(SHARD_TOKENS))).cast("long").alias("parts")
+
+
+def sharded(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with their shard: (g, s2, s3)."""
+    spark = docs.sparkSession
+    groups = sorted((r.k1, r.m, r.n, r.parts) for r in docs.groupBy("k1").agg(F.count("*").alias("m"), F.sum("n").alias("n"), _parts()).collect())  # a row an id at most
+    # Small groups that follow each other share a shard.
+    of, g, m, n = [], -1, 0, 0
+    for k, dm, dn, parts in groups:
+        if parts > 1 or g < 0 or m + dm > SHARD_DOCS or n + dn > SHARD_TOKENS:
+            g, m, n = g + 1, 0, 0
+        m, n = m + dm, n + dn
+        of.append((k, g, parts))
+    side = F.broadcast(spark.createDataFrame(of, "k1 long, g long, p2 long"))
+    docs = docs.join(side, "k1").withColumn("s2", F.pmod(F.xxhash64(F.lit("second"), "k2"), F.col("p2")))
+    large = docs.where("p2 > 1").groupBy("g", "s2").agg(_parts()).where("parts > 1").withColumnRenamed("parts", "p3")
+    docs = docs.join(with_broadcast(scratch.keep(large, "large")), ["g", "s2"], "left")
+    return docs.withColumn("s3", F.when(F.col("p3").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit("third"), "doc_id", "digest"), F.col("p3"))).cast("long"))
+
+
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """One row per piece; ``with_ids`` adds the piece's ids (binary, little-endian 32-bit)."""
+    spec = open(path or word_bpe_path(), encoding="utf-8").read()
+    scratch = Scratch(docs.sparkSession, "packing")
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = SCHEMA.format(src.schema["doc_id"].dataType.simpleString()) + ", ids binary" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
-    return src.mapInArrow(run, schema)
+    ids = scratch.keep(tokenized(src, spec), "ids")
+    corpus = corpus_of(ids)
+    keys = scratch.keep(keyed(ids, corpus), "keys")
+    scratch.drop(ids)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("digest", "ascending"), ("doc_id", "ascending")])
+        held = [np.frombuffer(x, "<u4") for x in t.column("ids").to_pylist()]
+        doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*pack_shard(held, window, corpus), strict=True))
+        raw = [held[d][s : s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+        base = t.column("base")[0].as_py()
+        cols = [t.column("doc_id").take(pa.array(doc)), start, length, [zlib.crc32(b) for b in raw], np.array([len(x) for x in held])[doc], seq + base, offset]
+        cols = [*cols, pa.array(raw, pa.binary())] if with_ids else cols
+        return pa.table(dict(zip(names, cols, strict=True)))
+
+    dealt = sharded(keys, scratch)
+    # Places of a shard in 64 bits: 17 for its group of ids, 17 and 13 for salts, 17 for its sequences.
+    base = F.shiftleft("g", 47) + F.shiftleft("s2", 30) + F.shiftleft("s3", 17)
+    return dealt.select("doc_id", "ids", "digest", "g", "s2", "s3", base.alias("base")).groupBy("g", "s2", "s3").applyInArrow(run, schema)
 
 
 def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,6 +294,20 @@ def test_packing_covers_every_id_once(spark):
     check_packing(docs, packing.pack(docs_of(spark, [t for _, t in docs], [i for i, _ in docs]).repartition(3)).collect())
 
 
+def test_related_documents_meet_wherever_they_are_read(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 64)
+    names = ["volcano", "sonata", "enzyme", "glacier", "harvest", "turbine", "cathedral", "falcon", "orchid", "tariff"]
+    docs = [(i, f"the report of {i} about " + f"{names[i % 10]} " * 12 + "and more of it " * 20) for i in range(400)]
+    df = docs_of(spark, [t for _, t in docs], [i for i, _ in docs])
+    got = [sorted((p.doc_id, p.start, p.length, p.sequence_id, p.offset) for p in packing.pack(d).collect()) for d in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("doc_id")).coalesce(2))]
+    assert got[0] == got[1] == got[2]
+    topics = defaultdict(Counter)
+    for i, _, n, q, _ in got[0]:
+        topics[q][i % 10] += n
+    assert sum(max(c.values()) for c in topics.values()) > 0.9 * sum(sum(c.values()) for c in topics.values())
+    check_packing(docs, packing.pack(df).collect())
+
+
 def test_neighbours_by_bm25_share_rare_terms():
     rng = np.random.default_rng(0)
     common = rng.integers(2, 40, (12, 60))
