@@ -119,7 +119,7 @@ def track_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("event_groups", "STR-12 STR-13")
 def event_groups(spark: SparkSession, d: str) -> DataFrame:
-    c = results(spark, d).where("k % 2 = 0").select("bag", "frame", F.col("frame").alias("id"), (F.col("k") % 7 / 2).alias("y"), (F.col("k") % 3 / 2).alias("z"), F.col("value").alias("distance"))
+    c = results(spark, d).select("bag", "frame", F.col("frame").alias("id"), (F.col("k") % 7 / 2).alias("y"), (F.col("k") % 3 / 2).alias("z"), F.col("value").alias("distance"))
     return tracking.group_events(c, 1500, 0.3, 0.3).select("bag", "event", "first_frame", "last_frame", "frames", "min_distance")
 
 

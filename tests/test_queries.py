@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from corvane.plans import COVERS, ORACLE_SQL, QUERIES
+from corvane.sources.tables import results
 from support import rows
 
 
@@ -22,3 +23,7 @@ def test_runs_without_sql(spark, sf, name):
 
 def test_every_query_says_what_it_covers():
     assert set(COVERS) == set(QUERIES) and all(COVERS.values())
+
+
+def test_event_groups_take_every_scan(spark, sf):
+    assert QUERIES["event_groups"](spark, sf).agg({"frames": "sum"}).first()[0] == results(spark, sf).count()
