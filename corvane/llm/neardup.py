@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim_cache, with_broadcast
+from .common import Scratch, claim_cache, union_all, with_broadcast
 from .components import connected_components
 
 HASHES = 96
@@ -183,7 +183,6 @@ def least_equal_bits(similarity: float) -> float:
 def candidates(classes: DataFrame, n: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b, equal) of candidate classes, a < b, each pair once."""
     least = least_equal_bits(similarity)
-    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * TREES // ORDER_ROWS)
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
@@ -198,11 +197,25 @@ def candidates(classes: DataFrame, n: int, similarity: float, scratch: Scratch)
         ok = a != b
         # A pair that several orders of this task show goes out once.
         _, once = np.unique(np.stack([a[ok], b[ok]]), axis=1, return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(x[ok][once]) for x in (a, b, equal)], ["a", "b", "equal"])
-
-    rows = _orders(classes).repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    pairs = rows.mapInArrow(run, "a long, b long, equal long")
-    return scratch.keep(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
+        found = pa.table([x[ok][once] for x in (a, b, equal)], ["a", "b", "equal"])
+        # The rows at both ends meet those of the parts beside this one in the next round.
+        ends = np.arange(len(tree))
+        ends = t.take(pa.array(ends[(ends < REGION) | (ends >= len(tree) - REGION)]))
+        none = [pa.nulls(len(found), f.type) for f in ends.schema], [pa.nulls(len(ends), pa.int64())] * 3
+        names = [*found.column_names, *ends.column_names]
+        yield from pa.table([*found.columns, *none[0]], names).to_batches()
+        yield from pa.table([*none[1], *ends.columns], names).to_batches()
+
+    rows, count, parts, rounds = _orders(classes), n * TREES, 2, []
+    while parts > 1:
+        parts = max(1, count // ORDER_ROWS)
+        dealt = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+        rounds.append(scratch.keep(dealt.mapInArrow(run, "a long, b long, equal long, tree int, key binary, node long, bits binary"), "met"))
+        rows, count = rounds[-1].where("a is null").select("tree", "key", "node", "bits"), 2 * REGION * parts
+    pairs = union_all([r.where("a is not null").select("a", "b", "equal") for r in rounds])
+    out = scratch.keep(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "pairs")
+    scratch.drop(*rounds)
+    return out
 
 
 def _regions(classes: DataFrame) -> DataFrame:

@@ -468,6 +468,19 @@ def test_the_sketch_loses_no_more_than_the_orders(similarity):
     assert lost <= (1 - similarity**neardup.DEPTH) ** neardup.TREES
 
 
+@pytest.mark.parametrize("n, order_rows", [(2, 100_000), (80, 100)])
+def test_no_boundary_between_parts_parts_a_pair(spark, monkeypatch, n, order_rows):
+    monkeypatch.setattr(neardup, "ORDER_ROWS", order_rows)
+    texts = [" ".join(f"p{i // 2}_{j}" for j in range(60)) + f" end{i}" for i in range(n)]
+    classes = [(i, bytearray(neardup.signature(neardup.shingles(t, 3)).tobytes())) for i, t in enumerate(texts)]
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = neardup.candidates(spark.createDataFrame(classes, "node long, sig binary"), n, 0.85, Scratch(spark, "parts")).select("a", "b").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(i, i + 1) for i in range(0, n, 2)} <= set(map(tuple, got))
+
+
 def test_components_of_a_large_family_with_sparse_links_are_whole():
     rng, n, length = random.Random(4), 600, 150
     base = [f"w{rng.randrange(5000)}" for _ in range(length)]
