@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,31 @@ def claim_cache(name: str, clear: Callable[[], None]) -> None:
     pa.default_memory_pool().release_unused()
 
 
+class KeyTable:
+    """64-bit keys to their places, looked up for whole arrays: a few open tables, each for the keys that collided in those before."""
+
+    def __init__(self, keys: np.ndarray):
+        self.parts = []
+        left = np.arange(len(keys))
+        while len(left):
+            bits = max(8, len(left).bit_length() + 3)
+            m = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.parts) * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
+            slot = (keys[left] * m) >> np.uint64(64 - bits)
+            key, value = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+            key[slot], value[slot] = keys[left], left
+            self.parts.append((m, np.uint64(64 - bits), key, value))
+            left = left[value[slot] != left]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't there."""
+        out = np.full(len(keys), -1, np.int32)
+        for m, shift, key, value in self.parts:
+            slot = (keys * m) >> shift
+            hit = key[slot] == keys
+            out[hit] = np.maximum(out[hit], value[slot[hit]])
+        return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -149,4 +175,4 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 
-__all__ = ["ASCII_LOWER", "BROADCAST_ROWS", "SPACE", "WORD", "Scratch", "claim_cache", "crc_mod", "filter_rows", "hash_sample", "map_batches", "shared_dir", "union_all", "with_broadcast"]
+__all__ = ["ASCII_LOWER", "BROADCAST_ROWS", "KeyTable", "SPACE", "WORD", "Scratch", "claim_cache", "crc_mod", "filter_rows", "hash_sample", "map_batches", "shared_dir", "union_all", "with_broadcast"]

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim_cache, crc_mod, filter_rows, hash_sample, map_batches
+from .common import KeyTable, Scratch, claim_cache, crc_mod, filter_rows, hash_sample, map_batches
 
 #: Training documents that are read for fitting, at most about.
 SAMPLE_ROWS = 8_000
@@ -50,32 +50,6 @@ def read_pieces(path: str | None = None) -> list[str]:
     return list(dict.fromkeys(p for i in ids if (p := sp.id_to_piece(i).lower()) and len(p) <= 16))
 
 
-class _Table:
-    """64-bit keys to numbers, looked up for whole arrays: a few open tables, each for the keys that collided in those before."""
-
-    BITS = 18
-
-    def __init__(self, keys: np.ndarray):
-        self.parts = []
-        left = np.arange(len(keys))
-        while len(left):
-            m = np.uint64(0x9E3779B97F4A7C15 + 2 * len(self.parts) * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
-            slot = (keys[left] * m) >> np.uint64(64 - self.BITS)
-            key, value = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
-            key[slot], value[slot] = keys[left], left
-            self.parts.append((m, key, value))
-            left = left[value[slot] != left]
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, -1 where it isn't there."""
-        out = np.full(len(keys), -1, np.int32)
-        for m, key, value in self.parts:
-            slot = (keys * m) >> np.uint64(64 - self.BITS)
-            hit = key[slot] == keys
-            out[hit] = np.maximum(out[hit], value[slot[hit]])
-        return out
-
-
 class Lattice:
     """All segmentations of many words at once. Pieces are numbered as listed; the number after the last means unknown."""
 
@@ -84,7 +58,7 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.unknown = len(pieces)
         self.longest = max(map(len, pieces), default=1)
-        self.table = _Table(np.array([self._hash(p) for p in pieces], np.uint64))
+        self.table = KeyTable(np.array([self._hash(p) for p in pieces], np.uint64))
 
     def _hash(self, piece: str) -> int:
         h = 0

@@ -75,8 +75,8 @@ def test_every_document_operator_takes_odd_tables(spark, odd, no_docs, labels):
     near = neardup.near_duplicates(odd, 3, 85)
     assert near.count() == n and {(r.doc_id, r.component_id) for r in near.where("doc_id in (0, 6)").collect()} == {(0, 0), (6, 0)}
     assert near.where("n_shingles = 0 and not kept").count() == 0 and neardup.near_duplicates(no_docs).count() == 0
-    assert lm.score_documents(odd, odd).where("score <= 0 and base_score <= 0").count() == n
-    assert lm.score_documents(odd, no_docs).where("train_tokens = 0 and n_known = 0").count() == n and lm.score_documents(no_docs, no_docs).count() == 0
+    assert lm.score_documents(odd).where("score <= 0 and base_score <= 0").count() == n
+    assert lm.score_documents(odd, F.lit(False)).where("train_tokens = 0 and n_known = 0").count() == n and lm.score_documents(no_docs).count() == 0
     assert packing.pack(odd).groupBy("doc_id").count().count() == n - 1 and packing.pack(no_docs).count() == 0
     assert bpe.bpe_decode(bpe.bpe_encode(odd)).count() == n and bpe.bpe_encode(no_docs).count() == 0
 
@@ -354,39 +354,103 @@ def test_logs_fold_deltas_edits_and_regenerations(spark):
 # --- 7: language model -----------------------------------------------------------------------------------------------
 
 
-def test_base_scores_and_counts_equal_brute_force_and_the_model_does_better(spark, sf, monkeypatch):
-    monkeypatch.setattr(lm, "TOP", 50)
+def lm_tables(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] + [(1001, None), (1002, "the the the"), (1003, "")]
+    return docs, docs_of(spark, [t for _, t in docs], [i for i, _ in docs])
+
+
+def test_base_scores_and_counts_equal_brute_force_and_training_does_better(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm, "TOP", 50)
+    docs, df = lm_tables(spark, sf)
     toks = {i: [*WORDS.findall((t or "").translate(LOWER)), "\n"] for i, t in docs}
     train = [i for i in toks if zlib.crc32(str(i).encode()) % 10]
     c = Counter(w for i in train for w in toks[i])
     n, v = sum(c.values()), len(c)
-    df = docs_of(spark, [t for _, t in docs], [i for i, _ in docs])
-    got = lm.score_documents(df, df.where(crc_mod("doc_id", 10) != 0)).collect()
+    learn = crc_mod("doc_id", 10) != 0
+    got = lm.score_documents(df, learn).collect()
     for r in got:
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(toks[r.doc_id]), sum(c[w] > 0 for w in toks[r.doc_id]), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in toks[r.doc_id]), abs=1e-8)
+    monkeypatch.setattr(lm, "ROUNDS", 0)
+    untrained = {r.doc_id: r.score for r in lm.score_documents(df, learn).collect()}
     held = [r for r in got if r.doc_id not in set(train)]
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) > sum(untrained[r.doc_id] for r in held) + 0.2 * tokens
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def trained(spark, df, learn):
+    table = lm.tokenized(df, learn)
+    stats = lm.Statistics(lm.count_tokens(table.where("learn")).cache())
+    model, rest, fresh = stats.model()
+    return stats, lm.fit(model, table.where("learn").select("doc_id", "tokens"), int(stats.n[lm.END])), rest, fresh
+
+
+@pytest.mark.parametrize("top", [50, 1 << 18])
+def test_model_scores_equal_brute_force(spark, sf, monkeypatch, top):
+    """Every token by itself, from the definition: features, softmax of the class, softmax of the slot, share of the shared slot."""
+    monkeypatch.setattr(lm, "TOP", top)
+    monkeypatch.setattr(lm, "SCORED", 300)
+    docs, df = lm_tables(spark, sf)
+    docs = docs[-40:]
+    df = df.where(F.col("doc_id").isin([i for i, _ in docs]))
+    learn = crc_mod("doc_id", 10) != 0
+    stats, m, rest, fresh = trained(spark, df, learn)
+    toks = {i: [w.encode() for w in WORDS.findall((t or "").translate(LOWER))] for i, t in docs}
+    c = Counter(w for i, ws in toks.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    slots = {int(t): (int(s), int(u)) for t, s, u in zip(stats.top, *((lambda p: (m.slot[p], m.unit[p]))(m.table.find(stats.top))), strict=True)}
+
+    def softmax(z):
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    got = {r.doc_id: r.score for r in lm.score_documents(df, learn).collect()}
+    for i, ws in toks.items():
+        events, near, want = [lm.CLASSES] * 3, lm.CLASSES, 0.0
+        for at, w in enumerate([*ws, None]):
+            t = lm.word_token(w) if w is not None else None
+            k = lm.END if w is None else lm.AGAIN if at and w == ws[at - 1] else int(m.class_of[t % lm.TYPES])
+            p1, p2, p3 = events[-1], events[-2], events[-3]
+            one = lambda x: np.array([x])
+            rows_ = [lm._hashed(n, one(x))[0] for n, x in enumerate((m.class_of_near[near], near, m.class_of_near[near] * lm.PAST + p2, p2, p3))]
+            assert m.class_of_near[near] == p1
+            want += math.log10(softmax(m.classes.bias[0].astype(float) + sum(m.classes.weights[r].astype(float) for r in rows_))[k])
+            slot, unit = slots.get(t, (0, -1))
+            if k > lm.AGAIN:
+                rows_ = [lm._hashed(n, one(x))[0] for n, x in enumerate((k * lm.PAST + p1, k * lm.NEAR + near, k * lm.PAST + p2))]
+                want += math.log10(softmax(m.words.bias[k].astype(float) + sum(m.words.weights[r].astype(float) for r in rows_))[slot])
+                if not slot:
+                    want += math.log10((1 - fresh[k]) * c[w] / rest[k] if c[w] else fresh[k])
+            near = lm.PAST + unit if unit >= 0 and k > lm.AGAIN else k
+            events.append(k)
+        assert got[i] == pytest.approx(want, abs=1e-4 * (len(ws) + 1))
+    # The words of a class, and what was never seen, have the whole of it.
+    for k in range(2, lm.CLASSES):
+        own = {w: n for w, n in c.items() if m.class_of[lm.word_token(w) % lm.TYPES] == k}
+        shared = sum(n for w, n in own.items() if not slots.get(lm.word_token(w), (0,))[0])
+        assert shared == pytest.approx(rest[k]) and 0 < fresh[k] <= 1
+
+
 def test_every_training_document_moves_the_weights(spark):
     n = 6000
     texts = [f"own{i} word and{i % 7}" for i in range(n)]
-    m = lm.fit(docs_of(spark, texts).select("doc_id", "text"), n)
+    _, m, _, _ = trained(spark, docs_of(spark, texts), F.lit(True))
     for t in texts:
-        h, kind = lm._tokens(t)
-        assert m.weights[m.features(h, m.events(h, kind))].any(2).all()
+        _, _, history, _ = m.events([lm.tokens_of(t)])
+        assert m.classes.weights[m.class_features(history)[0]].any(2).all()
+    assert m.words.weights.any()
 
 
-def test_class_probabilities_sum_to_one():
+def test_probabilities_of_both_factors_sum_to_one():
     rng = np.random.default_rng(3)
-    m = lm.Model(2 + np.arange(lm.TYPES) % (lm.CLASSES - 2), rng.standard_normal((lm.BUCKETS, lm.CLASSES)).astype(np.float32))
-    h = rng.integers(0, 9, 50).astype(np.uint64)
-    k = m.events(h, rng.integers(0, lm.TYPES, 50))
-    f = m.features(h, k)
-    total = sum(10 ** m.class_score(f, np.full(len(k), c)) for c in range(lm.CLASSES))
-    assert total == pytest.approx(1, abs=1e-4) and k[-1] == lm.END
+    words = rng.integers(0, 1 << 60, 500).astype(np.uint64)
+    m = lm.Model(2 + np.arange(lm.TYPES) % (lm.CLASSES - 2), words, rng.integers(0, lm.SLOTS, 500), np.where(np.arange(500) < lm.UNITS, np.arange(500), -1), np.ones((lm.CLASSES, lm.SLOTS)), np.ones(lm.CLASSES))
+    for f in (m.classes, m.words):
+        f.weights += rng.standard_normal(f.weights.shape).astype(np.float32)
+    _, _, ch, wh = m.events([words[rng.integers(0, 500, 200)], words[:0]])
+    for f, (rows_, b) in ((m.classes, m.class_features(ch)), (m.words, m.word_features(wh))):
+        assert np.exp(lm._log_softmax(f.logits(rows_, b))).sum(1) == pytest.approx(1, abs=1e-4)
+    assert m.events([words[:0]])[0].tolist() == [lm.END]
 
 
 # --- 8: near duplicates ----------------------------------------------------------------------------------------------
