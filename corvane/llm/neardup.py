@@ -42,7 +42,7 @@ TREES = 24
 DEPTH = 3
 LEVELS = 8
 REGION = 24
-WINDOW = 8
+WINDOW = 3
 #: Classes, and shingles of theirs, that a tile of the exact closing holds, about.
 TILE_DOCS, TILE_SHINGLES = 1_024, 1_000_000
 #: Rows of the sorted orders that a task gets, about.
