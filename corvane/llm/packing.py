@@ -1,7 +1,7 @@
 """Lexical retrieval packing: windows of related documents, found by a sharded BM25 index.
 
-1. One pass writes every document's ids and counts, over all documents, the document frequency of each id, the documents and their mean length:
-   the statistics of BM25 everywhere below.
+1. One pass writes every document's ids and counts the document frequency of each id, the documents and their mean length; the sums over all
+   documents are the statistics of BM25 everywhere below.
 2. A document's key is its two weightiest ids that other documents have too. Documents with one first id are a group; groups of more than
    ``SHARD_DOCS`` documents or ``SHARD_TOKENS`` ids are salted by the second id, and what is still too large by document; small groups
    that follow each other are one shard. So a shard holds related documents, wherever they were read, and doesn't depend on files.
@@ -28,6 +28,7 @@ import hashlib
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,10 @@ CLOSE = 1
 SHARD_DOCS = 1_024
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
-MEMO_WORDS = 400_000
+#: Words of one generation of a worker's memo, which holds two.
+MEMO_WORDS = 250_000
+#: Neighbours that are ranked at a time.
+RANKED = 16
 
 #: What the word memo may serve: Latin letters up to U+017F and common marks, without control characters but tab to carriage return.
 _EASY = re.compile(r"[\t-\r\x20-\x7e\xa0-įı-ſ‐-‧]*")
@@ -58,31 +62,43 @@ def word_bpe_path() -> str:
 
 
 class WordTokenizer(dict):
-    """The library's ids of whole texts as little-endian 32-bit integers, with a bounded memo of words."""
+    """The library's ids of whole texts as little-endian integers of the fewest bytes, with a bounded memo of what stands between white space."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_str(spec)
         self.model = self.library.model
+        self.dtype = np.dtype("<u2" if max(self.library.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def __missing__(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(self.letters)
-        got = self[word] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        return got
+        if (out := self.older.get(word)) is not None:
+            self[word] = out
+            return out
+        # Letters alone are one part (of easy texts); what else has several is looked up part by part.
+        if not word.isalpha() and (parts := _SPLIT.findall(word)) != [word]:
+            out = self[word] = b"".join(map(self.__getitem__, parts))
+            return out
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        got = [t.id for t in self.model.tokenize(letters)]
+        out = self[word] = array(self.dtype.char, got).tobytes()
+        return out
 
     def ids(self, text: str) -> np.ndarray:
         if len(self) > MEMO_WORDS:
+            self.older = dict(self)
             self.clear()
         easy = _EASY.fullmatch(text) and unicodedata.is_normalized("NFC", text) and not any(s in text for s in self.special)
         if not easy:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.__getitem__, _SPLIT.findall(text.lower()))), "<u4")
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+        # Nothing that the pattern finds holds white space, and of easy texts' characters str.split knows the same white space.
+        return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), self.dtype)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -131,20 +147,33 @@ class Index:
         self.doc_at = np.searchsorted(doc, np.arange(n + 1))
         self.terms = term
         df = np.bincount(term)
+        self.shared = df > 1  # others find no other document
         idf = corpus.idf if corpus else np.log1p((n - df + 0.5) / (df + 0.5))
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_weight = doc[order], self.weight[order]
         self.post_at = np.concatenate([[0], df.cumsum()])
-        self.idf = idf
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """The unused documents that share a query term with the seed, best first, ties by place."""
+        # Ids of a quarter of the documents have a row of weights each (at most four times the postings); others have postings.
+        heavy = np.flatnonzero((df > 1) & (df * 4 > n))
+        self.row_of = np.full(len(df), -1)
+        self.row_of[heavy] = np.arange(len(heavy))
+        self.rows = np.zeros((len(heavy), n), np.float32)
+        held = self.row_of[term] >= 0
+        self.rows[self.row_of[term[held]], doc[held]] = self.weight[held]
+
+    def neighbours(self, seed: int, used: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The unused documents that share a query term with the seed, best first, ties by place; if ``most`` is given, the best so many and their ties."""
         terms = self.terms[self.doc_at[seed] : self.doc_at[seed + 1]]
-        spans = [slice(self.post_at[t], self.post_at[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), np.concatenate([self.post_weight[s] for s in spans]), len(used))
+        row = self.row_of[terms]
+        score = self.rows[row[row >= 0]].sum(0, dtype=np.float64)
+        light = terms[(row < 0) & self.shared[terms]]
+        first, size = self.post_at[light], self.post_at[light + 1] - self.post_at[light]
+        at = np.arange(int(size.sum())) + np.repeat(first - size.cumsum() + size, size)
+        score += np.bincount(self.post_doc[at], self.post_weight[at], len(used))
         score[used] = 0
         at = np.flatnonzero(score)
+        if most and len(at) > most:
+            at = at[score[at] >= np.partition(score[at], len(at) - most)[len(at) - most]]
         return at[np.argsort(-score[at], kind="stable")]
 
 
@@ -174,26 +203,25 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | No
             offset += take
         sequence, fill, last = sequence + 1, 0, []
 
+    def ask() -> list[int]:
+        """The seed's best unused neighbours, the best last."""
+        return index.neighbours(seed, used, RANKED)[::-1].tolist()
+
     while True:
-        # The next document: the seed's best unused neighbour, or else the first unused one as a new seed.
-        doc = None
-        while queue:
-            if not used[queue[-1]]:
-                doc = queue.pop()
-                break
-            queue.pop()
-        if doc is None:
+        # The next document: the seed's best unused neighbour, or else the first unused one, which asks the index anew.
+        if seed is not None and not queue:
+            queue = ask()
+        if queue:
+            doc = queue.pop()
+        else:
             while first < len(docs) and used[first]:
                 first += 1
             if first == len(docs):
                 break
-            doc = first
-            if fill == 0:
-                seed = None
+            doc, seed = first, None
         used[doc] = True
         if seed is None:
             seed = doc
-            queue = index.neighbours(doc, used)[::-1].tolist()
         at = put(doc, 0)
         while fill == window:
             close()
@@ -203,7 +231,6 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | No
                 at = put(doc, at)  # the rest seeds the next window
                 if fill < window:
                     seed = doc
-                    queue = index.neighbours(doc, used)[::-1].tolist()
     # The last window, cut at powers of two from the largest down.
     left = fill
     while left:
@@ -226,35 +253,50 @@ SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, s
 
 
 def tokenized(docs: DataFrame, spec: str) -> DataFrame:
-    """(doc_id, ids, digest): the ids of each document with the closing one, and their digest."""
-    names = ["doc_id", "ids", "digest"]
+    """(doc_id, ids, digest, seen): the ids of each document with the closing one, and their digest; ``seen`` is null in these rows.
+
+    The last row of each task holds in ``seen`` what the task saw, as 64-bit integers: ids, documents, and the documents that have id 0, 1, ...
+    """
+    names = ["doc_id", "ids", "digest", "seen"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        tok = tokenizer(spec)
+        tok, df, n, tokens = tokenizer(spec), np.zeros(0, np.int64), 0, 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [np.append(tok.ids(t or ""), np.uint32(CLOSE)).astype("<u4").tobytes() for t in part.column("text").to_pylist()]
-                digest = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(digest, pa.int64())], names)
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, digest long")
-
-
-def corpus_of(ids: DataFrame) -> Corpus:
+                ids = [np.append(tok.ids(t or ""), tok.dtype.type(CLOSE)) for t in part.column("text").to_pylist()]
+                for x in ids:
+                    held = np.unique(x)
+                    if held[-1] >= len(df):
+                        df = np.append(df, np.zeros(int(held[-1]) + 1 - len(df), np.int64))
+                    df[held] += 1
+                    tokens += len(x)
+                n += len(ids)
+                raw = [x.tobytes() for x in ids]
+                digest = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary()), pa.array(digest, pa.int64()), pa.nulls(len(raw), pa.binary())], names)
+                none = part.slice(0, 1).column("doc_id").take(pa.array([None], pa.int64()))
+        if n:
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([np.r_[tokens, n, df].astype("<i8").tobytes()], pa.binary())], names)
+
+    return docs.mapInArrow(run, f"doc_id {kind}, ids binary, digest long, seen binary")
+
+
+def corpus_of(seen: DataFrame) -> Corpus:
     """Counts over all documents; at most one row for each id of the vocabulary comes to the driver."""
 
     def run(batches):
-        df, n, tokens = np.zeros(1 << 20, np.int64), 0, 0
+        total = np.zeros(2, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                d = np.frombuffer(x.as_py(), "<u4")
-                df[np.unique(d)] += 1
-                n, tokens = n + 1, tokens + len(d)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, at]), pa.array(np.r_[tokens, n, df[at]])], ["term", "n"])
-
-    got = {r.term: r.n for r in ids.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+            for x in b.column("seen"):
+                v = np.frombuffer(x.as_py(), "<i8")
+                total = np.append(total, np.zeros(max(0, len(v) - len(total)), np.int64))
+                total[: len(v)] += v
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at - 2), pa.array(total[at])], ["term", "n"])
+
+    got = {r.term: r.n for r in seen.select("seen").where("seen is not null").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     df = np.zeros(max([*got, 0]) + 1, np.int64)
     for t, n in got.items():
         if t >= 0:
@@ -262,26 +304,27 @@ def corpus_of(ids: DataFrame) -> Corpus:
     return Corpus(df, got.get(-1, 0), got.get(-2, 0))
 
 
-def keyed(ids: DataFrame, corpus: Corpus) -> DataFrame:
-    """``ids`` with the keys k1, k2 and the number of ids n."""
+def keyed(ids: DataFrame, corpus: Corpus, dtype: np.dtype, alone: bool = False) -> DataFrame:
+    """``ids`` with the keys k1, k2 and the number of ids n; these three ``alone`` if so said."""
+    kept = [] if alone else ids.columns
 
     def run(batches):
         for b in batches:
-            docs = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
+            docs = [np.frombuffer(x, dtype) for x in b.column("ids").to_pylist()]
             keys = np.array([corpus.keys(d) for d in docs], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(d) for d in docs], pa.int64())], [*b.schema.names, "k1", "k2", "n"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(d) for d in docs], pa.int64())], [*kept, "k1", "k2", "n"])
 
-    return ids.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ids.schema) + ", k1 long, k2 long, n long")
+    return ids.mapInArrow(run, ", ".join([*(f"{c} {ids.schema[c].dataType.simpleString()}" for c in kept), "k1 long", "k2 long", "n long"]))
 
 
 def _parts():
-    return F.greatest(F.ceil(F.count("*") / F.lit(SHARD_DOCS)), F.ceil(F.sum("n") / F.lit(SHARD_TOKENS))).cast("long").alias("parts")
+    return F.greatest(F.ceil(F.sum("m") / F.lit(SHARD_DOCS)), F.ceil(F.sum("n") / F.lit(SHARD_TOKENS))).cast("long").alias("parts")
 
 
-def sharded(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with their shard: (g, s2, s3)."""
+def sharded(docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Keyed ``docs`` with their shard (g, s2, s3), from ``sizes`` (k1, k2, documents m, ids n)."""
     spark = docs.sparkSession
-    groups = sorted((r.k1, r.m, r.n, r.parts) for r in docs.groupBy("k1").agg(F.count("*").alias("m"), F.sum("n").alias("n"), _parts()).collect())  # a row an id at most
+    groups = sorted((r.k1, r.m, r.n, r.parts) for r in sizes.groupBy("k1").agg(_parts(), F.sum("m").alias("m"), F.sum("n").alias("n")).collect())  # a row an id at most
     # Small groups that follow each other share a shard.
     of, g, m, n = [], -1, 0, 0
     for k, dm, dn, parts in groups:
@@ -290,9 +333,9 @@ def sharded(docs: DataFrame, scratch: Scratch) -> DataFrame:
         m, n = m + dm, n + dn
         of.append((k, g, parts))
     side = F.broadcast(spark.createDataFrame(of, "k1 long, g long, p2 long"))
-    docs = docs.join(side, "k1").withColumn("s2", F.pmod(F.xxhash64(F.lit("second"), "k2"), F.col("p2")))
-    large = docs.where("p2 > 1").groupBy("g", "s2").agg(_parts()).where("parts > 1").withColumnRenamed("parts", "p3")
-    docs = docs.join(with_broadcast(scratch.keep(large, "large")), ["g", "s2"], "left")
+    second = F.pmod(F.xxhash64(F.lit("second"), "k2"), F.col("p2")).alias("s2")
+    large = sizes.join(side, "k1").where("p2 > 1").groupBy("g", second).agg(_parts()).where("parts > 1").withColumnRenamed("parts", "p3")
+    docs = docs.join(side, "k1").withColumn("s2", second).join(with_broadcast(large), ["g", "s2"], "left")
     return docs.withColumn("s3", F.when(F.col("p3").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit("third"), "doc_id", "digest"), F.col("p3"))).cast("long"))
 
 
@@ -303,22 +346,22 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = SCHEMA.format(src.schema["doc_id"].dataType.simpleString()) + ", ids binary" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
-    ids = scratch.keep(tokenized(src, spec), "ids")
-    corpus = corpus_of(ids)
-    keys = scratch.keep(keyed(ids, corpus), "keys")
-    scratch.drop(ids)
+    dtype = WordTokenizer(spec).dtype
+    told = scratch.keep(tokenized(src, spec), "ids")
+    corpus, ids = corpus_of(told), told.where("seen is null").select("doc_id", "ids", "digest")
+    sizes = scratch.keep(keyed(ids.select("ids"), corpus, dtype, alone=True).groupBy("k1", "k2").agg(F.count("*").alias("m"), F.sum("n").alias("n")), "sizes")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("digest", "ascending"), ("doc_id", "ascending")])
-        held = [np.frombuffer(x, "<u4") for x in t.column("ids").to_pylist()]
+        held = [np.frombuffer(x, dtype) for x in t.column("ids").to_pylist()]
         doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*pack_shard(held, window, corpus), strict=True))
-        raw = [held[d][s : s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+        raw = [held[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
         base = t.column("base")[0].as_py()
         cols = [t.column("doc_id").take(pa.array(doc)), start, length, [zlib.crc32(b) for b in raw], np.array([len(x) for x in held])[doc], seq + base, offset]
         cols = [*cols, pa.array(raw, pa.binary())] if with_ids else cols
         return pa.table(dict(zip(names, cols, strict=True)))
 
-    dealt = sharded(keys, scratch)
+    dealt = sharded(keyed(ids, corpus, dtype), sizes)
     # Places of a shard in 64 bits: 17 for its group of ids, 17 and 13 for salts, 17 for its sequences.
     base = F.shiftleft("g", 47) + F.shiftleft("s2", 30) + F.shiftleft("s3", 17)
     return dealt.select("doc_id", "ids", "digest", "g", "s2", "s3", base.alias("base")).groupBy("g", "s2", "s3").applyInArrow(run, schema)
