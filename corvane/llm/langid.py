@@ -6,11 +6,11 @@ text's is the product over its words, whatever their segmentation. The probabili
 expected counts (forward-backward) over the words of a bounded hash sample of training documents; what reaches the
 driver is one number for each piece and language.
 
-Words are lower-cased and split at white space; words over ``LONGEST`` characters are cut there into pieces of words.
-A character without a piece is a piece of its own kind, "unknown".
+Words are lower-cased and split at white space, and never cut: the forward pass carries its state over words of any length, scaled as it goes
+(learning alone reads a word over ``LEARN_CHARS`` characters as several). A character without a piece is a piece of its own kind, "unknown".
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text when nothing
-was learned; equal likelihoods go to the first language by name.
+was learned; equal likelihoods go to the first language by name. More than ``LANGUAGES`` languages are an error.
 """
 
 from __future__ import annotations
@@ -28,7 +28,12 @@ from .common import KeyTable, Scratch, claim_cache, crc_mod, filter_rows, hash_s
 #: Training documents that are read for fitting, at most about.
 SAMPLE_ROWS = 8_000
 ROUNDS = 2
-LONGEST = 40
+LANGUAGES = 1_000
+LEARN_CHARS = 1 << 16
+#: Characters of a word that are searched for pieces at a time, numbers of a table of forward states, and positions that need no scaling.
+SEGMENT, CELLS, UNSCALED = 1 << 14, 1 << 22, 24
+#: Where states fall below 2**-LOW they are scaled by 2**LOW; that is looked for every so many positions.
+LOW, LOOK = 200, 8
 #: Added to each piece's expected count.
 PRIOR = 0.05
 MEMO_WORDS = 250_000
@@ -47,7 +52,7 @@ def read_pieces(path: str | None = None) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or vocabulary_path())
     ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    return list(dict.fromkeys(p for i in ids if (p := sp.id_to_piece(i).lower()) and len(p) <= 16))
+    return list(dict.fromkeys(p for i in ids if (p := sp.id_to_piece(i).lower())))
 
 
 class Lattice:
@@ -87,53 +92,112 @@ class Lattice:
             found.append((at[hit], np.full(int(hit.sum()), n), piece[hit]))
         at, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
         end = start[at] + size
-        order = np.argsort(end.astype(np.uint8), kind="stable")  # words have at most LONGEST characters
+        order = self._by(end)
         at, end = at[order], end[order]
         return word[at], start[at], end, piece[order].astype(np.int64)
 
-    def forward(self, words: list[str], prob: np.ndarray, arcs=None) -> np.ndarray:
-        """alpha[position, word, language]: the summed probability of all ways to that position."""
-        word, start, end, piece = arcs or self.arcs(words)
-        top = max(map(len, words), default=0)
-        alpha = np.zeros((top + 1, len(words), prob.shape[1]))
-        alpha[0] = 1
-        bounds = np.searchsorted(end, np.arange(1, top + 2))
-        for e in range(1, top + 1):
-            a, b = bounds[e - 1], bounds[e]
-            add = alpha[start[a:b], word[a:b]] * prob[piece[a:b]]
-            for c in range(prob.shape[1]):
-                alpha[e, :, c] = np.bincount(word[a:b], add[:, c], len(words))
-        return alpha
+    @staticmethod
+    def _by(end: np.ndarray) -> np.ndarray:
+        most = int(end.max(initial=0))
+        return np.argsort(end.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.int64), kind="stable")
+
+    def sweep(self, arcs: tuple[np.ndarray, ...], prob: np.ndarray, top: int, words: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """(state, turns): state[position, word, language] * 2**(-LOW * turns) is the summed probability of all ways there; turns is None for 0.
+
+        ``first`` [positions, word, language] are states that are known already, from position 0 on (1 at position 0).
+        """
+        word, start, end, piece = arcs
+        first = np.ones((1, words, prob.shape[1])) if first is None else first
+        known = len(first)
+        state = np.zeros((top + 1, words, prob.shape[1]))
+        state[:known] = first
+        turns = np.zeros(state.shape, np.int32) if top > UNSCALED else None
+        bounds = np.searchsorted(end, np.arange(known, top + 2))
+        for i, e in enumerate(range(known, top + 1)):
+            a, b = bounds[i], bounds[i + 1]
+            add = state[start[a:b], word[a:b]] * prob[piece[a:b]]
+            if words == 1:
+                state[e, 0] = add.sum(0)
+            else:
+                for c in range(prob.shape[1]):
+                    state[e, :, c] = np.bincount(word[a:b], add[:, c], words)
+            if turns is not None:
+                turns[e] = turns[e - 1]
+                if e % LOOK == 0:
+                    # Every state that a later arc starts from is among the last ``longest``; they share their turns.
+                    last = slice(max(0, e - self.longest + 1), e + 1)
+                    most = state[last].max(0)
+                    low = (most > 0) & (most < 2.0**-LOW)
+                    if low.any():
+                        state[last] *= np.where(low, 2.0**LOW, 1.0)
+                        turns[last] += low
+        return state, turns
+
+    def forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
+        """The states of short words: the summed probability of all ways to each position."""
+        return self.sweep(self.arcs(words), prob, max(map(len, words), default=0), len(words))[0]
 
     def log_likelihood(self, words: list[str], prob: np.ndarray) -> np.ndarray:
-        alpha = self.forward(words, prob)
-        return np.log(np.maximum(alpha[[len(w) for w in words], np.arange(len(words))], 1e-300))
+        """log of the summed probability of all segmentations of each word, for each language."""
+        lens = np.array([len(w) for w in words], np.int64)
+        out = np.empty((len(words), prob.shape[1]))
+        order = np.argsort(lens, kind="stable")
+        i = 0
+        while i < len(order):
+            if lens[order[i]] > SEGMENT:
+                out[order[i]] = self._long(words[order[i]], prob)
+                i += 1
+                continue
+            left = order[i:][lens[order[i:]] <= SEGMENT]
+            take = max(1, int(np.searchsorted(np.arange(1, len(left) + 1) * (lens[left] + 1) * prob.shape[1], CELLS, "right")))
+            at = left[:take]
+            part = [words[x] for x in at]
+            state, turns = self.sweep(self.arcs(part), prob, int(lens[at].max()), take)
+            z = np.log(np.maximum(state[lens[at], np.arange(take)], 1e-300))
+            out[at] = z if turns is None else z - turns[lens[at], np.arange(take)] * (LOW * np.log(2))
+            i += take
+        return out
+
+    def _long(self, word: str, prob: np.ndarray) -> np.ndarray:
+        """As above for one long word, in segments: each starts from the last states of the one before."""
+        first, log = np.ones((1, 1, prob.shape[1])), np.zeros(prob.shape[1])
+        for a in range(0, len(word), SEGMENT):
+            part = word[a - (len(first) - 1) : a + SEGMENT]
+            state, turns = self.sweep(self.arcs([part]), prob, len(part), 1, first)
+            log -= turns[-1, 0] * (LOW * np.log(2)) if turns is not None else 0.0
+            first = state[-self.longest :]
+            if turns is not None:  # states of the last positions share their turns only from the last look on
+                first = first * 2.0 ** (-LOW * (turns[-self.longest :] - turns[-1]).astype(float))
+            most = first.max(0)
+            log += np.log(most[0])
+            first = first / most
+        return log + np.log(np.maximum(first[-1, 0], 1e-300))
 
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected counts [piece, language] of all segmentations of words that stand counts[word, language] times."""
-        arcs = word, start, end, piece = self.arcs(words)
-        alpha = self.forward(words, prob, arcs)
         lens = np.array([len(w) for w in words])
-        beta = np.zeros_like(alpha)
-        beta[lens, np.arange(len(words))] = 1
-        by_start = np.argsort(-start, kind="stable")
-        bounds = np.searchsorted(-start[by_start], -np.arange(alpha.shape[0] - 1, -2, -1))
-        for n, s in enumerate(range(alpha.shape[0] - 1, -1, -1)):
-            at = by_start[bounds[n] : bounds[n + 1]]
-            if len(at):
-                add = beta[end[at], word[at]] * prob[piece[at]]
-                for c in range(prob.shape[1]):
-                    beta[s, :, c] += np.bincount(word[at], add[:, c], len(words))
-        whole = np.maximum(alpha[lens, np.arange(len(words))], 1e-300)
-        share = alpha[start, word] * prob[piece] * beta[end, word] / whole[word] * counts[word]
+        word, start, end, piece = arcs = self.arcs(words)
+        top, own = int(lens.max(initial=0)), np.arange(len(words))
+        alpha, up = self.sweep(arcs, prob, top, len(words))
+        # From the words' ends the same sweep gives the summed probability of all ways to the end.
+        back = word, lens[word] - end, lens[word] - start, piece
+        order = self._by(back[2])
+        beta, down = self.sweep(tuple(x[order] for x in back), prob, top, len(words))
+        left, right, whole = alpha[start, word], beta[lens[word] - end, word], np.maximum(alpha[lens, own], 1e-300)
+        share = left * prob[piece] * (right / whole[word])
+        if up is not None:
+            share *= 2.0 ** (LOW * (up[lens, own][word] - up[start, word] - down[lens[word] - end, word]).astype(float))
+        share *= counts[word]
         return np.stack([np.bincount(piece, share[:, c], len(prob)) for c in range(prob.shape[1])], 1)
 
 
 def words_of(text: str | None) -> list[str]:
-    out = ["▁" + w for w in (text or "").lower().split()]
-    if out and max(map(len, out)) > LONGEST:
-        out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-    return out
+    return ["\u2581" + w for w in (text or "").lower().split()]
+
+
+def cut(words: list[str]) -> list[str]:
+    """For learning alone: words in parts of at most ``LEARN_CHARS`` characters."""
+    return [w[i : i + LEARN_CHARS] for w in words for i in range(0, len(w), LEARN_CHARS)] if words and max(map(len, words)) > LEARN_CHARS else words
 
 
 class Model:
@@ -194,7 +258,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, path: str | None = None
     spark = docs.sparkSession
     pieces = read_pieces(path)
     there = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", 5) != 0))
-    prior = {r.lang: r["count"] for r in there.groupBy("lang").count().orderBy("lang").limit(1000).collect()}  # languages, not rows
+    prior = {r.lang: r["count"] for r in there.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()}  # languages, not rows
+    if len(prior) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     langs = list(prior)
     if not langs:
         return Model(pieces, [], np.zeros((len(pieces) + 1, 0)), np.zeros(0))
@@ -209,7 +275,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, path: str | None = None
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 k = index.get(lang)
                 if k is not None:
-                    n.update((w, k) for w in words_of(text))
+                    n.update((w, k) for w in cut(words_of(text)))
             if len(n) > 200_000:
                 yield _pairs(n)
                 n.clear()
@@ -226,12 +292,16 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, path: str | None = None
             total = np.zeros(prob.shape)
             for b in batches:
                 ws, ks = b.column("word").to_pylist(), b.column("ks").to_pylist()
-                for i in range(0, len(ws), 4096):
-                    c = np.zeros((len(ws[i : i + 4096]), prob.shape[1]))
-                    for row, k in enumerate(ks[i : i + 4096]):
-                        for x in k:
+                order = sorted(range(len(ws)), key=lambda i: len(ws[i]))
+                while order:
+                    # The longest words first, as many as their states' table may hold.
+                    size = max(1, min(4096, CELLS // ((len(ws[order[-1]]) + 1) * prob.shape[1])))
+                    part, order = order[-size:], order[:-size]
+                    c = np.zeros((len(part), prob.shape[1]))
+                    for row, i in enumerate(part):
+                        for x in ks[i]:
                             c[row, x["k"]] += x["n"]
-                    total += lattice.expected(ws[i : i + 4096], c, prob)
+                    total += lattice.expected([ws[i] for i in part], c, prob)
             p, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(total[p, k])], ["piece", "k", "n"])
 

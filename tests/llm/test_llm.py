@@ -149,6 +149,57 @@ def test_forward_sums_all_segmentations_and_expected_counts_are_posteriors():
         assert lattice.expected(words, np.full((3, 2), 3.0), prob)[:, c] == pytest.approx(want)
 
 
+def log_states(word, pieces, logs):
+    """log of the summed probability of all ways to each position of a word, by plain recursion."""
+    z = [0.0]
+    for e in range(1, len(word) + 1):
+        ways = [z[e - n] + logs[pieces.get(word[e - n : e], -1)] for n in range(1, min(e, 20) + 1) if n == 1 or word[e - n : e] in pieces]
+        top = max(ways)
+        z.append(top + math.log(sum(math.exp(x - top) for x in ways)))
+    return z
+
+
+@pytest.mark.parametrize("segment", [1 << 14, 32])
+def test_long_words_are_never_cut(monkeypatch, segment):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    rng = random.Random(4)
+    listed = ["a", "b", "ab", "ba", "aab", "b" * 12, "ab" * 9]
+    pieces = {x: i for i, x in enumerate(listed)}
+    prob = np.random.default_rng(2).random((len(listed) + 1, 2)) * 1e-6
+    lattice, logs = langid.Lattice(listed), np.log(prob)
+    words = ["".join(rng.choice("aabbbc") for _ in range(n)) for n in (3, 23, 24, 25, 26, 300, 1500)] + ["b" * 700, "ab" * 400]
+    for c in range(2):
+        one = {i: logs[i, c] for i in range(-1, len(listed))}
+        assert lattice.log_likelihood(words, prob)[:, c] == pytest.approx([log_states(w, pieces, one)[-1] for w in words], rel=1e-9)
+        for w in words[-3:]:
+            up, down = log_states(w, pieces, one), log_states(w[::-1], {x[::-1]: i for x, i in pieces.items()}, one)[::-1]
+            want = np.zeros(len(prob))
+            for s in range(len(w)):
+                for n in range(1, 21):
+                    if s + n <= len(w) and (n == 1 or w[s : s + n] in pieces):
+                        i = pieces.get(w[s : s + n], -1)
+                        want[i] += math.exp(up[s] + one[i] + down[s + n] - up[-1])
+            assert lattice.expected([w], np.ones((1, 2)), prob)[:, c] == pytest.approx(want, rel=1e-6)
+
+
+def test_predictions_equal_brute_force_and_too_many_languages_are_an_error(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = langid.fit(docs)
+    pieces = {x: i for i, x in enumerate(m.pieces)}
+    got = {r.doc_id: r for r in langid.identify(docs, m).collect()}
+    for r in docs.where("doc_id % 20 = 0").collect():
+        words = langid.words_of(r.text)[:400] if r.text else []
+        if r.text and len(langid.words_of(r.text)) > 400:
+            continue
+        z = [lp + sum(log_states(w, pieces, dict(zip(range(-1, len(pieces)), np.log(np.r_[m.prob[-1:, c], m.prob[:-1, c]]).tolist(), strict=True)))[-1] for w in words) for c, lp in enumerate(m.log_prior)]
+        if words:
+            best = max(z)
+            assert got[r.doc_id].lang_pred == m.langs[z.index(best)] and got[r.doc_id].score == pytest.approx(1 / sum(math.exp(x - best) for x in z), abs=1e-3)
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        langid.fit(docs)
+
+
 # --- 3, 10: vectors --------------------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<double>, label int, id long, v string, key string"
