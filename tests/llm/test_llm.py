@@ -231,6 +231,27 @@ def test_topk_of_few_or_no_rows_and_large_components(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, min(sum(a * b for a, b in zip(f([1e9, 1.0]), f(v), strict=True)), 2**63 - 1)) for i, v in ((1, [2e9, -1.0]), (2, [1e9, 3.0]))]
 
 
+def test_scores_beyond_doubles_are_exact(spark):
+    f = lambda v: [math.floor(x) * 1024 if abs(x) > 2**52 else math.floor(1024 * x) for x in v]
+    vs = [[1.0, 0.0, 0.5], [1.5e12, 0.0, 0.0], [2e12, 1e15, -3.0], [-2e12, 7.0, 1e-9], [1e300, 0.0, 0.0], [-1e300, 0.0, 0.0], [1e307, -1e307, 0.0], [2e12 + 1, 0.0, 0.0]]
+    for first in (vs[0], vs[2], vs[6]):
+        all_ = [first, *vs]
+        got = vectors.exact_topk(vector_table(spark, all_), F.col("id") % 100 == 0).collect()
+        want = [max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(f(first), f(v), strict=True)))) for v in vs]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i + 1, s) for s, i in sorted(((s, i) for i, s in enumerate(want)), key=lambda x: (-x[0], x[1]))]
+
+
+def test_null_and_repeated_ids_of_vectors(spark):
+    table = spark.createDataFrame([(0, [1.0, 0.0]), (None, [9.0, 9.0]), (5, [1.0, 1.0]), (5, [4.0, 0.0]), (100, [0.0, 2.0]), (100, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in vectors.exact_topk(table, F.col("id") % 100 == 0, 3).orderBy("query_id", "rank").collect()]
+    m = 1024 * 1024
+    assert got[:3] == [(0, 1, 5, 4 * m), (0, 2, 5, m), (0, 3, 100, 0)] and [g[2] for g in got[3:]] == [5, 0, 5] and len(got) == 6
+    links = [((7, [1.0, 0.0]), (7, 2, 7, True)), ((7, [0.0, -1.0]), (7, 0, 7, True)), ((None, [1.0, 0.01]), (None, 2, 7, False)), ((9, [1.0, 0.02]), (9, 2, 7, False))]
+    links += [((None, [-1.0, 0.0]), (None, 1, None, True)), ((None, [-1.0, 0.01]), (None, 1, None, True)), ((None, None), (None, 0, None, True)), ((3, None), (3, 0, 3, True))]
+    rows_ = vectors.vector_links(spark.createDataFrame([x for x, _ in links], "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(repr, map(tuple, rows_))) == sorted(repr(x) for _, x in links)
+
+
 def brute_links(vs, t=0.9):
     ok = [i for i, v in enumerate(vs) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     link = {i: set() for i in range(len(vs))}
