@@ -1,28 +1,32 @@
 """Chat formatting by event-sourced reconstruction. DataFrame functions only, no Python on the executors.
 
-A log holds one row per event: conversation, sequence, kind, message, role, text.
+A log holds one row per event: conversation, sequence, kind, message, copy, role, text. Sequences may be of any type that has an order.
 
 * ``message``    starts the message with this text,
 * ``delta``      adds its text to the message,
 * ``edit``       replaces the message's text,
 * ``regenerate`` empties the message; later messages of the conversation that had no event after it are dropped.
 
-Events of one message are folded first (keyed by conversation and message, so that a conversation with a
-third of all rows is spread over its messages), then each run of ``CHUNK`` consecutive messages is rendered to one string,
-and only those strings meet in the row of their conversation.
+A conversation's events are folded message by message (keyed by conversation, message and copy, so that a conversation with a
+third of all rows is spread over its messages): the last event that sets the text, and the deltas after it in one join of strings, so the work is linear in
+the events. What regenerations drop follows from running maxima, within runs of ``CHUNK`` consecutive messages and over the runs. Each
+run is rendered to one string, and only those strings meet in the row of their conversation.
 
 Defined results: a null text is empty, a null role is empty, a null message or sequence comes first, a null
-conversation is a conversation of its own; events that tie in sequence are folded by (kind, role, text).
-An empty log gives no rows. Columns besides the six are ignored.
+conversation is a conversation of its own; events that tie in sequence are folded by (kind, role, text). ``copy`` tells messages of one
+number apart (0 if the log has no such column). An empty log gives no rows. Columns besides these are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 CHUNK = 32
+#: Characters of a streamed delta.
+DELTA = 1024
 
 
 def escape(text: Column) -> Column:
@@ -40,40 +44,52 @@ def unescape(text: Column) -> Column:
 
 
 def message_log(turns: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: one ``message`` event for each row.
+    """The log that leads to a table of finished turns (conv_id, turn, role, text).
 
-    Rows that repeat a turn number stay turns of their own, in the order of (role, text).
+    An assistant's text comes as streamed deltas, after a first attempt at half of it that is regenerated; others' turns
+    start as a draft that an edit replaces. Rows that repeat a turn number stay turns of their own, in the order of (role, text).
     """
-    return turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"),
-        F.col("turn").cast("long").alias("message"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("message"), F.col("role").cast("string").alias("role"), text.alias("text"))
+    rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("conv_id", "message").orderBy("role", "text")))
+    event = lambda step, kind, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+    half, empty = F.expr("left(text, cast(length(text) / 2 as int))"), F.lit("")
+    deltas = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), lambda x, i: F.struct((i + 3).alias("step"), F.lit("delta").alias("kind"), x.alias("text")))
+    streamed = F.concat(F.array(event(0, "message", empty), event(1, "delta", half), event(2, "regenerate", empty)), deltas)
+    typed = F.array(event(0, "message", half), event(1, "edit", F.col("text")))
+    events = rows.select("conv_id", "message", "copy", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(typed)).alias("e"))
+    return events.select("conv_id", F.struct("message", "copy", "e.step").alias("seq"), "e.kind", "message", "copy", "role", "e.text")
+
+
+def _chunk() -> Column:
+    return F.floor(F.coalesce("message", F.lit(-(1 << 62))) / CHUNK).alias("chunk")
 
 
 def fold_events(log: DataFrame) -> DataFrame:
-    """(conv_id, message, last_seq, part, role, text): the final messages of each conversation.
+    """(conv_id, message, copy, part, role, text, last_seq, chunk): the final messages of each conversation.
 
-    ``part`` numbers messages that several ``message`` events of one key start (repeated turns).
+    ``part`` numbers messages that several ``message`` events of one key start.
     """
-    e = log.select("conv_id", "message", F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
-    folded = e.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    empty = "cast(array() as array<struct<role:string,text:string,seq:bigint>>)"
-    # One accumulator step for each event of one message: the last open message takes deltas and edits.
-    step = f"""aggregate(es, {empty}, (acc, e) -> CASE
-        WHEN e.kind = 'message' OR size(acc) = 0
-          THEN concat(acc, array(named_struct('role', e.role, 'text', if(e.kind = 'regenerate', '', e.text), 'seq', e.seq)))
-        ELSE concat(slice(acc, 1, size(acc) - 1), array(named_struct(
-          'role', if(e.role = '', element_at(acc, -1).role, e.role),
-          'text', CASE e.kind WHEN 'delta' THEN concat(element_at(acc, -1).text, e.text) WHEN 'edit' THEN e.text
-                              WHEN 'regenerate' THEN '' ELSE element_at(acc, -1).text END,
-          'seq', e.seq))) END)"""
-    plain = "transform(es, e -> named_struct('role', e.role, 'text', e.text, 'seq', e.seq))"
-    messages = folded.select("conv_id", "message", F.expr(f"posexplode(if(forall(es, e -> e.kind = 'message'), {plain}, {step}))").alias("part", "m"))
-    messages = messages.select("conv_id", "message", "part", F.col("m.role").alias("role"), F.col("m.text").alias("text"), F.col("m.seq").alias("last_seq"))
-    cuts = log.where("kind = 'regenerate'").groupBy("conv_id").agg(F.collect_set(F.struct("message", "seq")).alias("cuts"))
-    cuts = cuts.withColumnRenamed("conv_id", "cut_conv")
-    joined = messages.join(cuts, F.col("conv_id").eqNullSafe(F.col("cut_conv")), "left")
-    return joined.where("cuts is null or not exists(cuts, c -> c.message < message and c.seq > last_seq)").drop("cut_conv", "cuts")
+    copy = F.col("copy").cast("int") if "copy" in log.columns else F.lit(0)
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    e = log.select("conv_id", "message", copy.alias("copy"), F.struct("seq", "kind", text("role"), text("text")).alias("e"))
+    folded = e.groupBy("conv_id", "message", "copy").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    # Where messages start (the first event does so in any case), and the events up to the next start.
+    starts = "array_union(array(0), filter(transform(es, (e, i) -> if(e.kind = 'message', i, 0)), i -> i > 0))"
+    runs = folded.withColumn("starts", F.expr(starts)).select("conv_id", "message", "copy", F.expr("posexplode(transform(starts, (s, k) -> slice(es, s + 1, coalesce(get(starts, k + 1), size(es)) - s)))").alias("part", "es"))
+    # The last event that sets the text; what it sets and the deltas after it are the text.
+    runs = runs.withColumn("set", F.expr("greatest(array_max(transform(es, (e, i) -> if(e.kind in ('message', 'edit', 'regenerate'), i, 0))), 0)"))
+    said = "array_join(transform(slice(es, set + 1, size(es)), e -> if(e.kind in ('message', 'delta', 'edit'), e.text, '')), '')"
+    role = "coalesce(try_element_at(filter(transform(es, e -> e.role), r -> r <> ''), -1), '')"
+    cut = "array_max(transform(filter(es, e -> e.kind = 'regenerate'), e -> e.seq))"
+    messages = runs.select("conv_id", "message", "copy", "part", F.expr(role).alias("role"), F.expr(said).alias("text"), F.expr("element_at(es, -1).seq").alias("last_seq"), F.expr(cut).alias("cut"), _chunk())
+    # The latest regeneration of an earlier message: of earlier runs of messages, and of this run.
+    before = messages.groupBy("conv_id", "chunk").agg(F.max("cut").alias("cut"))
+    before = before.select(F.col("conv_id").alias("cv"), F.col("chunk").alias("ch"), F.max("cut").over(W.partitionBy("conv_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)).alias("earlier"))
+    order = W.partitionBy("conv_id", "chunk").orderBy(F.coalesce("message", F.lit(-(1 << 62)))).rangeBetween(W.unboundedPreceding, -1)
+    joined = messages.withColumn("near", F.max("cut").over(order)).join(before, F.col("conv_id").eqNullSafe(F.col("cv")) & (F.col("chunk") == F.col("ch")), "left")
+    latest = F.greatest("earlier", "near")
+    return joined.where(latest.isNull() | ~(latest > F.col("last_seq"))).drop("cv", "ch", "earlier", "near", "cut")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -82,7 +98,7 @@ def render(messages: DataFrame) -> DataFrame:
     The loss mask covers what assistants say, without role, marks or line breaks of the template.
     """
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    m = messages.select("conv_id", F.floor(F.coalesce("message", F.lit(-(1 << 62))) / CHUNK).alias("chunk"), F.struct("message", "part", "role", "text", head.alias("head"), escape(F.col("text")).alias("body")).alias("m"))
+    m = messages.select("conv_id", "chunk", F.struct("message", "copy", "part", "role", "text", head.alias("head"), escape(F.col("text")).alias("body")).alias("m"))
     chunks = m.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("m")).alias("ms"))
     segments = f"""flatten(transform(ms, m -> array(
         named_struct('text', m.head, 'loss', false), named_struct('text', m.body, 'loss', m.role = 'assistant'), named_struct('text', '{END}\\n', 'loss', false))))"""

@@ -423,6 +423,45 @@ def test_logs_fold_deltas_edits_and_regenerations(spark):
     assert [(t.role, t.text) for t in got[2]] == [("user", "only a delta")]
 
 
+def plain_fold(log):
+    """Events one by one, in order: what the operator's docstring says, without its shortcuts."""
+    state, cuts = defaultdict(list), []
+    for seq, kind, role, text, message in sorted((s, k, r or "", t or "", m) for s, k, m, r, t in log):
+        parts = state[message]
+        if kind == "message" or not parts:
+            parts.append([role, text if kind in ("message", "delta", "edit") else "", seq])
+        else:
+            p = parts[-1]
+            p[0] = role or p[0]
+            p[1] = p[1] + text if kind == "delta" else text if kind == "edit" else "" if kind == "regenerate" else p[1]
+            p[2] = seq
+        if kind == "regenerate":
+            cuts.append((message, seq))
+    return [(r, t) for m in sorted(state) for r, t, last in state[m] if not any(c < m and s > last for c, s in cuts)]
+
+
+def test_random_logs_equal_a_plain_fold(spark):
+    rng = random.Random(12)
+    logs = {c: [(rng.randrange(150) if c % 2 else i, rng.choice(["message", "delta", "delta", "edit", "regenerate", "seen"]), rng.randrange(90) if c % 3 else rng.randrange(4), rng.choice(["user", "assistant", "", None]), rng.choice(["a", "bc", "", None, "<|"])) for i in range(rng.randrange(1, 150))] for c in range(40)}
+    df = spark.createDataFrame([(c, s, k, m, r, t) for c, log in logs.items() for s, k, m, r, t in log], "conv_id long, seq long, kind string, message long, role string, text string")
+    got = {r.conv_id: r.turns for r in chat.render(chat.fold_events(df)).select("conv_id", chat.read_back(F.col("formatted")).alias("turns")).collect()}
+    for c, log in logs.items():
+        assert [(t.role, t.text) for t in got.get(c, [])] == plain_fold(log)
+
+
+def test_a_message_of_many_deltas_and_a_long_text(spark):
+    n = 30_000
+    log = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("seq"), F.lit("delta").alias("kind"), F.lit(0).cast("long").alias("message"), F.lit("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    got = chat.fold_events(log).first()
+    assert got.text == "".join(map(str, range(n)))
+    long = "<|\\é🙂\n" * 300_000
+    turns = spark.createDataFrame([(1, 0, "assistant", long), (1, 1, "user", long)], "conv_id long, turn long, role string, text string")
+    (r,) = chat.format_conversations(turns).select(chat.read_back(F.col("formatted")).alias("turns")).collect()
+    assert [(t.role, t.text) for t in r.turns] == [("assistant", long), ("user", long)]
+    kinds = {r.kind for r in chat.message_log(turns.limit(2)).select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
+
+
 # --- 7: language model -----------------------------------------------------------------------------------------------
 
 
