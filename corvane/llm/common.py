@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -14,9 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 1_000_000
+from ..sources.shared import shared_folder
+
+#: A side of a join is broadcast only when it was measured and has at most this many bytes, about.
+BROADCAST_BYTES = 64 << 20
 
 #: ASCII white space: what separates words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -73,23 +75,6 @@ class KeyTable:
         return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    conf = spark.sparkContext.getConf()
-    if there := conf.get("spark.checkpoint.dir"):
-        return there
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive any executor.
 
@@ -98,7 +83,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -117,9 +102,13 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def with_broadcast(side: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """``side`` with a broadcast hint if it has at most ``bound`` rows, else as it is (a shuffle join)."""
-    return F.broadcast(side) if side.limit(bound + 1).count() <= bound else side
+def with_broadcast(side: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """``side`` with a broadcast hint if its rows take at most ``bound`` bytes, else as it is (a shuffle join)."""
+    wide = [F.octet_length(f.name) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.size(f.name) * 32 for f in side.schema if isinstance(f.dataType, T.StringType | T.BinaryType | T.ArrayType)]
+    row = F.lit(16 + 8 * len(side.columns)).cast("long")
+    for x in wide:
+        row = row + F.greatest(F.coalesce(x, F.lit(0)), F.lit(0))
+    return F.broadcast(side) if (side.agg(F.sum(row)).first()[0] or 0) <= bound else side
 
 
 def crc_mod(col: str | Column, m: int) -> Column:
@@ -175,4 +164,4 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 
-__all__ = ["ASCII_LOWER", "BROADCAST_ROWS", "KeyTable", "SPACE", "WORD", "Scratch", "claim_cache", "crc_mod", "filter_rows", "hash_sample", "map_batches", "shared_dir", "union_all", "with_broadcast"]
+__all__ = ["ASCII_LOWER", "BROADCAST_BYTES", "KeyTable", "SPACE", "WORD", "Scratch", "claim_cache", "crc_mod", "filter_rows", "hash_sample", "map_batches", "union_all", "with_broadcast"]

@@ -1,13 +1,14 @@
 """Quality: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
-1. A logistic classifier on a dozen shape statistics of the whole text (case, marks, separators, repeated words and
-   lines) is fitted on a bounded hash sample of labelled rows and gives each document a log likelihood ratio.
+1. A logistic classifier on the content of the whole text (the mean log-count ratio of its words that stand more in good or in bad documents, ``WORDS``
+   of them at most) and a dozen shape statistics (case, marks, separators, repeated words and lines) is fitted on a bounded hash sample of
+   labelled rows and gives each document a log likelihood ratio.
 2. Grouped aggregation sums the documents' probabilities for each host and for each path of a host. The strength of
    each prior (how many documents it weighs) comes from the data by the method of moments, over all hosts and
    over all paths. A host's posterior shrinks towards the global mean, a path's towards its host's posterior; sites
    with few documents stay near their prior.
 3. A document's quality replaces the global prior odds by its path's, shrunk: logit(evidence) + logit(path) -
-   logit(global).
+   logit(global). Its own evidence is taken out of its path's and its host's sums first, so that it counts once.
 
 The aggregates are small against the documents and are joined back by key without texts; a side that was counted and is
 small is broadcast, otherwise Spark splits skewed partitions of the join.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,13 @@ KEEP_FROM = 0.5
 #: Bounds for the weight of a prior, in documents.
 STRENGTH = (1.0, 1_000.0)
 _RUNS = re.compile(r"[^\w\s]{2,}")
-FEATURES = 12
+FEATURES = 13
+#: Words whose class ratio is content evidence, at most; standard errors that a ratio must be from zero.
+WORDS, MIN_Z = 20_000, 4.0
 
 
-def features(text: str | None) -> np.ndarray:
-    """Shape statistics of a whole text; zeros for an empty one."""
+def features(text: str | None, ratio: dict[str, float]) -> np.ndarray:
+    """Content and shape of a whole text; zeros for an empty one."""
     out = np.zeros(FEATURES)
     words = (text or "").split()
     if not words:
@@ -48,36 +52,66 @@ def features(text: str | None) -> np.ndarray:
     by = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
     size = by.sum()
     upper, lower = by[65:91].sum(), by[97:123].sum()
-    distinct = len(set(words))
+    kinds = set(words)
+    distinct = len(kinds)
+    told = [ratio[w] for w in kinds if w in ratio]
     repeats = sum(map(str.__eq__, words, words[1:]))
     lines = [x for x in text.split("\n") if x.strip()]
     marks = size - upper - lower - by[48:58].sum() - by[128:].sum() - by[[32, 9, 10, 11, 12, 13]].sum()
     full_stops = by[46] + by[33] + by[63]
     out[:] = (
         upper / max(1, upper + lower), marks / size, by[124] / k, by[33] / k, (by[[35, 36, 37, 38, 42]].sum()) / k, by[48:58].sum() / size,
-        repeats / k, distinct / k, 1 - len(set(lines)) / max(1, len(lines)), min(n / k, 40) / 10, len(_RUNS.findall(text)) / k, full_stops / k,
+        repeats / k, distinct / k, 1 - len(set(lines)) / max(1, len(lines)), min(n / k, 40) / 10, len(_RUNS.findall(text)) / k, full_stops / k, sum(told) / max(1, len(told)),
     )
     return out
 
 
 class Evidence:
-    """Logistic regression on standardised features."""
+    """Logistic regression on standardised features; ``ratio`` are the log-count ratios of words."""
 
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, bias: float):
-        self.mean, self.scale, self.w, self.bias = mean, scale, w, bias
+    def __init__(self, ratio: dict[str, float], mean: np.ndarray, scale: np.ndarray, w: np.ndarray, bias: float):
+        self.ratio, self.mean, self.scale, self.w, self.bias = ratio, mean, scale, w, bias
 
-    def prob(self, x: np.ndarray) -> np.ndarray:
+    def prob(self, texts: list[str | None]) -> np.ndarray:
+        x = np.array([features(t, self.ratio) for t in texts]).reshape(-1, FEATURES)
         z = np.clip((x - self.mean) / self.scale, -20, 20) @ self.w + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def word_ratios(sample: DataFrame) -> dict[str, float]:
+    """The log-count ratios of the words whose ratio is the surest, from (text, y): in how many documents of each class a word stands."""
+
+    def count(batches):
+        n: dict[str, list[int]] = {}
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())], ["word", "neg", "pos"])
+        for b in batches:
+            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                for w in {*(text or "").split(), ""}:  # the empty word counts the documents
+                    n.setdefault(w, [0, 0])[int(y > 0)] += 1
+            if len(n) > 200_000:
+                yield out()
+                n.clear()
+        yield out()
+
+    words = sample.select("text", "y").mapInArrow(count, "word string, neg long, pos long").groupBy("word").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    words = Scratch(sample.sparkSession, "words").keep(words, "counts")
+    of = words.where("word = ''").first()
+    if of is None or not of.neg or not of.pos:
+        return {}
+    ratio = F.log((F.col("pos") + 1) / (of.pos + 2)) - F.log((F.col("neg") + 1) / (of.neg + 2))
+    z = F.abs(F.col("r")) / F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1))
+    best = words.where("word <> ''").withColumn("r", ratio).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(WORDS)
+    return {r.word: r.r for r in best.select("word", "r").collect()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, target: str = "quality") -> Evidence:
     sample = labelled_sample(docs, labels, target, sample_rows)
-    rows = map_batches(sample.select("text", "y"), lambda x: {"y": x["y"], "x": [features(t).tolist() for t in x["text"]]}, "y int, x array<double>", rows=500).collect()
+    ratio = word_ratios(sample)
+    rows = map_batches(sample.select("text", "y"), lambda x: {"y": x["y"], "x": [features(t, ratio).tolist() for t in x["text"]]}, "y int, x array<double>", rows=500).collect()
     x = np.array([r.x for r in rows]).reshape(-1, FEATURES)
     y = np.array([r.y > 0 for r in rows], float)
     bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    flat = Evidence(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), bias)
+    flat = Evidence({}, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), bias)
     if not 0 < y.sum() < len(y):
         return flat
     m, s = x.mean(0), np.maximum(x.std(0), 1e-6)
@@ -89,15 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, targ
         grad = z.T @ (p - y) + ridge @ w
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, grad)
         w -= step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
-    return Evidence(m, s, w[:-1], float(w[-1]))
+    return Evidence(ratio, m, s, w[:-1], float(w[-1]))
 
 
 def evidence(docs: DataFrame, model: Evidence, host: Column, path: Column) -> DataFrame:
     """(doc_id, host, path, evidence): one pass over the texts, no shuffle."""
 
     def f(x: dict) -> dict:
-        got = np.array([features(t) for t in x["text"]]).reshape(-1, FEATURES)
-        p = model.prob(got)
+        p = model.prob(x["text"])
         return x | {"evidence": [float(v) if t and not t.isspace() else 0.0 for v, t in zip(p, x["text"], strict=True)]}
 
     src = docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").cast("string").alias("text"))
@@ -116,17 +149,25 @@ def _strength(groups: DataFrame, mean: float) -> float:
     return float(min(max(mean * (1 - mean) / between - 1 if between > 1e-12 else STRENGTH[1], STRENGTH[0]), STRENGTH[1]))
 
 
-def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, n, host_posterior, path_posterior) and the global mean, by grouped aggregation."""
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("q"))
-    paths = Scratch(scored.sparkSession, "sites").keep(paths, "paths")  # read several times below
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = float(min(max(total.s / total.n, 1e-3), 1 - 1e-3)) if total.n else 0.5
-    at_host, at_path = _strength(hosts, mean), _strength(paths, mean)
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") + at_host * mean) / (F.col("n") + at_host)).alias("host_posterior"))
-    out = paths.join(with_broadcast(hosts), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    return out.select("host", "path", "n", "host_posterior", ((F.col("s") + at_path * F.col("host_posterior")) / (F.col("n") + at_path)).alias("path_posterior")), mean
+class Sites:
+    """What grouped aggregation says of hosts and paths: ``table`` (host, path, n, s, host_n, host_s), documents and sums of evidence; the
+    global mean; and the strengths of the priors."""
+
+    def __init__(self, scored: DataFrame):
+        paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s"), F.sum(F.col("evidence") * F.col("evidence")).alias("q"))
+        paths = Scratch(scored.sparkSession, "sites").keep(paths, "paths")  # read several times below
+        hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+        total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+        self.mean = float(min(max(total.s / total.n, 1e-3), 1 - 1e-3)) if total.n else 0.5
+        self.at_host, self.at_path = _strength(hosts, self.mean), _strength(paths, self.mean)
+        hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+        self.table = paths.join(with_broadcast(hosts), F.col("host").eqNullSafe(F.col("h"))).drop("h", "q")
+
+    def posteriors(self, own: Column | float = 0.0, rows: int = 0) -> tuple[Column, Column]:
+        """Of the table's columns: host and path posterior, without ``rows`` documents of evidence ``own``."""
+        own = own if isinstance(own, Column) else F.lit(own)
+        host = (F.col("host_s") - own + self.at_host * self.mean) / (F.col("host_n") - rows + self.at_host)
+        return host, (F.col("s") - own + self.at_path * host) / (F.col("n") - rows + self.at_path)
 
 
 def _logit(c: Column) -> Column:
@@ -135,11 +176,13 @@ def _logit(c: Column) -> Column:
 
 
 def combine(scored: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """(doc_id, host, path, evidence, host_posterior, path_posterior, quality, kept) of scored documents."""
-    sites, mean = posteriors(scored)
-    sites = with_broadcast(sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", "path_posterior"))
-    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("h", "p")
-    z = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.lit(mean))
+    """(doc_id, host, path, evidence, host_posterior, path_posterior, quality, kept) of scored documents; posteriors are without the document's own evidence."""
+    sites = Sites(scored)
+    side = with_broadcast(sites.table.withColumnsRenamed({"host": "h", "path": "p"}))
+    joined = scored.join(side, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("h", "p")
+    host, path = sites.posteriors(F.col("evidence"), 1)
+    joined = joined.withColumns({"host_posterior": host, "path_posterior": path})
+    z = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.lit(sites.mean))
     q = F.when(F.col("evidence") <= 0, 0.0).otherwise(1 / (1 + F.exp(-z)))
     return joined.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", q.alias("quality"), (q >= keep_from).alias("kept"))
 
@@ -154,17 +197,20 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM)
     few sites: once for the sites' posteriors, once for the decision."""
     model = fit(docs, labels)
     host, path = source_sites()
-    sites, mean = posteriors(evidence(docs, model, host, path))
-    sites = with_broadcast(sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), (_logit(F.col("path_posterior")) - _logit(F.lit(mean))).alias("__shift")))
-    joined = docs.join(sites, host.cast("string").eqNullSafe(F.col("__h")) & path.cast("string").eqNullSafe(F.col("__p")), "left")
-    cut = float(np.log(keep_from / (1 - keep_from)))
-
-    def f(texts: list, shifts: list) -> list[bool]:
-        p = np.clip(model.prob(np.array([features(t) for t in texts]).reshape(-1, FEATURES)), 1e-9, 1 - 1e-9)
-        ok = np.log(p / (1 - p)) + np.array([x or 0.0 for x in shifts]) >= cut
-        return [bool(k) and bool(t) and not t.isspace() for k, t in zip(ok, texts, strict=True)]
-
-    return filter_rows(joined, ["text", "__shift"], f, rows=200).select(*docs.columns)
+    sites = Sites(evidence(docs, model, host, path))
+    names = {"host": "__h", "path": "__p", "n": "__n", "s": "__s", "host_n": "__hn", "host_s": "__hs"}
+    joined = docs.join(with_broadcast(sites.table.select(*[F.col(c).alias(n) for c, n in names.items()])), host.cast("string").eqNullSafe(F.col("__h")) & path.cast("string").eqNullSafe(F.col("__p")), "left")
+    cut, mean, at_host, at_path = float(np.log(keep_from / (1 - keep_from))), sites.mean, sites.at_host, sites.at_path
+    logit = lambda p: np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9)))
+
+    def f(texts: list, *site: list) -> list[bool]:
+        e = np.array([v if t and not t.isspace() else 0.0 for v, t in zip(model.prob(texts), texts, strict=True)])
+        n, s, host_n, host_s = (np.array([x or 0 for x in c], float) for c in site)
+        of_host = (host_s - e + at_host * mean) / (host_n - 1 + at_host)
+        of_path = (s - e + at_path * of_host) / (n - 1 + at_path)
+        return [bool(k) for k in (logit(e) + logit(of_path) - logit(mean) >= cut) & (e > 0)]
+
+    return filter_rows(joined, ["text", "__n", "__s", "__hn", "__hs"], f, rows=200).select(*docs.columns)
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, model: Evidence | None = None) -> DataFrame:

@@ -93,10 +93,52 @@ def test_filters_keep_columns_and_clean_rows(odd, labels, no_docs):
 
 def test_sparse_sites_shrink_and_large_sites_speak_for_themselves(spark):
     e = spark.createDataFrame([("big", "big/a", 0.9)] * 400 + [("bad", "bad/a", 0.1)] * 400 + [("one", "one/a", 0.0)], "host string, path string, evidence double")
-    sites, mean = quality.posteriors(e.withColumn("doc_id", F.lit(1)))
-    got = {r.host: r for r in sites.collect()}
+    sites = quality.Sites(e)
+    host, path = sites.posteriors()
+    got = {r.host: r for r in sites.table.select("host", host.alias("host_posterior"), path.alias("path_posterior")).collect()}
     assert got["big"].host_posterior > 0.88 and got["bad"].host_posterior < 0.12
-    assert 0.1 < got["one"].host_posterior < mean and got["one"].path_posterior <= got["one"].host_posterior
+    assert 0.1 < got["one"].host_posterior < sites.mean and got["one"].path_posterior <= got["one"].host_posterior
+
+
+def test_quality_equals_brute_force_and_counts_no_evidence_twice(spark):
+    rng = random.Random(8)
+    rows_ = [(i, (h := rng.choice(["a", "b", "c", None])), rng.choice([f"{h}/x", f"{h}/y", None]), rng.betavariate(5, 1) if h == "a" else rng.random()) for i in range(200)]
+    rows_ += [(900, "alone", "alone/x", 0.9), (901, "alone too", None, 0.2), (902, "a", "a/empty", 0.0)]
+    scored = spark.createDataFrame(rows_, "doc_id long, host string, path string, evidence double")
+    sites = quality.Sites(scored)
+    logit = lambda p: math.log(max(min(p, 1 - 1e-9), 1e-9) / (1 - max(min(p, 1 - 1e-9), 1e-9)))
+    assert sites.mean == pytest.approx(sum(r[3] for r in rows_) / len(rows_))
+
+    def strength(keys):
+        by = defaultdict(list)
+        for r, k in zip(rows_, keys, strict=True):
+            by[k].append(r[3])
+        many = [v for v in by.values() if len(v) > 1]
+        n = sum(map(len, many))
+        within = sum(sum((x - sum(v) / len(v)) ** 2 for x in v) for v in many) / max(1, n - len(many))
+        between = max(0, (sum(len(v) * (sum(v) / len(v) - sites.mean) ** 2 for v in many) - (len(many) - 1) * within) / n)
+        return min(max(sites.mean * (1 - sites.mean) / between - 1 if between > 1e-12 else 1000, 1), 1000)
+
+    assert sites.at_host == pytest.approx(strength([r[1] for r in rows_])) and sites.at_path == pytest.approx(strength([r[1:3] for r in rows_]))
+    got = {r.doc_id: r for r in quality.combine(scored).collect()}
+    for i, h, p, e in rows_:
+        others = [r[3] for r in rows_ if r[1] == h and r[0] != i]
+        near = [r[3] for r in rows_ if r[1:3] == (h, p) and r[0] != i]
+        host = (sum(others) + sites.at_host * sites.mean) / (len(others) + sites.at_host)
+        path = (sum(near) + sites.at_path * host) / (len(near) + sites.at_path)
+        q = 1 / (1 + math.exp(-(logit(e) + logit(path) - logit(sites.mean)))) if e else 0
+        assert got[i].quality == pytest.approx(q) and got[i].path_posterior == pytest.approx(path) and got[i].kept == (q >= 0.5)
+    assert got[900].quality == pytest.approx(0.9) and got[901].quality == pytest.approx(0.2)
+
+
+def test_content_is_evidence(spark):
+    good, bad = "fine words of a good page", "cheap offer click now page"
+    texts = [good if i % 2 else bad for i in range(400)]
+    docs = docs_of(spark, texts)
+    m = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int"))
+    assert m.ratio["fine"] > 1 and m.ratio["cheap"] < -1 and "page" not in m.ratio
+    p = m.prob(["good words", "click now", None])
+    assert p[0] > 0.5 > p[1]
 
 
 def test_quality_and_language_on_held_out_documents(spark):
@@ -700,7 +742,7 @@ def test_pipeline_equals_a_plain_version(spark, sf):
     assert sorted(r.doc_id for r in cp.language(spark, docs, sf).collect()) == [r.doc_id for r in one]
     first = spark.createDataFrame(one, docs.schema)
     ev = quality.fit(first, labels)
-    e = {r.doc_id: float(ev.prob(quality.features(r.text))) for r in one}
+    e = {r.doc_id: float(p) for r, p in zip(one, ev.prob([r.text for r in one]), strict=True)}
     kept = {r.doc_id for r in quality.combine(spark.createDataFrame([(r.doc_id, r.source, f"{r.source}/{r.lang}", e[r.doc_id]) for r in one], "doc_id long, host string, path string, evidence double")).where("kept").collect()}
     two = [r for r in one if r.doc_id in kept]
     assert sorted(r.doc_id for r in cp.good(spark, first, sf).collect()) == [r.doc_id for r in two]
