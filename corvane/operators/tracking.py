@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from .assign import assign
 
@@ -48,6 +50,45 @@ INPUT = ["ns", "frame", "id", "cx", "cy", "cz", "ex", "ey", "ez", "relation", "s
 COLUMNS = ["id", "track_id", "hits", "accumulated", "confirmed", "presence_confirmed", "intersection_confirmed", "confirmation", "vx", "track_age_s"]
 
 
+class Motion:
+    """Constant velocity along each axis, on stacks of tracks: states (n, 6) and covariances (n, 6, 6)."""
+
+    def __init__(self, p: TrackParams):
+        self.push, self.measured = p.acceleration_sigma**2, np.eye(3) * (p.position_sigma**2 + p.pose_sigma**2)
+        self.start = np.diag([p.position_sigma**2] * 3 + [1.0] * 3)
+
+    def ahead(self, state: np.ndarray, cov: np.ndarray, dt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States and covariances after dt (n) seconds."""
+        move = np.broadcast_to(np.eye(6), cov.shape).copy()
+        move[:, [0, 1, 2], [3, 4, 5]] = dt[:, None]
+        pushed = np.concatenate([np.eye(3)[None] * (dt * dt / 2)[:, None, None], np.eye(3)[None] * dt[:, None, None]], 1)
+        return np.einsum("nij,nj->ni", move, state), move @ cov @ move.transpose(0, 2, 1) + self.push * pushed @ pushed.transpose(0, 2, 1)
+
+    def distances(self, state: np.ndarray, cov: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        """Squared Mahalanobis distance [track, object] of objects' centres from predicted ones."""
+        weight = np.linalg.inv(cov[:, :3, :3] + self.measured)
+        off = centre[None] - state[:, None, :3]
+        return np.einsum("tni,tij,tnj->tn", off, weight, off)
+
+    def corrected(self, state: np.ndarray, cov: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One predicted state after its object was seen at ``centre`` (Joseph form)."""
+        gain = np.linalg.solve(cov[:3, :3] + self.measured, cov[:3]).T
+        left = np.eye(6)
+        left[:, :3] -= gain
+        return state + gain @ (centre - state[:3]), left @ cov @ left.T + gain @ self.measured @ gain.T
+
+
+def pair_up(far: np.ndarray, shape: np.ndarray, gate: float, shape_gate: float) -> dict[int, int]:
+    """Object -> track of the cheapest pairing within both gates, where leaving a track alone costs more than any one pair."""
+    allowed = (far <= gate) & (shape <= shape_gate)
+    tracks, objects = allowed.shape
+    if not allowed.any():
+        return {}
+    alone, barred = gate + shape_gate + 1, 1e6
+    cost = np.hstack([np.where(allowed, far + shape, barred), np.full((tracks, tracks), alone)])
+    return {j: i for i, j in assign(cost) if j < objects and allowed[i, j]}
+
+
 class Tracker:
     def __init__(self, p: TrackParams):
         self.p, self.tracks, self.next_id, self.frame, self.last = p, {}, 1, 0, None
@@ -56,71 +97,50 @@ class Tracker:
         """Clears tracks but keeps ids and the acquisition time, so a late scan stays late."""
         self.tracks = {}
 
-    def predict(self, t: Track, stamp: float) -> tuple[np.ndarray, np.ndarray]:
-        dt = stamp - t.stamp
-        f = np.eye(6)
-        f[:3, 3:] = np.eye(3) * dt
-        g = np.vstack([np.eye(3) * dt * dt / 2, np.eye(3) * dt])
-        return f @ t.state, f @ t.cov @ f.T + g @ g.T * self.p.acceleration_sigma**2
-
     def step(self, stamp: float, o: dict[str, np.ndarray] | pd.DataFrame) -> tuple[list[tuple], bool]:
         """Rows in COLUMNS order for the scan's objects, and whether a gap reset came before it.
 
         ``o``: columns id (ascending), cx, cy, cz, ex, ey, ez, relation, support, certain (claim evidence), immediate.
         """
-        p = self.p
+        p, motion = self.p, Motion(self.p)
         gap = self.last is not None and stamp - self.last > p.max_frame_gap_s
         if gap:
             self.reset()
-        self.last = stamp
-        self.frame += 1
-        self.tracks = {k: t for k, t in self.tracks.items() if stamp - t.stamp <= p.max_track_gap_s}
-        centre, extent = (np.stack([o[c] for c in names], 1).astype(float).reshape(-1, 3) for names in (("cx", "cy", "cz"), ("ex", "ey", "ez")))
-        count = len(o["id"])
-        noise = np.eye(3) * (p.position_sigma**2 + p.pose_sigma**2)
-        keys = sorted(self.tracks)
-        ahead = {k: self.predict(self.tracks[k], stamp) for k in keys}
-        matched: dict[int, int] = {}
-        if keys and count:
-            never = p.gate + p.extent_gate + 1
-            cost = np.full((len(keys), count + len(keys)), never)
-            cost[:, :count] = 1e6
-            for r, k in enumerate(keys):
-                s, c = ahead[k]
-                diff = centre - s[:3]
-                far = np.einsum("ni,ij,nj->n", diff, np.linalg.inv(c[:3, :3] + noise), diff)
-                shape = np.linalg.norm(np.log((extent + 0.1) / (self.tracks[k].extent + 0.1)), axis=1)
-                ok = (far <= p.gate) & (shape <= p.extent_gate)
-                cost[r, :count][ok] = (far + shape)[ok]
-            matched = {j: keys[i] for i, j in assign(cost) if j < count and cost[i, j] < 1e6}
+        self.last, self.frame = stamp, self.frame + 1
+        self.tracks = {k: t for k, t in sorted(self.tracks.items()) if stamp - t.stamp <= p.max_track_gap_s}
+        centre, extent = (np.column_stack([np.asarray(o[c], float) for c in names]) for names in (("cx", "cy", "cz"), ("ex", "ey", "ez")))
+        keys, owner, at, spread = list(self.tracks), {}, None, None
+        if keys and len(centre):
+            known = list(self.tracks.values())
+            at, spread = motion.ahead(np.stack([t.state for t in known]), np.stack([t.cov for t in known]), np.array([stamp - t.stamp for t in known]))
+            shape = np.linalg.norm(np.log((extent[None] + 0.1) / (np.stack([t.extent for t in known])[:, None] + 0.1)), axis=2)
+            owner = pair_up(motion.distances(at, spread, centre), shape, p.gate, p.extent_gate)
         rows = []
-        for j in range(count):
-            relation, support, certain, immediate = (o[c][j] for c in ("relation", "support", "certain", "immediate"))
-            k = matched.get(j)
-            if k is None:
-                k, self.next_id = self.next_id, self.next_id + 1
-                t = Track(np.r_[centre[j], np.zeros(3)], np.diag([p.position_sigma**2] * 3 + [1.0] * 3), stamp, stamp, extent[j])
-                self.tracks[k] = t
-            else:
+        for j in range(len(centre)):
+            if j in owner:
+                k = keys[owner[j]]
                 t = self.tracks[k]
-                s, c = ahead[k]
-                gain = c[:, :3] @ np.linalg.inv(c[:3, :3] + noise)
-                keep = np.eye(6) - gain @ np.eye(3, 6)
-                t.state, t.cov = s + gain @ (centre[j] - s[:3]), keep @ c @ keep.T + gain @ noise @ gain.T
-                t.stamp, t.extent = stamp, extent[j]
-            t.seen = [f for f in [*t.seen, self.frame] if f > self.frame - p.window]
-            if relation == "intersecting":
-                t.interior = [*t.interior, self.frame]
-            t.interior = [f for f in t.interior if f > self.frame - p.window]
-            t.evidence = [(a, n) for a, n in [*t.evidence, (stamp, int(support))] if stamp - a <= p.evidence_window_s]
-            total = sum(n for _, n in t.evidence)
-            steady = len(t.seen) >= p.hits and total >= p.evidence_min
-            confirmed = bool(immediate) or (int(certain) >= p.claim_min and steady)
-            intersects = confirmed and relation == "intersecting" and (bool(immediate) or len(t.interior) >= p.hits)
-            how = "immediate_interior_geometry" if immediate else "temporal_evidence" if confirmed else "pending"
-            rows.append((int(o["id"][j]), int(k), len(t.seen), int(total), confirmed, bool(immediate) or steady, intersects, how, float(t.state[3]), float(stamp - t.first)))
+                t.state, t.cov = motion.corrected(at[owner[j]], spread[owner[j]], centre[j])
+            else:
+                k, self.next_id = self.next_id, self.next_id + 1
+                t = self.tracks[k] = Track(np.r_[centre[j], np.zeros(3)], motion.start, stamp, stamp, extent[j])
+            t.stamp, t.extent = stamp, extent[j]
+            rows.append((int(o["id"][j]), int(k), *self.decide(t, stamp, o["relation"][j] == "intersecting", int(o["support"][j]), int(o["certain"][j]), bool(o["immediate"][j]))))
         return rows, gap
 
+    def decide(self, t: Track, stamp: float, inside: bool, support: int, certain: int, immediate: bool) -> tuple:
+        """What is known of a track after this scan: COLUMNS from ``hits`` on."""
+        p, oldest = self.p, self.frame - self.p.window
+        t.seen = [f for f in t.seen if f > oldest] + [self.frame]
+        t.interior = [f for f in t.interior if f > oldest] + [self.frame] * inside
+        t.evidence = [(a, n) for a, n in t.evidence if stamp - a <= p.evidence_window_s] + [(stamp, support)]
+        total = sum(n for _, n in t.evidence)
+        steady = len(t.seen) >= p.hits and total >= p.evidence_min
+        confirmed = immediate or (steady and certain >= p.claim_min)
+        intersects = inside and confirmed and (immediate or len(t.interior) >= p.hits)
+        how = "immediate_interior_geometry" if immediate else "temporal_evidence" if confirmed else "pending"
+        return len(t.seen), int(total), confirmed, immediate or steady, intersects, how, float(t.state[3]), float(stamp - t.first)
+
 
 OUT = "bag long, frame long, gap_reset boolean, id long, track_id long, hits int, accumulated int, confirmed boolean, presence_confirmed boolean, intersection_confirmed boolean, confirmation string, vx double, track_age_s double"
 
@@ -138,12 +158,25 @@ def run_scans(tracker: Tracker, bag: int, g: pd.DataFrame) -> Iterator[tuple]:
 
 
 def track(objects: DataFrame, params: TrackParams) -> DataFrame:
-    """Tracks each recording's objects (bag, frame, ns, id, c*, e*, relation, support, certain, immediate) in order."""
+    """Tracks each recording's objects (bag, frame, ns, id, c*, e*, relation, support, certain, immediate) in order.
 
-    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(run_scans(Tracker(params), int(key[0]), g)), columns=["bag", "frame", "gap_reset", *COLUMNS])
+    A gap clears all tracks, so a recording is split at gaps; each part is a group, and its tracks' numbers go on from those of the parts before.
+    """
+    order = W.partitionBy("bag").orderBy("ns")
+    late = F.coalesce((F.col("ns") / 1e9 - F.lag("ns").over(order) / 1e9) > params.max_frame_gap_s, F.lit(False))
+    parts = objects.withColumn("late", late.cast("long")).withColumn("part", F.sum("late").over(order)).drop("late")  # rows of one stamp are peers
 
-    return objects.groupBy("bag").applyInPandas(solve, OUT)
+    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        head = g.loc[g["ns"] == g["ns"].min(), "frame"].min()  # the scan that a gap came before
+        out = pd.DataFrame(list(run_scans(Tracker(params), int(key[0]), g)), columns=["bag", "frame", "gap_reset", *COLUMNS])
+        return out.assign(gap_reset=(out["frame"] == head) & (key[1] > 0), part=key[1])
+
+    found = parts.groupBy("bag", "part").applyInPandas(solve, OUT + ", part long")
+    made = found.groupBy("bag", "part").agg(F.max("track_id").alias("made"))
+    before = F.coalesce(F.sum("made").over(W.partitionBy("bag").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    made = made.select(F.col("bag").alias("b"), F.col("part").alias("p"), before.alias("before"))
+    joined = found.join(made, F.col("bag").eqNullSafe(F.col("b")) & (F.col("part") == F.col("p")))
+    return joined.withColumn("track_id", F.col("track_id") + F.col("before")).drop("part", "b", "p", "before")
 
 
 def group_events(candidates: DataFrame, max_frame_gap: int, tol_y: float, tol_z: float) -> DataFrame:

@@ -188,8 +188,66 @@ def test_profile_motion_finds_a_shift():
     rng = np.random.default_rng(3)
     base = rng.poisson(3, 400).astype(float)
     c = motion.ProfileParams(0.0, 100.0, 0.5, 21, (0.25, 0.5, 0.25), 1.0, 10.0, 20.0, 2.0, 1.0, 0.0, 5, 3)
-    a, b = motion.signature(base[:200], c), motion.signature(base[6:206], c)
-    assert motion.displacement(a, b, 0.2, None, c) == pytest.approx(3.0, abs=0.3)
+    s = motion.signatures(np.stack([base[:200], base[6:206]]), c)
+    corr = motion.correlations(s[:1], s[1:], 9)[0]
+    assert motion.best_shift(corr, None, c) == pytest.approx(3.0, abs=0.3)
+    # Bin by bin, from the definition.
+    trend = [sum(base[max(0, i - 10) : min(200, i + 11)]) / 21 for i in range(200)]
+    flat = np.array([(base[i] - trend[i]) / math.sqrt(trend[i] + 1) for i in range(200)])
+    smooth = np.array([sum(w * flat[i + d] for d, w in ((-1, 0.25), (0, 0.5), (1, 0.25)) if 0 <= i + d < 200) for i in range(200)])
+    assert s[0] == pytest.approx(smooth / np.linalg.norm(smooth))
+    for o in range(9):
+        a, b = s[0][o:], s[1][: 200 - o]
+        assert corr[o] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+
+
+def test_motion_starts_anew_after_a_gap(spark):
+    rng = np.random.default_rng(3)
+    base = rng.poisson(3, 400).astype(float)
+    c = motion.ProfileParams(0.0, 100.0, 0.5, 21, (0.25, 0.5, 0.25), 1.0, 10.0, 20.0, 2.0, 1.0, 0.1, 5, 3)
+    at = [0, 2, 4, 6, 8, 10, 40, 43, 46]
+    ns = [int(1e9) * t for t in (0, 1, 2, 3, 4, 5, 60, 61, 62)]
+    rows = [(bag, i, n, base[a : a + 200].tolist()) for bag in (1, 2) for i, (a, n) in enumerate(zip(at, ns, strict=True))]
+    got = motion.profile_motion(spark.createDataFrame(rows, "bag long, frame long, ns long, counts array<double>"), c).where("bag = 2").orderBy("frame").collect()
+    assert [r.step is None for r in got] == [True] + [False] * 5 + [True] + [False] * 2
+    assert [r.position for r in got] == pytest.approx([0, 1, 2, 3, 4, 5, 5, 6.5, 8], abs=0.5)
+
+
+def test_planes_and_rails_of_exact_scenes():
+    rng = np.random.default_rng(6)
+    x, y = rng.uniform(1, 50, 8000), rng.uniform(-1.4, 1.4, 8000)
+    bed = np.c_[x, y, -1.8 + 0.01 * x + rng.normal(0, 0.005, 8000)]
+    clutter = np.c_[rng.uniform(1, 50, 2000), rng.uniform(-1.4, 1.4, 2000), rng.uniform(-2.4, -1.1, 2000)]
+    fit = fits.robust_plane(np.r_[bed, clutter], mq.PLANE)
+    assert fit.reason == "supported_track_bed" and fit.abc == pytest.approx([0.01, 0, -1.8], abs=0.01) and fit.fraction > 0.7
+    assert fits.robust_plane(bed[:10], mq.PLANE).reason == "insufficient_track_bed_points"
+    assert fits.robust_plane(np.c_[bed[:, 0], bed[:, 1], -2.0 + 0.9 * bed[:, 1]], mq.PLANE).reason in ("weak_track_bed_plane", "no_upright_track_bed_plane")
+    along = np.arange(1, 55, 0.05)
+    centre = lambda v: 0.1 + 0.001 * v * v / 2
+    rails = np.concatenate([np.c_[along, centre(along) + s * 0.76 + rng.normal(0, 0.01, len(along)), np.full(len(along), 0.2)] for s in (-1, 1)])
+    found = fits.rail_anchors(rails, rails[:, 2], mq.RAIL)
+    assert len(found) >= 10 and all(abs(c - centre(a)) < 0.06 and abs(g - 1.52) < 0.03 for a, c, g, _ in found)
+    straight = rails - np.c_[np.zeros(len(rails)), centre(rails[:, 0]), np.zeros(len(rails))]
+    twice = np.r_[straight + [0, 0.2, 0], straight - [0, 0.2, 0]]  # two tracks, neither likelier
+    assert fits.rail_anchors(twice, twice[:, 2], mq.RAIL) == [] and len(fits.rail_anchors(straight, straight[:, 2], mq.RAIL)) >= 10
+    e = fits.Expected(0.1, 0.0, 0.5)
+    pairs = fits.rail_pairs(rails[:, 0], rails[:, 1], mq.RAIL, e)
+    count = fits.lateral_profile(rails[:, 0], rails[:, 1], mq.RAIL)
+    cells = {(math.floor(a / 0.3), math.floor((b + 4) / 0.04) + 2) for a, b, _ in rails}
+    assert count.tolist() == [sum(k == i for _, k in cells) for i in range(len(count))] and (np.diff(pairs[:, 0]) <= 0).all()
+    assert fits.without_stray_end([(5, 0, 1.5, 9), (9, 0, 1.5, 9), (13, 2, 1.5, 9)], mq.RAIL) == [(5, 0, 1.5, 9), (9, 0, 1.5, 9)]
+
+
+def test_pairing_equals_all_pairings():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 3), (3, 3), (4, 2), (3, 4)):
+        for _ in range(20):
+            far, shape = rng.uniform(0, 8, (n, m)), rng.uniform(0, 1.5, (n, m))
+            every = [list(zip(rows, cols, strict=True)) for k in range(min(n, m) + 1) for rows in itertools.combinations(range(n), k) for cols in itertools.permutations(range(m), k)]
+            cost = lambda p: sum(far[x] + shape[x] for x in p) + 7 * (n - len(p))  # noqa: B023, E731
+            best = min(cost(p) for p in every if all(far[x] <= 5 and shape[x] <= 1 for x in p))
+            got = tracking.pair_up(far, shape, 5.0, 1.0)
+            assert cost([(i, j) for j, i in got.items()]) == pytest.approx(best)
 
 
 def test_density_labels_keep_a_thin_chain_apart(spark):
