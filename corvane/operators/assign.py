@@ -9,20 +9,16 @@ import numpy as np
 
 def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Component labels of n nodes, numbered from 0 in the order of each component's smallest node."""
-    root = list(range(n))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        i, j = top(i), top(j)
-        if i != j:
-            root[max(i, j)] = min(i, j)
-    tops = np.array([top(i) for i in range(n)], np.int64)
-    return np.unique(tops, return_inverse=True)[1].reshape(-1).astype(np.int64)
+    root, a, b = np.arange(n), np.asarray(a, np.int64), np.asarray(b, np.int64)
+    while len(a):
+        # Each root takes the least root that an edge of its tree leads to; then every node points at its root.
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, np.concatenate([root[a], root[b]]), np.concatenate([low, low]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return np.unique(root, return_inverse=True)[1].reshape(-1).astype(np.int64)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

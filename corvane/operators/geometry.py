@@ -99,6 +99,15 @@ def path_values(x: Column, between: Column, enough: Column, near: Column, far: C
     return centre, F.when(enough, along(x, between, "x", "gauge")).otherwise(F.lit(gauge)), F.when(enough & (r <= max_extrapolation), spread)
 
 
+def far_field_bounds(objects: DataFrame, geometry: DataFrame, limits: Limits, key: str = "frame") -> DataFrame:
+    """``objects`` (key, distance) with ``bound``, the path's uncertainty at their distance; null with fewer than two rail anchors or beyond their reach."""
+    x = F.col("distance")
+    g = objects.join(geometry.select(key, "rail", "near", "far"), key, "left").withColumn("__r", bracket(x, F.col("rail"), "x"))
+    enough = F.coalesce(F.size("rail") >= 2, F.lit(False))
+    bound = path_values(x, F.col("__r"), enough, F.col("near"), F.col("far"), limits.gauge, limits.path_max_extrapolation)[2]
+    return g.withColumn("bound", F.when(enough, bound)).drop("__r", "rail", "near", "far")
+
+
 def width_bounds(lo: Column, hi: Column, envelope: tuple[tuple[float, float, float, float], ...]) -> tuple[Column, Column]:
     """Least and greatest half width of the contour over [lo, hi], both sides of a step included; null where they don't meet."""
     least, most = [], []

@@ -65,13 +65,11 @@ def voxel_centroid(points: DataFrame, size: float, keys: tuple[str, ...] = ("fra
 
 def range_bins(points: DataFrame, edges: list[float], supported: Column, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
     """Counts of returns and of supported returns in each [lo, hi) of x; empty bins appear with zeros."""
-    spark = points.sparkSession
-    bins = spark.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"))
     at = F.lit(None).cast("int")
     for i in range(len(edges) - 1):
         at = F.when((F.col("x") >= edges[i]) & (F.col("x") < edges[i + 1]), i).otherwise(at)
     counted = points.withColumn("bin", at).where("bin is not null").groupBy(*keys, "bin").agg(F.count("*").alias("returns"), F.count_if(supported).alias("supported"))
-    frames = points.select(*keys).distinct().join(F.broadcast(bins))  # a fixed number of bins for each frame
+    frames = points.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 2))))
     return frames.join(counted, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("returns", F.lit(0)).alias("returns"), F.coalesce("supported", F.lit(0)).alias("supported"))
 
 

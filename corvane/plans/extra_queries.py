@@ -71,7 +71,7 @@ def radius_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "key_audit", "DIF-2 DIF-5 SRC-12",
+    "key_audit", "DIF-2",
     "WITH k AS (SELECT event_type, unnest(json_keys(props)) AS key FROM events) SELECT event_type, key, key NOT IN ('value', 'unit') AS removed, count(*) AS n FROM k GROUP BY ALL",
 )
 def key_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def key_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "stage_tables", "SRC-8 SRC-9 SRC-10 SNK-1 SNK-2 SRC-14",
+    "stage_tables", "SRC-9 SNK-2",
     f"WITH {RAW} SELECT frame, ring, count(*) AS n, max(x) AS most FROM p WHERE ring IN (1, 2) GROUP BY frame, ring",
 )
 def stage_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ def stage_tables(spark: SparkSession, d: str) -> DataFrame:
     return read.where("ring in (1, 2)").groupBy("frame", "ring").agg(F.count("*").alias("n"), F.max("x").alias("most"))
 
 
-@query("curve_radius", "GEO-13 GEO-14 STR-13 RPT-18")
+@query("curve_radius", "GEO-13 GEO-14")
 def curve_radius(spark: SparkSession, d: str) -> DataFrame:
     """Circle and smoothed centre line through each scan's rail anchors."""
     g = fits.fit_geometry(scene(spark, d), PLANE, BED, RAIL).where(F.size("rail") >= 3).select("frame", "rail")
@@ -106,10 +106,10 @@ def curve_radius(spark: SparkSession, d: str) -> DataFrame:
                 rows.append((r.frame, len(x), None if c is None else float(min(c[2], 1e6)), float(fits.penalised_spline(x, y, 10.0, 1.0, np.array([x.mean()]))[0])))
             yield pd.DataFrame(rows, columns=["frame", "anchors", "radius", "middle"])
 
-    return g.mapInPandas(solve, "frame long, anchors int, radius double, middle double").select("frame", "anchors", F.round("middle", 2).alias("middle"))
+    return g.mapInPandas(solve, "frame long, anchors int, radius double, middle double").select("frame", "anchors", F.round("radius", 0).alias("radius"), F.round("middle", 2).alias("middle"))
 
 
-@query("background_patches", "GEO-9 GEO-10 JOIN-16 SEG-7")
+@query("background_patches", "GEO-9")
 def background_patches(spark: SparkSession, d: str) -> DataFrame:
     """Walls and ceilings of each scan, thinned to voxels before the consensus."""
     v = sp.voxel_first(scene(spark, d).where("z > -1.2"), 0.3).select("frame", "reduced_id", "x", "y", "z")

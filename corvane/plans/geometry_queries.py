@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +22,15 @@ NEAR, FAR = geo.continuation(np.array(RAIL), False), geo.continuation(np.array(R
 
 
 def the_geometry(spark: SparkSession) -> DataFrame:
-    """One geometry for all scans, as a row to cross with: the same numbers as in the SQL."""
+    """One geometry for all scans, as a row: the same numbers as in the SQL."""
     return geo.geometry_table(spark, [{"frame": 0, "plane": PLANE, "ground": GROUND, "rail": RAIL, "rail_head": HEAD}])
 
 
 def frames_geometry(spark: SparkSession, d: str) -> DataFrame:
-    """A geometry row for every scan."""
+    """A geometry row for every scan, its numbers as literals."""
     g = the_geometry(spark).drop("frame")
-    frames = table(spark, d, "supplier").select(F.col("s_suppkey").alias("frame"))
-    return frames.withColumn("__one", F.lit(1)).join(F.broadcast(g.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    same = F.from_json(F.lit(json.dumps(g.first().asDict(recursive=True))), g.schema)
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("frame"), same.alias("g")).select("frame", "g.*")
 
 
 def _piecewise(xs: list[float], ys: list[float]) -> str:

@@ -34,7 +34,7 @@ def scene(spark: SparkSession, d: str) -> DataFrame:
     return generate.scan_scene(spark, frames, TUNNEL, BEAMS, noise=0.01, dropout=0.02, seed=7)
 
 
-@query("scene_labels", "GEN-1 GEN-2 GEN-3 GEN-4 FIL-17")
+@query("scene_labels", "GEN-1 GEN-4 FIL-17")
 def scene_labels(spark: SparkSession, d: str) -> DataFrame:
     return scene(spark, d).groupBy("frame", "hit").agg(F.count("*").alias("n"), F.round(F.min("x"), 3).alias("nearest"))
 
@@ -45,7 +45,7 @@ def robust_plane(spark: SparkSession, d: str) -> DataFrame:
     return g.select("frame", "reason", F.round(F.col("plane")[2], 3).alias("height"), F.size("ground").alias("bed_anchors"))
 
 
-@query("rail_anchors", "GEO-4 GEO-5 RPT-16")
+@query("rail_anchors", "GEO-4 GEO-5")
 def rail_anchors(spark: SparkSession, d: str) -> DataFrame:
     g = fits.fit_geometry(scene(spark, d), PLANE, BED, RAIL)
     return g.select("frame", F.explode("rail").alias("r")).select("frame", "r.x", F.round("r.center", 3).alias("center"), F.round("r.gauge", 3).alias("gauge"), "r.support")
@@ -58,7 +58,7 @@ def assignment(spark: SparkSession, d: str) -> DataFrame:
     return m.select("frame", "prediction", "truth", F.round("iou", 6).alias("iou"))
 
 
-@query("oriented_iou", "SEG-7 RPT-13 AGG-22")
+@query("oriented_iou", "AGG-22")
 def oriented_iou(spark: SparkSession, d: str) -> DataFrame:
     """A part's box against the same box turned about z and moved along x."""
     p = table(spark, d, "part").where("p_partkey is not null")
@@ -105,7 +105,7 @@ DAY = 86_400.0
 TRACKING = tracking.TrackParams(0.5, 0.3, 1e-5, 16.0, 1.0, DAY, DAY, 3, 5, 2 * DAY, 24, 2)
 
 
-@query("tracker", "STR-9 STR-10 STR-11 JOIN-10")
+@query("tracker", "STR-9 STR-10 JOIN-10")
 def tracker(spark: SparkSession, d: str) -> DataFrame:
     return tracking.track(stream_objects(results(spark, d)), TRACKING).select("bag", "frame", "id", "track_id", "hits", "accumulated", "confirmed", "intersection_confirmed", "gap_reset")
 
@@ -117,7 +117,7 @@ def track_stream(spark: SparkSession, d: str) -> DataFrame:
     return out.select("bag", "frame", "id", "track_id", "hits", "accumulated", "confirmed", "intersection_confirmed", "gap_reset")
 
 
-@query("event_groups", "STR-12 STR-13")
+@query("event_groups", "STR-12")
 def event_groups(spark: SparkSession, d: str) -> DataFrame:
     c = results(spark, d).select("bag", "frame", F.col("frame").alias("id"), (F.col("k") % 7 / 2).alias("y"), (F.col("k") % 3 / 2).alias("z"), F.col("value").alias("distance"))
     return tracking.group_events(c, 1500, 0.3, 0.3).select("bag", "event", "first_frame", "last_frame", "frames", "min_distance")
@@ -126,7 +126,7 @@ def event_groups(spark: SparkSession, d: str) -> DataFrame:
 PROFILE = motion.ProfileParams(0.0, 100.0, 0.5, 21, (0.25, 0.5, 0.25), 1.0, 10.0, 20.0, 2.0, 1.0, 0.1, 5, 3)
 
 
-@query("profile_motion", "STR-8 STR-7 AGG-12")
+@query("profile_motion", "STR-8 AGG-12")
 def profile_motion(spark: SparkSession, d: str) -> DataFrame:
     """Scans are dates of a supplier group; a profile is the day's returns along x."""
     line = table(spark, d, "lineitem")
@@ -139,12 +139,12 @@ def profile_motion(spark: SparkSession, d: str) -> DataFrame:
 DENSITY = segments.DensityParams(0.6, 0.004, 1.0, 1.0, 4.0, 2.0, 30.0)
 
 
-@query("density_labels", "SEG-1 SEG-8 OBJ-1 JOIN-13 JOIN-17")
+@query("density_labels", "SEG-1 OBJ-1 JOIN-13 JOIN-17")
 def density_labels(spark: SparkSession, d: str) -> DataFrame:
     return segments.density_labels(points(spark, d), DENSITY)
 
 
-@query("nearest_seed", "SEG-6 SEG-2")
+@query("nearest_seed", "SEG-6")
 def nearest_seed(spark: SparkSession, d: str) -> DataFrame:
     p, e = graph(spark, d)
     s = segments.nearest_seed(p.select("frame", "point_id", (F.col("ring") == 1).alias("seed")), e.withColumn("w", F.lit(1.0)))
@@ -177,7 +177,7 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "stream_gap", "STR-2 STR-3",
+    "stream_gap", "STR-2",
     f"""WITH {RESULTS_SQL}, g AS (SELECT bag, ns - lag(ns) OVER (PARTITION BY bag ORDER BY ns, frame) AS dt FROM r) SELECT bag, count(*) AS frames, count(*) FILTER (WHERE dt > {8 * HOUR}) AS resets FROM g GROUP BY bag""",
 )
 def stream_gap(spark: SparkSession, d: str) -> DataFrame:
@@ -185,6 +185,18 @@ def stream_gap(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("bag").agg(F.count("*").alias("frames"), F.count_if("gap_reset").alias("resets"))
 
 
+@query(
+    "stream_resets", "STR-1 STR-3 STR-5",
+    f"""WITH {RESULTS_SQL}, g AS (SELECT bag, value, ns - lag(ns) OVER (PARTITION BY bag ORDER BY ns, frame) AS dt FROM r)
+    SELECT bag, count(*) AS frames, count(*) FILTER (WHERE coalesce(dt, 1) > 0 AND value < 20) AS insufficient, count(*) FILTER (WHERE dt > {8 * HOUR} AND NOT coalesce(value < 20, false)) AS gaps, count(*) FILTER (WHERE dt = 0) AS duplicates FROM g GROUP BY bag""",
+)
+def stream_resets(spark: SparkSession, d: str) -> DataFrame:
+    """What clears a recording's state: too few returns, or a gap (late scans come in later batches only)."""
+    m = live.run_available(live.monitor(live.read_events(spark, d).withColumn("returns", F.col("value")), 8 * HOUR, 20), shared_folder(spark))
+    is_ = lambda r: F.count_if(F.col("reset") == r)
+    return m.groupBy("bag").agg(F.count("*").alias("frames"), is_("insufficient_returns").alias("insufficient"), is_("gap").alias("gaps"), F.count_if(F.col("outcome") == "duplicate").alias("duplicates"))
+
+
 @query("stream_watchdog", "STR-4")
 def stream_watchdog(spark: SparkSession, d: str) -> DataFrame:
     """The last scan of each recording as the watchdog saw it."""

@@ -196,8 +196,9 @@ def mask_metrics(spark: SparkSession, d: str) -> DataFrame:
 )
 def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     """Outcome tables by three axes in one pass over the cases."""
-    table(spark, d, "part").selectExpr("floor(p_size / 10) AS size_bucket", "p_brand AS brand", "p_type AS kind", "p_retailprice > 1200 AS hit").createOrReplaceTempView("corvane_outcomes")
-    return spark.sql("SELECT size_bucket, brand, kind, count(*) AS n, count_if(hit) AS hits FROM corvane_outcomes GROUP BY GROUPING SETS ((size_bucket), (brand), (kind))")
+    cases = table(spark, d, "part").selectExpr("floor(p_size / 10) AS size_bucket", "p_brand AS brand", "p_type AS kind", "p_retailprice > 1200 AS hit")
+    sets = [[F.col(c)] for c in ("size_bucket", "brand", "kind")]
+    return cases.groupingSets(sets, "size_bucket", "brand", "kind").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
 
 @query(
@@ -230,7 +231,7 @@ def label_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(F.col("p_type").alias("kind"), F.col("p_brand").alias("obj")).agg(F.count("*").alias("n"))
 
 
-@query("distinct_poses", "AGG-30 SNK-3 SRC-11", "SELECT o_orderpriority AS run, count(DISTINCT sha256(o_orderstatus || '|' || o_custkey::VARCHAR)) AS patterns FROM orders GROUP BY 1")
+@query("distinct_poses", "AGG-30 SNK-3", "SELECT o_orderpriority AS run, count(DISTINCT sha256(o_orderstatus || '|' || o_custkey::VARCHAR)) AS patterns FROM orders GROUP BY 1")
 def distinct_poses(spark: SparkSession, d: str) -> DataFrame:
     """Distinct bit patterns, by digest."""
     digest = F.sha2(F.concat_ws("|", "o_orderstatus", F.col("o_custkey").cast("string")).cast("binary"), 256)
@@ -316,7 +317,7 @@ def relation_reasons(spark: SparkSession, d: str) -> DataFrame:
     return scan_objects(spark, d).groupBy("relation", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("compact_candidates", "FIL-16 AGG-6", f"WITH {OBJECTS} SELECT frame, count(*) AS n, min(structure_distance) AS nearest FROM o WHERE boundary >= 2 AND relation <> 'unknown' AND structural = 0 AND NOT (certified = 1) GROUP BY frame")
+@query("compact_candidates", "AGG-6", f"WITH {OBJECTS} SELECT frame, count(*) AS n, min(structure_distance) AS nearest FROM o WHERE boundary >= 2 AND relation <> 'unknown' AND structural = 0 AND NOT (certified = 1) GROUP BY frame")
 def compact_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Objects with enough inside support that are compact and neither attached, continuous nor periodic."""
     keep = (F.col("boundary") >= 2) & (F.col("relation") != "unknown") & (F.col("structural") == 0) & ~(F.col("certified") == 1)
@@ -329,7 +330,7 @@ def evidence_split(spark: SparkSession, d: str) -> DataFrame:
     return scan_objects(spark, d).groupBy("frame", "relation").agg(*counts, F.min("structure_distance").alias("lo"), F.max("structure_distance").alias("hi"))
 
 
-@query("distance_summary", "OBJ-4 OBJ-3", f"WITH {OBJECTS} SELECT frame, min(structure_distance) FILTER (WHERE relation = 'intersecting') AS intersecting, min(structure_distance) FILTER (WHERE relation = 'unresolved') AS unresolved, min(structure_distance) AS any_object FROM o GROUP BY frame")
+@query("distance_summary", "OBJ-4", f"WITH {OBJECTS} SELECT frame, min(structure_distance) FILTER (WHERE relation = 'intersecting') AS intersecting, min(structure_distance) FILTER (WHERE relation = 'unresolved') AS unresolved, min(structure_distance) AS any_object FROM o GROUP BY frame")
 def distance_summary(spark: SparkSession, d: str) -> DataFrame:
     of = lambda r: F.min(F.when(F.col("relation") == r, F.col("structure_distance"))).alias(r)
     return scan_objects(spark, d).groupBy("frame").agg(of("intersecting"), of("unresolved"), F.min("structure_distance").alias("any_object"))
@@ -362,8 +363,8 @@ def label_checks(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("label").agg(F.count_if(F.abs(F.col("size") / F.col("mean") - 1) > 0.005).alias("odd_size"), F.count_if(F.abs(F.col("y0") - F.col("before")) > 5).alias("jumps"), F.count("*").alias("n"))
 
 
-@query("header_scan", "SRC-4 SRC-5 SRC-6", "SELECT source AS topic, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, count(DISTINCT substr(text, 1, 16)) AS headers FROM documents GROUP BY source")
+@query("header_scan", "SRC-5", "SELECT source AS topic, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, count(DISTINCT text) AS messages FROM documents GROUP BY source")
 def header_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Count, bounds and distinct headers by topic from each message's first characters."""
-    docs = table(spark, d, "documents").select("source", "doc_id", F.substring("text", 1, 16).alias("head"))
-    return docs.groupBy(F.col("source").alias("topic")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count_distinct("head").alias("headers"))
+    """Count, bounds and distinct messages by topic."""
+    docs = table(spark, d, "documents").select("source", "doc_id", "text")
+    return docs.groupBy(F.col("source").alias("topic")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count_distinct("text").alias("messages"))

@@ -266,15 +266,26 @@ def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return p, sp.mutual_radius_edges(p, 1.0)
 
 
-@query("mutual_radius", "JOIN-13", f"WITH {POINTS_SQL}, {EDGE_SQL} SELECT * FROM e")
+def checksum(edges: DataFrame) -> DataFrame:
+    """Of each scan's edges: how many, and sums that hardly another set of edges has."""
+    mixed = (F.col("src") * 31 + F.col("dst")) * (F.col("src") + 7) % 1000003
+    return edges.groupBy("frame").agg(F.count("*").alias("edges"), F.sum("src").alias("src"), F.sum("dst").alias("dst"), F.sum(mixed).alias("mixed"))
+
+
+CHECKSUM = "SELECT frame, count(*) AS edges, sum(src)::BIGINT AS src, sum(dst)::BIGINT AS dst, sum((src * 31 + dst) * (src + 7) % 1000003)::BIGINT AS mixed FROM {} GROUP BY frame"
+
+
+@query("mutual_radius", "JOIN-13", f"WITH {POINTS_SQL}, {EDGE_SQL} {CHECKSUM.format('e')}")
 def mutual_radius(spark: SparkSession, d: str) -> DataFrame:
-    return graph(spark, d)[1]
+    """The edges as counts and checksums of each scan."""
+    return checksum(graph(spark, d)[1])
 
 
-@query("fixed_radius", "JOIN-14", f"WITH {POINTS_SQL} SELECT a.frame, a.point_id AS src, b.point_id AS dst FROM p a JOIN p b ON a.frame = b.frame AND a.point_id < b.point_id AND {DIST} <= 0.25")
+@query("fixed_radius", "JOIN-14", f"WITH {POINTS_SQL}, e AS (SELECT a.frame, a.point_id AS src, b.point_id AS dst FROM p a JOIN p b ON a.frame = b.frame AND a.point_id < b.point_id AND {DIST} <= 0.25) {CHECKSUM.format('e')}")
 def fixed_radius(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    return sp.neighbour_pairs(p.drop("ring"), p.drop("ring"), 0.5, once=True).select("frame", F.least("a_point_id", "b_point_id").alias("src"), F.greatest("a_point_id", "b_point_id").alias("dst"))
+    pairs = sp.neighbour_pairs(p.drop("ring"), p.drop("ring"), 0.5, once=True)
+    return checksum(pairs.select("frame", F.least("a_point_id", "b_point_id").alias("src"), F.greatest("a_point_id", "b_point_id").alias("dst")))
 
 
 @query("degrees", "SEG-5", f"WITH {POINTS_SQL}, {EDGE_SQL}, t AS (SELECT frame, src AS point_id FROM e UNION ALL SELECT frame, dst FROM e), c AS (SELECT frame, point_id, count(*) AS n FROM t GROUP BY ALL) SELECT frame, point_id, coalesce(n, 0) + 1 AS degree FROM p LEFT JOIN c USING (frame, point_id)")
@@ -283,10 +294,10 @@ def degrees(spark: SparkSession, d: str) -> DataFrame:
     return sp.degrees(p, e)
 
 
-@query("induced_subgraph", "SEG-4", f"WITH {POINTS_SQL}, {EDGE_SQL} SELECT e.* FROM e JOIN p a ON a.frame = e.frame AND a.point_id = src AND a.ring <= 4 JOIN p b ON b.frame = e.frame AND b.point_id = dst AND b.ring <= 4")
+@query("induced_subgraph", "SEG-4", f"WITH {POINTS_SQL}, {EDGE_SQL}, i AS (SELECT e.* FROM e JOIN p a ON a.frame = e.frame AND a.point_id = src AND a.ring <= 4 JOIN p b ON b.frame = e.frame AND b.point_id = dst AND b.ring <= 4) {CHECKSUM.format('i')}")
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
     p, e = graph(spark, d)
-    return sp.induced(e, p.where("ring <= 4"))
+    return checksum(sp.induced(e, p.where("ring <= 4")))
 
 
 COMPONENT_SQL = f"""{EDGE_SQL}, s AS (SELECT frame, src AS u, dst AS v FROM e UNION ALL SELECT frame, dst, src FROM e),

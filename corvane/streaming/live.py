@@ -27,11 +27,15 @@ def read_events(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFra
     return raw.select(F.col("user_id").alias("bag"), F.col("event_id").alias("frame"), (micros(raw, "ts") * 1000).alias("ns"), F.col("event_type").alias("status"), "value")
 
 
-MONITORED = "bag long, frame long, ns long, outcome string, gap_reset boolean, received long, processed long"
+MONITORED = "bag long, frame long, ns long, outcome string, status string, reset string, gap_reset boolean, received long, processed long"
 
 
-def monitor(scans: DataFrame, max_gap_ns: int) -> DataFrame:
-    """Each scan's outcome (processed, duplicate, out_of_order), gap resets and running counters per recording."""
+def monitor(scans: DataFrame, max_gap_ns: int, min_returns: float | None = None) -> DataFrame:
+    """Each scan's outcome (processed, duplicate, out_of_order), resets and running counters per recording.
+
+    ``reset`` says what cleared the recording's state: a late scan, a gap, or (with ``min_returns``, which needs a column ``returns``) too few
+    returns. Late scans and those of too few returns have the status ``unknown``; a late one leaves the acquisition time as it was.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, received, processed = state.get if state.exists else (None, 0, 0)
@@ -39,12 +43,17 @@ def monitor(scans: DataFrame, max_gap_ns: int) -> DataFrame:
         for r in pd.concat(list(frames)).sort_values(["ns", "frame"]).itertuples():
             received += 1
             outcome = "processed" if last is None or r.ns > last else "duplicate" if r.ns == last else "out_of_order"
-            gap = outcome == "processed" and last is not None and r.ns - last > max_gap_ns
+            reset = "late" if outcome == "out_of_order" else None
             if outcome == "processed":
+                if min_returns is not None and r.returns < min_returns:
+                    reset = "insufficient_returns"
+                elif last is not None and r.ns - last > max_gap_ns:
+                    reset = "gap"
                 last, processed = int(r.ns), processed + 1
-            rows.append((key[0], r.frame, r.ns, outcome, gap, received, processed))
+            status = "unknown" if reset in ("late", "insufficient_returns") else "seen"
+            rows.append((key[0], r.frame, r.ns, outcome, status, reset, reset == "gap", received, processed))
         state.update((last, received, processed))
-        yield pd.DataFrame(rows, columns=["bag", "frame", "ns", "outcome", "gap_reset", "received", "processed"])
+        yield pd.DataFrame(rows, columns=["bag", "frame", "ns", "outcome", "status", "reset", "gap_reset", "received", "processed"])
 
     return scans.groupBy("bag").applyInPandasWithState(step, MONITORED, "last long, received long, processed long", "append", GroupStateTimeout.NoTimeout)
 
@@ -70,13 +79,15 @@ def watchdog(scans: DataFrame, silence_ms: int) -> DataFrame:
 def track_stream(objects: DataFrame, params: TrackParams) -> DataFrame:
     """The batch tracker's step on a stream of objects: the same class, its state carried per recording.
 
-    Scans not newer than the recording's last are left out, as ``monitor`` reports them.
+    Scans not newer than the recording's last give no rows, as ``monitor`` reports them; an older one clears the tracks, and ids go on.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker = pickle.loads(state.get[0]) if state.exists else Tracker(params)
         g = pd.concat(list(frames))
         if tracker.last is not None:
+            if (g["ns"] / 1e9 < tracker.last).any():
+                tracker.reset()
             g = g[g["ns"] / 1e9 > tracker.last]
         rows = list(run_scans(tracker, int(key[0]), g)) if len(g) else []
         state.update((pickle.dumps(tracker),))

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corvane.functions import numeric as fn
-from corvane.operators import assign, compare, episodes, evaluate, fits, generate, geometry, motion, segments, spatial, tracking
+from corvane.operators import assign, candidates, compare, episodes, evaluate, fits, generate, geometry, motion, registration, segments, spatial, tracking
 from corvane.plans import geometry_queries as gq
 from corvane.plans import model_queries as mq
 from corvane.sources import clouds
@@ -340,3 +340,115 @@ def test_rotation_mean_of_opposite_turns():
 def test_hash_noise_is_standard_normal(spark):
     r = spark.range(20000).select(generate.gaussian(5, F.col("id")).alias("g")).agg(F.avg("g"), F.stddev("g")).first()
     assert abs(r[0]) < 0.03 and abs(r[1] - 1) < 0.03
+
+
+def test_components_equal_a_plain_search():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (5, 3), (60, 40), (60, 200)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        near = {i: {i} for i in range(n)}
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            merged = near[i] | near[j]
+            for k in merged:
+                near[k] = merged
+        roots = sorted({min(x) for x in near.values()})
+        assert assign.union_find(n, a, b).tolist() == [roots.index(min(near[i])) for i in range(n)]
+
+
+def test_candidates_are_compact_and_alone(spark):
+    block = lambda label, x0, y0, n=3: [(0, label, x0 + 0.3 * i, y0 + 0.3 * j, 0.5 + 0.3 * k, True) for i in range(n) for j in range(n) for k in range(n)]
+    rows = block(1, 20.0, 0.0) + [(0, 2, 10 + 0.5 * i, 5.0, 0.5 + 0.4 * (i % 2), True) for i in range(160)]
+    rows += [r for i in range(6) for r in block(10 + i, 10.0 + 12 * i, -5.0)] + block(30, 50.0, 10.0, 5)
+    rows += [(0, 40, 30.0, 15.0, 0.5, False)] * 9
+    c = candidates.CompactParams(3, (0.2, 6.0), 0.73, 7.0, 60.0, 9.0, 100)
+    found = {r.label: r for r in candidates.clusters(spark.createDataFrame(rows, "frame long, label long, x double, y double, z double, inside boolean"), c).collect()}
+    assert found[2].long and found[2].continuous and all(found[10 + i].periodic and found[10 + i].repeats == 5 for i in range(6))
+    assert found[30].attached and not found[30].periodic and 40 not in found
+    assert [r.label for r in candidates.compact(candidates.clusters(spark.createDataFrame(rows, "frame long, label long, x double, y double, z double, inside boolean"), c)).collect()] == [1]
+
+
+def test_objects_that_stand_on_the_bed_come_apart(spark):
+    body = lambda x0: [(x0 + 0.2 * i, 0.2 * j, 0.2 * k) for i in range(2) for j in range(2) for k in range(1, 8)]
+    bed = [(0.2 * i, 0.0, 0.0) for i in range(40)]
+    xyz = np.array(body(1.0) + body(5.0)[:20] + bed)
+    src, dst = np.nonzero(np.triu(np.linalg.norm(xyz[:, None] - xyz[None], axis=2) < 0.3, 1))
+    c = candidates.SurfaceParams(0.1, 6, 0.8, 0.3)
+    part = candidates.surface_parts(xyz, xyz[:, 2], src, dst, c)
+    assert set(part[:28]) == {0} and set(part[28:48]) == {1}
+    left = np.abs(xyz[48:, 0] - 1.1) < np.abs(xyz[48:, 0] - 5.1)
+    assert (part[48:][np.abs(xyz[48:, 0] - 3.1) > 0.5] == np.where(left, 0, 1)[np.abs(xyz[48:, 0] - 3.1) > 0.5]).all()
+    assert not candidates.surface_parts(xyz, xyz[:, 2] + 1, src, dst, c).any()  # nothing stands on the bed
+    p = spark.createDataFrame([(0, i, i // 1000, *map(float, v), float(v[2])) for i, v in enumerate(xyz)], "frame long, point_id long, label long, x double, y double, z double, height double")
+    e = spark.createDataFrame([(0, int(i), int(j)) for i, j in zip(src, dst, strict=True)], "frame long, src long, dst long")
+    assert [r.part for r in candidates.split_surface(p, e, c).orderBy("point_id").collect()] == part.tolist()
+
+
+def test_normals_of_planes_and_lines(spark):
+    rng = np.random.default_rng(1)
+    flat = [(0, i, float(x), float(y), float(0.5 * x + 3)) for i, (x, y) in enumerate(rng.uniform(0, 2, (60, 2)))]
+    line = [(1, i, 0.1 * i, 0.0, 0.0) for i in range(20)]
+    got = registration.normals(registration.covariances(cloud(spark, flat + line), 1.0, 20)).collect()
+    n = np.array([0.5, 0, -1]) / math.sqrt(1.25)
+    assert all(abs(abs(r.nx * n[0] + r.ny * n[1] + r.nz * n[2]) - 1) < 1e-6 and r.planarity > 0.999 for r in got if r.frame == 0 and r.nx is not None)
+    assert all(r.nx is None and r.planarity is None for r in got if r.frame == 1)
+    weak = registration.weak_axes(spark.createDataFrame([(0, 0.0, 0.0, 1.0), (0, 0.0, 1.0, 0.0)], "frame long, nx double, ny double, nz double"), 0.2).first()
+    assert weak.information == [0.0, 0.5, 0.5] and weak.weak == ["x"]
+
+
+def test_quality_of_shifted_scans(spark):
+    a = [(0, i, float(i), 0.0, 0.0) for i in range(10)]
+    b = [(0, i, i + 0.2, 0.0, 0.0) for i in range(5)]
+    r = registration.registration_quality(cloud(spark, a), cloud(spark, b), 0.2).first()
+    assert (r.n, r.overlap) == (10, 0.5) and r.residual == pytest.approx(0.2)
+
+
+def stream_of(spark, tmp_path, batches, schema):
+    import os
+
+    for i, rows in enumerate(batches):
+        at = str(tmp_path / f"{i}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(at)
+        (f,) = [x for x in os.listdir(at) if x.endswith(".parquet")]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        os.rename(f"{at}/{f}", tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_000_000 + i, 1_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_late_scans_reset_and_say_unknown(spark, tmp_path):
+    from corvane.streaming import live
+
+    s = 10**9
+    batches = [[(1, 1, 1 * s, 50.0), (1, 2, 2 * s, 50.0)], [(1, 3, 1 * s, 50.0), (1, 4, 2 * s, 50.0), (1, 5, 3 * s, 5.0)], [(1, 6, 30 * s, 50.0), (2, 7, 1 * s, 50.0)]]
+    m = live.run_available(live.monitor(stream_of(spark, tmp_path, batches, "bag long, frame long, ns long, returns double"), 10 * s, 20), str(tmp_path / "out"))
+    got = {r.frame: (r.outcome, r.status, r.reset, r.processed) for r in m.collect()}
+    assert got == {
+        1: ("processed", "seen", None, 1), 2: ("processed", "seen", None, 2), 3: ("out_of_order", "unknown", "late", 2), 4: ("duplicate", "seen", None, 2),
+        5: ("processed", "unknown", "insufficient_returns", 3), 6: ("processed", "seen", "gap", 4), 7: ("processed", "seen", None, 1),
+    }
+
+
+def test_a_late_scan_clears_tracks_and_ids_go_on(spark, tmp_path):
+    from corvane.streaming import live
+
+    row = lambda f, t: (1, f, t * 10**8, 1, 10.0, 0.0, 0.0, 1.0, 1.0, 1.0, "adjacent", 10, 4, False)
+    schema = "bag long, frame long, ns long, id long, cx double, cy double, cz double, ex double, ey double, ez double, relation string, support long, certain long, immediate boolean"
+    out = live.run_available(live.track_stream(stream_of(spark, tmp_path, [[row(1, 1), row(2, 2)], [row(3, 1), row(4, 3)], [row(5, 3), row(6, 4)]], schema), PARAMS), str(tmp_path / "out"))
+    assert sorted((r.frame, r.track_id) for r in out.collect()) == [(1, 1), (2, 1), (4, 2), (6, 2)]
+
+
+def test_silence_is_unknown(spark, tmp_path):
+    import time
+
+    from corvane.streaming import live
+
+    w = live.watchdog(stream_of(spark, tmp_path, [[(1, 1, 5)], [(1, 2, 7)]], "bag long, frame long, ns long"), 500)
+    q = w.writeStream.format("memory").queryName("silence").outputMode("append").trigger(processingTime="200 milliseconds").option("checkpointLocation", str(tmp_path / "check")).start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and not spark.sql("SELECT 1 FROM silence WHERE status = 'unknown'").count():
+            time.sleep(0.5)
+        rows = [(r.ns, r.status) for r in spark.sql("SELECT * FROM silence").collect()]
+    finally:
+        q.stop()
+    assert (7, "seen") in rows and (7, "unknown") in rows
