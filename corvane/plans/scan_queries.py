@@ -14,7 +14,7 @@ from .geometry_queries import CLASSIFIED, LIMITS, RAW, frames_geometry
 from .registry import query
 from .spatial_queries import COMPONENT_SQL, DIST, graph
 
-COMPACT = cd.CompactParams(3, (0.2, 6.0), 0.73, 7.0, 60.0, 9.0, 40)
+COMPACT = cd.CompactParams(3, (0.2, 6.0), 0.73, 40.0, 92.0, 9.0, 40)
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
@@ -27,9 +27,9 @@ MEMBERS_SQL = f"""{POINTS_SQL}, {COMPONENT_SQL}, l AS (SELECT frame, dense_rank(
    max(z) FILTER (WHERE inside) - min(z) FILTER (WHERE inside) AS height, median(y) FILTER (WHERE inside) AS at_y, median(z) FILTER (WHERE inside) AS at_z FROM l GROUP BY frame, label
    HAVING count(*) FILTER (WHERE inside) >= 3 AND max(z) FILTER (WHERE inside) - min(z) FILTER (WHERE inside) BETWEEN 0.2 AND 6.0),
  o AS (SELECT g.frame, g.label, l.x, l.x - lag(l.x) OVER (PARTITION BY g.frame, g.label ORDER BY l.x) AS step FROM g JOIN l ON l.frame = g.frame AND l.inside AND abs(l.y - at_y) < 0.73 AND abs(l.z - at_z) < 0.73),
- v AS (SELECT frame, label, max(x) - min(x) AS coverage, count(*) FILTER (WHERE step > 7.0) AS repeats FROM o GROUP BY frame, label),
+ v AS (SELECT frame, label, max(x) - min(x) AS coverage, count(*) FILTER (WHERE step > 40.0) AS repeats FROM o GROUP BY frame, label),
  k AS (SELECT g.*, coalesce(coverage, 0) AS coverage, coalesce(repeats, 0) AS repeats FROM g LEFT JOIN v USING (frame, label))"""
-FLAGS_SQL = "length > 9.0 AS long, members > 40 AS attached, coverage > 60.0 AS continuous, repeats >= 1 AND coverage > 30.0 AS periodic"
+FLAGS_SQL = "length > 9.0 AS long, members > 40 AS attached, coverage > 92.0 AS continuous, repeats >= 1 AND coverage > 46.0 AS periodic"
 
 
 @query("structure_profile", "SEG-8", f"WITH RECURSIVE {MEMBERS_SQL} SELECT frame, label, members, n_inside, round(distance, 6) AS distance, round(coverage, 6) AS coverage, repeats, {FLAGS_SQL} FROM k")
