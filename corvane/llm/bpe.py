@@ -49,6 +49,9 @@ def byte_letters() -> dict[int, str]:
     rest = [b for b in range(256) if b not in set(shown)]
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+#: Transitions that a worker remembers, at most.
+ARCS = 2_000_000
+
 
 class MergeAutomaton:
     """``labels[t]`` are token t's bytes; ``parent``/``lost`` describe states, ``state_of[t]`` where arcs labelled t end."""
@@ -100,6 +103,8 @@ class MergeAutomaton:
     def arc(self, last: int, token: int) -> bool:
         """The transition table, filled on demand: may ``token`` follow ``last``?"""
         key = last << 20 | token
+        if len(self._arc) > ARCS:
+            self._arc.clear()
         got = self._arc.get(key)
         if got is None:
             got = self._arc[key] = self._has(self.state_of[last], token)

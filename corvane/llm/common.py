@@ -8,6 +8,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -78,14 +79,24 @@ class KeyTable:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive any executor.
 
-    ``keep`` writes a frame and returns it reread; ``drop`` deletes one that nothing reads any more.
+    ``keep`` writes a frame and returns it reread; ``drop`` deletes one that nothing reads any more. Results are read lazily, so an operator
+    can't drop what its own result reads: ``clear_since`` deletes that once the result was written elsewhere.
     """
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str):
+        self.made.append(self)
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
+    @classmethod
+    def clear_since(cls, n: int) -> None:
+        """Deletes the tables of every scratch made after the first ``n``."""
+        while len(cls.made) > n:
+            cls.made.pop().clear()
+
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
@@ -94,6 +105,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def clear(self) -> None:
+        """Deletes every table of this scratch."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in frames:

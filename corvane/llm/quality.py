@@ -94,14 +94,17 @@ def word_ratios(sample: DataFrame) -> dict[str, float]:
         yield out()
 
     words = sample.select("text", "y").mapInArrow(count, "word string, neg long, pos long").groupBy("word").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    words = Scratch(sample.sparkSession, "words").keep(words, "counts")
+    scratch = Scratch(sample.sparkSession, "words")
+    words = scratch.keep(words, "counts")
     of = words.where("word = ''").first()
     if of is None or not of.neg or not of.pos:
         return {}
     ratio = F.log((F.col("pos") + 1) / (of.pos + 2)) - F.log((F.col("neg") + 1) / (of.neg + 2))
     z = F.abs(F.col("r")) / F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1))
     best = words.where("word <> ''").withColumn("r", ratio).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(WORDS)
-    return {r.word: r.r for r in best.select("word", "r").collect()}
+    out = {r.word: r.r for r in best.select("word", "r").collect()}  # WORDS rows at most
+    scratch.clear()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, target: str = "quality") -> Evidence:

@@ -667,6 +667,18 @@ def test_links_in_a_large_family_of_unlinked_texts_are_all_found(spark, monkeypa
     assert got == {i: i % (n - pairs) for i in range(n)}
 
 
+def test_links_just_above_the_threshold_among_texts_just_below_are_all_found(spark):
+    """One template of 90 shingles: any two texts share 0.837 of theirs, planted pairs 0.856 (a part of the tail more)."""
+    template, n, pairs = " ".join(f"t{i}" for i in range(92)), 1000, 150
+    tail = lambda i, k: " ".join(f"x{i}_{j}" for j in range(k))
+    texts = [f"{template} {tail(i % (n - pairs), 1)} {tail(10**6 + i, 8)}" for i in range(n)]
+    sets = [neardup.shingles(t, 3) for t in texts]
+    share = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    assert share(0, 1) < 0.85 <= share(0, n - pairs) < 0.87 and share(0, 1) > 0.82
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
+    assert got == {i: i % (n - pairs) for i in range(n)}
+
+
 def test_tile_links_equal_all_pairs():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 40, 60)
@@ -752,6 +764,77 @@ def test_pipeline_equals_a_plain_version(spark, sf):
     check_packing([(r.doc_id, r.text) for r in stay], cp.run(spark, sf).collect())
 
 
+def test_pipeline_takes_odd_and_empty_tables(spark, odd, no_docs, labels, tmp_path):
+    import corpus_pipeline as cp
+
+    for name, docs, marks in (("odd", odd, labels), ("empty", no_docs, labels.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for n, stage in cp.STAGES[:-1]:
+            out = stage(spark, spark.read.parquet(f"{tmp_path}/{name}/documents.parquet"), f"{tmp_path}/{name}")
+            assert out.columns == docs.columns
+            assert name == "odd" or out.count() == 0
+    kept = cp.language(spark, odd, f"{tmp_path}/odd")
+    assert kept.where("text is null or trim(text) = ''").count() == 0 and kept.count() > 0
+    assert cp.run(spark, f"{tmp_path}/empty").count() == 0
+    pieces = cp.run(spark, f"{tmp_path}/odd").collect()
+    by = defaultdict(int)
+    for p in pieces:
+        by[p.doc_id] += p.length
+    assert all(by[p.doc_id] >= p.doc_tokens for p in pieces)
+
+
+def test_decoding_nulls_and_invalid_bytes(spark):
+    ids = lambda *x: np.array(x, "<u4").tobytes()
+    c = bpe.codec(open(bpe.byte_bpe_path(), encoding="utf-8").read())
+    broken = c.automaton.labels.index(b"\xe2") if hasattr(c, "automaton") else None
+    rows_ = [(1, None), (2, b""), (3, c.encode("plain é"))] + ([(4, ids(broken))] if broken is not None else [])
+    got = {r.doc_id: r.text for r in bpe.bpe_decode(spark.createDataFrame(rows_, "doc_id long, ids binary")).collect()}
+    assert got[1] == got[2] == "" and got[3] == "plain é" and got.get(4, "\ufffd") == "\ufffd"
+
+
+def test_remembered_arcs_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "ARCS", 10)
+    c = bpe.codec(open(bpe.byte_bpe_path(), encoding="utf-8").read())
+    text = " ".join(random.Random(1).choices(["unbelievable", "hippopotamus", "straße", "xyzzy1234"], k=50))
+    from tokenizers import Tokenizer
+
+    assert np.frombuffer(c.encode(text), "<u4").tolist() == Tokenizer.from_file(bpe.byte_bpe_path()).encode(text, add_special_tokens=False).ids
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Buckets, log-count ratios and the score, one n-gram at a time."""
+    rng = random.Random(5)
+    words = ["nice", "day", "Vile", "filth", "tree", "walk"]
+    texts = [" ".join(rng.choices(words[:2] + words[4:] if i % 3 else words[1:4], k=8)) for i in range(120)]
+    docs, marks = docs_of(spark, texts), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    m = toxicity.fit(docs, marks)
+
+    def grams(t):
+        t, out = f" {' '.join(t.lower().split())} ", set()
+        for n in toxicity.SIZES:
+            for i in range(len(t) - n + 1):
+                h = 0
+                for k, ch in enumerate(t[i : i + n]):
+                    h = ord(ch) if k == 0 else (h * 0x9E3779B97F4A7C15 + ord(ch)) % 2**64
+                out.add((((h ^ n) * 0xD6E8FEB86659FD93) % 2**64) >> (64 - toxicity.BITS))
+        return out
+
+    assert all(sorted(grams(t)) == toxicity.buckets(t).tolist() for t in texts[:20])
+    learn = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    pos, neg = (Counter(g for i in learn if (i % 3 == 0) == bad for g in grams(texts[i])) for bad in (True, False))
+    p, n = (sum((i % 3 == 0) == bad for i in learn) for bad in (True, False))
+    for g in {*pos, *neg}:
+        r = math.log((pos[g] + 1) / (p + 2)) - math.log((neg[g] + 1) / (n + 2))
+        if abs(r) < toxicity.MIN_Z * math.sqrt(1 / (pos[g] + 1) + 1 / (neg[g] + 1)):
+            assert m.coef[g] == 0
+        elif m.coef[g]:
+            assert m.coef[g] * r > 0  # training moves a ratio's weight from none towards its side
+    for r in toxicity.toxicity_scores(docs, m).collect():
+        z = m.bias + sum(m.coef[g] for g in grams(texts[r.doc_id]))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z))) and r.predicted == int(r.score >= 0.5) == int(r.doc_id % 3 == 0)
+
+
 def test_digests_of_the_queries(spark, sf):
     r = registry.QUERIES["op5_bpe_codec"](spark, sf).orderBy("doc_id").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").first().text
