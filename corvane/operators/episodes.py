@@ -72,9 +72,19 @@ def hits_in_window(scans: DataFrame, hit: Column, number: str, window: int, keys
 
 
 def distinct_in_window(scans: DataFrame, value: str, window_ns: int, keys: tuple[str, ...] = ("bag",)) -> DataFrame:
-    """Distinct values over the last ``window_ns`` (a value exactly that old still counts)."""
-    seen = F.collect_list(value).over(ordered(keys).rangeBetween(-window_ns, 0))
-    return scans.withColumn("distinct", F.size(F.array_distinct(seen)))
+    """Distinct values over the last ``window_ns`` (a value exactly that old still counts).
+
+    A value counts from each of its scans for ``window_ns``; where that overlaps it is one stretch. So the distinct values at a scan are the stretches
+    begun less those ended: a running sum, no list of a window's values.
+    """
+    of_value = W.partitionBy(*keys, value).orderBy("ns")
+    counted = F.col(value).isNotNull()
+    since, until = F.col("ns") - F.lag("ns").over(of_value), F.lead("ns").over(of_value) - F.col("ns")
+    s = scans.withColumn("__begins", F.when(counted & (since.isNull() | (since > window_ns)), 1).otherwise(0)).withColumn("__ends", counted & (until.isNull() | (until > window_ns)))
+    here = s.select(F.struct(*scans.columns).alias("row"), *keys, (F.col("ns") * 2).alias("at"), F.col("__begins").alias("step"))
+    over = s.where("__ends").select(F.lit(None).cast(here.schema["row"].dataType).alias("row"), *keys, ((F.col("ns") + window_ns) * 2 + 1).alias("at"), F.lit(-1).alias("step"))
+    running = here.unionByName(over).withColumn("distinct", F.sum("step").over(W.partitionBy(*keys).orderBy("at")).cast("int"))
+    return running.where("row is not null").select("row.*", "distinct")
 
 
 def rolling_median(scans: DataFrame, value: str, n: int, keys: tuple[str, ...] = ("bag",), by: str = "ns") -> DataFrame:

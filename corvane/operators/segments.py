@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import norm
+from ..sources.shared import shared_folder
 from . import spatial as sp
 from .assign import shortest_from, union_find
 
@@ -34,7 +36,12 @@ def density_labels(points: DataFrame, c: DensityParams) -> DataFrame:
     r = norm(F.col("x"), F.col("y"), F.col("z"))
     need = F.greatest(F.lit(c.min_far), F.ceil(c.min_near * F.least(F.lit(1.0), F.pow(c.reference_range / F.greatest(r, F.lit(1.0)), 2))))
     p = points.select("frame", "point_id", "x", "y", (F.col("z") * c.vertical_scale).alias("z"), F.least(F.greatest(c.radius + c.angular_radius * r, F.lit(c.radius)), F.lit(c.max_radius)).alias("radius"), need.alias("need"))
-    edges = sp.mutual_radius_edges(p, c.max_radius)
+    # The graph is read three times (degrees, cores, labels), so it is written once.
+    spark = points.sparkSession
+    at = f"{shared_folder(spark).rstrip('/')}/edges-{uuid.uuid4().hex}"
+    graph = sp.mutual_radius_edges(p, c.max_radius)
+    graph.write.parquet(at)
+    edges = spark.read.schema(graph.schema).parquet(at)
     core = sp.degrees(p, edges).join(p.select("frame", "point_id", "need"), ["frame", "point_id"]).select("frame", "point_id", (F.col("degree") >= F.col("need")).alias("core"))
     sides = p.join(core, ["frame", "point_id"]).select("frame", "point_id", "x", "y", "z", "radius", "core")
     pairs = sp.neighbour_pairs(sides.where("not core").drop("core"), sides.where("core").drop("core"), c.max_radius)

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corvane.functions import numeric as fn
-from corvane.operators import assign, candidates, compare, episodes, evaluate, fits, generate, geometry, motion, registration, segments, spatial, tracking
+from corvane.operators import assign, background, candidates, compare, episodes, evaluate, fits, generate, geometry, motion, registration, segments, spatial, tracking
 from corvane.plans import geometry_queries as gq
 from corvane.plans import model_queries as mq
 from corvane.sources import clouds
@@ -452,3 +452,58 @@ def test_silence_is_unknown(spark, tmp_path):
     finally:
         q.stop()
     assert (7, "seen") in rows and (7, "unknown") in rows
+
+
+def test_lines_are_numbered_in_order_over_ranges(spark):
+    rows = [(int(x), f"v{x}") for x in np.random.default_rng(1).permutation(500)]
+    run = spark.createDataFrame(rows, "frame long, v string").repartition(5)
+    assert [(r.line, r.frame) for r in compare.numbered(run, ["frame"]).orderBy("line").collect()] == [(i + 1, i) for i in range(500)]
+    m = compare.positional_merge(compare.numbered(run, ["frame"]), compare.numbered(run.where("frame <> 3"), ["frame"]), ["frame"]).orderBy("line").collect()
+    assert [r.same for r in m] == [True] * 3 + [False] * 497 and m[-1].after is None and m[3].after.frame == 4
+
+
+def test_masks_leave_what_protrudes(spark):
+    rng = np.random.default_rng(3)
+    wall = [(0, i, float(x), 2.0, float(z)) for i, (x, z) in enumerate(rng.uniform(0, 6, (800, 2)))]
+    post = [(0, 2000 + i, 3.0 + 0.02 * (i % 5), 1.2 + 0.05 * (i // 20), 2.0 + 0.1 * (i % 20)) for i in range(200)]
+    p = cloud(spark, wall + post)
+    n = registration.normals(registration.covariances(p, 0.5, 20), least=5)
+    patches = [(-1.0, 7.0, (0.0, 1.0, 0.0), -2.0)]
+    got = {r.point_id: r for r in background.mask(p, n, patches, background.MaskParams(0.1, 0.8, 0.2, 1.0, 0.4)).collect()}
+    protects = [i for i, r in got.items() if r.protects]
+    assert len(got) == 1000 and protects and all(i >= 2000 for i in protects)
+    where = {i: np.array(v) for _, i, *v in wall + post}
+    normal = {r.point_id: r for r in n.collect()}
+    for _, i, x, y, z in wall:
+        near = any(np.linalg.norm(where[j] - where[i]) <= 0.4 for j in protects)
+        agrees = normal[i].ny is not None and abs(normal[i].ny) >= 0.8
+        assert got[i].masked == (agrees and not near)
+
+
+def test_traces_follow_the_nearest_place(spark):
+    rows = [(0, s, v) for s in range(6) for v in (0.1 * s, 2.0 - 0.05 * s)] + [(0, 8, 0.5), (0, 2, 5.0), (1, 0, 1.0)]
+    got = {(r.frame, r.step, r.value): r.trace for r in background.chain_traces(spark.createDataFrame(rows, "frame long, step long, value double"), 0.35).collect()}
+    assert len({got[0, s, 0.1 * s] for s in range(6)}) == 1 == len({got[0, s, 2.0 - 0.05 * s] for s in range(6)})
+    assert len({got[0, 0, 0.0], got[0, 0, 2.0], got[0, 8, 0.5], got[0, 2, 5.0]}) == 4 and got[1, 0, 1.0] == 0
+
+
+def test_one_curvature_for_all_traces(spark):
+    rng = np.random.default_rng(7)
+    rows = [(0, t, float(x), float(a + b * x + 0.004 * x * x + rng.normal(0, 0.01))) for t, (a, b) in enumerate([(1, 0.1), (-2, 0.0), (5, -0.2)]) for x in rng.uniform(0, 40, 60)]
+    got = background.shared_curvature(spark.createDataFrame(rows, "frame long, trace long, x double, y double"), ["frame"], "trace").first()
+    m = np.array([[x * x, *[float(t == k) for k in range(3)], *[x * (t == k) for k in range(3)]] for _, t, x, _ in rows])
+    assert got.traces == 3 and got.curvature == pytest.approx(np.linalg.lstsq(m, np.array([r[3] for r in rows]), rcond=None)[0][0], rel=1e-6)
+
+
+def test_a_box_hides_what_is_behind_it(spark):
+    p = cloud(spark, [(0, 0, 20.0, 0.0, 0.0), (0, 1, 5.0, 0.0, 0.0), (0, 2, 20.0, 10.0, 0.0), (0, 3, -20.0, 0.0, 0.0), (0, 4, 10.5, 0.2, 0.1)])
+    got = {r.point_id: (r.inserted, round(r.x, 6)) for r in background.insert_box(p, [10.0, -1.0, -1.0], [11.0, 1.0, 1.0]).collect()}
+    assert got == {0: (True, 10.0), 1: (False, 5.0), 2: (False, 20.0), 3: (False, -20.0), 4: (True, 10.0)}
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 3)), min_size=1, max_size=40))
+@settings(max_examples=5, deadline=None)
+def test_distinct_values_in_a_window_equal_brute_force(spark, scans):
+    rows = [(1, i, t, None if v == 3 else v) for i, (t, v) in enumerate(scans)]
+    got = {r.frame: r.distinct for r in episodes.distinct_in_window(spark.createDataFrame(rows, "bag long, frame long, ns long, k long"), "k", 10).collect()}
+    assert got == {f: len({v for _, _, u, v in rows if v is not None and t - 10 <= u <= t}) for _, f, t, _ in rows}
