@@ -6,6 +6,8 @@ group in batch and one key in a stream; both call the same class.
 
 from __future__ import annotations
 
+import uuid
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,9 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 from .assign import assign
 
 
+#: Rows of a recording that are tracked as one group, about.
+PART_ROWS = 20_000
+
+
 @dataclass(frozen=True)
 class TrackParams:
     position_sigma: float
@@ -43,7 +50,8 @@ class Track:
     extent: np.ndarray
     seen: list[int] = field(default_factory=list)
     interior: list[int] = field(default_factory=list)
-    evidence: list[tuple[float, int]] = field(default_factory=list)
+    evidence: deque[tuple[float, int]] = field(default_factory=deque)
+    total: int = 0
 
 
 INPUT = ["ns", "frame", "id", "cx", "cy", "cz", "ex", "ey", "ez", "relation", "support", "certain", "immediate"]
@@ -92,6 +100,7 @@ def pair_up(far: np.ndarray, shape: np.ndarray, gate: float, shape_gate: float)
 class Tracker:
     def __init__(self, p: TrackParams):
         self.p, self.tracks, self.next_id, self.frame, self.last = p, {}, 1, 0, None
+        self.motion = Motion(p)
 
     def reset(self) -> None:
         """Clears tracks but keeps ids and the acquisition time, so a late scan stays late."""
@@ -102,7 +111,7 @@ class Tracker:
 
         ``o``: columns id (ascending), cx, cy, cz, ex, ey, ez, relation, support, certain (claim evidence), immediate.
         """
-        p, motion = self.p, Motion(self.p)
+        p, motion = self.p, self.motion
         gap = self.last is not None and stamp - self.last > p.max_frame_gap_s
         if gap:
             self.reset()
@@ -133,13 +142,15 @@ class Tracker:
         p, oldest = self.p, self.frame - self.p.window
         t.seen = [f for f in t.seen if f > oldest] + [self.frame]
         t.interior = [f for f in t.interior if f > oldest] + [self.frame] * inside
-        t.evidence = [(a, n) for a, n in t.evidence if stamp - a <= p.evidence_window_s] + [(stamp, support)]
-        total = sum(n for _, n in t.evidence)
-        steady = len(t.seen) >= p.hits and total >= p.evidence_min
+        while t.evidence and stamp - t.evidence[0][0] > p.evidence_window_s:
+            t.total -= t.evidence.popleft()[1]
+        t.evidence.append((stamp, support))
+        t.total += support
+        steady = len(t.seen) >= p.hits and t.total >= p.evidence_min
         confirmed = immediate or (steady and certain >= p.claim_min)
         intersects = inside and confirmed and (immediate or len(t.interior) >= p.hits)
         how = "immediate_interior_geometry" if immediate else "temporal_evidence" if confirmed else "pending"
-        return len(t.seen), int(total), confirmed, immediate or steady, intersects, how, float(t.state[3]), float(stamp - t.first)
+        return len(t.seen), t.total, confirmed, immediate or steady, intersects, how, float(t.state[3]), float(stamp - t.first)
 
 
 OUT = "bag long, frame long, gap_reset boolean, id long, track_id long, hits int, accumulated int, confirmed boolean, presence_confirmed boolean, intersection_confirmed boolean, confirmation string, vx double, track_age_s double"
@@ -160,18 +171,27 @@ def run_scans(tracker: Tracker, bag: int, g: pd.DataFrame) -> Iterator[tuple]:
 def track(objects: DataFrame, params: TrackParams) -> DataFrame:
     """Tracks each recording's objects (bag, frame, ns, id, c*, e*, relation, support, certain, immediate) in order.
 
-    A gap clears all tracks, so a recording is split at gaps; each part is a group, and its tracks' numbers go on from those of the parts before.
+    A gap clears all tracks, so a recording is split at the first gap after every ``PART_ROWS`` rows or so; each part is a group, and its tracks'
+    numbers go on from those of the parts before.
     """
-    order = W.partitionBy("bag").orderBy("ns")
+    order = W.partitionBy("bag").orderBy("ns", "frame", "id")
     late = F.coalesce((F.col("ns") / 1e9 - F.lag("ns").over(order) / 1e9) > params.max_frame_gap_s, F.lit(False))
-    parts = objects.withColumn("late", late.cast("long")).withColumn("part", F.sum("late").over(order)).drop("late")  # rows of one stamp are peers
+    rows = objects.withColumns({"late": late, "at": F.row_number().over(order)})
+    since = F.max(F.when(F.col("late"), F.col("at"))).over(order.rowsBetween(W.unboundedPreceding, 0))  # the first row after the latest gap
+    parts = rows.withColumn("part", F.floor(F.coalesce(since, F.lit(0)) / PART_ROWS)).drop("late", "at")
 
     def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         head = g.loc[g["ns"] == g["ns"].min(), "frame"].min()  # the scan that a gap came before
         out = pd.DataFrame(list(run_scans(Tracker(params), int(key[0]), g)), columns=["bag", "frame", "gap_reset", *COLUMNS])
-        return out.assign(gap_reset=(out["frame"] == head) & (key[1] > 0), part=key[1])
-
-    found = parts.groupBy("bag", "part").applyInPandas(solve, OUT + ", part long")
+        return out.assign(gap_reset=out["gap_reset"].astype(bool) | ((out["frame"] == head) & (key[1] > 0)), part=key[1])
+
+    spark = objects.sparkSession
+    at = f"{shared_folder(spark).rstrip('/')}/tracks-{uuid.uuid4().hex}"
+    # Few bytes make much work here, so Spark isn't left to join small partitions to one task.
+    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bag", "part")
+    solved = dealt.groupBy("bag", "part").applyInPandas(solve, OUT + ", part long")
+    solved.write.parquet(at)  # read twice below
+    found = spark.read.schema(solved.schema).parquet(at)
     made = found.groupBy("bag", "part").agg(F.max("track_id").alias("made"))
     before = F.coalesce(F.sum("made").over(W.partitionBy("bag").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     made = made.select(F.col("bag").alias("b"), F.col("part").alias("p"), before.alias("before"))
