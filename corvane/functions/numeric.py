@@ -57,6 +57,16 @@ def ray_box(origin: list[Column], direction: list[Column], lo: list[Column], hi:
     return F.when(~missed & (far >= near) & (far > 0), F.when(near > 0, near).otherwise(0.0))
 
 
+def ray_cylinder(dx: Column, dy: Column, centre: float, radius: float) -> Column:
+    """Distances along a ray from the origin to the vertical cylinder about (0, centre): an array of those ahead, the nearer first; empty without a hit."""
+    k = dx * dx + dy * dy
+    k = F.when(k > 0, k)
+    middle = dy * centre
+    disc = middle * middle - k * (centre * centre - radius * radius)
+    half = F.sqrt(F.when(disc >= 0, disc))
+    return F.filter(F.array((middle - half) / k, (middle + half) / k), lambda t: t > 0)
+
+
 def bracket(x: Column, anchors: Column, x_of: str) -> Column:
     """struct(left, right): the anchors on either side of x, of anchors sorted by ``x_of``; null beyond an end.
 

@@ -108,6 +108,20 @@ def ray_box(spark: SparkSession, d: str) -> DataFrame:
     return raw_points(spark, d).groupBy("frame").agg(F.count("*").alias("rays"), F.count(t).alias("hits"), F.round(F.min(t), 6).alias("nearest"))
 
 
+@query(
+    "ray_cylinder", "GEN-2",
+    f"""WITH {RAW}, w(side, radius) AS (VALUES ('inner', 297.4::DOUBLE), ('outer', 302.6::DOUBLE)), q AS (SELECT frame, side, radius, y * 300 AS m, x * x + y * y AS k FROM p, w),
+    t AS (SELECT frame, side, k, m, CASE WHEN m * m - k * (90000 - radius * radius) >= 0 THEN sqrt(m * m - k * (90000 - radius * radius)) END AS h FROM q),
+    u AS (SELECT frame, side, CASE WHEN m - h > 0 THEN (m - h) / nullif(k, 0) WHEN m + h > 0 THEN (m + h) / nullif(k, 0) END AS t FROM t)
+    SELECT frame, side, count(*) AS rays, count(t) AS hits, round(min(t), 6) AS nearest FROM u GROUP BY frame, side""",
+)
+def ray_cylinder(spark: SparkSession, d: str) -> DataFrame:
+    """Rays from the origin along each return against both walls of a tunnel on a circle of 300."""
+    walls = {"inner": 297.4, "outer": 302.6}
+    hit = F.array(*[F.struct(F.lit(s).alias("side"), F.try_element_at(fn.ray_cylinder(F.col("x"), F.col("y"), 300.0, r), F.lit(1)).alias("t")) for s, r in walls.items()])
+    return raw_points(spark, d).select("frame", F.explode(hit).alias("w")).groupBy("frame", "w.side").agg(F.count("*").alias("rays"), F.count("w.t").alias("hits"), F.round(F.min("w.t"), 6).alias("nearest"))
+
+
 POSE = [[0.8, -0.6, 0.0, 10.0], [0.6, 0.8, 0.0, -2.0], [0.0, 0.0, 1.0, 0.5], [0.0, 0.0, 0.0, 1.0]]
 
 

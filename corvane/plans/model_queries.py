@@ -39,6 +39,14 @@ def scene_labels(spark: SparkSession, d: str) -> DataFrame:
     return scene(spark, d).groupBy("frame", "hit").agg(F.count("*").alias("n"), F.round(F.min("x"), 3).alias("nearest"))
 
 
+@query("curved_labels", "GEN-2")
+def curved_labels(spark: SparkSession, d: str) -> DataFrame:
+    """What a scan meets in a curved tunnel, a tighter one to the right as well: the sides that bend in come nearer."""
+    frames = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("frame"), *[F.lit(None).cast("double").alias(c) for c in ("ox", "oy", "oz", "sx", "sy", "sz")])
+    parts = [generate.scan_scene(spark, frames, generate.Tunnel(radius=r), BEAMS, noise=0.01, dropout=0.02, seed=7).withColumn("radius", F.lit(r)) for r in (300.0, -80.0)]
+    return parts[0].unionByName(parts[1]).groupBy("radius", "frame", "hit").agg(F.count("*").alias("n"), F.round(F.max("x"), 3).alias("furthest"))
+
+
 @query("robust_plane", "GEO-1 GEO-2 SRT-7")
 def robust_plane(spark: SparkSession, d: str) -> DataFrame:
     g = fits.fit_geometry(scene(spark, d), PLANE, BED, RAIL)

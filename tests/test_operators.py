@@ -510,3 +510,47 @@ def test_distinct_values_in_a_window_equal_brute_force(spark, scans):
     rows = [(1, i, t, None if v == 3 else v) for i, (t, v) in enumerate(scans)]
     got = {r.frame: r.distinct for r in episodes.distinct_in_window(spark.createDataFrame(rows, "bag long, frame long, ns long, k long"), "k", 10).collect()}
     assert got == {f: len({v for _, _, u, v in rows if v is not None and t - 10 <= u <= t}) for _, f, t, _ in rows}
+
+
+def _empty_scene(spark, tunnel):
+    from corvane.operators import generate
+
+    frames = spark.createDataFrame([(0,) + (None,) * 6], "frame long, ox double, oy double, oz double, sx double, sy double, sz double")
+    return generate.scan_scene(spark, frames, tunnel, generate.Beams()).toPandas()
+
+
+@pytest.mark.parametrize("radius", [300.0, -80.0])
+def test_curved_scene_lies_on_its_surfaces(spark, radius):
+    from corvane.operators.generate import Tunnel
+
+    t = Tunnel(radius=radius)
+    got = _empty_scene(spark, t)
+    r = abs(radius)
+    off = np.hypot(got.x, got.y - radius) - r
+    for hit, seen in {"wall": np.abs(np.abs(off) - t.half_width), "floor": np.abs(got.z - t.ground_z), "ceiling": np.abs(got.z - t.ceiling_z)}.items():
+        assert seen[got.hit == hit].max() < 1e-6
+    rail = got.hit == "rail"
+    assert rail.sum() > 20
+    assert (np.abs(np.abs(off[rail]) - t.rail_gauge / 2) <= t.rail_width / 2 + 1e-6).all()
+    assert got.z[rail].between(t.ground_z - 1e-6, t.ground_z + t.rail_height + 1e-6).all()
+    assert (np.abs(off) <= t.half_width + 1e-6).all() and got.z.between(t.ground_z - 1e-6, t.ceiling_z + 1e-6).all()
+
+
+def test_a_very_wide_curve_is_a_straight_tunnel(spark):
+    from corvane.operators.generate import Tunnel
+
+    a, b = _empty_scene(spark, Tunnel()).set_index("point_id"), _empty_scene(spark, Tunnel(radius=1e6)).set_index("point_id")
+    both = a.join(b, rsuffix="_b", how="inner")
+    assert len(both) == len(a) == len(b)
+    assert (both.hit == both.hit_b).mean() > 0.99
+    same = both[both.hit == both.hit_b]
+    # A circle leaves its tangent by x^2 / 2r sideways, which a ray that grazes a wall at slope y / x meets x / y times as far along.
+    bound = 1e-3 + 1.1 * same.x**2 / 2e6 * np.maximum(1, same.x / same.y.abs())
+    assert (np.abs(same[["x", "y", "z"]].to_numpy() - same[["x_b", "y_b", "z_b"]].to_numpy()).max(axis=1) <= bound).all()
+
+
+def test_curves_too_tight_are_refused(spark):
+    from corvane.operators.generate import Tunnel
+
+    with pytest.raises(ValueError, match="quarter turn"):
+        _empty_scene(spark, Tunnel(radius=20.0))
