@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, lm, neardup, packing, quality, toxicity, vectors
+from . import bpe, chat, decontaminate, divergence, fim, langid, lm, neardup, packing, quality, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_retrieval_packing": packing.op4_retrieval_packing,
     "op5_bpe_codec": bpe.op5_bpe_codec,
     "op6_chat_format": chat.op6_chat_format,
+    "op11_decontamination": decontaminate.op11_decontamination,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_topk": vectors.ORACLE_TOPK,
     "op6_chat_format": chat.ORACLE,
     "op10_vector_links": vectors.ORACLE_LINKS,
+    "op11_decontamination": decontaminate.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
