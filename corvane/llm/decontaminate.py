@@ -89,7 +89,8 @@ class Items:
 class SuffixArray:
     """Suffixes of a shard and of the items in one order: those of the shard that may begin with a window, and all of the items.
 
-    ``ranks[k]`` numbers the suffixes by their first ``span * 2**k`` words (equal numbers: equal words); what can't match has a number of its own below 0.
+    ``ranks[k]`` numbers the suffixes by their first ``span * 2**k`` words: equal numbers mean equal words as far as an item has them, in which a word
+    that no item has counts as an end. What can't match has a number of its own below 0.
     """
 
     def __init__(self, shard: np.ndarray, items: Items):
@@ -119,7 +120,8 @@ class SuffixArray:
         rank = -1 - np.arange(self.total)
         rank[order] = first
         self.ranks = [rank]
-        self.key, self.bits, self.whole = key, bits, whole
+        self.key, self.bits = key, bits
+        self.left = np.concatenate([np.zeros(n + 1, np.int64), items.left])
         reach = self.span
         open_ = np.flatnonzero(np.diff(np.append(place, len(order))) > 1)
         lo, size = place[open_], np.diff(np.append(place, len(order)))[open_]
@@ -150,7 +152,7 @@ class SuffixArray:
         got, top = np.zeros(len(a), np.int64), self.total - 1
         for k in range(len(self.ranks) - 1, -1, -1):
             x, y = np.minimum(a + got, top), np.minimum(b + got, top)
-            got += np.where(self.whole[y] & (self.ranks[k][x] == self.ranks[k][y]), self.span << k, 0)
+            got += np.where((self.left[y] >= self.span << k) & (self.ranks[k][x] == self.ranks[k][y]), self.span << k, 0)
         # What is left is less than a key: its leading equal words.
         x, y = self.key[np.minimum(a + got, top)], self.key[np.minimum(b + got, top)]
         going, word = np.ones(len(a), bool), (1 << self.bits) - 1

@@ -122,9 +122,11 @@ class Audit:
         sides = self.groups.select("lang", "source", "p0", blocks.alias("blocks"), F.pmod(F.xxhash64(F.lit("block"), "source"), blocks).alias("block"))
         parts = with_broadcast(self.langs.select("lang", F.greatest(F.ceil(F.col("vocabulary") / F.lit(SLICE)), F.lit(1)).cast("long").alias("slices")))
         part = F.pmod(F.xxhash64(F.lit("slice"), "term"), F.col("slices")).alias("slice")
-        light = self.kept.join(with_broadcast(self.langs.select("lang", "sources")), "lang").where(F.col("spread") * HEAVY <= F.col("sources")).join(parts, "lang").groupBy("lang", part).agg(F.count("*").alias("light"))
-        slices = parts.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")).join(light, ["lang", "slice"], "left")
-        rows = sides.join(with_broadcast(slices), "lang").select("lang", "slice", "block", "blocks", "source", "p0", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p"), F.coalesce("light", F.lit(0)).alias("light"), F.lit(False).alias("heavy"))
+        heavy = F.col("spread") * HEAVY > F.col("sources")
+        found = self.kept.join(with_broadcast(self.langs.select("lang", "sources")), "lang").join(parts, "lang").groupBy("lang", part).agg(F.count_if(~heavy).alias("light"), F.count_if(heavy).alias("heavy"))
+        slices = parts.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")).join(found, ["lang", "slice"], "left")
+        # A row without a term is a source: it tells how many light terms (light) and heavy ones (p) the slice has.
+        rows = sides.join(with_broadcast(slices), "lang").select("lang", "slice", "block", "blocks", "source", "p0", F.lit(None).cast("string").alias("term"), F.coalesce("heavy", F.lit(0)).cast("long").alias("p"), F.coalesce("light", F.lit(0)).alias("light"), F.lit(False).alias("heavy"))
         at = with_broadcast(sides.select("lang", "source", "block", "blocks", "p0"))
         rows = rows.unionByName(self.postings.join(at, ["lang", "source"]).join(parts, "lang").select("lang", part, "block", "blocks", "source", "p0", "term", "p", F.lit(0).alias("light"), "heavy"))
         # A row of block x goes to the pairs (x, y) of blocks with y >= x on the left, and (w, x) with w <= x on the right.
@@ -151,11 +153,12 @@ def tile_sums(t: pa.Table) -> pa.Table:
     heavy, p, p0, light = (t.column(c).combine_chunks() for c in ("heavy", "p", "p0", "light"))
     heavy, p0, light = np.asarray(heavy), np.asarray(p0), np.asarray(light)
     is_group = np.asarray(term.is_null())
-    p = np.asarray(p.fill_null(0))
+    p = np.asarray(p)
     source = t.column("source").combine_chunks().dictionary_encode()
     names, source = source.dictionary, np.asarray(source.indices)
     term = np.asarray(term.dictionary_encode().indices.fill_null(-1))
-    absent = int(light[is_group][0]) if is_group.any() else 0
+    g = int(np.flatnonzero(is_group)[0])
+    n_light, n_heavy = int(light[g]), int(p[g])
 
     def of(side_: int) -> tuple:
         mine = (side == side_) | (side == 2)
@@ -167,7 +170,7 @@ def tile_sums(t: pa.Table) -> pa.Table:
 
     left, right = of(0), of(1)
     same = len(left[0]) == len(right[0]) and bool((left[0] == right[0]).all())
-    out = [(left, right, _directed(left, right, absent))] + ([] if same else [(right, left, _directed(right, left, absent))])
+    out = [(x, y, _dense(x, y, n_heavy) + _sparse(x, y, n_light)) for x, y in [(left, right), (right, left)][: 1 if same else 2]]
     one, two, value = [], [], []
     for x, y, v in out:
         i, j = np.nonzero(x[0][:, None] != y[0][None, :])
@@ -177,31 +180,28 @@ def tile_sums(t: pa.Table) -> pa.Table:
     return pa.table([lang, names.take(pa.array(one)), names.take(pa.array(two)), pa.array(value, pa.int64())], ["lang", "source", "item", "value"])
 
 
-def _directed(left: tuple, right: tuple, absent: int) -> np.ndarray:
-    """The (left sources, right sources) sums of f with p from the left and q from the right."""
-    return _dense(left, right) + _sparse(left, right, absent)
+def _dense(left: tuple, right: tuple, count: int) -> np.ndarray:
+    """Heavy terms: (terms, sources) arrays, p0 where a source lacks the term; one source of the left at a time against the whole right block.
 
-
-def _dense(left: tuple, right: tuple) -> np.ndarray:
-    """Heavy terms: (terms, sources) arrays, p0 where a source lacks the term; one source of the left at a time against the whole right block."""
+    Of the slice's ``count`` heavy terms those that neither block has are alike."""
     (_, zero_l, at_l, term_l, p_l, heavy_l), (_, zero_r, at_r, term_r, p_r, heavy_r) = left, right
     terms, place = np.unique(np.concatenate([term_l[heavy_l], term_r[heavy_r]]), return_inverse=True)
     k = int(heavy_l.sum())
     a, b = np.repeat(zero_l[None, :], len(terms), 0), np.repeat(zero_r[None, :], len(terms), 0)
     a[place[:k], at_l[heavy_l]] = p_l[heavy_l]
     b[place[k:], at_r[heavy_r]] = p_r[heavy_r]
-    out = np.zeros((len(zero_l), len(zero_r)), np.int64)
+    out = _f(zero_l[:, None], zero_r[None, :]) * (count - len(terms))
     for i in range(len(zero_l)):
-        out[i] = _f(a[:, i, None], b).sum(0)
+        out[i] += _f(a[:, i, None], b).sum(0)
     return out
 
 
-def _sparse(left: tuple, right: tuple, absent: int) -> np.ndarray:
-    """Light terms: absent everywhere, then each posting against absence, then each two postings of a term."""
+def _sparse(left: tuple, right: tuple, count: int) -> np.ndarray:
+    """The slice's ``count`` light terms: absent everywhere, then each posting against absence, then each two postings of a term."""
     (_, zero_l, at_l, term_l, p_l, heavy_l), (_, zero_r, at_r, term_r, p_r, heavy_r) = left, right
     at_l, term_l, p_l, at_r, term_r, p_r = at_l[~heavy_l], term_l[~heavy_l], p_l[~heavy_l], at_r[~heavy_r], term_r[~heavy_r], p_r[~heavy_r]
     none = _f(zero_l[:, None], zero_r[None, :])
-    out = none * absent
+    out = none * count
     both, times = np.unique(np.stack([at_l, p_l]), axis=1, return_counts=True)
     for i in np.unique(both[0]):
         of = both[0] == i
