@@ -11,8 +11,7 @@ P(word | history) = P(class | history) * P(word | class, history). Both factors
   tokens; words never seen have the mass of those seen once.
 * Weights are trained on all training documents in rounds: each task starts from the current weights, takes gradient steps over its documents
   of the round as they stream by, and gives its weights, whose mean (by tokens) starts the next round. Equal histories of a piece of the stream are
-  one row of a step, weighted by how often they stand there. Each document has its round by the hash of its id; tables of at most
-  ``EVERY_ROUND`` documents are seen whole in every round.
+  one row of a step, weighted by how often they stand there. Each document has its round by the hash of its id, at every size of table.
 
 Texts are parsed once; what follows reads a table of 64-bit words (55 bits of hash, 9 of type). Counts are taken over every training document and
 grow with it: they stay a table. Only the counts of the most frequent words, ``TOP`` at most, travel with the tasks (which also takes the hot
@@ -36,12 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import KeyTable, Scratch, claim_cache, crc_mod
 
-#: Training rounds; up to so many documents, each round sees all of them.
-ROUNDS, EVERY_ROUND = 4, 3_000
+#: Training rounds; a document is trained on in one of them.
+ROUNDS = 4
 #: Documents that a training task gets, about.
 TASK_ROWS = 8_192
 #: Tokens of a piece of the training stream; distinct histories of a gradient step; tokens that are scored at a time.
-PIECE, BATCH, SCORED = 1 << 19, 2_048, 1 << 18
+PIECE, BATCH, SCORED = 1 << 19, 1_024, 1 << 18
 #: Weight rows of a block that is averaged as one.
 BLOCK = 64
 #: Most frequent words whose counts travel with the tasks, at most.
@@ -145,27 +144,35 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return train.select("tokens").mapInArrow(run, "beside boolean, h long, c long").groupBy("beside", "h").agg(F.sum("c").alias("c"))
 
 
+def leading(x: np.ndarray, directions: int, rounds: int = 40) -> np.ndarray:
+    """``x`` projected to the leading directions of its columns' space: block power iteration on ``x x'``, which has no way not to converge."""
+    g = x @ x.T
+    g /= max(float(np.abs(g).max()), 1e-300)
+    q = np.linalg.qr(np.random.default_rng(11).standard_normal((len(g), directions)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(g @ q + 1e-12 * q)[0]
+    return q @ (q.T @ x)
+
+
 def cluster_types(beside: np.ndarray) -> np.ndarray:
-    """Classes of word types, from how often type b follows type a: k-means on the leading directions of their positive PMI."""
-    n = beside.sum()
-    out = 2 + np.arange(TYPES) % (CLASSES - 2)
-    if n < 100:
-        return out
+    """Classes of word types, from how often type b follows type a: k-means on the leading directions of their positive PMI. Types without any are dealt out in turn."""
+    if not np.isfinite(beside).all() or (beside < 0).any():
+        raise ValueError(f"counts of neighbouring types must be finite and not negative: {np.count_nonzero(~(beside >= 0))} aren't")
     left, right = beside.sum(1), beside.sum(0)
-    pmi = np.log(np.maximum(beside, 0.1) * n / np.outer(left + 1, right + 1))
-    x = np.maximum(np.hstack([pmi, pmi.T]), 0)
-    u, s, _ = np.linalg.svd(x, full_matrices=False)
-    e = u[:, :24] * s[:24]
-    e /= np.linalg.norm(e, axis=1, keepdims=True) + 1e-9
+    pmi = np.log(np.maximum(beside, 0.1) * (beside.sum() + 1) / np.outer(left + 1, right + 1))
+    e = leading(np.maximum(np.hstack([pmi, pmi.T]), 0), 24)
+    norm = np.linalg.norm(e, axis=1, keepdims=True)
+    e = np.where(norm > 1e-9, e / np.maximum(norm, 1e-9), 0)
     weight = np.sqrt(left + right)
     centre = e[np.argsort(-weight, kind="stable")[: CLASSES - 2]]
+    own = np.zeros(len(e), np.int64)
     for _ in range(20):
         own = (e @ centre.T).argmax(1)
         for c in range(len(centre)):
             if (at := own == c).any():
                 m = (e[at] * weight[at, None]).sum(0)
                 centre[c] = m / (np.linalg.norm(m) + 1e-9)
-    return 2 + own
+    return 2 + np.where(norm[:, 0] > 1e-9, own, np.arange(len(e)) % (CLASSES - 2))
 
 
 def _hashed(template: int, value: np.ndarray) -> np.ndarray:
@@ -218,7 +225,7 @@ class Factor:
                 grad = np.add.reduceat(p[order], first, 0) / np.sqrt(np.add.reduceat(times[order], first))[:, None]
                 r = rows[first]
                 g[r] += (grad * grad).mean(1)
-                w[r] -= 0.1 * grad / np.sqrt(g[r])[:, None]
+                w[r] -= 0.05 * grad / np.sqrt(g[r])[:, None]
 
 
 class Model:
@@ -388,7 +395,7 @@ def fit(model: Model, train: DataFrame, total: int) -> Model:
                 w += np.frombuffer(x.as_py(), np.float32) * (m / n.sum())
             return pa.table({"block": t.column("block")[:1], "salt": t.column("salt")[:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "n": pa.array([int(n.sum())])})
 
-        of_round = dealt if total <= EVERY_ROUND else dealt.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS)) == r)
+        of_round = dealt.where(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS)) == r)
         out = "block int, salt int, w binary, n long"
         met = of_round.select("tokens").mapInArrow(steps, out)
         if salts > 4:  # many tasks' weights meet in two steps

@@ -584,6 +584,25 @@ def test_model_scores_equal_brute_force(spark, sf, monkeypatch, top):
         assert shared == pytest.approx(rest[k]) and 0 < fresh[k] <= 1
 
 
+def test_classes_of_degenerate_counts():
+    """All equal, one row, one pair, nothing, very large: every type has a class, and what the counts say of types of two kinds shows in the classes."""
+    n = lm.TYPES
+    one = np.zeros((n, n))
+    one[3] = 5
+    pair = np.zeros((n, n))
+    pair[1, 2] = 1
+    for counts in (np.zeros((n, n)), np.ones((n, n)), one, pair, np.full((n, n), 1e15), np.eye(n) * 7):
+        got = lm.cluster_types(counts)
+        assert got.shape == (n,) and got.min() >= 2 and got.max() < lm.CLASSES
+    assert len(set(lm.cluster_types(np.zeros((n, n))).tolist())) == lm.CLASSES - 2
+    kinds = np.arange(n) % 2
+    two = lm.cluster_types(np.where(kinds[:, None] != kinds[None, :], 50.0, 0.0))
+    assert not set(two[kinds == 0].tolist()) & set(two[kinds == 1].tolist())
+    for bad in (np.nan, -1.0, np.inf):
+        with pytest.raises(ValueError, match="finite"):
+            lm.cluster_types(np.full((n, n), bad))
+
+
 def test_every_training_document_moves_the_weights(spark):
     n = 6000
     texts = [f"own{i} word and{i % 7}" for i in range(n)]
