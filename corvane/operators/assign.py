@@ -57,6 +57,65 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
 
 
+def match_or_leave(pairs: np.ndarray, cost: np.ndarray, alone: float) -> dict[int, int]:
+    """Right -> left of the pairing of least cost, where a left node without a partner costs ``alone``. ``pairs``: (n, 2) of left and right nodes.
+
+    The graph of pairs is split into components first; each is solved by itself, so no part of it can change another, not even by its ties. A component
+    of one left or one right node is a minimum; the others grow their pairing by one left node after the other along the cheapest alternating path.
+    """
+    if not len(pairs):
+        return {}
+    left, right = (np.unique(x, return_inverse=True) for x in pairs.T)
+    part = union_find(len(left[0]) + len(right[0]), left[1], right[1] + len(left[0]))[left[1]]
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], part))
+    out: dict[int, int] = {}
+    for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        block = [(int(i), int(j), float(c)) for (i, j), c in zip(pairs[rows], cost[rows], strict=True)]
+        if len({i for i, _, _ in block}) == 1 or len({j for _, j, _ in block}) == 1:
+            i, j, c = min(block, key=lambda e: (e[2], e[0], e[1]))
+            if c < alone:
+                out[j] = i
+        else:
+            out |= _grown(block, alone)
+    return out
+
+
+def _grown(block: list[tuple[int, int, float]], alone: float) -> dict[int, int]:
+    edges: dict[int, dict[int, float]] = {}
+    for i, j, c in block:
+        edges.setdefault(i, {})[j] = c
+    owner: dict[int, int] = {}
+    mate: dict[int, int | None] = {}
+    for start in sorted(edges):
+        # Costs of reaching left nodes by giving up what they have, and right nodes; a path ends at a free right node, or at a left node that stays alone.
+        reach, via, came = {start: 0.0}, {start: None}, {}
+        best, end = alone, (start, None)
+        waiting = [start]
+        for i in waiting:
+            if reach[i] + alone < best:
+                best, end = reach[i] + alone, (i, None)
+            for j, c in edges[i].items():
+                if j == mate.get(i) or (d := reach[i] + c) >= came.get(j, (np.inf,))[0] - 1e-12:
+                    continue
+                came[j] = (d, i)
+                k = owner.get(j)
+                if k is None:
+                    if d < best:
+                        best, end = d, (None, j)
+                elif d - edges[k][j] < reach.get(k, np.inf) - 1e-12:
+                    reach[k], via[k] = d - edges[k][j], j
+                    waiting.append(k)
+        i, j = end
+        while True:
+            if j is not None:
+                i = came[j][1]
+                owner[j] = i
+            mate[i], j = j, mate.get(i)  # what it had goes to the node before it on the path
+            if i == start:
+                break
+    return owner
+
+
 def shortest_from(n: int, edges: list[tuple[int, int, float]], sources: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Distance of every node to its nearest source and that source (-1 if none), ties to the source listed first."""
     near: list[list[tuple[int, float]]] = [[] for _ in range(n)]

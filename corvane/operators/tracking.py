@@ -18,7 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from .assign import assign
+from .assign import match_or_leave
+from .ranges import affine_scan, written
 
 
 #: Rows of a recording that are tracked as one group, about.
@@ -52,6 +53,7 @@ class Track:
     interior: list[int] = field(default_factory=list)
     evidence: deque[tuple[float, int]] = field(default_factory=deque)
     total: int = 0
+    fragment: bool = False
 
 
 INPUT = ["ns", "frame", "id", "cx", "cy", "cz", "ex", "ey", "ez", "relation", "support", "certain", "immediate"]
@@ -72,11 +74,15 @@ class Motion:
         pushed = np.concatenate([np.eye(3)[None] * (dt * dt / 2)[:, None, None], np.eye(3)[None] * dt[:, None, None]], 1)
         return np.einsum("nij,nj->ni", move, state), move @ cov @ move.transpose(0, 2, 1) + self.push * pushed @ pushed.transpose(0, 2, 1)
 
-    def distances(self, state: np.ndarray, cov: np.ndarray, centre: np.ndarray) -> np.ndarray:
-        """Squared Mahalanobis distance [track, object] of objects' centres from predicted ones."""
-        weight = np.linalg.inv(cov[:, :3, :3] + self.measured)
-        off = centre[None] - state[:, None, :3]
-        return np.einsum("tni,tij,tnj->tn", off, weight, off)
+    def pairs(self, state: np.ndarray, cov: np.ndarray, extent: np.ndarray, centre: np.ndarray, size: np.ndarray, gate: float, shape_gate: float) -> tuple[np.ndarray, np.ndarray]:
+        """(track, object) that may be one, and what each pair costs: squared distance in units of the prediction's spread, and of log extents."""
+        shape = np.sqrt(((np.log(size + 0.1)[None] - np.log(extent + 0.1)[:, None]) ** 2).sum(2))
+        i, j = np.nonzero(shape <= shape_gate)
+        # The spread's Cholesky factor turns an offset into one of unit spread.
+        unit = np.linalg.inv(np.linalg.cholesky(cov[:, :3, :3] + self.measured))
+        far = ((unit[i] @ (centre[j] - state[i, :3])[:, :, None])[:, :, 0] ** 2).sum(1)
+        near = far <= gate
+        return np.stack([i[near], j[near]], 1), (far + shape[i, j])[near]
 
     def corrected(self, state: np.ndarray, cov: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One predicted state after its object was seen at ``centre`` (Joseph form)."""
@@ -86,17 +92,6 @@ class Motion:
         return state + gain @ (centre - state[:3]), left @ cov @ left.T + gain @ self.measured @ gain.T
 
 
-def pair_up(far: np.ndarray, shape: np.ndarray, gate: float, shape_gate: float) -> dict[int, int]:
-    """Object -> track of the cheapest pairing within both gates, where leaving a track alone costs more than any one pair."""
-    allowed = (far <= gate) & (shape <= shape_gate)
-    tracks, objects = allowed.shape
-    if not allowed.any():
-        return {}
-    alone, barred = gate + shape_gate + 1, 1e6
-    cost = np.hstack([np.where(allowed, far + shape, barred), np.full((tracks, tracks), alone)])
-    return {j: i for i, j in assign(cost) if j < objects and allowed[i, j]}
-
-
 class Tracker:
     def __init__(self, p: TrackParams):
         self.p, self.tracks, self.next_id, self.frame, self.last = p, {}, 1, 0, None
@@ -109,7 +104,8 @@ class Tracker:
     def step(self, stamp: float, o: dict[str, np.ndarray] | pd.DataFrame) -> tuple[list[tuple], bool]:
         """Rows in COLUMNS order for the scan's objects, and whether a gap reset came before it.
 
-        ``o``: columns id (ascending), cx, cy, cz, ex, ey, ez, relation, support, certain (claim evidence), immediate.
+        ``o``: columns id (ascending), cx, cy, cz, ex, ey, ez, relation, support, certain (claim evidence), immediate, and, if there, fragment: objects
+        that were split off another are a pool of their own, with the tracks that were last such an object, so they never change what the others get.
         """
         p, motion = self.p, self.motion
         gap = self.last is not None and stamp - self.last > p.max_frame_gap_s
@@ -118,12 +114,14 @@ class Tracker:
         self.last, self.frame = stamp, self.frame + 1
         self.tracks = {k: t for k, t in sorted(self.tracks.items()) if stamp - t.stamp <= p.max_track_gap_s}
         centre, extent = (np.column_stack([np.asarray(o[c], float) for c in names]) for names in (("cx", "cy", "cz"), ("ex", "ey", "ez")))
+        pool = np.asarray(o["fragment"], bool) if "fragment" in o else np.zeros(len(centre), bool)
         keys, owner, at, spread = list(self.tracks), {}, None, None
         if keys and len(centre):
             known = list(self.tracks.values())
             at, spread = motion.ahead(np.stack([t.state for t in known]), np.stack([t.cov for t in known]), np.array([stamp - t.stamp for t in known]))
-            shape = np.linalg.norm(np.log((extent[None] + 0.1) / (np.stack([t.extent for t in known])[:, None] + 0.1)), axis=2)
-            owner = pair_up(motion.distances(at, spread, centre), shape, p.gate, p.extent_gate)
+            pairs, cost = motion.pairs(at, spread, np.stack([t.extent for t in known]), centre, extent, p.gate, p.extent_gate)
+            alike = np.array([t.fragment for t in known])[pairs[:, 0]] == pool[pairs[:, 1]]
+            owner = match_or_leave(pairs[alike], cost[alike], p.gate + p.extent_gate + 1)
         rows = []
         for j in range(len(centre)):
             if j in owner:
@@ -133,7 +131,7 @@ class Tracker:
             else:
                 k, self.next_id = self.next_id, self.next_id + 1
                 t = self.tracks[k] = Track(np.r_[centre[j], np.zeros(3)], motion.start, stamp, stamp, extent[j])
-            t.stamp, t.extent = stamp, extent[j]
+            t.stamp, t.extent, t.fragment = stamp, extent[j], bool(pool[j])
             rows.append((int(o["id"][j]), int(k), *self.decide(t, stamp, o["relation"][j] == "intersecting", int(o["support"][j]), int(o["certain"][j]), bool(o["immediate"][j]))))
         return rows, gap
 
@@ -159,7 +157,7 @@ OUT = "bag long, frame long, gap_reset boolean, id long, track_id long, hits int
 def run_scans(tracker: Tracker, bag: int, g: pd.DataFrame) -> Iterator[tuple]:
     """Every row of a recording's objects, scan by scan in order: one sort, then slices of its columns."""
     g = g.sort_values(["ns", "frame", "id"])
-    cols = {c: g[c].to_numpy() for c in INPUT}
+    cols = {c: g[c].to_numpy() for c in [*INPUT, *(c for c in ("fragment",) if c in g)]}
     ns, frame = cols["ns"], cols["frame"]
     starts = np.flatnonzero(np.r_[True, (ns[1:] != ns[:-1]) | (frame[1:] != frame[:-1])]) if len(g) else []
     for a, b in zip(starts, [*starts[1:], len(g)], strict=True):
@@ -202,18 +200,46 @@ def track(objects: DataFrame, params: TrackParams) -> DataFrame:
 def group_events(candidates: DataFrame, max_frame_gap: int, tol_y: float, tol_z: float) -> DataFrame:
     """Events of (bag, frame, id, y, z, distance): an object keeps its lateral and vertical place while x changes.
 
-    Greedy in frame order; among fitting events the one seen last wins, then the older one.
+    Greedy in frame order; among fitting events the one seen last wins, then the older one. No event outlives a pause of more than ``max_frame_gap`` frames, so a
+    recording is split there, wherever it lies (the pauses are counted range by range), and its events' numbers are joined up again. Parts
+    stream through their task in order; an event leaves it when no candidate can follow: what is held are the open events.
     """
-
-    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        events: list[dict] = []
-        for r in g.sort_values(["frame", "id"]).itertuples():
-            fits = [e for e in events if 0 < r.frame - e["last"] <= max_frame_gap and abs(r.y - e["y"]) <= tol_y and abs(r.z - e["z"]) <= tol_z]
-            e = max(fits, key=lambda e: (e["last"], -e["event"]), default=None)
-            if e is None:
-                e = {"event": len(events), "first": r.frame, "frames": 0, "least": r.distance, "lo": r.y, "hi": r.y}
-                events.append(e)
-            e |= {"last": r.frame, "y": r.y, "z": r.z, "frames": e["frames"] + 1, "least": min(e["least"], r.distance), "lo": min(e["lo"], r.y), "hi": max(e["hi"], r.y)}
-        return pd.DataFrame([(key[0], e["event"], e["first"], e["last"], e["frames"], e["least"], e["hi"] - e["lo"]) for e in events], columns=["bag", "event", "first_frame", "last_frame", "frames", "min_distance", "drift"])
-
-    return candidates.groupBy("bag").applyInPandas(solve, "bag long, event long, first_frame long, last_frame long, frames long, min_distance double, drift double")
+    kind = candidates.schema["bag"].dataType.simpleString()
+    c = candidates.select("bag", "frame", "id", *[F.col(x).cast("double").alias(x) for x in ("y", "z", "distance")])
+    parts = affine_scan(c, ["bag"], ["frame", "id"], ["frame"], lambda before: ([[1.0]], [(F.col("frame") - before("frame") > max_frame_gap).cast("double")]), ["part"])
+    dealt = parts.repartition("bag", "part").sortWithinPartitions("bag", "part", "frame", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, events, made, done = None, [], 0, []
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame([(*at, e["event"], e["first"], e["last"], e["frames"], e["least"], e["hi"] - e["lo"]) for e in done], columns=["bag", "part", "event", "first_frame", "last_frame", "frames", "min_distance", "drift"])
+
+        for b in batches:
+            for bag, frame, y, z, distance, part in zip(*(b[x].tolist() for x in ("bag", "frame", "y", "z", "distance", "part")), strict=True):
+                if at is None or part != at[1] or (bag != at[0] and not (pd.isna(bag) and pd.isna(at[0]))):
+                    done += events
+                    if done:
+                        yield told()
+                    at, events, made, done = (bag, part), [], 0, []
+                done += [e for e in events if frame - e["last"] > max_frame_gap]
+                events = [e for e in events if frame - e["last"] <= max_frame_gap]
+                fits = [e for e in events if frame > e["last"] and abs(y - e["y"]) <= tol_y and abs(z - e["z"]) <= tol_z]
+                e = max(fits, key=lambda e: (e["last"], -e["event"]), default=None)
+                if e is None:
+                    e = {"event": made, "first": frame, "frames": 0, "least": distance, "lo": y, "hi": y}
+                    events.append(e)
+                    made += 1
+                e |= {"last": frame, "y": y, "z": z, "frames": e["frames"] + 1, "least": min(e["least"], distance), "lo": min(e["lo"], y), "hi": max(e["hi"], y)}
+            if done:
+                yield told()
+                done = []
+        done += events
+        if done:
+            yield told()
+
+    found = written(dealt.mapInPandas(run, f"bag {kind}, part double, event long, first_frame long, last_frame long, frames long, min_distance double, drift double"), "events")  # read twice
+    order = W.partitionBy("bag").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    made = found.groupBy("bag", "part").agg((F.max("event") + 1).alias("made")).select(F.col("bag").alias("b"), F.col("part").alias("p"), F.coalesce(F.sum("made").over(order), F.lit(0)).alias("before"))
+    joined = found.join(made, F.col("bag").eqNullSafe(F.col("b")) & (F.col("part") == F.col("p")))
+    return joined.select("bag", (F.col("event") + F.col("before")).alias("event"), "first_frame", "last_frame", "frames", "min_distance", "drift")

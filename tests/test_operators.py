@@ -241,6 +241,11 @@ def test_planes_and_rails_of_exact_scenes():
     assert fits.without_stray_end([(5, 0, 1.5, 9), (9, 0, 1.5, 9), (13, 2, 1.5, 9)], mq.RAIL) == [(5, 0, 1.5, 9), (9, 0, 1.5, 9)]
 
 
+def allowed_pairs(far, shape, gate, shape_gate):
+    i, j = np.nonzero((far <= gate) & (shape <= shape_gate))
+    return np.stack([i, j], 1), (far + shape)[i, j]
+
+
 def test_pairing_equals_all_pairings():
     rng = np.random.default_rng(2)
     for n, m in ((1, 3), (3, 3), (4, 2), (3, 4)):
@@ -249,10 +254,58 @@ def test_pairing_equals_all_pairings():
             every = [list(zip(rows, cols, strict=True)) for k in range(min(n, m) + 1) for rows in itertools.combinations(range(n), k) for cols in itertools.permutations(range(m), k)]
             cost = lambda p: sum(far[x] + shape[x] for x in p) + 7 * (n - len(p))  # noqa: B023, E731
             best = min(cost(p) for p in every if all(far[x] <= 5 and shape[x] <= 1 for x in p))
-            got = tracking.pair_up(far, shape, 5.0, 1.0)
+            got = assign.match_or_leave(*allowed_pairs(far, shape, 5.0, 1.0), 7.0)
             assert cost([(i, j) for j, i in got.items()]) == pytest.approx(best)
 
 
+def test_pairing_by_components_equals_one_large_assignment():
+    """Sparse and dense graphs, ties, left nodes that had better stay alone: as cheap as the whole matrix with a column for each left node."""
+    rng = np.random.default_rng(4)
+    for n, m, share in ((30, 40, 0.05), (25, 25, 0.15), (12, 9, 0.6), (1, 1, 1.0), (40, 3, 0.5)):
+        for ties in (False, True):
+            cost = rng.integers(0, 4, (n, m)).astype(float) if ties else rng.uniform(0, 12, (n, m))
+            allowed = rng.random((n, m)) < share
+            pairs = np.argwhere(allowed)
+            got = assign.match_or_leave(pairs, cost[allowed], 9.0)
+            assert len(set(got.values())) == len(got) and all(allowed[i, j] for j, i in got.items())
+            whole = np.hstack([np.where(allowed, cost, 1e6), np.full((n, n), 9.0)])
+            best = sum(whole[i, j] for i, j in assign.assign(whole))
+            assert sum(cost[i, j] for j, i in got.items()) + 9 * (n - len(got)) == pytest.approx(best)
+    assert assign.match_or_leave(np.zeros((0, 2), int), np.zeros(0), 1.0) == {}
+
+
+def test_fragments_never_change_what_others_get():
+    """Two tracks and two objects, where a fragment beside them would take one of them in a common matrix."""
+    first = objects(0, (1, 10.0, 0.0, "adjacent"), (2, 10.9, 0.0, "adjacent"))
+    second = objects(1, (1, 10.3, 0.0, "adjacent"), (2, 11.0, 0.0, "adjacent"))
+    extra = objects(1, (1, 10.3, 0.0, "adjacent"), (2, 11.0, 0.0, "adjacent"), (3, 10.02, 0.0, "adjacent"))
+
+    def ids(*scans):
+        t = tracking.Tracker(PARAMS)
+        return [[r[1] for r in t.step(0.1 * k, s)[0]] for k, s in enumerate(scans)]
+
+    assert ids(first, second) == [[1, 2], [1, 2]]
+    assert ids(first, extra)[1] != [1, 2, 3]  # one matrix: the third object takes a track
+    assert ids(first, extra.assign(fragment=[False, False, True]))[1] == [1, 2, 3]
+    assert ids(first, extra.assign(fragment=[False, False, True]), objects(2, (1, 10.03, 0.0, "adjacent")).assign(fragment=[True]))[2] == [3]
+
+
+def test_pairs_are_those_of_the_squared_distance():
+    rng = np.random.default_rng(5)
+    m = tracking.Motion(PARAMS)
+    a = rng.standard_normal((7, 6, 6))
+    state, cov, extent, centre, size = rng.standard_normal((7, 6)), a @ a.transpose(0, 2, 1), rng.uniform(0.5, 2, (7, 3)), rng.standard_normal((9, 3)), rng.uniform(0.5, 2, (9, 3))
+    pairs, cost = m.pairs(state, cov, extent, centre, size, 3.0, 1.0)
+    want = {}
+    for i in range(7):
+        for j in range(9):
+            off = centre[j] - state[i, :3]
+            far, shape = off @ np.linalg.solve(cov[i, :3, :3] + m.measured, off), np.linalg.norm(np.log((size[j] + 0.1) / (extent[i] + 0.1)))
+            if far <= 3 and shape <= 1:
+                want[i, j] = far + shape
+    assert {tuple(x) for x in pairs.tolist()} == set(want) and cost == pytest.approx([want[tuple(x)] for x in pairs.tolist()])
+
+
 def test_density_labels_keep_a_thin_chain_apart(spark):
     blob = lambda x0, i0: [(1, i0 + k, x0 + 0.1 * (k % 3), 0.1 * (k // 3), 0.0) for k in range(9)]
     chain = [(1, 100, 0.62, 0.1, 0.0), (1, 101, 1.02, 0.1, 0.0), (1, 102, 1.42, 0.1, 0.0)]
@@ -267,6 +320,29 @@ def test_events_follow_lateral_place(spark):
     assert got == [(0, 4, 3), (1, 5, 3)]
 
 
+def test_events_equal_the_greedy_rule_however_recordings_lie(spark):
+    """Against the rule on whole recordings: pauses, several bags, a null one, ties; a long recording without a pause streams through its task."""
+    rng = np.random.default_rng(7)
+    rows = [(bag, int(f), i, float(rng.integers(0, 6)) / 2, float(rng.integers(0, 3)) / 2, float(rng.uniform(5, 90))) for bag in (1, 2, None) for f in np.cumsum(rng.choice([0, 1, 2, 3, 9], 150)) for i in range(int(rng.integers(1, 4)))]
+    rows = [(b, f, k, *rest) for k, (b, f, _, *rest) in enumerate(rows)]
+    got = sorted((r.bag or 0, r.event, r.first_frame, r.last_frame, r.frames, r.min_distance) for r in tracking.group_events(spark.createDataFrame(rows, "bag long, frame long, id long, y double, z double, distance double"), 3, 0.5, 0.5).collect())
+    want = []
+    for bag in (1, 2, None):
+        events = []
+        for _, f, _, y, z, d in sorted((r for r in rows if r[0] == bag), key=lambda r: (r[1], r[2])):
+            fit = [e for e in events if 0 < f - e[1] <= 3 and abs(y - e[2]) <= 0.5 and abs(z - e[3]) <= 0.5]
+            e = max(fit, key=lambda e: (e[1], -events.index(e)), default=None)
+            if e is None:
+                e = [f, f, y, z, 0, d]
+                events.append(e)
+            e[1:4], e[4], e[5] = [f, y, z], e[4] + 1, min(e[5], d)
+        want += [(bag or 0, n, e[0], e[1], e[4], e[5]) for n, e in enumerate(events)]
+    assert got == sorted(want)
+    long = spark.range(120_000).select(F.lit(1).alias("bag"), (F.col("id") / 2).cast("long").alias("frame"), F.col("id"), (F.col("id") % 2 * 5).cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(1.0).alias("distance"))
+    assert sorted(r.frames for r in tracking.group_events(long, 3, 0.5, 0.5).collect()) == [60_000, 60_000]
+    assert tracking.group_events(long.limit(0), 3, 0.5, 0.5).count() == 0
+
+
 def test_decoding_flags_invalid_attributes_and_drops_invalid_points(spark):
     layout = clouds.Layout((("x", 0, 7), ("y", 4, 7), ("z", 8, 7), ("intensity", 12, 7), ("ring", 16, 4), ("time", 18, 8)), 26)
     a = np.zeros(4, layout.dtype())
