@@ -36,7 +36,7 @@ def structural_mask(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "mounting", "GEO-11 GEO-12 AGG-27 AGG-14",
+    "mounting", "AGG-27 AGG-14",
     f"""WITH {RAW}, b AS (SELECT frame, floor(x / 5)::BIGINT AS bin, quantile_cont(z, 0.9) AS top, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 3)
     SELECT frame, count(*) AS bins, round(regr_slope(top, bin), 6) AS pitch, round(median(top), 6) AS height FROM b GROUP BY frame""",
 )
@@ -81,7 +81,7 @@ def key_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "stage_tables", "SRC-9 SNK-2",
+    "stage_tables", "SRC-9",
     f"WITH {RAW} SELECT frame, ring, count(*) AS n, max(x) AS most FROM p WHERE ring IN (1, 2) GROUP BY frame, ring",
 )
 def stage_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -109,18 +109,6 @@ def curve_radius(spark: SparkSession, d: str) -> DataFrame:
     return g.mapInPandas(solve, "frame long, anchors int, radius double, middle double").select("frame", "anchors", F.round("radius", 0).alias("radius"), F.round("middle", 2).alias("middle"))
 
 
-@query("background_patches", "GEO-9")
-def background_patches(spark: SparkSession, d: str) -> DataFrame:
-    """Walls and ceilings of each scan, thinned to voxels before the consensus."""
-    v = sp.voxel_first(scene(spark, d).where("z > -1.2"), 0.3).select("frame", "reduced_id", "x", "y", "z")
-
-    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        p = g.sort_values("reduced_id")[["x", "y", "z"]].to_numpy(float)
-        return pd.DataFrame([(key[0], *r[:3], r[4]) for r in fits.background_patches(p, 0.05, 40, 3, 20.0, 0.2, 0.9)], columns=["frame", "x0", "x1", "kind", "support"])
-
-    return v.groupBy("frame").applyInPandas(solve, "frame long, x0 double, x1 double, kind string, support long").groupBy("frame", "kind").agg(F.count("*").alias("patches"), F.max("support").alias("support"))
-
-
 @query("point_order", "SRT-5 SRC-1", f"WITH {POINTS_SQL} SELECT frame, count(*) AS n, max(point_id) AS last_id FROM p GROUP BY frame")
 def point_order(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).groupBy("frame").agg(F.count("*").alias("n"), F.max("point_id").alias("last_id"))

@@ -116,7 +116,7 @@ def tilted_patches(spark: SparkSession, d: str) -> DataFrame:
     return raw_points(spark, d).where(bg.in_bands(PATCHES, 0.2537)).groupBy("frame").agg(F.count("*").alias("n"), F.round(F.min("x"), 6).alias("nearest"))
 
 
-@query("background_mask", "GEO-10 FIL-10")
+@query("background_mask", "FIL-10")
 def background_mask(spark: SparkSession, d: str) -> DataFrame:
     """Points on the patches whose normals agree, but for those that protrude or stand beside what does."""
     p = points(spark, d)

@@ -66,7 +66,7 @@ def assignment(spark: SparkSession, d: str) -> DataFrame:
     return m.select("frame", "prediction", "truth", F.round("iou", 6).alias("iou"))
 
 
-@query("oriented_iou", "AGG-22")
+@query("oriented_iou", "JOIN-8")
 def oriented_iou(spark: SparkSession, d: str) -> DataFrame:
     """A part's box against the same box turned about z and moved along x."""
     p = table(spark, d, "part").where("p_partkey is not null")

@@ -77,7 +77,7 @@ def patches(spark: SparkSession) -> DataFrame:
 
 
 @query(
-    "plane_band_candidates", "FIL-8 SET-4 GEO-10",
+    "plane_band_candidates", "FIL-8 SET-4",
     f"WITH {POINTS_SQL}, {PATCH_SQL}, c AS (SELECT DISTINCT frame, point_id FROM p JOIN g ON x BETWEEN x0 AND x1 AND abs(z - z0) <= 0.15) SELECT frame, count(*) AS masked, min(point_id) AS first_id FROM c GROUP BY frame",
 )
 def plane_band_candidates(spark: SparkSession, d: str) -> DataFrame:

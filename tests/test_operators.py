@@ -390,13 +390,6 @@ def test_penalised_spline_follows_a_line_exactly():
     assert fits.penalised_spline(x, 0.2 * x + 1, 5.0, 10.0, np.array([7.0, 33.0])) == pytest.approx([2.4, 7.6], abs=1e-4)
 
 
-def test_backgrounds_are_walls_and_ceilings():
-    g = np.random.default_rng(0).random((400, 2))
-    wall, top = np.c_[40 * g[:, 0], np.full(400, 2.5), 3 * g[:, 1]], np.c_[40 * g[:, 0], 5 * g[:, 1] - 2.5, np.full(400, 3.0)]
-    kinds = {k for _, _, k, _, _ in fits.background_patches(np.r_[wall, top], 0.03, 60, 3, 20.0, 0.2, 0.9)}
-    assert kinds == {"wall", "ceiling"} and fits.background_patches(np.zeros((0, 3)), 0.03, 60, 3, 20.0, 0.2, 0.9) == []
-
-
 def test_structure_needs_length_and_outward_reach(spark):
     wall = [(1, i, float(i), 2.05, 1.05) for i in range(12)]
     box = [(1, 100 + i, 5.0 + 0.1 * i, 0.05, 1.05) for i in range(8)]
