@@ -175,9 +175,17 @@ def filter_rows(df: DataFrame, inputs: list[str], f: Callable[..., list[bool]],
     return fed.mapInArrow(run, out).toDF(*df.columns)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """These names with as many underscores before them as it takes until ``df`` has none of them, in any case."""
+    there, out = {c.lower() for c in df.columns}, [f"__{n}" for n in wanted]
+    while there & {n.lower() for n in out}:
+        out = [f"_{n}" for n in out]
+    return out
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
 
-__all__ = ["ASCII_LOWER", "BROADCAST_BYTES", "KeyTable", "SPACE", "WORD", "Scratch", "claim_cache", "crc_mod", "filter_rows", "hash_sample", "map_batches", "union_all", "with_broadcast"]
+__all__ = ["ASCII_LOWER", "BROADCAST_BYTES", "KeyTable", "SPACE", "WORD", "Scratch", "claim_cache", "crc_mod", "filter_rows", "free_names", "hash_sample", "map_batches", "union_all", "with_broadcast"]

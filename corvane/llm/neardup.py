@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim_cache, union_all, with_broadcast
+from .common import Scratch, claim_cache, free_names, union_all, with_broadcast
 from .components import connected_components
 
 HASHES = 96
@@ -401,7 +401,8 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         return left
     side = with_broadcast(again)
     one = W.partitionBy("doc_id").orderBy("text")
-    repeated = left.join(side, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(one).alias("__row")).where("__row = 1").drop("__row")
+    (row,) = free_names(docs, "row")
+    repeated = left.join(side, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(one).alias(row)).where(F.col(row) == 1).drop(row)
     return left.join(side, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
 
 

@@ -33,6 +33,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, claim_cache, with_broadcast
@@ -249,6 +250,8 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | No
     return pieces
 
 
+#: A sequence's number is its shard's, and this many bits for its place there.
+SEQUENCE_BITS = 20
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -322,7 +325,8 @@ def _parts():
 
 
 def sharded(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Keyed ``docs`` with their shard (g, s2, s3), from ``sizes`` (k1, k2, documents m, ids n)."""
+    """Keyed ``docs`` with the number of their shard, from ``sizes`` (k1, k2, documents m, ids n). Shards are numbered without gaps from 0: those of a group
+    follow each other, first one for each value of the second salt, then what the third salt splits off."""
     spark = docs.sparkSession
     groups = sorted((r.k1, r.m, r.n, r.parts) for r in sizes.groupBy("k1").agg(_parts(), F.sum("m").alias("m"), F.sum("n").alias("n")).collect())  # a row an id at most
     # Small groups that follow each other share a shard.
@@ -332,11 +336,22 @@ def sharded(docs: DataFrame, sizes: DataFrame) -> DataFrame:
             g, m, n = g + 1, 0, 0
         m, n = m + dm, n + dn
         of.append((k, g, parts))
-    side = F.broadcast(spark.createDataFrame(of, "k1 long, g long, p2 long"))
+    side = F.broadcast(spark.createDataFrame([(k, g, parts, 0) for k, g, parts in of], "k1 long, g long, p2 long, first long"))
     second = F.pmod(F.xxhash64(F.lit("second"), "k2"), F.col("p2")).alias("s2")
     large = sizes.join(side, "k1").where("p2 > 1").groupBy("g", second).agg(_parts()).where("parts > 1").withColumnRenamed("parts", "p3")
+    before = W.partitionBy("g").orderBy("s2").rowsBetween(W.unboundedPreceding, -1)
+    large = large.withColumn("extra", F.coalesce(F.sum(F.col("p3") - 1).over(before), F.lit(0)))
+    split = {r.g: r.n for r in large.groupBy("g").agg(F.sum(F.col("p3") - 1).alias("n")).collect()}  # a row a group at most
+    first, at = {}, 0
+    for _, g, parts in of:
+        if g not in first:
+            first[g] = at
+            at += parts + split.get(g, 0)
+    side = F.broadcast(spark.createDataFrame([(k, g, parts, first[g]) for k, g, parts in of], "k1 long, g long, p2 long, first long"))
     docs = docs.join(side, "k1").withColumn("s2", second).join(with_broadcast(large), ["g", "s2"], "left")
-    return docs.withColumn("s3", F.when(F.col("p3").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit("third"), "doc_id", "digest"), F.col("p3"))).cast("long"))
+    s3 = F.when(F.col("p3").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit("third"), "doc_id", "digest"), F.col("p3"))).cast("long")
+    docs = docs.withColumn("s3", s3)
+    return docs.withColumn("shard", F.col("first") + F.when(F.col("s3") == 0, F.col("s2")).otherwise(F.col("p2") + F.col("extra") + F.col("s3") - 1))
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -356,15 +371,15 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
         held = [np.frombuffer(x, dtype) for x in t.column("ids").to_pylist()]
         doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*pack_shard(held, window, corpus), strict=True))
         raw = [held[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-        base = t.column("base")[0].as_py()
+        base = t.column("shard")[0].as_py() << SEQUENCE_BITS
+        if seq.max() >> SEQUENCE_BITS:
+            raise OverflowError(f"a shard of {seq.max() + 1} sequences: its numbers would run into the next shard's")
         cols = [t.column("doc_id").take(pa.array(doc)), start, length, [zlib.crc32(b) for b in raw], np.array([len(x) for x in held])[doc], seq + base, offset]
         cols = [*cols, pa.array(raw, pa.binary())] if with_ids else cols
         return pa.table(dict(zip(names, cols, strict=True)))
 
     dealt = sharded(keyed(ids, corpus, dtype), sizes)
-    # Places of a shard in 64 bits: 17 for its group of ids, 17 and 13 for salts, 17 for its sequences.
-    base = F.shiftleft("g", 47) + F.shiftleft("s2", 30) + F.shiftleft("s3", 17)
-    return dealt.select("doc_id", "ids", "digest", "g", "s2", "s3", base.alias("base")).groupBy("g", "s2", "s3").applyInArrow(run, schema)
+    return dealt.select("doc_id", "ids", "digest", "shard").groupBy("shard").applyInArrow(run, schema)
 
 
 def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

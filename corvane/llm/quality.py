@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, filter_rows, map_batches, with_broadcast
+from .common import Scratch, filter_rows, free_names, map_batches, with_broadcast
 from .toxicity import labelled_sample
 
 #: Labelled rows that are read for fitting, at most about.
@@ -108,9 +108,16 @@ def word_ratios(sample: DataFrame) -> dict[str, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, target: str = "quality") -> Evidence:
-    sample = labelled_sample(docs, labels, target, sample_rows)
+    """The model of the labelled rows, ``sample_rows`` at most. Weights are fitted to features whose word ratios come from the other half of the rows (equal
+    texts stand in one half), so that the ratios' weight isn't learnt from labels that they have seen; the model's own ratios come from all rows."""
+    scratch = Scratch(docs.sparkSession, "labelled")
+    sample = scratch.keep(labelled_sample(docs, labels, target, sample_rows).select("text", "y"), "sample")  # read once for each half and once for all
+    half, rows = F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)), []
+    for k in (0, 1):
+        seen = word_ratios(sample.where(half != k))
+        rows += map_batches(sample.where(half == k), lambda x, seen=seen: {"y": x["y"], "x": [features(t, seen).tolist() for t in x["text"]]}, "y int, x array<double>", rows=500).collect()
     ratio = word_ratios(sample)
-    rows = map_batches(sample.select("text", "y"), lambda x: {"y": x["y"], "x": [features(t, ratio).tolist() for t in x["text"]]}, "y int, x array<double>", rows=500).collect()
+    scratch.clear()
     x = np.array([r.x for r in rows]).reshape(-1, FEATURES)
     y = np.array([r.y > 0 for r in rows], float)
     bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
@@ -201,8 +208,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM)
     model = fit(docs, labels)
     host, path = source_sites()
     sites = Sites(evidence(docs, model, host, path))
-    names = {"host": "__h", "path": "__p", "n": "__n", "s": "__s", "host_n": "__hn", "host_s": "__hs"}
-    joined = docs.join(with_broadcast(sites.table.select(*[F.col(c).alias(n) for c, n in names.items()])), host.cast("string").eqNullSafe(F.col("__h")) & path.cast("string").eqNullSafe(F.col("__p")), "left")
+    told = ["host", "path", "n", "s", "host_n", "host_s"]
+    h, p, *counts = names = free_names(docs, *told)
+    joined = docs.join(with_broadcast(sites.table.select(*[F.col(c).alias(n) for c, n in zip(told, names, strict=True)])), host.cast("string").eqNullSafe(F.col(h)) & path.cast("string").eqNullSafe(F.col(p)), "left")
     cut, mean, at_host, at_path = float(np.log(keep_from / (1 - keep_from))), sites.mean, sites.at_host, sites.at_path
     logit = lambda p: np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9)))
 
@@ -213,7 +221,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM)
         of_path = (s - e + at_path * of_host) / (n - 1 + at_path)
         return [bool(k) for k in (logit(e) + logit(of_path) - logit(mean) >= cut) & (e > 0)]
 
-    return filter_rows(joined, ["text", "__n", "__s", "__hn", "__hs"], f, rows=200).select(*docs.columns)
+    return filter_rows(joined, ["text", *counts], f, rows=200).select(*docs.columns)
 
 
 def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, model: Evidence | None = None) -> DataFrame:

@@ -88,6 +88,27 @@ def test_filters_keep_columns_and_clean_rows(odd, labels, no_docs):
     assert kept.count(0) == 1 and 6 not in kept and {1, 2, 3, 4, 5, 7} <= set(kept)
 
 
+def test_filters_take_any_extra_column(spark, labels):
+    """Names that the operators would use themselves, in any case, and rows whose ids repeat."""
+    extra = ["__h", "__N", "__s", "__row", "___row", "__host", "__PATH", "__n", "part", "component_id"]
+    rows_ = [(i, t, "en", "a", None, *range(len(extra))) for i, t in [*enumerate(ODD), (0, "another text with this id, of several words"), (0, ODD[0])]]
+    extra = [c for k, c in enumerate(extra) if c.lower() not in [x.lower() for x in extra[:k]]]
+    docs = spark.createDataFrame([r[: 5 + len(extra)] for r in rows_], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in extra))
+    for f in (lambda d: langid.keep_identified(d, langid.fit(d)), lambda d: quality.keep_good(d, labels), lambda d: neardup.keep_first(d)):
+        assert f(docs).columns == docs.columns and f(docs).count() >= 0
+    assert [r.text for r in neardup.keep_first(docs).where("doc_id = 0").collect()] == [min(ODD[0], "another text with this id, of several words")]
+
+
+def test_word_ratios_are_weighed_by_rows_they_have_not_seen(spark):
+    """Labels that are chance: some words look telling on the rows they were counted on. On those rows they'd tell nearly everything, on others nothing."""
+    rng = random.Random(3)
+    rows_ = [(i, " ".join(rng.sample([f"word{k}" for k in range(600)], 150)), rng.randrange(2)) for i in range(400)]
+    docs = docs_of(spark, [t for _, t, _ in rows_])
+    m = quality.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows_], "doc_id long, quality int"))
+    told = np.array([quality.features(t, m.ratio)[-1] for _, t, _ in rows_])
+    assert m.ratio and np.corrcoef(told, [y for *_, y in rows_])[0, 1] > 0.6 and abs(m.w[-1]) < 0.5
+
+
 # --- 1, 2, 9: classifiers --------------------------------------------------------------------------------------------
 
 
@@ -512,6 +533,31 @@ def lm_tables(spark, sf):
     return docs, docs_of(spark, [t for _, t in docs], [i for i, _ in docs])
 
 
+def test_shards_are_numbered_densely_and_share_no_sequence(spark, monkeypatch):
+    """Groups of one shard, groups split by the second and the third salt; many empty texts, which share both keys."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 7)
+    rng = random.Random(12)
+    texts = ["" for _ in range(90)] + [f"word{rng.randrange(3)} word{rng.randrange(3)} same" for _ in range(90)] + [f"alone{i} together{i % 9}" for i in range(60)]
+    docs = docs_of(spark, texts)
+    spec = open(packing.word_bpe_path(), encoding="utf-8").read()
+    told = packing.tokenized(docs.select("doc_id", "text"), spec).cache()
+    corpus, ids = packing.corpus_of(told), told.where("seen is null").select("doc_id", "ids", "digest")
+    keys = packing.keyed(ids, corpus, packing.WordTokenizer(spec).dtype).cache()
+    sizes = keys.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    dealt = packing.sharded(keys, sizes).collect()
+    assert len(dealt) == len(texts)
+    place = defaultdict(set)
+    for r in dealt:
+        place[r.shard].add((r.g, r.s2, r.s3))
+    assert all(len(v) == 1 for v in place.values()) and len({next(iter(v)) for v in place.values()}) == len(place)
+    assert min(place) >= 0 and max(place) < 2 * len(place) + 8 and any(r.s3 > 0 for r in dealt)
+    pieces = packing.pack(docs).collect()
+    at = sorted((r.sequence_id, r.offset, r.length) for r in pieces)
+    for (s, o, n), (t, p, _) in itertools.pairwise(at):
+        assert p == (o + n if s == t else 0)
+    assert {r.sequence_id >> packing.SEQUENCE_BITS for r in pieces} == set(place)
+
+
 def test_base_scores_and_counts_equal_brute_force_and_training_does_better(spark, sf, monkeypatch):
     monkeypatch.setattr(lm, "TOP", 50)
     docs, df = lm_tables(spark, sf)
