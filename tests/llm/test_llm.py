@@ -99,14 +99,16 @@ def test_filters_take_any_extra_column(spark, labels):
     assert [r.text for r in neardup.keep_first(docs).where("doc_id = 0").collect()] == [min(ODD[0], "another text with this id, of several words")]
 
 
-def test_word_ratios_are_weighed_by_rows_they_have_not_seen(spark):
+def test_word_ratios_are_weighed_by_rows_they_have_not_seen(spark, monkeypatch):
     """Labels that are chance: some words look telling on the rows they were counted on. On those rows they'd tell nearly everything, on others nothing."""
     rng = random.Random(3)
+    monkeypatch.setattr(quality, "MIN_Z", 1.0)
     rows_ = [(i, " ".join(rng.sample([f"word{k}" for k in range(600)], 150)), rng.randrange(2)) for i in range(400)]
     docs = docs_of(spark, [t for _, t, _ in rows_])
     m = quality.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows_], "doc_id long, quality int"))
     told = np.array([quality.features(t, m.ratio)[-1] for _, t, _ in rows_])
-    assert m.ratio and np.corrcoef(told, [y for *_, y in rows_])[0, 1] > 0.6 and abs(m.w[-1]) < 0.5
+    seen = np.corrcoef(told, [y for *_, y in rows_])[0, 1]
+    assert (len(m.ratio) > 3, seen > 0.4, abs(m.w[-1]) < 0.5) == (True, True, True), (len(m.ratio), seen, m.w[-1])
 
 
 # --- 1, 2, 9: classifiers --------------------------------------------------------------------------------------------
