@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import written
+from ..sources.shared import written
 
 #: Kinds of values: what JSON tells apart, with whole numbers apart from others.
 OBJECT, ARRAY, MISSING, INVALID = "object", "array", "missing", "invalid"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import written
+from ..sources.shared import written
 
 KEYS = ("frame",)
 QUATERNION = ("qw", "qx", "qy", "qz")

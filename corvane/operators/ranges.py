@@ -6,7 +6,6 @@ its neighbour's last row, and one composed map. Ranges are put together from the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import shared_folder
+from ..sources.shared import written
 
 #: Rows whose maps are composed one after the other before blocks of them are composed.
 BLOCK = 32
@@ -49,13 +48,6 @@ def _sorted_ranges(df: DataFrame, keys: list[str], order: list[str], parts: int
     return dealt.sortWithinPartitions(*by).withColumns({"__part": F.spark_partition_id(), "__place": place})
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` from a table in the shared folder: lineage ends there, and what reads it twice reads the same rows."""
-    at = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def _shifted(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` with ``__before``: these columns of the row before in the same partition (null in its first row)."""
     kept = len(df.columns)

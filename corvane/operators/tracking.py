@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, written
 from .assign import match_or_leave
-from .ranges import affine_scan, written
+from .ranges import affine_scan
 
 
 #: Rows of a recording that are tracked as one group, about.

@@ -118,7 +118,7 @@ def tracker(spark: SparkSession, d: str) -> DataFrame:
     return tracking.track(stream_objects(results(spark, d)), TRACKING).select("bag", "frame", "id", "track_id", "hits", "accumulated", "confirmed", "intersection_confirmed", "gap_reset")
 
 
-@query("track_stream", "STR-9 STR-10 SNK-4 SNK-5")
+@query("track_stream", "STR-9 STR-10")
 def track_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same tracks from the streaming operator."""
     out = live.run_available(live.track_stream(stream_objects(live.read_events(spark, d)), TRACKING), shared_folder(spark))

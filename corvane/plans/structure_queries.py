@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import intervals as iv
 from ..operators import jsontree as jt
 from ..operators import ranges
-from ..sources import growing
+from ..sources import archives, growing
 from ..sources.shared import shared_folder
 from ..sources.tables import RESULTS_SQL, results, table
-from ..streaming import live
+from ..streaming import fanout, live
 from .registry import query
 from .stream_queries import GAP
 
@@ -158,3 +158,45 @@ def json_named_keys(spark: SparkSession, d: str) -> DataFrame:
     trees = [jt.json_tree(after, ["id"], "doc"), jt.json_tree(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("doc")), ["id"], "doc").withColumn("kind", F.lit("any"))]
     found = jt.named_keys(trees[0].unionByName(trees[1]), ["qty", "count", "prio", "k"])
     return found.groupBy(jt.pattern(F.col("path")).alias("pattern"), "kind").agg(F.count("*").alias("n"))
+
+
+@query("archived_results", "SRC-11", f"WITH {RESULTS_SQL} SELECT (bag % 3)::VARCHAR AS archive, bag::VARCHAR || '.jsonl' AS member, count(*) AS n, min(frame) AS first_frame, max(ns) AS last_ns, count(DISTINCT status) AS statuses FROM r GROUP BY ALL")
+def archived_results(spark: SparkSession, d: str) -> DataFrame:
+    """Each recording's result lines as a member of an archive, read back by member with digests checked."""
+    line = F.to_json(F.struct("bag", "frame", "ns", "status", "value"))
+    r = results(spark, d).groupBy("bag").agg(F.array_sort(F.collect_list(F.struct("ns", "frame", line.alias("line")))).alias("rows"))  # a member is one recording's file
+    text = F.concat(F.array_join(F.transform("rows", lambda x: x["line"]), "\n"), F.lit("\n"))
+    at = f"{shared_folder(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    told = archives.write_archives(r.select((F.col("bag") % 3).cast("string").alias("archive"), F.concat(F.col("bag").cast("string"), F.lit(".jsonl")).alias("member"), text.cast("binary").alias("content")), at)
+    back = archives.read_archives(spark, at, "*.jsonl").join(told.select(F.col("member").alias("m"), "sha256"), F.col("member") == F.col("m"))
+    rows = back.select(F.regexp_extract("archive", r"([^/]+)\.zip$", 1).alias("archive"), "member", F.from_json(F.col("content").cast("string"), LOGGED).alias("r"))
+    return rows.groupBy("archive", "member").agg(F.count("*").alias("n"), F.min("r.frame").alias("first_frame"), F.max("r.ns").alias("last_ns"), F.count_distinct("r.status").alias("statuses"))
+
+
+@query(
+    "stream_outputs", "SNK-4 SNK-5 SNK-2",
+    f"""WITH {RESULTS_SQL}, g AS (SELECT *, ns - lag(ns) OVER (PARTITION BY bag ORDER BY ns, frame) AS dt FROM r) SELECT 'results' AS output, bag, count(*) AS n, max(ns) AS last_ns FROM g GROUP BY bag
+    UNION ALL SELECT 'timing', bag, count(*), max(ns) FROM g WHERE value IS NOT NULL GROUP BY bag UNION ALL SELECT 'health', bag, count(*), max(ns) FROM g WHERE coalesce(dt, 1) > 0 AND value < 20 OR dt > {GAP} OR dt = 0 GROUP BY bag
+    UNION ALL SELECT 'objects', bag, 2 * count(*), max(ns) FROM g WHERE status = 'purchase' GROUP BY bag UNION ALL SELECT 'poses', bag, count(*), max(ns) FROM g WHERE coalesce(dt, 1) > 0 GROUP BY bag""",
+)
+def stream_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """One pass over the live stream to five tables: results, timing, objects, health and poses, each batch committed for all at once."""
+    at = f"{shared_folder(spark).rstrip('/')}/outputs-{uuid.uuid4().hex}"
+    told = live.read_events(spark, d).withColumn("returns", F.col("value"))
+    stream = live.monitor(told, GAP, 20)
+    values = results(spark, d).select("bag", "frame", F.col("status").alias("event"), "value")  # the batch's own columns that the state leaves out
+    with_values = lambda b: b.join(values, ["bag", "frame"])
+    both = F.array(F.lit("first"), F.lit("second"))
+    outputs = {
+        "results": lambda b: b.select("bag", "frame", "ns", "status", "outcome"),
+        "timing": lambda b: with_values(b).where("value is not null").select("bag", "frame", "ns", "value"),
+        "objects": lambda b: with_values(b).where("event = 'purchase'").select("bag", "frame", "ns", F.explode(both).alias("object")),
+        "health": lambda b: b.where("reset is not null or outcome = 'duplicate'").select("bag", "frame", "ns", "reset"),
+        "poses": lambda b: b.where("outcome = 'processed'").select("bag", "frame", "ns", "processed"),
+    }
+    fanout.fan_out(stream, at, f"{at}/_checkpoint", outputs).awaitTermination()
+    parts = [fanout.read_output(spark, at, n, "bag long, frame long, ns long").select(F.lit(n).alias("output"), "bag", "ns") for n in outputs]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("output", "bag").agg(F.count("*").alias("n"), F.max("ns").alias("last_ns"))
