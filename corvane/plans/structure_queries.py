@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals as iv
 from ..operators import jsontree as jt
 from ..operators import ranges
-from ..sources import archives, growing
+from ..sources import archives, growing, recordings
 from ..sources.shared import shared_folder
 from ..sources.tables import RESULTS_SQL, results, table
 from ..streaming import fanout, live
@@ -200,3 +200,41 @@ def stream_outputs(spark: SparkSession, d: str) -> DataFrame:
     for p in parts[1:]:
         rows = rows.unionByName(p)
     return rows.groupBy("output", "bag").agg(F.count("*").alias("n"), F.max("ns").alias("last_ns"))
+
+
+#: A segment of a recording: fifteen days of it.
+SEGMENT_NS = 15 * 86_400_000_000_000
+SEGMENTED = f"s AS (SELECT bag, frame, ns, status, value, ns // {SEGMENT_NS} AS segment FROM r)"
+
+
+def recording_folder(spark: SparkSession, d: str) -> str:
+    """The results as recordings in folders a segment, with every seventh recording disabled."""
+    at = f"{shared_folder(spark).rstrip('/')}/recordings-{uuid.uuid4().hex}"
+    r = results(spark, d)
+    recordings.write_recordings(r.select("bag", F.floor(F.col("ns") / SEGMENT_NS).alias("segment"), "frame", "ns", "status", "value"), at)
+    recordings.disable(r.select("bag").distinct().where("bag % 7 = 3"), at)
+    return at
+
+
+@query(
+    "partial_recordings", "SRC-6",
+    f"""WITH {RESULTS_SQL}, {SEGMENTED}, w AS (SELECT bag, segment FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE status = 'error') >= 2), k AS (SELECT *, segment - row_number() OVER (PARTITION BY bag ORDER BY segment) AS run FROM w),
+    t AS (SELECT bag, segment, min(segment) OVER (PARTITION BY bag, run) AS stretch FROM k WHERE bag % 7 <> 3) SELECT bag, stretch, count(DISTINCT segment) AS segments, count(*) AS n, min(frame) AS first_frame, max(ns) AS last_ns FROM s JOIN t USING (bag, segment) GROUP BY bag, stretch""",
+)
+def partial_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches of each recording whose segments have errors, read from their own folders only."""
+    at = recording_folder(spark, d)
+    seg = F.floor(F.col("ns") / SEGMENT_NS).alias("segment")
+    wanted = results(spark, d).groupBy("bag", seg).agg(F.count_if(F.col("status") == "error").alias("n")).where("n >= 2").select("bag", "segment")
+    r = recordings.read_segments(spark, at, wanted, "frame long, ns long, status string, value double")
+    return r.groupBy("bag", "stretch").agg(F.count_distinct("segment").alias("segments"), F.count("*").alias("n"), F.min("frame").alias("first_frame"), F.max("ns").alias("last_ns"))
+
+
+@query(
+    "recording_catalogue", "SRC-12",
+    f"WITH {RESULTS_SQL}, {SEGMENTED} SELECT bag::VARCHAR AS bag, count(DISTINCT segment) AS segments, min(segment)::BIGINT AS first, max(segment)::BIGINT AS last, true AS sized, bag % 7 = 3 AS disabled FROM s GROUP BY bag",
+)
+def recording_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """What recordings there are, from file names and sizes."""
+    c = recordings.catalogue(spark, recording_folder(spark, d))
+    return c.select("bag", "segments", "first", "last", ((F.col("bytes") > 0) & (F.col("files") >= F.col("segments"))).alias("sized"), "disabled")

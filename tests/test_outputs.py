@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.sources import archives
+from corvane.sources import archives, recordings
 from corvane.streaming import fanout
 
 # --- one stream, several outputs -------------------------------------------------------------------------------------
@@ -109,3 +109,23 @@ def test_written_archives_are_read_back(spark, tmp_path):
     back = archives.read_archives(spark, at, lines=False, manifest=digests)
     assert {(os.path.basename(r.archive)[:-4], r.member, bytes(r.content)) for r in back.collect()} == set(rows)
     assert sorted(os.listdir(at)) == ["z0.zip", "z1.zip", "z2.zip"]
+
+
+# --- recordings by segment -------------------------------------------------------------------------------------------
+
+
+def test_parts_of_recordings_are_read_from_their_folders_alone(spark, tmp_path):
+    at = str(tmp_path / "rec")
+    rows = [(b, s, b * 1000 + s * 10 + k, s * 10 + k, 0.5) for b in (1, 2, 3) for s in (-1, 0, 1, 2, 5) for k in range(4)]
+    recordings.write_recordings(spark.createDataFrame(rows, "bag long, segment long, frame long, ns long, value double"), at)
+    recordings.disable(spark.createDataFrame([(3,)], "bag long"), at)
+    wanted = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (1, 5), (2, -1), (3, 0), (9, 0)], "bag long, segment long")
+    schema = "frame long, ns long, value double"
+    got = recordings.read_segments(spark, at, wanted, schema)
+    assert sorted({(r.bag, r.segment, r.stretch) for r in got.collect()}) == [(1, 0, 0), (1, 1, 0), (1, 5, 5), (2, -1, -1)] and got.count() == 16
+    assert {r.bag for r in recordings.read_segments(spark, at, wanted, schema, with_disabled=True).collect()} == {1, 2, 3}
+    assert "dynamicpruning" in got._jdf.queryExecution().toString().lower() and recordings.read_segments(spark, at, wanted.limit(0), schema).count() == 0
+    got = {r.bag: (r.segments, r.first, r.last, r.disabled) for r in recordings.catalogue(spark, at).collect()}
+    assert got == {"1": (5, -1, 5, False), "2": (5, -1, 5, False), "3": (5, -1, 5, True)}
+    with pytest.raises(Exception, match="already exists"):
+        recordings.write_recordings(spark.createDataFrame(rows, "bag long, segment long, frame long, ns long, value double"), at)
