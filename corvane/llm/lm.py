@@ -189,7 +189,7 @@ def _grouped(key: np.ndarray, targets: int) -> tuple[np.ndarray, np.ndarray, np.
     """Distinct histories, and for each of their targets: place of the history, target, count."""
     key, n = np.unique(key, return_counts=True)
     history, target = key // targets, key % targets
-    new = np.r_[True, history[1:] != history[:-1]]
+    new = np.r_[True, history[1:] != history[:-1]][: len(history)]
     return history[new], new.cumsum() - 1, target, n
 
 

@@ -109,14 +109,16 @@ def word_ratios(sample: DataFrame) -> dict[str, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, target: str = "quality") -> Evidence:
     """The model of the labelled rows, ``sample_rows`` at most. Weights are fitted to features whose word ratios come from the other half of the rows (equal
-    texts stand in one half), so that the ratios' weight isn't learnt from labels that they have seen; the model's own ratios come from all rows."""
+    texts stand in one half), so that the ratios' weight isn't learnt from labels that they have seen; the model's own ratios come from all rows. Where a
+    half has no rows of one class, nothing can be learnt on it, and the weights are fitted to the model's own ratios."""
     scratch = Scratch(docs.sparkSession, "labelled")
     sample = scratch.keep(labelled_sample(docs, labels, target, sample_rows).select("text", "y"), "sample")  # read once for each half and once for all
     half, rows = F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)), []
+    ratio = word_ratios(sample)
+    there = [(r.half, r.good) for r in sample.select(half.alias("half"), (F.col("y") > 0).alias("good")).distinct().collect()]
     for k in (0, 1):
-        seen = word_ratios(sample.where(half != k))
+        seen = word_ratios(sample.where(half != k)) if len(there) == 4 else ratio
         rows += map_batches(sample.where(half == k), lambda x, seen=seen: {"y": x["y"], "x": [features(t, seen).tolist() for t in x["text"]]}, "y int, x array<double>", rows=500).collect()
-    ratio = word_ratios(sample)
     scratch.clear()
     x = np.array([r.x for r in rows]).reshape(-1, FEATURES)
     y = np.array([r.y > 0 for r in rows], float)
