@@ -197,6 +197,38 @@ def track(objects: DataFrame, params: TrackParams) -> DataFrame:
     return joined.withColumn("track_id", F.col("track_id") + F.col("before")).drop("part", "b", "p", "before")
 
 
+def greedy_events(batches: Iterator[pd.DataFrame], max_frame_gap: int, tol_y: float, tol_z: float) -> Iterator[pd.DataFrame]:
+    """Events of candidates (bag, part, frame, y, z, distance) in order, a table for each batch of them."""
+    at, events, made, done = None, [], 0, []
+    columns = ["bag", "part", "event", "first_frame", "last_frame", "frames", "min_distance", "drift"]
+
+    def close(ended: list[dict]) -> None:
+        done.extend((*at, e["event"], e["first"], e["last"], e["frames"], e["least"], e["hi"] - e["lo"]) for e in ended)
+
+    for b in batches:
+        for bag, frame, y, z, distance, part in zip(*(b[x].tolist() for x in ("bag", "frame", "y", "z", "distance", "part")), strict=True):
+            if at is None or part != at[1] or (bag != at[0] and not (pd.isna(bag) and pd.isna(at[0]))):
+                close(events)
+                at, events, made = (bag, part), [], 0
+            if any(frame - e["last"] > max_frame_gap for e in events):
+                close([e for e in events if frame - e["last"] > max_frame_gap])
+                events = [e for e in events if frame - e["last"] <= max_frame_gap]
+            fits = [e for e in events if frame > e["last"] and abs(y - e["y"]) <= tol_y and abs(z - e["z"]) <= tol_z]
+            e = max(fits, key=lambda e: (e["last"], -e["event"]), default=None)
+            if e is None:
+                e = {"event": made, "first": frame, "frames": 0, "least": distance, "lo": y, "hi": y}
+                events.append(e)
+                made += 1
+            e |= {"last": frame, "y": y, "z": z, "frames": e["frames"] + 1, "least": min(e["least"], distance), "lo": min(e["lo"], y), "hi": max(e["hi"], y)}
+        # A table for a batch of candidates, however many parts it holds: parts may be of one candidate each.
+        if done:
+            yield pd.DataFrame(done, columns=columns)
+            done.clear()
+    close(events)
+    if done:
+        yield pd.DataFrame(done, columns=columns)
+
+
 def group_events(candidates: DataFrame, max_frame_gap: int, tol_y: float, tol_z: float) -> DataFrame:
     """Events of (bag, frame, id, y, z, distance): an object keeps its lateral and vertical place while x changes.
 
@@ -209,36 +241,7 @@ def group_events(candidates: DataFrame, max_frame_gap: int, tol_y: float, tol_z:
     parts = affine_scan(c, ["bag"], ["frame", "id"], ["frame"], lambda before: ([[1.0]], [(F.col("frame") - before("frame") > max_frame_gap).cast("double")]), ["part"])
     dealt = parts.repartition("bag", "part").sortWithinPartitions("bag", "part", "frame", "id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, events, made, done = None, [], 0, []
-
-        def told() -> pd.DataFrame:
-            return pd.DataFrame([(*at, e["event"], e["first"], e["last"], e["frames"], e["least"], e["hi"] - e["lo"]) for e in done], columns=["bag", "part", "event", "first_frame", "last_frame", "frames", "min_distance", "drift"])
-
-        for b in batches:
-            for bag, frame, y, z, distance, part in zip(*(b[x].tolist() for x in ("bag", "frame", "y", "z", "distance", "part")), strict=True):
-                if at is None or part != at[1] or (bag != at[0] and not (pd.isna(bag) and pd.isna(at[0]))):
-                    done += events
-                    if done:
-                        yield told()
-                    at, events, made, done = (bag, part), [], 0, []
-                done += [e for e in events if frame - e["last"] > max_frame_gap]
-                events = [e for e in events if frame - e["last"] <= max_frame_gap]
-                fits = [e for e in events if frame > e["last"] and abs(y - e["y"]) <= tol_y and abs(z - e["z"]) <= tol_z]
-                e = max(fits, key=lambda e: (e["last"], -e["event"]), default=None)
-                if e is None:
-                    e = {"event": made, "first": frame, "frames": 0, "least": distance, "lo": y, "hi": y}
-                    events.append(e)
-                    made += 1
-                e |= {"last": frame, "y": y, "z": z, "frames": e["frames"] + 1, "least": min(e["least"], distance), "lo": min(e["lo"], y), "hi": max(e["hi"], y)}
-            if done:
-                yield told()
-                done = []
-        done += events
-        if done:
-            yield told()
-
-    found = written(dealt.mapInPandas(run, f"bag {kind}, part double, event long, first_frame long, last_frame long, frames long, min_distance double, drift double"), "events")  # read twice
+    found = written(dealt.mapInPandas(lambda batches: greedy_events(batches, max_frame_gap, tol_y, tol_z), f"bag {kind}, part double, event long, first_frame long, last_frame long, frames long, min_distance double, drift double"), "events")  # read twice
     order = W.partitionBy("bag").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     made = found.groupBy("bag", "part").agg((F.max("event") + 1).alias("made")).select(F.col("bag").alias("b"), F.col("part").alias("p"), F.coalesce(F.sum("made").over(order), F.lit(0)).alias("before"))
     joined = found.join(made, F.col("bag").eqNullSafe(F.col("b")) & (F.col("part") == F.col("p")))
