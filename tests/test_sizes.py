@@ -18,3 +18,16 @@ def test_parts_of_one_candidate_leave_in_one_table():
     got = list(tracking.greedy_events(iter([b.iloc[:3000], b.iloc[3000:]]), 3, 0.5, 0.5))
     assert len(got) == 3 and sum(map(len, got)) == n
     assert (pd.concat(got)["event"] == 0).all() and (pd.concat(got)["frames"] == 1).all()
+
+
+def test_orders_of_a_day_meet_the_intervals_once(spark, sf, monkeypatch):
+    seen = {}
+
+    def join(records, *rest, **named):
+        seen["n"] = records.count()
+        return real(records, *rest, **named)
+
+    real = structure_queries.iv.interval_join
+    monkeypatch.setattr(structure_queries.iv, "interval_join", join)
+    QUERIES["interval_pairs"](spark, sf).collect()
+    assert seen["n"] == spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderdate").cast("date")).distinct().count()
