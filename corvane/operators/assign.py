@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from itertools import combinations
 
 import numpy as np
 
@@ -135,53 +136,60 @@ def shortest_from(n: int, edges: list[tuple[int, int, float]], sources: list[int
     return dist, own
 
 
-def convex_cut_volume(half_spaces: np.ndarray) -> float:
-    """Volume of {p : n·p <= c} for rows (n, c) that bound a polytope: vertices of plane triples, then pyramids over faces."""
-    n, c = half_spaces[:, :3], half_spaces[:, 3]
-    verts = []
-    for i in range(len(n)):
-        for j in range(i):
-            for k in range(j):
-                m = n[[i, j, k]]
-                if abs(np.linalg.det(m)) > 1e-9:
-                    p = np.linalg.solve(m, c[[i, j, k]])
-                    if (n @ p <= c + 1e-9).all():
-                        verts.append(p)
-    if len(verts) < 4:
-        return 0.0
-    verts = np.unique(np.round(np.array(verts), 10), axis=0)
-    mid = verts.mean(0)
-    volume = 0.0
-    seen: set[bytes] = set()
-    for a, b in zip(n, c, strict=True):
-        face = verts[np.abs(verts @ a - b) < 1e-7]
-        if len(face) < 3:
+def convex_cut_volumes(half_spaces: np.ndarray) -> np.ndarray:
+    """Volume of {p : n·p <= c} for each of many polytopes, (pairs, planes, 4) with rows (n, c): vertices of plane triples, then pyramids over faces."""
+    n, c = half_spaces[:, :, :3], half_spaces[:, :, 3]
+    i, j, k = (np.array(t) for t in zip(*combinations(range(n.shape[1]), 3), strict=True))
+    with np.errstate(all="ignore"):
+        # Cramer's rule on all triples of all pairs at once.
+        jk, ki, ij = np.cross(n[:, j], n[:, k]), np.cross(n[:, k], n[:, i]), np.cross(n[:, i], n[:, j])
+        det = (n[:, i] * jk).sum(2)
+        v = (c[:, i, None] * jk + c[:, j, None] * ki + c[:, k, None] * ij) / det[:, :, None]
+        off = v @ n.transpose(0, 2, 1) - c[:, None, :]
+        corner = (np.abs(det) > 1e-9) & (off <= 1e-9).all(2)
+    v = np.where(corner[:, :, None], v, 0.0)
+    mid = v.sum(1) / np.maximum(corner.sum(1), 1)[:, None]
+    volume = np.zeros(len(n))
+    for f in range(n.shape[1]):
+        size = np.linalg.norm(n[:, f], axis=1)
+        # A plane that another row gives as well bounds the polytope once.
+        again = ((np.abs(n[:, :f] - n[:, f, None]) < 1e-9).all(2) & (np.abs(c[:, :f] - c[:, f, None]) < 1e-9)).any(1)
+        on = corner & (np.abs(off[:, :, f]) < 1e-7)
+        some = np.flatnonzero((on.sum(1) >= 3) & ~again)
+        if not len(some):
             continue
-        key = np.round(np.sort(face, axis=0), 8).tobytes()
-        if key in seen:
-            continue
-        seen.add(key)
-        unit = a / np.linalg.norm(a)
-        x = face[0] - face.mean(0)
-        x /= np.linalg.norm(x)
-        y = np.cross(unit, x)
-        d = face - face.mean(0)
-        ring = face[np.argsort(np.arctan2(d @ y, d @ x))]
-        area = np.linalg.norm(sum(np.cross(ring[i] - ring[0], ring[i + 1] - ring[0]) for i in range(1, len(ring) - 1))) / 2
-        volume += area * abs((ring[0] - mid) @ unit) / 3
-    return float(volume)
-
-
-def box_half_spaces(centre: np.ndarray, size: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    axes = rotation.T
-    return np.array([[*(s * a), s * (a @ centre) + h / 2] for a, h in zip(axes, size, strict=True) for s in (1.0, -1.0)])
+        on, unit = on[some], n[some, f] / size[some, None]
+        at = np.where(on[:, :, None], v[some] - ((v[some] * on[:, :, None]).sum(1) / on.sum(1)[:, None])[:, None], 0.0)
+        # Around the face's middle, in its plane; what isn't of the face goes last and is its first corner again.
+        x = np.eye(3)[np.abs(unit).argmin(1)]
+        x = np.cross(unit, x)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        p, q = (at @ x[:, :, None])[:, :, 0], (at @ np.cross(unit, x)[:, :, None])[:, :, 0]
+        order = np.where(on, np.arctan2(q, p), np.inf).argsort(1)
+        p, q, on = (np.take_along_axis(y, order, 1) for y in (p, q, on))
+        p, q = np.where(on, p, p[:, :1]), np.where(on, q, q[:, :1])
+        area = np.abs((p * np.roll(q, -1, 1) - q * np.roll(p, -1, 1)).sum(1)) / 2
+        volume[some] += area * np.abs((c[some, f] / size[some]) - (mid[some] * unit).sum(1)) / 3
+    return volume
+
+
+def boxes_half_spaces(centre: np.ndarray, size: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    """(boxes, 6, 4) of centres (boxes, 3), sizes (boxes, 3) and rotations (boxes, 3, 3)."""
+    axes = rotation.transpose(0, 2, 1)
+    at = (axes @ centre[:, :, None])[:, :, 0]
+    return np.concatenate([np.concatenate([s * axes, (s * at + size / 2)[:, :, None]], 2) for s in (1.0, -1.0)], 1)
+
+
+def oriented_ious(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Intersection over union of pairs of oriented boxes (centres, sizes, rotations)."""
+    inter = convex_cut_volumes(np.concatenate([boxes_half_spaces(*a), boxes_half_spaces(*b)], 1))
+    union = a[1].prod(1) + b[1].prod(1) - inter
+    return np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
 
 
 def oriented_iou(a: tuple, b: tuple) -> float:
     """Intersection over union of two oriented boxes (centre, size, rotation)."""
-    inter = convex_cut_volume(np.vstack([box_half_spaces(*map(np.asarray, a)), box_half_spaces(*map(np.asarray, b))]))
-    union = float(np.prod(a[1]) + np.prod(b[1]) - inter)
-    return inter / union if union > 0 else 0.0
+    return float(oriented_ious(*(tuple(np.asarray(v, float)[None] for v in box) for box in (a, b)))[0])
 
 
 def peaks(y: np.ndarray, prominence: float, distance: int) -> np.ndarray:

@@ -67,13 +67,21 @@ def match_boxes(predictions: DataFrame, truth: DataFrame, minimum_iou: float, ke
     return j.where(valid).mapInArrow(solve, schema)
 
 
+#: Pairs of boxes whose volumes are found together: 220 triples of planes each.
+PAIRS = 1024
+
+
 def oriented_ious(pairs: DataFrame) -> DataFrame:
     """(id, iou) of pairs of oriented boxes given as arrays: ca, sa, ra (9 numbers), cb, sb, rb."""
-    from .assign import oriented_iou
+    from .assign import oriented_ious as ious
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            iou = [oriented_iou((np.array(r.ca), np.array(r.sa), np.array(r.ra).reshape(3, 3)), (np.array(r.cb), np.array(r.sb), np.array(r.rb).reshape(3, 3))) for r in b.itertuples()]
-            yield pd.DataFrame({"id": b["id"], "iou": iou})
-
-    return pairs.mapInPandas(run, "id long, iou double")
+        for whole in batches:
+            for at in range(0, len(whole), PAIRS):
+                b = whole.iloc[at : at + PAIRS]
+                side = lambda s: (np.stack(b[f"c{s}"]), np.stack(b[f"s{s}"]), np.stack(b[f"r{s}"]).reshape(-1, 3, 3))  # noqa: B023, E731
+                yield pd.DataFrame({"id": b["id"], "iou": ious(side("a"), side("b"))})
+
+    # Few bytes make much work here, so Spark isn't left to read a small file in one task.
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    return dealt.mapInPandas(run, "id long, iou double")

@@ -31,3 +31,18 @@ def test_orders_of_a_day_meet_the_intervals_once(spark, sf, monkeypatch):
     monkeypatch.setattr(structure_queries.iv, "interval_join", join)
     QUERIES["interval_pairs"](spark, sf).collect()
     assert seen["n"] == spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderdate").cast("date")).distinct().count()
+
+
+def test_oriented_boxes_are_met_many_at_once(spark):
+    """A unit box against itself turned about z: what is cut is 2 / (1 + sin + cos) of the square. As a table the pairs are spread over tasks."""
+    n = 3000
+    turn = np.linspace(0, np.pi / 2, n)
+    cos, sin, zero, one = np.cos(turn), np.sin(turn), np.zeros(n), np.ones(n)
+    turned = np.stack([cos, -sin, zero, sin, cos, zero, zero, zero, one], 1)
+    sides = np.zeros((n, 3)), np.ones((n, 3)), np.tile(np.eye(3).reshape(9), (n, 1))
+    cut = 2 / (1 + sin + cos)
+    got = assign.oriented_ious((*sides[:2], sides[2].reshape(-1, 3, 3)), (*sides[:2], turned.reshape(-1, 3, 3)))
+    assert got == pytest.approx(cut / (2 - cut), abs=1e-8)
+    names = {c: v.tolist() for c, v in zip(("ca", "sa", "ra", "cb", "sb", "rb"), (*sides, *sides[:2], turned), strict=True)}
+    pairs = evaluate.oriented_ious(spark.createDataFrame(pd.DataFrame({"id": range(n), **names})).coalesce(1))
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 1 and pairs.agg({"iou": "sum"}).first()[0] == pytest.approx(got.sum())
