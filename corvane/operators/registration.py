@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .spatial import XYZ, nearest, neighbour_pairs, radius_semi
+from .scans import nearest_first, search
+from .spatial import XYZ, nearest, radius_semi
 
 AXES = ("xx", "xy", "xz", "yy", "yz", "zz")
 
@@ -21,11 +24,17 @@ def covariances(points: DataFrame, radius: float, most: int, keys: tuple[str, ..
     Sums are taken over offsets from the point, so they stay exact far from the origin.
     """
     side = points.select(*keys, "point_id", *XYZ)
-    rank = F.row_number().over(W.partitionBy(*keys, "a_point_id").orderBy("d2", "b_point_id"))
-    near = neighbour_pairs(side, side, radius, keys).withColumn("rank", rank).where(F.col("rank") <= most)
-    off = {a: F.col(f"b_{a}") - F.col(f"a_{a}") for a in XYZ}
-    g = near.groupBy(*keys, F.col("a_point_id").alias("point_id")).agg(F.count("*").alias("n"), *[F.avg(off[a]).alias(f"m{a}") for a in XYZ], *[F.avg(off[p[0]] * off[p[1]]).alias(f"m{p}") for p in AXES])
-    return g.select(*keys, "point_id", "n", *[(F.col(f"m{p}") - F.col(f"m{p[0]}") * F.col(f"m{p[1]}")).alias(p) for p in AXES])
+    schema = T.StructType([*(side.schema[c] for c in (*keys, "point_id")), T.StructField("n", T.LongType()), *(T.StructField(p, T.DoubleType()) for p in AXES)])
+
+    def solve(a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> pa.Table:
+        i, j, _, _ = nearest_first(i, j, d2, np.asarray(b.column("point_id")), most)
+        own, at, n = np.unique(i, return_inverse=True, return_counts=True)
+        off = {c: np.asarray(b.column(c), float)[j] - np.asarray(a.column(c), float)[i] for c in XYZ}
+        mean = lambda v: np.bincount(at, v, len(own)) / n
+        m = {c: mean(off[c]) for c in XYZ}
+        return pa.table([*a.select([*keys, "point_id"]).take(pa.array(own)).columns, pa.array(n), *(pa.array(mean(off[p[0]] * off[p[1]]) - m[p[0]] * m[p[1]]) for p in AXES)], schema.names)
+
+    return search(side, side, radius, keys, XYZ, solve, schema)
 
 
 def normals(cov: DataFrame, keys: tuple[str, ...] = ("frame",), least: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import assign, evaluate, tracking
+from corvane.operators import assign, evaluate, scans, spatial, tracking
 from corvane.plans import QUERIES, structure_queries
 
 
@@ -46,3 +46,32 @@ def test_oriented_boxes_are_met_many_at_once(spark):
     names = {c: v.tolist() for c, v in zip(("ca", "sa", "ra", "cb", "sb", "rb"), (*sides, *sides[:2], turned), strict=True)}
     pairs = evaluate.oriented_ious(spark.createDataFrame(pd.DataFrame({"id": range(n), **names})).coalesce(1))
     assert pairs.select(F.spark_partition_id()).distinct().count() > 1 and pairs.agg({"iou": "sum"}).first()[0] == pytest.approx(got.sum())
+
+
+@pytest.mark.parametrize(("dims", "radius", "candidates"), [(3, 0.3, 1 << 20), (2, 0.2, 50), (1, 0.05, 7), (3, 5.0, 64)])
+def test_close_pairs_equal_brute_force(monkeypatch, dims, radius, candidates):
+    """Whatever part of the pairs is weighed at once; scans don't meet, and points that aren't finite are near nothing."""
+    monkeypatch.setattr(scans, "CANDIDATES", candidates)
+    rng = np.random.default_rng(dims)
+    a, b = (np.round(rng.uniform(-1, 1, (n, dims)), 2) for n in (150, 120))
+    a[3], b[5, 0] = np.nan, np.inf
+    ga, gb = np.sort(rng.integers(0, 3, 150)), np.sort(rng.integers(0, 3, 120))
+    with np.errstate(invalid="ignore"):
+        d2 = sum((a[:, None, k] - b[None, :, k]) ** 2 for k in range(dims))
+    want = set(zip(*np.nonzero((d2 <= radius * radius) & (ga[:, None] == gb[None])), strict=True))
+    got = [(i, j) for part in scans.close_pairs(ga, a, gb, b, radius) for i, j in zip(*part[:2], strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+    d2 = sum((a[:, None, k] - a[None, :, k]) ** 2 for k in range(dims))
+    want = {(i, j) for i, j in zip(*np.nonzero((d2 <= radius * radius) & (ga[:, None] == ga[None])), strict=True) if i < j}
+    got = [(i, j) for part in scans.close_pairs(ga, a, ga, a, radius, once=True) for i, j in zip(*part[:2], strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_points_are_not_copied_to_their_neighbours_cells(spark, sf, monkeypatch):
+    """A pair whose distance rounds to the radius over a whole cell between them counts, as it does in SQL; long scans are taken whole."""
+    monkeypatch.setattr(scans, "SCAN_ROWS", 2)
+    p = spark.createDataFrame([(f, i, 0.0, y, 0.0) for f in (1, None, 2) for i, y in enumerate((1 - 2**-53, 2.0, 1.5, None))], "frame long, point_id long, x double, y double, z double")
+    pairs = spatial.neighbour_pairs(p, p, 1.0, once=True)
+    assert sorted((r.frame, *sorted((r.a_point_id, r.b_point_id))) for r in pairs.collect()) == [(f, *ij) for f in (1, 2) for ij in ((0, 1), (0, 2), (1, 2))]
+    for q in ("mutual_radius", "knn", "covariances", "radius_semi", "registration_quality"):
+        assert "explode" not in QUERIES[q](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
