@@ -1,6 +1,7 @@
-"""Members of zip archives as input partitions: each is found in the archive's directory, read by a task of its own, and held against its digest.
+"""Members of zip archives as input partitions: each is found in the archive's directory, read by one task, and held against its digest.
 
-The directory at an archive's end says where members lie, so planning reads that alone; a member is unpacked as it is read, a block at a time, and never with another.
+The directory at an archive's end says where members lie, so planning reads that alone; a member is unpacked as it is read, a block at a time. Up to ``TASKS`` members
+have a task each; of more, neighbours in an archive share one, by size, so that tasks and readings of the directory don't grow with the number of members.
 Its CRC is checked always, its SHA-256 where the manifest gives one; what doesn't match is an error that names archive and member, before the
 member's last block leaves the task.
 """
@@ -26,16 +27,26 @@ from .shared import written
 
 FORMAT = "corvane_archive"
 BLOCK = 1 << 20
+#: Tasks that members are dealt over, about, and the most bytes of members that share one.
+TASKS = 256
+SHARED = 64 << 20
 
 
 @dataclass
-class Member(InputPartition):
-    archive: str
+class Member:
     name: str
     size: int
     sha256: str | None
 
 
+@dataclass
+class Members(InputPartition):
+    """Members of one archive that a task reads one after the other."""
+
+    archive: str
+    members: list[Member]
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         if not options.get("path"):
@@ -51,9 +62,9 @@ class ArchiveReader(DataSourceReader):
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
         return sorted(f.path for f in found if f.type == fs.FileType.File and f.base_name.endswith(".zip"))
 
-    def partitions(self) -> list[Member]:
+    def partitions(self) -> list[Members]:
         store, _ = open_folder(self.uri)
-        out, missing = [], set(self.manifest)
+        found, missing = {}, set(self.manifest)
         for a in self.archives():
             with store.open_input_file(a) as f:
                 try:
@@ -61,36 +72,53 @@ class ArchiveReader(DataSourceReader):
                 except zipfile.BadZipFile as e:
                     raise ValueError(f"{a} is no whole archive: {e}") from e
             missing -= {m.filename for m in members}
-            out += [Member(a, m.filename, m.file_size, self.manifest.get(m.filename)) for m in members if not m.is_dir() and fnmatch(m.filename, self.pattern)]
+            found[a] = [Member(m.filename, m.file_size, self.manifest.get(m.filename)) for m in members if not m.is_dir() and fnmatch(m.filename, self.pattern)]
         if missing:
             raise ValueError(f"no archive has the member {min(missing)} of the manifest")
+        alone = sum(map(len, found.values())) <= TASKS
+        # A member counts a kilobyte beside its bytes: many empty ones are work as well.
+        most = min(SHARED, sum(m.size + 1024 for ms in found.values() for m in ms) // TASKS)
+        out = []
+        for a, members in found.items():
+            room = 0
+            for m in members:
+                if alone or room <= 0:
+                    out.append(Members(a, []))
+                    room = most
+                out[-1].members.append(m)
+                room -= m.size + 1024
         return out
 
-    def blocks(self, p: Member) -> Iterator[bytes]:
+    def blocks(self, z: zipfile.ZipFile, archive: str, p: Member) -> Iterator[bytes]:
         """A member's bytes; the last of them only after its digests were right."""
-        store, _ = open_folder(self.uri)
         digest, held = hashlib.sha256(), b""
         try:
-            with store.open_input_file(p.archive) as f, zipfile.ZipFile(f) as z, z.open(p.name) as m:
+            with z.open(p.name) as m:
                 while block := m.read(BLOCK):  # checks the CRC at the end
                     digest.update(block)
                     if held:
                         yield held
                     held = block
         except (zipfile.BadZipFile, EOFError, OSError, zlib.error) as e:
-            raise ValueError(f"{p.archive}: member {p.name} is damaged: {e}") from e
+            raise ValueError(f"{archive}: member {p.name} is damaged: {e}") from e
         if p.sha256 and digest.hexdigest() != p.sha256.lower():
-            raise ValueError(f"{p.archive}: member {p.name} has the digest {digest.hexdigest()}, not {p.sha256}")
+            raise ValueError(f"{archive}: member {p.name} has the digest {digest.hexdigest()}, not {p.sha256}")
         yield held
 
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
+        store, _ = open_folder(self.uri)
+        with store.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
+            for m in partition.members:
+                yield from self.rows(partition.archive, m, self.blocks(z, partition.archive, m))
+
+    def rows(self, archive: str, member: Member, blocks: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         names = ["archive", "member", "place", "content"]
-        row = lambda at, values: pa.RecordBatch.from_arrays([pa.array([partition.archive] * len(values)), pa.array([partition.name] * len(values)), pa.array(range(at, at + len(values)), pa.int64()), pa.array(values, pa.binary())], names)
+        row = lambda at, values: pa.RecordBatch.from_arrays([pa.array([archive] * len(values)), pa.array([member.name] * len(values)), pa.array(range(at, at + len(values)), pa.int64()), pa.array(values, pa.binary())], names)
         if not self.lines:
-            yield row(0, [b"".join(self.blocks(partition))])
+            yield row(0, [b"".join(blocks)])
             return
         rest, at = b"", 0
-        for block in self.blocks(partition):
+        for block in blocks:
             *whole, rest = (rest + block).split(b"\n")
             if whole:
                 yield row(at, whole)

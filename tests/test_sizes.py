@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import zipfile
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import assign, evaluate, scans, spatial, tracking
 from corvane.plans import QUERIES, structure_queries
+from corvane.sources import archives, recordings
 
 
 def test_parts_of_one_candidate_leave_in_one_table():
@@ -75,3 +80,17 @@ def test_points_are_not_copied_to_their_neighbours_cells(spark, sf, monkeypatch)
     assert sorted((r.frame, *sorted((r.a_point_id, r.b_point_id))) for r in pairs.collect()) == [(f, *ij) for f in (1, 2) for ij in ((0, 1), (0, 2), (1, 2))]
     for q in ("mutual_radius", "knn", "covariances", "radius_semi", "registration_quality"):
         assert "explode" not in QUERIES[q](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_members_share_tasks(spark, tmp_path):
+    """More members than tasks, empty ones and a large one among them: all are read, whole and by line."""
+    content = {f"m{i}": b"".join(b"%d\n" % k for k in range(i % 7)) for i in range(900)} | {"m7": b"x" * (3 << 20)}
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for n, c in list(content.items())[k::2]:
+                z.writestr(n, c)
+    digests = {n: hashlib.sha256(c).hexdigest() for n, c in content.items()}
+    whole = archives.read_archives(spark, str(tmp_path), lines=False, manifest=digests)
+    assert whole.rdd.getNumPartitions() < 300 and {r.member: bytes(r.content) for r in whole.collect()} == content
+    lines = archives.read_archives(spark, str(tmp_path), "m[1-6]*").groupBy("member").count().collect()
+    assert {r.member: r["count"] for r in lines} == {n: c.count(b"\n") for n, c in content.items() if n[1] in "123456" and c}
