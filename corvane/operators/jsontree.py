@@ -35,6 +35,13 @@ def _kind(v: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)), F.lit("number"))
 
 
+def _named(key: Column) -> Column:
+    """The path of a key below ``path``."""
+    dot = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
+    quoted = F.concat("path", F.lit('["'), F.regexp_replace(key, r'(["\\])', r"\\$1"), F.lit('"]'))
+    return F.when(key.rlike(r"^[\w-]+$"), F.concat(dot, key)).otherwise(quoted)
+
+
 def json_tree(docs: DataFrame, keys: list[str], json: str, levels: int | None = None) -> DataFrame:
     """(keys, path, parent, key, kind, value) of every value of every document, the root's path being empty.
 
@@ -53,10 +60,7 @@ def json_tree(docs: DataFrame, keys: list[str], json: str, levels: int | None =
         kind = F.col("kind")
         below = lambda path, key, v: F.struct(path.alias("path"), F.col("path").alias("parent"), key.alias("key"), v.alias("v"), F.lit(True).alias("open"))
         own = F.array(F.struct(F.col("path").alias("path"), F.col("parent").alias("parent"), F.col("key").alias("key"), F.col("v").alias("v"), F.lit(False).alias("open")))
-        dot = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
-        quoted = lambda k: F.concat("path", F.lit('["'), F.regexp_replace(k, r'(["\\])', r"\\$1"), F.lit('"]'))
-        named = lambda k: F.when(k.rlike(r"^[\w-]+$"), F.concat(dot, k)).otherwise(quoted(k))  # noqa: B023, E731
-        of_object = F.transform(F.map_entries(F.when(kind == OBJECT, F.expr("try_cast(v as map<string, variant>)"))), lambda e: below(named(e["key"]), e["key"], e["value"]))
+        of_object = F.transform(F.map_entries(F.when(kind == OBJECT, F.expr("try_cast(v as map<string, variant>)"))), lambda e: below(_named(e["key"]), e["key"], e["value"]))
         of_array = F.transform(F.when(kind == ARRAY, F.expr("try_cast(v as array<variant>)")), lambda x, i: below(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")), none, x))
         rows = rows.select(*names, "text", F.explode(F.concat(own, F.coalesce(of_object, of_array, F.slice(own, 2, 1)))).alias("r")).select(*names, "text", "r.*")
     rows = rows.withColumn("kind", F.when(F.col("text").isNull(), MISSING).when(F.col("v").isNull(), INVALID).otherwise(_kind(F.col("v"))))
@@ -71,6 +75,40 @@ def pattern(path: Column) -> Column:
     return F.regexp_replace(path, r"\[\d+\]", "[*]")
 
 
+def _told(v: Column, text: Column, there: Column) -> Column:
+    """(kind, value) of a value as in ``json_tree``, null where its side has none."""
+    kind = F.when(text.isNull(), MISSING).when(v.isNull(), INVALID).otherwise(_kind(v))
+    size = lambda of: F.size(v.try_cast(of)).cast("string")
+    value = F.when(kind == OBJECT, size("map<string, variant>")).when(kind == ARRAY, size("array<variant>")).when(kind == "number", F.try_variant_get(v, "$", "double").cast("string"))
+    value = value.when(kind == INVALID, text).when(kind != MISSING, F.try_variant_get(v, "$", "string"))
+    return F.when(there, F.struct(kind.alias("kind"), value.alias("value")))
+
+
+def _compared(rows: DataFrame, names: list[str], deeper: bool) -> DataFrame:
+    """One level of a descent into both sides at once: pairs of values become what differs between them and the pairs below them; equal ones go."""
+    rows = rows.withColumns({f"{x}told": F.when(F.col("change").isNull(), _told(F.col(x), F.col(f"{x}text"), F.col(f"{x}there"))) for x in "ba"})
+    old, new = F.col("btold"), F.col("atold")
+    kind = F.when(old["kind"] == new["kind"], new["kind"])
+    differs = ~old["value"].eqNullSafe(new["value"])
+    change = F.when(old.isNull(), "added").when(new.isNull(), "removed").when(kind.isNull(), "kind").when((kind == ARRAY) & differs, "length").when(~kind.isin(OBJECT, ARRAY) & differs, "value")
+    open_ = F.col("change").isNull()
+    path = F.when(open_ & (change == "length"), F.concat("path", F.lit(".length"))).otherwise(F.col("path"))
+    pair = lambda path, b, a, change, old, new: F.struct(path.alias("path"), b.alias("b"), a.alias("a"), change.alias("change"), old.alias("old"), new.alias("new"))
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("variant")
+    own = F.filter(F.array(pair(path, nothing, nothing, F.when(open_, change).otherwise(F.col("change")), F.when(open_, old["value"]).otherwise(F.col("old")), F.when(open_, new["value"]).otherwise(F.col("new")))), lambda r: r["change"].isNotNull())
+    all_ = own
+    if deeper:
+        within = F.when(open_, kind)
+        mb, ma = (F.when(within == OBJECT, F.col(x).try_cast("map<string, variant>")) for x in "ba")
+        ab, aa = (F.when(within == ARRAY, F.col(x).try_cast("array<variant>")) for x in "ba")
+        of_object = F.transform(F.array_union(F.map_keys(mb), F.map_keys(ma)), lambda k: pair(_named(k), F.try_element_at(mb, k), F.try_element_at(ma, k), none, none, none))
+        of_array = F.transform(F.slice(ab, F.lit(1), F.least(F.size(ab), F.size(aa))), lambda x, i: pair(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")), x, F.get(aa, i), none, none, none))
+        all_ = F.concat(own, F.coalesce(of_object, of_array, F.slice(own, 2, 1)))
+    rows = rows.select(*names, F.explode(all_).alias("r")).select(*names, "r.*")
+    text = F.lit("")
+    return rows.select(*names, "path", text.alias("btext"), text.alias("atext"), F.col("b").isNotNull().alias("bthere"), F.col("a").isNotNull().alias("athere"), "b", "a", "change", "old", "new")
+
+
 def json_difference(before: DataFrame, after: DataFrame, keys: list[str], json: str, allowed: DataFrame | None = None) -> DataFrame:
     """(keys, path, change, old, new, allowed) of what differs between documents of equal keys.
 
@@ -78,28 +116,21 @@ def json_difference(before: DataFrame, after: DataFrame, keys: list[str], json:
     (``kind``). Arrays of different lengths are one row at ``path.length`` and compared as far as both go. Keys that only one side has are rows of the
     empty path. ``allowed`` (pattern, value) names parts that may be removed, by ``pattern`` of their path, with any value where that is null.
     """
-    levels = max(depth(before, json), depth(after, json))
-    sides = [json_tree(df, keys, json, levels).select(*keys, "path", "parent", F.struct("kind", "value").alias(name)) for df, name in ((before, "b"), (after, "a"))]
-    both = [*keys, "path"]
-    side = [s.toDF(*[f"{n}{i}" for i in range(len(both) + 1)], v) for s, n, v in zip(sides, "bc", ("b", "a"), strict=True)]
+    names = [f"k{i}" for i in range(len(keys))]
+    side = lambda df, n: df.select(*[F.col(k).alias(f"{n}{i}") for i, k in enumerate(keys)], F.col(json).alias(f"{n}text"), F.lit(True).alias(f"{n}there"))
     same = F.lit(True)
-    for i in range(len(both)):
-        same = same & F.col(f"b{i}").eqNullSafe(F.col(f"c{i}"))
-    met = side[0].join(side[1], same, "full_outer")
-    met = written(met.select(*[F.coalesce(f"b{i}", f"c{i}").alias(c) for i, c in enumerate([*both, "parent"])], "b", "a"), "documents")  # read twice
-    container = (F.col("b.kind") == F.col("a.kind")) & F.col("a.kind").isin(OBJECT, ARRAY)
-    shared = met.where(container).select(*[F.col(c).alias(f"s{i}") for i, c in enumerate(both)], F.col("a.kind").alias("within"))
-    old, new = F.col("b"), F.col("a")
-    length = container & (F.col("a.kind") == ARRAY) & ~old.eqNullSafe(new)
-    change = F.when(old.isNull(), "added").when(new.isNull(), "removed").when(F.col("b.kind") != F.col("a.kind"), "kind").when(length, "length").when(~container & ~old.eqNullSafe(new), "value")
-    found = met.withColumn("change", change).where("change is not null")
-    up = F.lit(True)
-    for i, c in enumerate([*keys, "parent"]):
-        up = up & F.col(f"s{i}").eqNullSafe(F.col(c))
-    # What stands in a part that only one side has, or past the end of the shorter array, was told above it.
-    found = found.join(shared, up, "left").where((F.col("path") == "") | (F.col("within") == OBJECT) | ((F.col("within") == ARRAY) & ~F.col("change").isin("added", "removed")))
-    path = F.when(F.col("change") == "length", F.concat("path", F.lit(".length"))).otherwise(F.col("path"))
-    out = found.select(*keys, path.alias("path"), "change", F.col("b.value").alias("old"), F.col("a.value").alias("new"))
+    for i in range(len(keys)):
+        same = same & F.col(f"b{i}").eqNullSafe(F.col(f"a{i}"))
+    met = side(before, "b").join(side(after, "a"), same, "full_outer")
+    # Equal texts don't differ and aren't parsed. What is left is read for its depth, then for its differences.
+    met = met.where(~(F.coalesce("bthere", F.lit(False)) & F.coalesce("athere", F.lit(False)) & F.col("btext").eqNullSafe(F.col("atext"))))
+    met = written(met.select(*[F.coalesce(f"b{i}", f"a{i}").alias(n) for i, n in enumerate(names)], "btext", "atext", *[F.coalesce(f"{x}there", F.lit(False)).alias(f"{x}there") for x in "ba"]), "documents")
+    levels = depth(met.select(F.explode(F.array("btext", "atext")).alias("text")), "text")
+    none = F.lit(None).cast("string")
+    rows = met.select(*names, F.lit("").alias("path"), "btext", "atext", "bthere", "athere", F.try_parse_json("btext").alias("b"), F.try_parse_json("atext").alias("a"), *[none.alias(c) for c in ("change", "old", "new")])
+    for n in range(levels + 1):
+        rows = _compared(rows, names, n < levels)
+    out = rows.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], "path", "change", "old", "new")
     if allowed is None:
         return out.withColumn("allowed", F.lit(False))
     names = allowed.groupBy(F.col("pattern").alias("__pattern")).agg(F.collect_set("value").alias("__values"), F.bool_or(F.col("value").isNull()).alias("__any"))

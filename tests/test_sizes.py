@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import assign, evaluate, scans, spatial, tracking
+from corvane.operators import assign, evaluate, jsontree, scans, spatial, tracking
 from corvane.plans import QUERIES, structure_queries
 from corvane.sources import archives, recordings
 
@@ -106,3 +106,11 @@ def test_folders_grow_with_segments_not_with_recordings(spark, tmp_path):
     assert len(c) == 200 and sum(r.disabled for r in c) == 50 and sum(r.scans for r in c) == 4000 and {(r.segments, r.first == r.last) for r in c} == {(1, True)}
     got = recordings.read_segments(spark, at, rows.select("bag", "segment").where("segment = 3"), "frame long, ns long")
     assert got.count() == rows.where("segment = 3 and bag >= 50").count()
+
+
+def test_documents_are_compared_without_joining_their_values(spark):
+    """Documents meet once, by their keys; equal ones aren't taken apart, and what differs is found on the way down."""
+    docs = lambda x: spark.createDataFrame([(i, f'{{"a": [{i}, {{"b": {x if i == 7 else 0}}}]}}') for i in range(50)], "id long, doc string")
+    d = jsontree.json_difference(docs(1), docs(2), ["id"], "doc")
+    assert [tuple(r) for r in d.collect()] == [(7, "a[1].b", "value", "1", "2", False)]
+    assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
