@@ -75,9 +75,8 @@ def pattern(path: Column) -> Column:
     return F.regexp_replace(path, r"\[\d+\]", "[*]")
 
 
-def _told(v: Column, text: Column, there: Column) -> Column:
+def _told(v: Column, kind: Column, text: Column, there: Column) -> Column:
     """(kind, value) of a value as in ``json_tree``, null where its side has none."""
-    kind = F.when(text.isNull(), MISSING).when(v.isNull(), INVALID).otherwise(_kind(v))
     size = lambda of: F.size(v.try_cast(of)).cast("string")
     value = F.when(kind == OBJECT, size("map<string, variant>")).when(kind == ARRAY, size("array<variant>")).when(kind == "number", F.try_variant_get(v, "$", "double").cast("string"))
     value = value.when(kind == INVALID, text).when(kind != MISSING, F.try_variant_get(v, "$", "string"))
@@ -86,7 +85,9 @@ def _told(v: Column, text: Column, there: Column) -> Column:
 
 def _compared(rows: DataFrame, names: list[str], deeper: bool) -> DataFrame:
     """One level of a descent into both sides at once: pairs of values become what differs between them and the pairs below them; equal ones go."""
-    rows = rows.withColumns({f"{x}told": F.when(F.col("change").isNull(), _told(F.col(x), F.col(f"{x}text"), F.col(f"{x}there"))) for x in "ba"})
+    kinds = {x: F.when(F.col(f"{x}text").isNull(), MISSING).when(F.col(x).isNull(), INVALID).otherwise(_kind(F.col(x))) for x in "ba"}
+    rows = rows.withColumns({f"{x}kind": F.when(F.col("change").isNull(), k) for x, k in kinds.items()})  # a column, so it is found once
+    rows = rows.withColumns({f"{x}told": F.when(F.col("change").isNull(), _told(F.col(x), F.col(f"{x}kind"), F.col(f"{x}text"), F.col(f"{x}there"))) for x in "ba"})
     old, new = F.col("btold"), F.col("atold")
     kind = F.when(old["kind"] == new["kind"], new["kind"])
     differs = ~old["value"].eqNullSafe(new["value"])
