@@ -6,19 +6,25 @@ What decides about planes, the strips and the mask are aggregates and joins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import numeric as fn
+from .scans import whole_scans
 from .spatial import XYZ, radius_semi
 
 KEYS = ("frame",)
 PLANE = ("nx", "ny", "nz", "offset")
+#: Distances of points from trial planes that are weighed at once.
+VOTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -75,7 +81,8 @@ def best_plane(p: np.ndarray, inlier: float, trials: int, rng: np.random.Generat
         return np.zeros(4), np.zeros(len(p), bool)
     normal = normal[ok] / size[ok, None]
     offset = -(normal * corner[ok, 0]).sum(1)
-    votes = np.concatenate([(np.abs(p @ n.T + o) < inlier).sum(0) for n, o in zip(np.array_split(normal, 8), np.array_split(offset, 8), strict=True)])
+    parts = max(1, -(-len(p) * len(normal) // VOTES))
+    votes = np.concatenate([(np.abs(p @ n.T + o) < inlier).sum(0) for n, o in zip(np.array_split(normal, parts), np.array_split(offset, parts), strict=True)])
     k = votes.argmax()
     plane, on = np.append(normal[k], offset[k]), np.abs(p @ normal[k] + offset[k]) < inlier
     middle = p[on].mean(0)
@@ -86,28 +93,48 @@ def best_plane(p: np.ndarray, inlier: float, trials: int, rng: np.random.Generat
     return plane * (1 if plane[np.abs(plane[:3]).argmax()] > 0 else -1), on
 
 
+def peeled(p: np.ndarray, window: int, c: LiningParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(plane, its points' places) of one window, each from what those before it left."""
+    left, rng = np.arange(len(p)), np.random.default_rng([c.seed, window])
+    for _ in range(c.planes):
+        if len(left) < max(3, c.support):
+            return
+        plane, on = best_plane(p[left], c.inlier, c.trials, rng)
+        if on.sum() < c.support:
+            return
+        yield plane, left[on]
+        left = left[~on]
+
+
 def peeled_planes(sample: DataFrame, c: LiningParams, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, window, round, nx, ny, nz, offset, point_id, x, y, z): the points of up to ``planes`` planes of each window, each plane from what those before it left."""
-    rows = sample.select(*keys, "window", "point_id", *XYZ)
+    """(keys, window, round, nx, ny, nz, offset, point_id, x, y, z): the points of up to ``planes`` planes of each window, each plane from what those before it left.
 
-    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("point_id", ignore_index=True)
-        p, left, found = g[list(XYZ)].to_numpy(float), np.arange(len(g)), []
-        rng = np.random.default_rng([c.seed, int(key[-1])])
-        for number in range(c.planes):
-            if len(left) < max(3, c.support):
-                break
-            plane, on = best_plane(p[left], c.inlier, c.trials, rng)
-            if on.sum() < c.support:
-                break
-            found.append(g.iloc[left[on]].assign(round=number, **dict(zip(PLANE, plane.tolist(), strict=True))))
-            left = left[~on]
-        out = pd.concat(found) if found else g.iloc[:0].assign(round=0, **dict.fromkeys(PLANE, 0.0))
-        return out[[*keys, "window", "round", *PLANE, "point_id", *XYZ]]
-
-    head = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    ident = rows.schema["point_id"].dataType.simpleString()
-    return rows.groupBy(*keys, "window").applyInPandas(solve, f"{head}, window long, round long, nx double, ny double, nz double, offset double, point_id {ident}, x double, y double, z double")
+    Windows stream through their task many at a time, in the order of their points; none is a table of its own.
+    """
+    rows = sample.select(*keys, "window", "point_id", *XYZ)
+    out = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(n, T.LongType()) for n in ("window", "round")), *(T.StructField(n, T.DoubleType()) for n in PLANE), rows.schema["point_id"], *(T.StructField(n, T.DoubleType()) for n in XYZ)])
+    names, arrow = [*keys, "window"], to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, scan in whole_scans(batches, len(names)):
+            xyz = np.column_stack([np.asarray(t.column(a), float) for a in XYZ])
+            number = np.asarray(t.column("window"))
+            first = np.flatnonzero(np.r_[True, scan[1:] != scan[:-1]])
+            at, rounds, planes = [], [], []
+            for a, b in zip(first, [*first[1:], len(scan)], strict=True):
+                for k, (plane, on) in enumerate(peeled(xyz[a:b], int(number[a]), c)):
+                    at.append(a + on)
+                    rounds.append(np.full(len(on), k))
+                    planes.append(np.broadcast_to(plane, (len(on), 4)))
+            if at:
+                of = t.take(pa.array(np.concatenate(at)))
+                plane = np.concatenate(planes)
+                new = {"round": pa.array(np.concatenate(rounds))} | {n: pa.array(np.ascontiguousarray(plane[:, i])) for i, n in enumerate(PLANE)}
+                yield from pa.table([new[n] if n in new else of.column(n) for n in out.names], out.names).cast(arrow).to_batches(max_chunksize=1 << 16)
+
+    # Few bytes make much work here, so Spark isn't left to join small partitions to one task.
+    dealt = rows.repartition(int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names, "point_id")
+    return dealt.mapInArrow(run, out)
 
 
 def across(kind: Column | str) -> Column:

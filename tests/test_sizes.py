@@ -11,8 +11,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import assign, evaluate, jsontree, scans, spatial, tracking
-from corvane.plans import QUERIES, structure_queries
+from corvane.operators import assign, evaluate, jsontree, lining, scans, spatial, tracking
+from corvane.plans import QUERIES, lining_queries, structure_queries
 from corvane.sources import archives, recordings
 
 
@@ -114,3 +114,16 @@ def test_documents_are_compared_without_joining_their_values(spark):
     d = jsontree.json_difference(docs(1), docs(2), ["id"], "doc")
     assert [tuple(r) for r in d.collect()] == [(7, "a[1].b", "value", "1", "2", False)]
     assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_are_peeled_in_batches(spark, monkeypatch):
+    """No window is a table of its own, nor is it read with others by too few tasks; those of a null scan are a scan's, wherever batches end."""
+    monkeypatch.setattr(scans, "SCAN_ROWS", 50)
+    rng, c = np.random.default_rng(1), lining_queries.LINING
+    rows = [(f, w, i, *map(float, p)) for f in (1, None, 2) for w in (0, 1) for i, p in enumerate(np.c_[rng.uniform(0, 40, 90), rng.integers(0, 3, 90), rng.uniform(0, 4, 90)])]
+    d = lining.peeled_planes(spark.createDataFrame(rows, "frame long, window long, point_id long, x double, y double, z double"), c)
+    assert "FlatMapGroups" not in d._jdf.queryExecution().optimizedPlan().toString() and d.rdd.getNumPartitions() == 4
+    got = sorted((r.frame or 0, r.window, r["round"], r.ny, r.offset, r.point_id) for r in d.collect())
+    of = lambda f, w: np.array([r[3:] for r in rows if r[:2] == (f, w)])
+    want = sorted((f or 0, w, k, *plane[[1, 3]], i) for f in (1, None, 2) for w in (0, 1) for k, (plane, on) in enumerate(lining.peeled(of(f, w), w, c)) for i in on)
+    assert len(want) > 500 and got == want
