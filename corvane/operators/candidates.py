@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .assign import shortest_from, union_find
+from .scans import solve_graphs
 
 
 @dataclass(frozen=True)
@@ -100,21 +103,27 @@ def surface_parts(xyz: np.ndarray, height: np.ndarray, src: np.ndarray, dst: np.
     return np.argsort(order)[part]
 
 
+def may_split(label: np.ndarray, above: np.ndarray, src: np.ndarray, c: SurfaceParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(points, edges) of each component with enough points above contact for two bodies; the others, most of a scan's, stay whole and aren't looked at."""
+    names, of = np.unique(label, return_inverse=True)
+    count = np.bincount(of, weights=above, minlength=len(names))
+    by, of_edge = np.argsort(of, kind="stable"), of[src]
+    by_edge = np.argsort(of_edge, kind="stable")
+    points, edges = (x[y].searchsorted(np.arange(len(names) + 1)) for x, y in ((of, by), (of_edge, by_edge)))
+    for k in np.flatnonzero(count >= 2 * max(c.min_part, 1)):
+        yield by[points[k] : points[k + 1]], by_edge[edges[k] : edges[k + 1]]
+
+
 def split_surface(points: DataFrame, edges: DataFrame, c: SurfaceParams) -> DataFrame:
     """(frame, point_id, label, part) of points (frame, point_id, label, x, y, z, height); edges (frame, src, dst) join points of one label."""
 
-    def solve(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values("point_id")
-        ids, label = n["point_id"].to_numpy(), n["label"].to_numpy()
-        src, dst = ids.searchsorted(e["src"].to_numpy()), ids.searchsorted(e["dst"].to_numpy())
-        xyz, height, part = n[["x", "y", "z"]].to_numpy(float), n["height"].to_numpy(float), np.zeros(len(n), np.int64)
-        by = np.argsort(label, kind="stable")
-        of_edge = label[src]
-        for at in np.split(by, np.flatnonzero(np.diff(label[by])) + 1):
-            mine = of_edge == label[at[0]]
+    def solve(n: pa.Table, scan: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pa.Table:
+        names, rank = np.unique(np.asarray(n.column("label")), return_inverse=True)
+        xyz, height = np.column_stack([np.asarray(n.column(a), float) for a in ("x", "y", "z")]), np.asarray(n.column("height"), float)
+        part = np.zeros(len(scan), np.int64)
+        for at, mine in may_split(scan * len(names) + rank, height > c.contact, src, c):
             part[at] = surface_parts(xyz[at], height[at], at.searchsorted(src[mine]), at.searchsorted(dst[mine]), c)
-        return pd.DataFrame({"frame": key[0], "point_id": ids, "label": label, "part": part})
+        return n.select(["frame", "point_id", "label"]).append_column("part", pa.array(part))
 
-    kind = points.schema["frame"].dataType.simpleString()
-    left = points.select(F.col("frame").alias("g"), "point_id", "label", "x", "y", "z", "height").groupBy("g")
-    return left.cogroup(edges.select(F.col("frame").alias("h"), "src", "dst").groupBy("h")).applyInPandas(solve, f"frame {kind}, point_id long, label long, part long")
+    schema = T.StructType([points.schema["frame"], *(T.StructField(f, T.LongType()) for f in ("point_id", "label", "part"))])
+    return solve_graphs(points.select("frame", "point_id", "label", "x", "y", "z", "height"), edges, "frame", solve, schema)

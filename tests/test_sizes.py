@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import assign, evaluate, jsontree, lining, scans, spatial, tracking
+from corvane.operators import assign, candidates, evaluate, jsontree, lining, scans, spatial, tracking
 from corvane.plans import QUERIES, lining_queries, structure_queries
 from corvane.sources import archives, recordings
 
@@ -127,3 +127,24 @@ def test_windows_are_peeled_in_batches(spark, monkeypatch):
     of = lambda f, w: np.array([r[3:] for r in rows if r[:2] == (f, w)])
     want = sorted((f or 0, w, k, *plane[[1, 3]], i) for f in (1, None, 2) for w in (0, 1) for k, (plane, on) in enumerate(lining.peeled(of(f, w), w, c)) for i in on)
     assert len(want) > 500 and got == want
+
+
+def test_components_that_cannot_split_are_not_looked_at():
+    c = candidates.SurfaceParams(0.5, 3, 0.3, 1.6)
+    label = np.array([5, 0, 5, 0, 5, 2, 5, 5, 5, 2])
+    above = np.array([1, 1, 1, 0, 1, 1, 1, 1, 1, 1], bool)
+    got = [(a.tolist(), e.tolist()) for a, e in candidates.may_split(label, above, np.array([9, 0, 1, 2]), c)]
+    assert got == [([0, 2, 4, 6, 7, 8], [1, 3])]
+
+
+def test_graphs_of_many_scans_are_solved_at_once(spark, monkeypatch):
+    """Equal to each scan's own union-find, wherever batches end; a null scan is one, edges to what isn't there go."""
+    monkeypatch.setattr(scans, "SCAN_ROWS", 9)
+    rng, ids = np.random.default_rng(3), {f: np.sort(np.random.default_rng(9).choice(90, 20, False)) for f in (None, 1, 2, 7)}
+    ends = {f: rng.choice(v, (9, 2)) for f, v in ids.items()}
+    nodes = spark.createDataFrame([(f, int(i)) for f, v in ids.items() for i in v], "frame long, point_id long")
+    edges = spark.createDataFrame([(f, *map(int, e)) for f, v in ends.items() for e in v] + [(1, 1000, int(ids[1][0])), (5, 1, 2)], "frame long, src long, dst long")
+    d = spatial.components(nodes, edges)
+    assert "CoGroup" not in d._jdf.queryExecution().optimizedPlan().toString()
+    want = {(f, i, k) for f, v in ids.items() for i, k in zip(v.tolist(), assign.union_find(20, v.searchsorted(ends[f][:, 0]), v.searchsorted(ends[f][:, 1])).tolist(), strict=True)}
+    assert {tuple(r) for r in d.collect()} == want
