@@ -66,21 +66,50 @@ def match_or_leave(pairs: np.ndarray, cost: np.ndarray, alone: float) -> dict[in
     """
     if not len(pairs):
         return {}
+    if len(pairs) <= FEW:
+        return match_few(sorted(zip(*np.transpose(pairs).tolist(), np.asarray(cost, float).tolist(), strict=True)), alone)
     left, right = (np.unique(x, return_inverse=True) for x in pairs.T)
     part = union_find(len(left[0]) + len(right[0]), left[1], right[1] + len(left[0]))[left[1]]
     order = np.lexsort((pairs[:, 1], pairs[:, 0], part))
     out: dict[int, int] = {}
     for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-        block = [(int(i), int(j), float(c)) for (i, j), c in zip(pairs[rows], cost[rows], strict=True)]
-        if len({i for i, _, _ in block}) == 1 or len({j for _, j, _ in block}) == 1:
-            i, j, c = min(block, key=lambda e: (e[2], e[0], e[1]))
-            if c < alone:
-                out[j] = i
-        else:
-            out |= _grown(block, alone)
+        out |= _matched([(int(i), int(j), float(c)) for (i, j), c in zip(pairs[rows], cost[rows], strict=True)], alone)
     return out
 
 
+#: Pairs that are matched without arrays, which cost more than so few.
+FEW = 64
+
+
+def match_few(pairs: list[tuple[int, int, float]], alone: float) -> dict[int, int]:
+    """``match_or_leave`` of a few pairs (left, right, cost) in order, without arrays."""
+    of_left: dict[int, list] = {}
+    of_right: dict[int, list] = {}
+    for e in pairs:
+        a, b = of_left.get(e[0]), of_right.get(e[1])
+        if a is None:
+            a = of_left[e[0]] = [] if b is None else b
+        if b is None:
+            b = of_right[e[1]] = a
+        a.append(e)
+        if a is not b:  # two components become one
+            a += b
+            of_left |= {i: a for i, _, _ in b}
+            of_right |= {j: a for _, j, _ in b} | {e[1]: a}
+    out: dict[int, int] = {}
+    for block in {id(x): x for x in of_left.values()}.values():
+        out |= _matched(sorted(block), alone)
+    return out
+
+
+def _matched(block: list[tuple[int, int, float]], alone: float) -> dict[int, int]:
+    """The pairing of one component."""
+    if len(block) == 1 or len({i for i, _, _ in block}) == 1 or len({j for _, j, _ in block}) == 1:
+        i, j, c = min(block, key=lambda e: (e[2], e[0], e[1]))
+        return {j: i} if c < alone else {}
+    return _grown(block, alone)
+
+
 def _grown(block: list[tuple[int, int, float]], alone: float) -> dict[int, int]:
     edges: dict[int, dict[int, float]] = {}
     for i, j, c in block:

@@ -6,6 +6,7 @@ group in batch and one key in a stream; both call the same class.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import deque
 from collections.abc import Iterator
@@ -13,13 +14,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.shared import shared_folder, written
-from .assign import match_or_leave
+from .assign import FEW, match_few, match_or_leave
 from .ranges import affine_scan
+from .scans import whole_scans
 
 
 #: Rows of a recording that are tracked as one group, about.
@@ -44,11 +49,14 @@ class TrackParams:
 
 @dataclass
 class Track:
-    state: np.ndarray
-    cov: np.ndarray
+    """All axes have the same start, push and measurement, so one variance of place, one of speed and one covariance hold for each of them."""
+
+    at: tuple[float, float, float]
+    speed: tuple[float, float, float]
+    spread: tuple[float, float, float]  # var(place), cov(place, speed), var(speed)
     stamp: float
     first: float
-    extent: np.ndarray
+    extent: tuple[float, float, float]
     seen: list[int] = field(default_factory=list)
     interior: list[int] = field(default_factory=list)
     evidence: deque[tuple[float, int]] = field(default_factory=deque)
@@ -60,19 +68,38 @@ INPUT = ["ns", "frame", "id", "cx", "cy", "cz", "ex", "ey", "ez", "relation", "s
 COLUMNS = ["id", "track_id", "hits", "accumulated", "confirmed", "presence_confirmed", "intersection_confirmed", "confirmation", "vx", "track_age_s"]
 
 
+def _logs(extent: tuple[float, ...]) -> list[float]:
+    return [math.log(v + 0.1) if v > -0.1 else -math.inf if v == -0.1 else math.nan for v in extent]
+
+
 class Motion:
-    """Constant velocity along each axis, on stacks of tracks: states (n, 6) and covariances (n, 6, 6)."""
+    """Constant velocity along each axis, pushed by chance accelerations."""
 
     def __init__(self, p: TrackParams):
-        self.push, self.measured = p.acceleration_sigma**2, np.eye(3) * (p.position_sigma**2 + p.pose_sigma**2)
-        self.start = np.diag([p.position_sigma**2] * 3 + [1.0] * 3)
-
-    def ahead(self, state: np.ndarray, cov: np.ndarray, dt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States and covariances after dt (n) seconds."""
-        move = np.broadcast_to(np.eye(6), cov.shape).copy()
-        move[:, [0, 1, 2], [3, 4, 5]] = dt[:, None]
-        pushed = np.concatenate([np.eye(3)[None] * (dt * dt / 2)[:, None, None], np.eye(3)[None] * dt[:, None, None]], 1)
-        return np.einsum("nij,nj->ni", move, state), move @ cov @ move.transpose(0, 2, 1) + self.push * pushed @ pushed.transpose(0, 2, 1)
+        self.push, self.noise = p.acceleration_sigma**2, p.position_sigma**2 + p.pose_sigma**2
+
+    @property
+    def measured(self) -> np.ndarray:
+        return np.eye(3) * self.noise
+
+    def ahead(self, t: Track, dt: float) -> tuple[tuple, tuple]:
+        """A track's place and spread after dt seconds."""
+        a, b, c = t.spread
+        q = self.push * dt * dt
+        (x, y, z), (u, v, w) = t.at, t.speed
+        return (x + dt * u, y + dt * v, z + dt * w), (a + 2 * dt * b + dt * dt * c + q * dt * dt / 4, b + dt * c + q * dt / 2, c + q)
+
+    def few_pairs(self, places: list[tuple], spreads: list[tuple], extents: list[tuple], centres: list[tuple], sizes: list[tuple], gate: float, shape_gate: float) -> list[tuple[int, int, float]]:
+        """``pairs`` of few tracks and objects, as (track, object, cost)."""
+        out, logs = [], [_logs(s) for s in sizes]
+        for i, ((x, y, z), spread, extent) in enumerate(zip(places, spreads, extents, strict=True)):
+            (e, f, g), unit = _logs(extent), spread[0] + self.noise
+            for j, ((u, v, w), (k, m, n)) in enumerate(zip(centres, logs, strict=True)):
+                shape = math.sqrt((k - e) * (k - e) + (m - f) * (m - f) + (n - g) * (n - g))
+                far = ((u - x) * (u - x) + (v - y) * (v - y) + (w - z) * (w - z)) / unit
+                if shape <= shape_gate and far <= gate:
+                    out.append((i, j, far + shape))
+        return out
 
     def pairs(self, state: np.ndarray, cov: np.ndarray, extent: np.ndarray, centre: np.ndarray, size: np.ndarray, gate: float, shape_gate: float) -> tuple[np.ndarray, np.ndarray]:
         """(track, object) that may be one, and what each pair costs: squared distance in units of the prediction's spread, and of log extents."""
@@ -84,12 +111,14 @@ class Motion:
         near = far <= gate
         return np.stack([i[near], j[near]], 1), (far + shape[i, j])[near]
 
-    def corrected(self, state: np.ndarray, cov: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One predicted state after its object was seen at ``centre`` (Joseph form)."""
-        gain = np.linalg.solve(cov[:3, :3] + self.measured, cov[:3]).T
-        left = np.eye(6)
-        left[:, :3] -= gain
-        return state + gain @ (centre - state[:3]), left @ cov @ left.T + gain @ self.measured @ gain.T
+    def corrected(self, t: Track, at: tuple, spread: tuple, centre: tuple) -> None:
+        """Sets a track, predicted at ``at``, after its object was seen at ``centre`` (Joseph form)."""
+        a, b, c = spread
+        k, m, r = a / (a + self.noise), b / (a + self.noise), self.noise
+        off = [s - p for s, p in zip(centre, at, strict=True)]
+        t.at = tuple(p + k * o for p, o in zip(at, off, strict=True))
+        t.speed = tuple(v + m * o for v, o in zip(t.speed, off, strict=True))
+        t.spread = (1 - k) * (1 - k) * a + k * k * r, (1 - k) * (b - m * a) + k * m * r, m * m * a - 2 * m * b + c + m * m * r
 
 
 class Tracker:
@@ -113,24 +142,31 @@ class Tracker:
             self.reset()
         self.last, self.frame = stamp, self.frame + 1
         self.tracks = {k: t for k, t in sorted(self.tracks.items()) if stamp - t.stamp <= p.max_track_gap_s}
-        centre, extent = (np.column_stack([np.asarray(o[c], float) for c in names]) for names in (("cx", "cy", "cz"), ("ex", "ey", "ez")))
-        pool = np.asarray(o["fragment"], bool) if "fragment" in o else np.zeros(len(centre), bool)
-        keys, owner, at, spread = list(self.tracks), {}, None, None
-        if keys and len(centre):
+        o = {c: v.tolist() if hasattr(v, "tolist") else v for c, v in o.items()}
+        centre, extent = (list(zip(*(map(float, o[c]) for c in names), strict=True)) for names in (("cx", "cy", "cz"), ("ex", "ey", "ez")))
+        pool = o.get("fragment") or [False] * len(centre)
+        keys, owner, ahead = list(self.tracks), {}, []
+        if keys and centre:
             known = list(self.tracks.values())
-            at, spread = motion.ahead(np.stack([t.state for t in known]), np.stack([t.cov for t in known]), np.array([stamp - t.stamp for t in known]))
-            pairs, cost = motion.pairs(at, spread, np.stack([t.extent for t in known]), centre, extent, p.gate, p.extent_gate)
-            alike = np.array([t.fragment for t in known])[pairs[:, 0]] == pool[pairs[:, 1]]
-            owner = match_or_leave(pairs[alike], cost[alike], p.gate + p.extent_gate + 1)
+            ahead = [motion.ahead(t, stamp - t.stamp) for t in known]
+            places, spreads, extents, alone = [a for a, _ in ahead], [s for _, s in ahead], [t.extent for t in known], p.gate + p.extent_gate + 1
+            if len(known) * len(centre) <= FEW:
+                few = motion.few_pairs(places, spreads, extents, centre, extent, p.gate, p.extent_gate)
+                owner = match_few([e for e in few if known[e[0]].fragment == pool[e[1]]], alone)
+            else:
+                state, cov = np.column_stack([np.array(places), np.zeros((len(known), 3))]), np.eye(3)[None] * np.array(spreads)[:, 0, None, None]
+                pairs, cost = motion.pairs(state, cov, np.array(extents), np.array(centre), np.array(extent), p.gate, p.extent_gate)
+                alike = np.array([t.fragment for t in known], bool)[pairs[:, 0]] == np.array(pool, bool)[pairs[:, 1]]
+                owner = match_or_leave(pairs[alike], cost[alike], alone)
         rows = []
         for j in range(len(centre)):
             if j in owner:
                 k = keys[owner[j]]
                 t = self.tracks[k]
-                t.state, t.cov = motion.corrected(at[owner[j]], spread[owner[j]], centre[j])
+                motion.corrected(t, *ahead[owner[j]], centre[j])
             else:
                 k, self.next_id = self.next_id, self.next_id + 1
-                t = self.tracks[k] = Track(np.r_[centre[j], np.zeros(3)], motion.start, stamp, stamp, extent[j])
+                t = self.tracks[k] = Track(centre[j], (0.0, 0.0, 0.0), (p.position_sigma**2, 0.0, 1.0), stamp, stamp, extent[j])
             t.stamp, t.extent, t.fragment = stamp, extent[j], bool(pool[j])
             rows.append((int(o["id"][j]), int(k), *self.decide(t, stamp, o["relation"][j] == "intersecting", int(o["support"][j]), int(o["certain"][j]), bool(o["immediate"][j]))))
         return rows, gap
@@ -148,22 +184,31 @@ class Tracker:
         confirmed = immediate or (steady and certain >= p.claim_min)
         intersects = inside and confirmed and (immediate or len(t.interior) >= p.hits)
         how = "immediate_interior_geometry" if immediate else "temporal_evidence" if confirmed else "pending"
-        return len(t.seen), t.total, confirmed, immediate or steady, intersects, how, float(t.state[3]), float(stamp - t.first)
+        return len(t.seen), t.total, confirmed, immediate or steady, intersects, how, t.speed[0], float(stamp - t.first)
 
 
 OUT = "bag long, frame long, gap_reset boolean, id long, track_id long, hits int, accumulated int, confirmed boolean, presence_confirmed boolean, intersection_confirmed boolean, confirmation string, vx double, track_age_s double"
 
 
-def run_scans(tracker: Tracker, bag: int, g: pd.DataFrame) -> Iterator[tuple]:
-    """Every row of a recording's objects, scan by scan in order: one sort, then slices of its columns."""
-    g = g.sort_values(["ns", "frame", "id"])
-    cols = {c: g[c].to_numpy() for c in [*INPUT, *(c for c in ("fragment",) if c in g)]}
+def run_columns(tracker: Tracker, bag: int, cols: dict[str, list]) -> Iterator[tuple]:
+    """Every row of a recording's objects, scan by scan; ``cols`` are in the order of ns, frame and id."""
     ns, frame = cols["ns"], cols["frame"]
-    starts = np.flatnonzero(np.r_[True, (ns[1:] != ns[:-1]) | (frame[1:] != frame[:-1])]) if len(g) else []
-    for a, b in zip(starts, [*starts[1:], len(g)], strict=True):
-        rows, gap = tracker.step(ns[a] / 1e9, {c: v[a:b] for c, v in cols.items()})
+    rest = {c: v for c, v in cols.items() if c not in ("ns", "frame")}
+    a, n = 0, len(ns)
+    while a < n:
+        b = a + 1
+        while b < n and ns[b] == ns[a] and frame[b] == frame[a]:
+            b += 1
+        rows, gap = tracker.step(ns[a] / 1e9, {c: v[a:b] for c, v in rest.items()})
         for r in rows:
             yield (bag, int(frame[a]), gap, *r)
+        a = b
+
+
+def run_scans(tracker: Tracker, bag: int, g: pd.DataFrame) -> Iterator[tuple]:
+    """``run_columns`` of a table in any order."""
+    order = np.lexsort((g["id"].to_numpy(), g["frame"].to_numpy(), g["ns"].to_numpy()))
+    return run_columns(tracker, bag, {c: g[c].to_numpy()[order].tolist() for c in [*INPUT, *(c for c in ("fragment",) if c in g)]})
 
 
 def track(objects: DataFrame, params: TrackParams) -> DataFrame:
@@ -178,16 +223,23 @@ def track(objects: DataFrame, params: TrackParams) -> DataFrame:
     since = F.max(F.when(F.col("late"), F.col("at"))).over(order.rowsBetween(W.unboundedPreceding, 0))  # the first row after the latest gap
     parts = rows.withColumn("part", F.floor(F.coalesce(since, F.lit(0)) / PART_ROWS)).drop("late", "at")
 
-    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        head = g.loc[g["ns"] == g["ns"].min(), "frame"].min()  # the scan that a gap came before
-        out = pd.DataFrame(list(run_scans(Tracker(params), int(key[0]), g)), columns=["bag", "frame", "gap_reset", *COLUMNS])
-        return out.assign(gap_reset=out["gap_reset"].astype(bool) | ((out["frame"] == head) & (key[1] > 0)), part=key[1])
+    schema = T.StructType.fromDDL(OUT + ", part long")
+    names, out = [*INPUT, *(c for c in ("fragment",) if c in objects.columns)], to_arrow_schema(schema)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, of in whole_scans(batches, 2):
+            cols = {c: t.column(c).to_numpy().tolist() for c in ("bag", "part", *names)}
+            first, rows = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]).tolist(), []
+            for a, b in zip(first, [*first[1:], len(of)], strict=True):
+                part, head = cols["part"][a], cols["frame"][a]  # the scan that a gap came before
+                rows += [(r[0], r[1], r[2] or (part > 0 and r[1] == head), *r[3:], part) for r in run_columns(Tracker(params), int(cols["bag"][a]), {c: cols[c][a:b] for c in names})]
+            yield from pa.table([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out).to_batches(max_chunksize=1 << 16)
 
     spark = objects.sparkSession
     at = f"{shared_folder(spark).rstrip('/')}/tracks-{uuid.uuid4().hex}"
-    # Few bytes make much work here, so Spark isn't left to join small partitions to one task.
-    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bag", "part")
-    solved = dealt.groupBy("bag", "part").applyInPandas(solve, OUT + ", part long")
+    # Few bytes make much work here, so Spark isn't left to join small partitions to one task. Parts stream through it in order, many in a table.
+    dealt = parts.select("bag", "part", *names).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bag", "part")
+    solved = dealt.sortWithinPartitions("bag", "part", "ns", "frame", "id").mapInArrow(solve, schema)
     solved.write.parquet(at)  # read twice below
     found = spark.read.schema(solved.schema).parquet(at)
     made = found.groupBy("bag", "part").agg(F.max("track_id").alias("made"))

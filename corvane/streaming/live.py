@@ -84,14 +84,16 @@ def track_stream(objects: DataFrame, params: TrackParams) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker = pickle.loads(state.get[0]) if state.exists else Tracker(params)
-        g = pd.concat(list(frames))
+        parts = list(frames)
+        g = parts[0] if len(parts) == 1 else pd.concat(parts)
         if tracker.last is not None:
             if (g["ns"] / 1e9 < tracker.last).any():
                 tracker.reset()
             g = g[g["ns"] / 1e9 > tracker.last]
         rows = list(run_scans(tracker, int(key[0]), g)) if len(g) else []
         state.update((pickle.dumps(tracker),))
-        yield pd.DataFrame(rows, columns=["bag", "frame", "gap_reset", *COLUMNS])
+        names = ["bag", "frame", "gap_reset", *COLUMNS]
+        yield pd.DataFrame(dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else [], columns=names)
 
     return objects.groupBy("bag").applyInPandasWithState(step, OUT, "tracker binary", "append", GroupStateTimeout.NoTimeout)
 

@@ -148,3 +148,35 @@ def test_graphs_of_many_scans_are_solved_at_once(spark, monkeypatch):
     assert "CoGroup" not in d._jdf.queryExecution().optimizedPlan().toString()
     want = {(f, i, k) for f, v in ids.items() for i, k in zip(v.tolist(), assign.union_find(20, v.searchsorted(ends[f][:, 0]), v.searchsorted(ends[f][:, 1])).tolist(), strict=True)}
     assert {tuple(r) for r in d.collect()} == want
+
+
+def test_tracks_of_few_objects_need_no_matrices():
+    """The filter along each axis equals the one on whole matrices, and few pairs are weighed and matched as many are."""
+    p = tracking.TrackParams(0.3, 0.2, 0.7, 16.0, 1.0, 9.0, 9.0, 3, 5, 2.0, 24, 2)
+    m, rng = tracking.Motion(p), np.random.default_rng(2)
+    t = tracking.Track((1.0, 2.0, 3.0), (0.0, 0.0, 0.0), (p.position_sigma**2, 0.0, 1.0), 0.0, 0.0, (1.0, 1.0, 1.0))
+    state, cov, r = np.array([1.0, 2, 3, 0, 0, 0]), np.diag([p.position_sigma**2] * 3 + [1.0] * 3), np.eye(3) * (p.position_sigma**2 + p.pose_sigma**2)
+    for dt, centre in zip((0.1, 0.5, 2.0), rng.uniform(0, 4, (3, 3)), strict=True):
+        at, spread = m.ahead(t, dt)
+        m.corrected(t, at, spread, tuple(centre))
+        move, push = np.eye(6) + dt * np.eye(6, k=3), np.r_[np.eye(3) * dt * dt / 2, np.eye(3) * dt]
+        state, cov = move @ state, move @ cov @ move.T + p.acceleration_sigma**2 * push @ push.T
+        gain = cov[:, :3] @ np.linalg.inv(cov[:3, :3] + r)
+        state, cov = state + gain @ (centre - state[:3]), cov - gain @ cov[:3]
+        assert [*t.at, *t.speed] == pytest.approx(state) and t.spread == pytest.approx((cov[0, 0], cov[0, 3], cov[3, 3]))
+    places, centres, sizes = rng.uniform(0, 3, (6, 3)), rng.uniform(0, 3, (7, 3)), rng.uniform(0.5, 2, (13, 3))
+    few = m.few_pairs([*map(tuple, places)], [t.spread] * 6, [*map(tuple, sizes[:6])], [*map(tuple, centres)], [*map(tuple, sizes[6:])], 16.0, 1.0)
+    pairs, cost = m.pairs(np.c_[places, np.zeros((6, 3))], np.stack([cov] * 6), sizes[:6], centres, sizes[6:], 16.0, 1.0)
+    assert [e[:2] for e in few] == [tuple(x) for x in pairs.tolist()] and [e[2] for e in few] == pytest.approx(cost)
+
+
+def test_few_pairs_are_matched_as_many_are(monkeypatch):
+    rng = np.random.default_rng(6)
+    for k in range(60):
+        pairs = np.argwhere(rng.random((6, 7)) < (0.1, 0.25, 0.6)[k % 3])
+        cost = rng.integers(0, 5, len(pairs)) / 1.0
+        got = []
+        for few in (64, 0):
+            monkeypatch.setattr(assign, "FEW", few)
+            got.append(assign.match_or_leave(pairs, cost, 4.0))
+        assert got[0] == got[1]
