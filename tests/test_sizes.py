@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import numeric
 from corvane.operators import assign, candidates, evaluate, jsontree, lining, scans, spatial, tracking
 from corvane.plans import QUERIES, lining_queries, structure_queries
 from corvane.sources import archives, recordings
@@ -180,3 +181,19 @@ def test_few_pairs_are_matched_as_many_are(monkeypatch):
             monkeypatch.setattr(assign, "FEW", few)
             got.append(assign.match_or_leave(pairs, cost, 4.0))
         assert got[0] == got[1]
+
+
+def test_a_median_is_found_once_for_all_elements(spark):
+    values = [float(v) for v in np.random.default_rng(0).integers(0, 50, 40)]
+    d = spark.createDataFrame([(values,), ([],)], "v array<double>").select(numeric.scaled_mad(F.col("v"), 0.1).alias("m"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 2
+    assert [r.m for r in d.collect()] == [pytest.approx(1.4826 * np.median(np.abs(values - np.median(values)))), 0.1]
+
+
+def test_structure_is_decided_where_a_scan_was_dealt(spark):
+    wall = [(f, 0.5 * i, y, 0.1 * j) for f in (1, None) for i in range(30) for j in range(12) for y in (1.75, 0.1)]
+    p = spark.createDataFrame([*wall, (1, 1.0, None, 1.0), (1, None, 0.1, None)], "frame long, x double, y double, z double")
+    d = spatial.structural(p, F.lit(1.6), 0.4, 0.1, 1.0, 5.0, 3, 0.3)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted(((r.frame or 0, r.y or 0, r.structural, r["count"]) for r in d.groupBy("frame", "y", "structural").count().collect())) == [(0, 0.1, False, 360), (0, 1.75, False, 360), (1, 0, False, 1), (1, 0.1, False, 361), (1, 1.75, True, 360)]
