@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.numeric import box_iou
 from .assign import assign
 
 
@@ -26,45 +26,52 @@ def precision_recall(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [F.round(ratio(tp, tp + fp), 6).alias("precision"), F.round(ratio(tp, tp + fn), 6).alias("recall"), F.round(ratio(2 * tp, 2 * tp + fp + fn), 6).alias("f1")]
 
 
-def box_iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of every box of a with every box of b; boxes are rows (lo x y z, hi x y z)."""
-    side = np.clip(np.minimum(a[:, None, 3:], b[None, :, 3:]) - np.maximum(a[:, None, :3], b[None, :, :3]), 0, None)
-    inter = side.prod(2)
-    union = (a[:, 3:] - a[:, :3]).prod(1)[:, None] + (b[:, 3:] - b[:, :3]).prod(1)[None] - inter
+def box_ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of each box of a with that of b; boxes are rows (lo x y z, hi x y z)."""
+    inter = np.clip(np.minimum(a[:, 3:], b[:, 3:]) - np.maximum(a[:, :3], b[:, :3]), 0, None).prod(1)
+    union = (a[:, 3:] - a[:, :3]).prod(1) + (b[:, 3:] - b[:, :3]).prod(1) - inter
     return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
 
 
 def match_boxes(predictions: DataFrame, truth: DataFrame, minimum_iou: float, keys: tuple[str, ...] = ("bag", "frame")) -> DataFrame:
     """(keys, prediction, truth, iou): the one-to-one matches of each frame with the most valid pairs, then the most overlap.
 
-    Both sides hold (keys, id, x0, y0, z0, x1, y1, z1). A frame's boxes are few, so they are gathered to arrays; frames
-    without a valid pair never reach Python, and the rest stream through it many frames at a time.
+    Both sides hold (keys, id, x0, y0, z0, x1, y1, z1). A frame's boxes are few, so they are gathered to arrays; all pairs
+    of a batch of frames are weighed at once, and frames are solved one by one only where several boxes on both sides contend.
     """
     cols = ["x0", "y0", "z0", "x1", "y1", "z1"]
 
     box = F.struct("id", *cols)
     side = lambda df, n: df.groupBy(*keys).agg(F.sort_array(F.collect_list(box)).alias(n))  # noqa: E731  a scan's boxes are few
     j = side(predictions, "ps").join(side(truth, "ts"), list(keys))
-    column = lambda b, names: [b[c] for c in names]
-    valid = F.exists("ps", lambda p: F.exists("ts", lambda t: box_iou(column(p, cols[:3]), column(p, cols[3:]), column(t, cols[:3]), column(t, cols[3:])) >= minimum_iou))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            named = [b.column(i).to_pylist() for i in range(len(keys))]
-            for n, (ps, ts) in enumerate(zip(b.column("ps").to_pylist(), b.column("ts").to_pylist(), strict=True)):
-                iou = box_iou_matrix(np.array([[p[c] for c in cols] for p in ps]), np.array([[t[c] for c in cols] for t in ts]))
-                if min(iou.shape) == 1:
-                    k = int(iou.argmax())
-                    found = [(k, 0) if iou.shape[1] == 1 else (0, k)]
-                else:
-                    found = assign(-((iou >= minimum_iou) * (min(iou.shape) + 1.0) + iou))
-                rows += [(*(x[n] for x in named), ps[i]["id"], ts[k]["id"], float(iou[i, k])) for i, k in found if iou[i, k] >= minimum_iou]
-            yield pa.RecordBatch.from_pylist([dict(zip(out.names, r, strict=True)) for r in rows], schema=out)
+            np_, nt = (pc.list_value_length(b.column(n)).to_numpy() for n in ("ps", "ts"))
+            flat = [b.column(n).flatten() for n in ("ps", "ts")]
+            p, t = (np.column_stack([x.field(c).to_numpy(zero_copy_only=False) for c in cols]) for x in flat)
+            n = np_ * nt
+            of, start = np.arange(len(n)).repeat(n), n.cumsum() - n
+            at = np.arange(n.sum()) - start[of]
+            i, k = (np_.cumsum() - np_)[of] + at // nt[of], (nt.cumsum() - nt)[of] + at % nt[of]
+            iou = box_ious(p[i], t[k])
+            valid = iou >= minimum_iou
+            taken = [np.bincount(x[valid], minlength=m) for x, m in ((i, len(p)), (k, len(t)))]
+            contends = np.bincount(of, weights=valid & ((taken[0][i] > 1) | (taken[1][k] > 1)), minlength=len(n)) > 0
+            keep = [np.flatnonzero(valid & ~contends[of])]
+            single = np.flatnonzero(contends[of] & (np.minimum(np_, nt) == 1)[of])
+            best = single[np.lexsort((single, -iou[single], of[single]))]
+            keep.append(best[np.r_[True, of[best][1:] != of[best][:-1]]] if len(best) else best)
+            for f in np.flatnonzero(contends & (np.minimum(np_, nt) > 1)):
+                m = iou[start[f] : start[f] + n[f]].reshape(np_[f], nt[f])
+                keep.append(start[f] + np.array([x * nt[f] + y for x, y in assign(-((m >= minimum_iou) * (min(m.shape) + 1.0) + m)) if m[x, y] >= minimum_iou], np.int64))
+            got = np.concatenate(keep)
+            ids = [x.field("id").take(pa.array(y[got])).cast(pa.int64()) for x, y in zip(flat, (i, k), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(x).take(pa.array(of[got])) for x in range(len(keys))), *ids, pa.array(iou[got])], schema=out)
 
     schema = T.StructType([*(predictions.schema[k] for k in keys), T.StructField("prediction", T.LongType()), T.StructField("truth", T.LongType()), T.StructField("iou", T.DoubleType())])
     out = to_arrow_schema(schema)
-    return j.where(valid).mapInArrow(solve, schema)
+    return j.mapInArrow(solve, schema)
 
 
 #: Pairs of boxes whose volumes are found together: 220 triples of planes each.
