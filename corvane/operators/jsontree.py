@@ -14,17 +14,18 @@ from ..sources.shared import written
 #: Kinds of values: what JSON tells apart, with whole numbers apart from others.
 OBJECT, ARRAY, MISSING, INVALID = "object", "array", "missing", "invalid"
 
-_STRINGS = r'"(\\.|[^"\\])*"'
+#: What isn't a bracket: strings, and runs of other characters.
+_REST = r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++'
 
 
 def depth(docs: DataFrame, json: str) -> int:
-    """Levels of containers of the deepest document: brackets open at once, strings left out."""
-    brackets = F.regexp_replace(F.regexp_replace(F.col(json), _STRINGS, ""), r"[^\[\]{}]", "")
+    """Levels of containers of the deepest document: brackets open at once, strings left out. Documents of one shape are counted once."""
+    shapes = docs.select(F.regexp_replace(F.col(json), _REST, "").alias("brackets")).distinct()
     open_ = F.aggregate(
-        F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        F.split("brackets", ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
         lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most")),
     )
-    return docs.select(F.max(open_["most"])).first()[0] or 0
+    return shapes.select(F.max(open_["most"])).first()[0] or 0
 
 
 _KINDS = {"OBJECT": OBJECT, "ARRAY": ARRAY, "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "integer"}
@@ -42,27 +43,36 @@ def _named(key: Column) -> Column:
     return F.when(key.rlike(r"^[\w-]+$"), F.concat(dot, key)).otherwise(quoted)
 
 
-def json_tree(docs: DataFrame, keys: list[str], json: str, levels: int | None = None) -> DataFrame:
+def json_tree(docs: DataFrame, keys: list[str], json: str, levels: int | None = None, only: list[str] | None = None) -> DataFrame:
     """(keys, path, parent, key, kind, value) of every value of every document, the root's path being empty.
 
     Paths are keys joined by dots and places in brackets (``a.b[0]``), keys of other than letters, digits, ``_`` and ``-`` in brackets and quotes; ``key`` is the last key, null for places. An array's value is its length, an object's its
     number of keys; numbers with a fraction or exponent are doubles. A null document is one row of kind ``missing``, one that isn't JSON (or names a key of an
-    object twice) one of kind ``invalid`` with its text.
+    object twice) one of kind ``invalid`` with its text. With ``only``, just the rows whose last key is one of these: other values are left where they are met.
     """
     n = depth(docs, json) if levels is None else levels
     parsed = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(json).alias("text"), F.try_parse_json(F.col(json)).alias("v"))
     none = F.lit(None).cast("string")
-    rows = parsed.select(*[f"k{i}" for i in range(len(keys))], "text", F.lit("").alias("path"), none.alias("parent"), none.alias("key"), F.col("v"), F.lit(True).alias("open"))
+    # The text goes on where it isn't JSON alone.
+    rows = parsed.select(*[f"k{i}" for i in range(len(keys))], F.when(F.col("v").isNull(), F.col("text")).otherwise("").alias("text"), F.lit("").alias("path"), none.alias("parent"), none.alias("key"), F.col("v"), F.lit(True).alias("open"))
     names = [f"k{i}" for i in range(len(keys))]
     for _ in range(n):
         # What is open is replaced by itself, closed, and its children, open.
-        rows = rows.withColumn("kind", F.when(F.col("open") & F.col("v").isNotNull(), _kind(F.col("v"))))
-        kind = F.col("kind")
+        rows = rows.withColumns({c: F.when(F.col("open"), F.col("v").try_cast(of)) for c, of in (("fields", "map<string, variant>"), ("items", "array<variant>"))})
         below = lambda path, key, v: F.struct(path.alias("path"), F.col("path").alias("parent"), key.alias("key"), v.alias("v"), F.lit(True).alias("open"))
         own = F.array(F.struct(F.col("path").alias("path"), F.col("parent").alias("parent"), F.col("key").alias("key"), F.col("v").alias("v"), F.lit(False).alias("open")))
-        of_object = F.transform(F.map_entries(F.when(kind == OBJECT, F.expr("try_cast(v as map<string, variant>)"))), lambda e: below(_named(e["key"]), e["key"], e["value"]))
-        of_array = F.transform(F.when(kind == ARRAY, F.expr("try_cast(v as array<variant>)")), lambda x, i: below(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")), none, x))
+        entries = F.map_entries("fields")
+        items = F.transform("items", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        if only is not None:
+            holds = lambda v: v.try_cast("map<string, variant>").isNotNull() | v.try_cast("array<variant>").isNotNull()
+            own = F.filter(own, lambda r: F.coalesce(r["key"].isin(*only), F.lit(False)))
+            entries = F.filter(entries, lambda e: e["key"].isin(*only) | F.coalesce(holds(e["value"]), F.lit(False)))
+            items = F.filter(items, lambda x: F.coalesce(holds(x["x"]), F.lit(False)))
+        of_object = F.transform(entries, lambda e: below(_named(e["key"]), e["key"], e["value"]))
+        of_array = F.transform(items, lambda x: below(F.concat("path", F.lit("["), x["i"].cast("string"), F.lit("]")), none, x["x"]))
         rows = rows.select(*names, "text", F.explode(F.concat(own, F.coalesce(of_object, of_array, F.slice(own, 2, 1)))).alias("r")).select(*names, "text", "r.*")
+    if only is not None:
+        rows = rows.where(F.col("key").isin(*only))
     rows = rows.withColumn("kind", F.when(F.col("text").isNull(), MISSING).when(F.col("v").isNull(), INVALID).otherwise(_kind(F.col("v"))))
     kind, size = F.col("kind"), lambda of: F.size(F.expr(f"try_cast(v as {of})")).cast("string")
     value = F.when(kind == OBJECT, size("map<string, variant>")).when(kind == ARRAY, size("array<variant>")).when(kind == "number", F.expr("try_variant_get(v, '$', 'double')").cast("string"))

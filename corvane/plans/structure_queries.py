@@ -159,8 +159,8 @@ def json_difference(spark: SparkSession, d: str) -> DataFrame:
 def json_named_keys(spark: SparkSession, d: str) -> DataFrame:
     """Where documents still have keys that were to go, at any depth."""
     _, after = order_documents(spark, d)
-    trees = [jt.json_tree(after, ["id"], "doc"), jt.json_tree(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("doc")), ["id"], "doc").withColumn("kind", F.lit("any"))]
-    found = jt.named_keys(trees[0].unionByName(trees[1]), ["qty", "count", "prio", "k"])
+    names, props = ["qty", "count", "prio", "k"], table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("doc"))
+    found = jt.json_tree(after, ["id"], "doc", only=names).unionByName(jt.json_tree(props, ["id"], "doc", only=names).withColumn("kind", F.lit("any")))
     return found.groupBy(jt.pattern(F.col("path")).alias("pattern"), "kind").agg(F.count("*").alias("n"))
 
 

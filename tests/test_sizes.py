@@ -197,3 +197,24 @@ def test_structure_is_decided_where_a_scan_was_dealt(spark):
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert sorted(((r.frame or 0, r.y or 0, r.structural, r["count"]) for r in d.groupBy("frame", "y", "structural").count().collect())) == [(0, 0.1, False, 360), (0, 1.75, False, 360), (1, 0, False, 1), (1, 0.1, False, 361), (1, 1.75, True, 360)]
+
+
+def test_named_keys_are_found_without_the_other_values(spark):
+    """As in the whole tree, containers of a name and what they hold among them, keys that need quotes, documents that aren't JSON; long strings are no depth."""
+    docs = ['{"a": {"b c": [1, {"z": [{"z": null}, 2]}]}, "z": "[[[{", "y": [[{"z": 1.5}], "z"]}', "nope", None, "[]", '{"k\\"[[": {"z": true}}', '{"s": "' + "[x" * 20_000 + '"}']
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, doc string")
+    assert jsontree.depth(d, "doc") == 6
+    want = jsontree.named_keys(jsontree.json_tree(d, ["id"], "doc"), ["z"]).collect()
+    few = jsontree.json_tree(d, ["id"], "doc", only=["z"])
+    assert len(want) == 5 and sorted(map(str, few.collect())) == sorted(map(str, want))
+
+
+def test_frames_without_contention_are_matched_together(spark):
+    """Only frames with several boxes on both sides that contend are solved; what is matched has the most pairs, then the most overlap."""
+    box = lambda f, i, x: (f, i, x, 0.0, 0.0, x + 4.0, 1.0, 1.0)
+    names = "frame long, id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double"
+    p = spark.createDataFrame([box(1, 1, 0.0), box(1, 2, 9.0), box(2, 1, 0.0), box(2, 2, 1.0), box(3, 1, 0.0), box(3, 2, 2.0), box(4, 1, 0.0), box(5, 1, 0.0)], names)
+    t = spark.createDataFrame([box(1, 7, 1.0), box(1, 8, 8.0), box(2, 7, 1.0), box(3, 7, 1.0), box(3, 8, 4.0), box(4, 7, 30.0), box(6, 7, 0.0)], names)
+    got = sorted((r.frame, r.prediction, r.truth, r.iou) for r in evaluate.match_boxes(p, t, 0.2, ("frame",)).collect())
+    assert got == [(1, 1, 7, pytest.approx(0.6)), (1, 2, 8, pytest.approx(0.6)), (2, 2, 7, 1.0), (3, 1, 7, pytest.approx(0.6)), (3, 2, 8, pytest.approx(1 / 3))]
+    assert "exists" not in evaluate.match_boxes(p, t, 0.2, ("frame",))._jdf.queryExecution().optimizedPlan().toString()
