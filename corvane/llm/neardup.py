@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, claim_cache, free_names, union_all, with_broadcast
-from .components import connected_components
+from .components import connected_components, forest_roots, lifted, merged
 
 HASHES = 96
 TREES = 24
@@ -361,22 +361,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = scratch.keep(full_sets(src, nodes, words), "sets")
     likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a"))
     links = scratch.keep(confirmed(likely, sets, percent), "links")
-    known = scratch.keep(connected_components(links, scratch), "components")
-    rest = pairs.select("a", "b")
-    side = with_broadcast(known)
-    for x in ("a", "b"):
-        rest = rest.join(side.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left")
-    rest = scratch.keep(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+    known = scratch.keep(forest_roots(links, scratch), "components")  # a class has one likeliest partner, of a smaller id
+    rest = scratch.keep(lifted(pairs.select("a", "b"), known).select("a", "b"), "rest")
     more = scratch.keep(confirmed(rest, sets, percent), "links")
     if more.limit(1).count():
-        known = scratch.keep(connected_components(links.unionByName(more), scratch), "components")
+        known = scratch.keep(merged(known, more, scratch), "components")
 
     hot = families(classes, known, scratch)
     if hot.limit(1).count():
         own = full_sets(src, hot.select(F.col("node").alias("id")), words).join(with_broadcast(hot), "node")
         across = scratch.keep(closing_links(own, percent, scratch), "links")
         if across.limit(1).count():
-            known = scratch.keep(connected_components(links.unionByName(more).unionByName(across), scratch), "components")
+            known = scratch.keep(merged(known, across, scratch), "components")
         scratch.drop(across)
 
     named = classes.select("key", "node").join(with_broadcast(known), "node", "left").select(F.col("key").alias("k"), F.coalesce("component", "node").alias("c"))

@@ -362,6 +362,25 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert all(got[i] == 0 for i in range(31)) and all(got[i] == 100 for i in range(100, 160)) and all(got[i] == 200 for i in (200, 201, 202))
 
 
+def test_what_has_met_its_root_is_not_joined_again(spark, monkeypatch):
+    """A star and a chain: all of the star is done in one round, however many rounds the chain takes."""
+    links = [(0, i) for i in range(1, 3001)] + [(i, i + 1) for i in range(5000, 5040)]
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t": (out := keep(self, df, name), kept.append(out.count()))[0])
+    frame, scratch = spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")
+    got = sorted(map(tuple, components.forest_roots(frame, scratch).collect()))
+    assert got == sorted((i, 0 if i <= 3000 else 5000) for i in [*range(3001), *range(5000, 5041)])
+    assert sum(kept) < 2 * 3000 + 10 * 40
+    # Further links: two components and one node that wasn't known.
+    kept.clear()
+    known = scratch.keep(components.forest_roots(frame, scratch), "known")
+    kept.clear()
+    more = spark.createDataFrame([(2000, 5010), (17, 5040), (5001, 9000), (5, 6), (8000, 8001)], "a long, b long")
+    merged = dict(map(tuple, components.merged(known, more, scratch).collect()))
+    assert merged == {n: 0 for n, _ in got} | {9000: 0, 8000: 8000, 8001: 8000} and sum(kept) < 40
+    assert components.forest_roots(frame.limit(0), scratch).count() == 0
+
+
 # --- 4, 5: tokens ----------------------------------------------------------------------------------------------------
 
 PARTS = ["a", "B", "e", " ", "  ", "\n", "\t", "'s", "'LL", "é", "É", "ß", "the", "ING", "1", "23", "½", "!", "...", "日本", "語", "🙂", "<|endoftext|>", "\x1c", "\x85", "\xa0", "ǆ", "İ", "́", "aaaa", "--", "ſ", "\x00"]
