@@ -45,7 +45,7 @@ SHARD_DOCS = 1_024
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
 #: Words of one generation of a worker's memo, which holds two.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 340_000
 #: Neighbours that are ranked at a time.
 RANKED = 16
 
@@ -93,6 +93,7 @@ class WordTokenizer(dict):
 
     def ids(self, text: str) -> np.ndarray:
         if len(self) > MEMO_WORDS:
+            self.older = {}  # the oldest go before the others are copied
             self.older = dict(self)
             self.clear()
         easy = _EASY.fullmatch(text) and unicodedata.is_normalized("NFC", text) and not any(s in text for s in self.special)
@@ -307,9 +308,9 @@ def corpus_of(seen: DataFrame) -> Corpus:
     return Corpus(df, got.get(-1, 0), got.get(-2, 0))
 
 
-def keyed(ids: DataFrame, corpus: Corpus, dtype: np.dtype, alone: bool = False) -> DataFrame:
-    """``ids`` with the keys k1, k2 and the number of ids n; these three ``alone`` if so said."""
-    kept = [] if alone else ids.columns
+def keyed(ids: DataFrame, corpus: Corpus, dtype: np.dtype) -> DataFrame:
+    """``ids`` with the keys k1, k2 and the number of ids n."""
+    kept = ids.columns
 
     def run(batches):
         for b in batches:
@@ -364,7 +365,9 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
     dtype = WordTokenizer(spec).dtype
     told = scratch.keep(tokenized(src, spec), "ids")
     corpus, ids = corpus_of(told), told.where("seen is null").select("doc_id", "ids", "digest")
-    sizes = scratch.keep(keyed(ids.select("ids"), corpus, dtype, alone=True).groupBy("k1", "k2").agg(F.count("*").alias("m"), F.sum("n").alias("n")), "sizes")
+    keys = scratch.keep(keyed(ids, corpus, dtype), "keyed")  # documents are keyed once
+    scratch.drop(told)
+    sizes = scratch.keep(keys.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.sum("n").alias("n")), "sizes")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("digest", "ascending"), ("doc_id", "ascending")])
@@ -378,7 +381,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
         cols = [*cols, pa.array(raw, pa.binary())] if with_ids else cols
         return pa.table(dict(zip(names, cols, strict=True)))
 
-    dealt = sharded(keyed(ids, corpus, dtype), sizes)
+    dealt = sharded(keys, sizes)
     return dealt.select("doc_id", "ids", "digest", "shard").groupBy("shard").applyInArrow(run, schema)
 
 

@@ -579,6 +579,14 @@ def test_shards_are_numbered_densely_and_share_no_sequence(spark, monkeypatch):
     assert {r.sequence_id >> packing.SEQUENCE_BITS for r in pieces} == set(place)
 
 
+def test_packing_keys_documents_once(spark, monkeypatch):
+    called, keyed = [], packing.keyed
+    monkeypatch.setattr(packing, "keyed", lambda *a, **b: (called.append(1), keyed(*a, **b))[1])
+    docs = [(i, f"word{i % 7} and some more of {i % 3}") for i in range(60)]
+    check_packing(docs, packing.pack(docs_of(spark, [t for _, t in docs], [i for i, _ in docs])).collect())
+    assert len(called) == 1
+
+
 def test_base_scores_and_counts_equal_brute_force_and_training_does_better(spark, sf, monkeypatch):
     monkeypatch.setattr(lm, "TOP", 50)
     docs, df = lm_tables(spark, sf)
