@@ -19,7 +19,7 @@ COMPACT = cd.CompactParams(3, (0.2, 6.0), 0.73, 40.0, 92.0, 9.0, 40)
 
 def members(spark: SparkSession, d: str) -> DataFrame:
     p, e = graph(spark, d)
-    return sp.components(p, e).join(p, ["frame", "point_id"]).select("frame", "point_id", "label", "x", "y", "z", (F.abs("y") < 1.2).alias("inside"))
+    return sp.components(p, e, carried=sp.XYZ).select("frame", "point_id", "label", "x", "y", "z", (F.abs("y") < 1.2).alias("inside"))
 
 
 MEMBERS_SQL = f"""{POINTS_SQL}, {COMPONENT_SQL}, l AS (SELECT frame, dense_rank() OVER (PARTITION BY frame ORDER BY root) - 1 AS label, x, y, z, abs(y) < 1.2 AS inside FROM p JOIN m USING (frame, point_id)),

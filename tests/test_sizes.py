@@ -151,6 +151,15 @@ def test_graphs_of_many_scans_are_solved_at_once(spark, monkeypatch):
     assert {tuple(r) for r in d.collect()} == want
 
 
+def test_component_stats_joins_no_point_back(spark, sf):
+    """Points keep their coordinates while their scan's graph is solved."""
+    assert "Join" not in QUERIES["component_stats"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    nodes = spark.createDataFrame([(1, 3, 0.5, "c"), (1, 1, 1.5, None), (1, 2, None, "b"), (None, 7, 2.5, "d")], "frame long, point_id long, x double, name string")
+    edges = spark.createDataFrame([(1, 1, 3)], "frame long, src long, dst long")
+    got = spatial.components(nodes, edges, carried=("x", "name"))
+    assert set(map(tuple, got.collect())) == {(1, 1, 1.5, None, 0), (1, 2, None, "b", 1), (1, 3, 0.5, "c", 0), (None, 7, 2.5, "d", 0)}
+
+
 def test_tracks_of_few_objects_need_no_matrices():
     """The filter along each axis equals the one on whole matrices, and few pairs are weighed and matched as many are."""
     p = tracking.TrackParams(0.3, 0.2, 0.7, 16.0, 1.0, 9.0, 9.0, 3, 5, 2.0, 24, 2)
