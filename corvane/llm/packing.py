@@ -14,9 +14,9 @@ A seed doesn't query other shards: neighbours that share neither key with it can
 Only the last window of a shard isn't full; its pieces are cut into sequences whose lengths are powers of two, which
 need no padding. So no sequence is padded at all.
 
-Ids are those of the tokenizers library. The vocabulary lower-cases and splits texts into words, so each worker
-remembers words' ids (within a bound); texts with characters beyond Latin letters, with special tokens or with control
-characters go to the library whole.
+Ids are those of the tokenizers library. The vocabulary lower-cases and splits texts into words, so the different words of
+a few megabytes of text are looked up once each, and each worker remembers their parts' ids (within a bound); texts with
+characters beyond Latin letters, with special tokens or with control characters go to the library whole.
 
 Defined results: a null or empty text is one piece that holds the closing id alone; repeated rows are packed as rows
 of their own; an empty table gives no rows. Sequence numbers are unique and the same however the table is dealt out.
@@ -25,6 +25,7 @@ of their own; an empty table gives no rows. Sequence numbers are unique and the
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import unicodedata
 import zlib
@@ -32,6 +33,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,8 +46,10 @@ CLOSE = 1
 SHARD_DOCS = 1_024
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
-#: Words of one generation of a worker's memo, which holds two.
-MEMO_WORDS = 340_000
+#: Words' parts that a worker's memo holds, about 150 bytes each; then it begins anew.
+MEMO_WORDS = 500_000
+#: Bytes of text whose different words are looked up at a time, and the last text beyond.
+TEXT_BYTES = 4 << 20
 #: Neighbours that are ranked at a time.
 RANKED = 16
 
@@ -63,13 +67,12 @@ def word_bpe_path() -> str:
 
 
 class WordTokenizer(dict):
-    """The library's ids of whole texts as little-endian integers of the fewest bytes, with a bounded memo of what stands between white space."""
+    """The library's ids of whole texts as little-endian integers of the fewest bytes, with a bounded memo of the parts of what stands between white space."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.older: dict[str, bytes] = {}
         self.library = Tokenizer.from_str(spec)
         self.model = self.library.model
         self.dtype = np.dtype("<u2" if max(self.library.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4")
@@ -79,28 +82,38 @@ class WordTokenizer(dict):
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def __missing__(self, word: str) -> bytes:
-        if (out := self.older.get(word)) is not None:
-            self[word] = out
-            return out
-        # Letters alone are one part (of easy texts); what else has several is looked up part by part.
-        if not word.isalpha() and (parts := _SPLIT.findall(word)) != [word]:
-            out = self[word] = b"".join(map(self.__getitem__, parts))
-            return out
+        # Letters alone are one part (of easy texts), as is a mark after them; what else has several is looked up part by part.
+        if not word.isalpha():
+            if word[-1:] in (",", ".") and word[:-1].isalpha():
+                return self[word[:-1]] + self[word[-1]]
+            if (parts := _SPLIT.findall(word)) != [word]:
+                return b"".join(map(self.__getitem__, parts))
+        if len(self) >= MEMO_WORDS:
+            self.clear()
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        got = [t.id for t in self.model.tokenize(letters)]
-        out = self[word] = array(self.dtype.char, got).tobytes()
+        out = self[word] = array(self.dtype.char, [t.id for t in self.model.tokenize(letters)]).tobytes()
         return out
 
+    def easy(self, text: str) -> bool:
+        """Whether the memo may serve this text."""
+        return bool(_EASY.fullmatch(text)) and unicodedata.is_normalized("NFC", text) and not any(s in text for s in self.special)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. A word is looked up once, however often these texts have it."""
+        easy = [self.easy(t) for t in texts]
+        # Nothing that the pattern finds holds white space, and of easy texts' characters Arrow lower-cases the same as the library and knows the same white space.
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t for t, ok in zip(texts, easy, strict=True) if ok], pa.large_string())))
+        words = split.flatten().dictionary_encode()
+        got = pa.array(list(map(self.__getitem__, words.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary())
+        got = got.take(words.indices)  # one after the other, these are the ids
+        raw = got.buffers()[2]
+        ids = np.frombuffer(raw or b"", self.dtype, (raw.size if raw else 0) // self.dtype.itemsize)
+        at = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)[split.offsets.to_numpy()] // self.dtype.itemsize
+        served = iter(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        return [ids[slice(*next(served))] if ok else np.array(self.library.encode(t, add_special_tokens=False).ids, self.dtype) for t, ok in zip(texts, easy, strict=True)]
+
     def ids(self, text: str) -> np.ndarray:
-        if len(self) > MEMO_WORDS:
-            self.older = {}  # the oldest go before the others are copied
-            self.older = dict(self)
-            self.clear()
-        easy = _EASY.fullmatch(text) and unicodedata.is_normalized("NFC", text) and not any(s in text for s in self.special)
-        if not easy:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
-        # Nothing that the pattern finds holds white space, and of easy texts' characters str.split knows the same white space.
-        return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), self.dtype)
+        return self.encode([text])[0]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -122,14 +135,25 @@ class Corpus:
         self.df, self.mean = df, tokens / max(1, n)
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
 
-    def keys(self, ids: np.ndarray) -> tuple[int, int]:
-        """The two weightiest ids that other documents have too; -1 where there are none."""
-        term, tf = np.unique(ids[:-1], return_counts=True)  # without the closing id
+    def keys(self, docs: list[np.ndarray]) -> np.ndarray:
+        """The two weightiest ids of each document that other documents have too, ties to the smaller; -1 where there are none."""
+        out = np.full((len(docs), 2), -1, np.int64)
+        held = [np.sort(d[:-1], kind="stable") for d in docs]  # without the closing id
+        size = np.array([len(x) for x in held], np.int64)
+        term, doc = np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(docs)), size)
+        at = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])][: len(term)])
+        tf, term, doc = np.diff(np.r_[at, len(term)]), term[at], doc[at]
         ok = self.df[term] > 1
-        term, tf = term[ok], tf[ok]
-        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
-        best = np.lexsort((term, -weight))[:2].tolist()
-        return tuple(term[best].tolist() + [-1] * (2 - len(best)))
+        tf, term, doc = tf[ok], term[ok], doc[ok]
+        weight = self.idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * (size + 1) / self.mean))[doc])
+        for k in range(2):
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+            best = np.maximum.reduceat(weight, first) if len(first) else weight
+            at = np.flatnonzero(weight == np.repeat(best, np.diff(np.r_[first, len(doc)])))
+            at = at[np.r_[True, doc[at[1:]] != doc[at[:-1]]][: len(at)]]  # terms ascend: the first is the smallest
+            out[doc[at], k] = term[at]
+            doc, term, weight = (np.delete(x, at) for x in (doc, term, weight))
+        return out
 
 
 class Index:
@@ -267,15 +291,18 @@ def tokenized(docs: DataFrame, spec: str) -> DataFrame:
     def run(batches):
         tok, df, n, tokens = tokenizer(spec), np.zeros(0, np.int64), 0, 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [np.append(tok.ids(t or ""), tok.dtype.type(CLOSE)) for t in part.column("text").to_pylist()]
-                for x in ids:
-                    held = np.unique(x)
-                    if held[-1] >= len(df):
-                        df = np.append(df, np.zeros(int(held[-1]) + 1 - len(df), np.int64))
-                    df[held] += 1
-                    tokens += len(x)
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(upto // TEXT_BYTES)) + 1).tolist(), b.num_rows]
+            for at, end in itertools.pairwise(cuts):
+                part = b.slice(at, end - at)
+                if not part.num_rows:
+                    continue
+                ids = [np.append(x, tok.dtype.type(CLOSE)) for x in tok.encode([t or "" for t in part.column("text").to_pylist()])]
+                held = [np.sort(x, kind="stable") for x in ids]
+                held = np.bincount(np.concatenate([x[np.r_[True, x[1:] != x[:-1]]] for x in held]), minlength=len(df))
+                held[: len(df)] += df
+                df = held
+                tokens += sum(map(len, ids))
                 n += len(ids)
                 raw = [x.tobytes() for x in ids]
                 digest = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in raw]
@@ -314,9 +341,11 @@ def keyed(ids: DataFrame, corpus: Corpus, dtype: np.dtype) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            docs = [np.frombuffer(x, dtype) for x in b.column("ids").to_pylist()]
-            keys = np.array([corpus.keys(d) for d in docs], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(d) for d in docs], pa.int64())], [*kept, "k1", "k2", "n"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                docs = [np.frombuffer(x, dtype) for x in part.column("ids").to_pylist()]
+                keys = corpus.keys(docs)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(d) for d in docs], pa.int64())], [*kept, "k1", "k2", "n"])
 
     return ids.mapInArrow(run, ", ".join([*(f"{c} {ids.schema[c].dataType.simpleString()}" for c in kept), "k1 long", "k2 long", "n long"]))
 

@@ -400,6 +400,38 @@ def test_ids_equal_the_library(file, encode):
             assert bpe.codec(spec).decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_words_of_many_texts_are_looked_up_once_and_the_memo_is_bounded(monkeypatch):
+    spec, rng, asked = open(packing.word_bpe_path(), encoding="utf-8").read(), random.Random(5), []
+
+    class Counted(packing.WordTokenizer):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    tok, words = Counted(spec), ["the", "The", "report.", "Año", "it's", "x,", ",.", "1a2", "-'re"]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(200)] + ["", " ", "日本 the"]
+    want = [tok.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tok.encode(texts)] == want
+    assert len(asked) <= 4 * len(words)  # nine words and their parts, not 6,000
+    monkeypatch.setattr(packing, "MEMO_WORDS", 2)
+    tok.clear()
+    assert [x.tolist() for x in tok.encode(texts)] == want and len(tok) <= 2
+
+
+def test_keys_of_many_documents_equal_those_of_each_alone():
+    rng = np.random.default_rng(3)
+    docs = [np.r_[rng.integers(2, 30, n), 1].astype("<u2") for n in rng.integers(0, 12, 300)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=40)
+    corpus = packing.Corpus(df, len(docs), sum(map(len, docs)))
+
+    def alone(d):
+        weight = lambda t, n: corpus.idf[t] * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(d) / corpus.mean))
+        best = sorted((-weight(t, n), t) for t, n in Counter(d[:-1].tolist()).items() if df[t] > 1)[:2]
+        return [t for _, t in best] + [-1] * (2 - len(best))
+
+    assert corpus.keys(docs).tolist() == [alone(d) for d in docs] and corpus.keys([]).shape == (0, 2)
+
+
 def test_automaton_of_a_small_vocabulary_equals_greedy_merging():
     letters = bpe.byte_letters()
     base = [letters[b] for b in b"abc"]
