@@ -340,6 +340,7 @@ def keyed(ids: DataFrame, corpus: Corpus, dtype: np.dtype) -> DataFrame:
     kept = ids.columns
 
     def run(batches):
+        claim_cache("packing.keys", lambda: None)  # words' ids aren't asked for any more
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -611,6 +612,17 @@ def test_shards_are_numbered_densely_and_share_no_sequence(spark, monkeypatch):
     assert {r.sequence_id >> packing.SEQUENCE_BITS for r in pieces} == set(place)
 
 
+def test_a_worker_holds_no_words_while_documents_are_keyed(spark, monkeypatch):
+    spec = open(packing.word_bpe_path(), encoding="utf-8").read()
+    dtype = packing.tokenizer(spec).dtype
+    ids = spark.createDataFrame([(0, b"", 0)], "doc_id long, ids binary, digest long")
+    monkeypatch.setattr(type(ids), "mapInArrow", lambda self, f, schema: f)
+    run = packing.keyed(ids, packing.Corpus(np.zeros(9, np.int64), 1, 3), dtype)
+    packing.tokenizer(spec).ids("some words")
+    docs = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.array([5, 6, 1], dtype).tobytes()]), pa.array([0])], ["doc_id", "ids", "digest"])
+    assert [b.to_pylist()[0]["n"] for b in run([docs])] == [3] and not packing._TOKENIZERS
+
+
 def test_packing_keys_documents_once(spark, monkeypatch):
     called, keyed = [], packing.keyed
     monkeypatch.setattr(packing, "keyed", lambda *a, **b: (called.append(1), keyed(*a, **b))[1])
