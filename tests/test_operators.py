@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 
 from corvane.functions import numeric as fn
 from corvane.operators import assign, background, candidates, compare, episodes, evaluate, fits, generate, geometry, motion, registration, segments, spatial, tracking
+from corvane.plans import QUERIES, spatial_queries
 from corvane.plans import geometry_queries as gq
 from corvane.plans import model_queries as mq
 from corvane.sources import clouds
@@ -47,6 +48,17 @@ def test_mutual_radius_is_closed_and_uses_the_smaller_radius(spark):
     assert [(r.src, r.dst) for r in spatial.mutual_radius_edges(p, 1.0).collect()] == [(1, 2)]
 
 
+def test_every_point_has_its_nearest_others(spark, sf):
+    """Points at one place are near each other and not near themselves; in the tables, all points are asked for, of whatever ring."""
+    rows = [(f, i, float(i // 8), float(i % 2), 0.0) for f in (1, 2) for i in range(24)]
+    p = spark.createDataFrame(rows, "frame long, point_id long, x double, y double, z double")
+    got = {(r.frame, r.point_id, r.rank): (r.nearest_id, r.d2) for r in spatial.nearest(p, p, 1.0, k=5, others=True).collect()}
+    near = {a: sorted(((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2, b[1]) for b in rows if b[0] == a[0] and b[1] != a[1]) for a in rows}
+    assert got == {(*a[:2], k + 1): (i, d) for a, found in near.items() for k, (d, i) in enumerate([x for x in found if x[0] <= 1][:5])}
+    asked = spatial_queries.points(spark, sf).join(QUERIES["knn"](spark, sf).where("rank = 1"), ["frame", "point_id"])
+    assert {r.ring for r in asked.select("ring").distinct().collect()} == set(range(1, 8))
+
+
 def test_components_of_a_cycle_and_of_no_edges(spark):
     n = cloud(spark, [(f, i, 0.0, 0.0, 0.0) for f in (1, 2) for i in range(5)])
     e = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 0, 2), (1, 3, 4)], "frame long, src long, dst long")
