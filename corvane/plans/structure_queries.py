@@ -172,7 +172,7 @@ def archived_results(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.array_join(F.transform("rows", lambda x: x["line"]), "\n"), F.lit("\n"))
     at = f"{shared_folder(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
     told = archives.write_archives(r.select((F.col("bag") % 3).cast("string").alias("archive"), F.concat(F.col("bag").cast("string"), F.lit(".jsonl")).alias("member"), text.cast("binary").alias("content")), at)
-    back = archives.read_archives(spark, at, "*.jsonl").join(told.select(F.col("member").alias("m"), "sha256"), F.col("member") == F.col("m"))
+    back = archives.read_archives(spark, at, "*.jsonl", manifest=told)
     rows = back.select(F.regexp_extract("archive", r"([^/]+)\.zip$", 1).alias("archive"), "member", F.from_json(F.col("content").cast("string"), LOGGED).alias("r"))
     return rows.groupBy("archive", "member").agg(F.count("*").alias("n"), F.min("r.frame").alias("first_frame"), F.max("r.ns").alias("last_ns"), F.count_distinct("r.status").alias("statuses"))
 

@@ -3,13 +3,14 @@
 The directory at an archive's end says where members lie, so planning reads that alone; a member is unpacked as it is read, a block at a time. Up to ``TASKS`` members
 have a task each; of more, neighbours in an archive share one, by size, so that tasks and readings of the directory don't grow with the number of members.
 Its CRC is checked always, its SHA-256 where the manifest gives one; what doesn't match is an error that names archive and member, before the
-member's last block leaves the task.
+member's last block leaves the task. A manifest may be a table of any size: it lies sorted in the shared folder, and each task reads its own members' digests from it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -17,19 +18,25 @@ from dataclasses import dataclass
 from fnmatch import fnmatch
 
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import dataset, fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .growing import open_folder
-from .shared import written
+from .shared import shared_folder, written
 
 FORMAT = "corvane_archive"
 BLOCK = 1 << 20
 #: Tasks that members are dealt over, about, and the most bytes of members that share one.
 TASKS = 256
 SHARED = 64 << 20
+DIGESTS = pa.schema([(c, pa.string()) for c in ("archive", "member", "sha256")])
+
+
+def named(archive: str) -> str:
+    """What a manifest calls an archive: its file's name without ``.zip``."""
+    return archive.rsplit("/", 1)[-1].removesuffix(".zip")
 
 
 @dataclass
@@ -52,7 +59,12 @@ class ArchiveReader(DataSourceReader):
         if not options.get("path"):
             raise ValueError("archives need a path")
         self.uri, self.pattern, self.lines = options["path"], options.get("members", "*"), options.get("content", "lines") == "lines"
-        self.manifest = json.loads(options.get("manifest", "{}"))
+        self.manifest, self.told = json.loads(options.get("manifest", "{}")), options.get("digests")
+
+    def digests(self) -> dataset.Dataset:
+        """The table of the manifest."""
+        store, path = open_folder(self.told)
+        return dataset.dataset(path, DIGESTS, "parquet", store)
 
     def archives(self) -> list[str]:
         store, path = open_folder(self.uri)
@@ -64,15 +76,23 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Members]:
         store, _ = open_folder(self.uri)
-        found, missing = {}, set(self.manifest)
+        found, missing, there = {}, set(self.manifest), {}
         for a in self.archives():
             with store.open_input_file(a) as f:
                 try:
                     members = zipfile.ZipFile(f).infolist()
                 except zipfile.BadZipFile as e:
                     raise ValueError(f"{a} is no whole archive: {e}") from e
-            missing -= {m.filename for m in members}
+            names = {m.filename for m in members}
+            missing -= names
+            if self.told:
+                there[named(a)] = there.get(named(a), set()) | names
             found[a] = [Member(m.filename, m.file_size, self.manifest.get(m.filename)) for m in members if not m.is_dir() and fnmatch(m.filename, self.pattern)]
+        if self.told:
+            for b in self.digests().to_batches(columns=["archive", "member"]):
+                missing |= {m for a, m in zip(*(c.to_pylist() for c in b.columns), strict=True) if m not in there.get(a, ())}
+                if missing:
+                    break
         if missing:
             raise ValueError(f"no archive has the member {min(missing)} of the manifest")
         alone = sum(map(len, found.values())) <= TASKS
@@ -107,6 +127,12 @@ class ArchiveReader(DataSourceReader):
 
     def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
         store, _ = open_folder(self.uri)
+        if self.told:
+            names, member = [m.name for m in partition.members], dataset.field("member")
+            own = (dataset.field("archive") == named(partition.archive)) & (member >= min(names)) & (member <= max(names))
+            told = dict(zip(*(c.to_pylist() for c in self.digests().to_table(["member", "sha256"], filter=own).columns), strict=True))
+            for m in partition.members:
+                m.sha256 = told.get(m.name)
         with store.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
             for m in partition.members:
                 yield from self.rows(partition.archive, m, self.blocks(z, partition.archive, m))
@@ -139,10 +165,16 @@ class Archives(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, path: str, members: str = "*", lines: bool = True, manifest: dict[str, str] | None = None) -> DataFrame:
-    """(archive, member, place, content) of the members whose names fit: a row a line, or one a member. ``manifest``: SHA-256 by member; all it names must be there."""
+def read_archives(spark: SparkSession, path: str, members: str = "*", lines: bool = True, manifest: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """(archive, member, place, content) of the members whose names fit: a row a line, or one a member. ``manifest``: SHA-256 by member, or a table
+    (archive, member, sha256) that names archives by their files without ``.zip``; all it names must be there."""
     spark.dataSource.register(Archives)
-    return spark.read.format(FORMAT).option("members", members).option("content", "lines" if lines else "whole").option("manifest", json.dumps(manifest or {})).load(path)
+    reader = spark.read.format(FORMAT).option("members", members).option("content", "lines" if lines else "whole")
+    if isinstance(manifest, DataFrame):
+        at = f"{shared_folder(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+        manifest.select(*DIGESTS.names).repartitionByRange("archive", "member").sortWithinPartitions("archive", "member").write.parquet(at)
+        return reader.option("digests", at).load(path)
+    return reader.option("manifest", json.dumps(manifest or {})).load(path)
 
 
 def write_archives(members: DataFrame, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.plans import QUERIES
 from corvane.sources import archives, recordings
 from corvane.streaming import fanout
 
@@ -111,6 +112,43 @@ def test_written_archives_are_read_back(spark, tmp_path):
     assert sorted(os.listdir(at)) == ["z0.zip", "z1.zip", "z2.zip"]
 
 
+def test_a_table_of_digests_is_held_against_every_member(spark, tmp_path):
+    """Members of one name in two archives have their own digests; what isn't as told, or isn't there, is an error that names it."""
+    at = str(tmp_path / "made")
+    rows = [(f"z{i % 3}", f"m{i // 3}", os.urandom(i * 100)) for i in range(20)]
+    told = archives.write_archives(spark.createDataFrame(rows, "archive string, member string, content binary"), at)
+    back = archives.read_archives(spark, at, lines=False, manifest=told)
+    assert {(os.path.basename(r.archive)[:-4], r.member, bytes(r.content)) for r in back.collect()} == set(rows)
+    assert archives.read_archives(spark, at, lines=False, manifest=told.where("member = 'm1'")).count() == 20
+    assert archives.read_archives(spark, at, lines=False, manifest=told.limit(0)).count() == 20
+    wrong = told.withColumn("sha256", F.when(F.expr("archive = 'z1' and member = 'm2'"), "0" * 64).otherwise(F.col("sha256")))
+    with pytest.raises(Exception, match="z1.zip: member m2 has the digest"):
+        archives.read_archives(spark, at, manifest=wrong).collect()
+    with pytest.raises(Exception, match="member m6 of the manifest"):
+        archives.read_archives(spark, at, manifest=told.withColumn("archive", F.lit("z2"))).collect()
+
+
+def test_archived_results_are_held_against_their_digests(spark, sf, monkeypatch):
+    """A member that was written anew since, whole and with a right CRC, isn't what its digest tells."""
+
+    def tampered(members, path):
+        told = write(members, path)
+        name = sorted(os.listdir(path))[0]
+        with zipfile.ZipFile(f"{path}/{name}") as z:
+            content = {n: z.read(n) for n in z.namelist()}
+        changed = min(content)
+        content[changed] = content[changed].replace(b'"value":', b'"value":1')
+        with zipfile.ZipFile(f"{path}/{name}", "w", zipfile.ZIP_DEFLATED) as z:
+            for n, c in content.items():
+                z.writestr(n, c)
+        return told
+
+    write = archives.write_archives
+    monkeypatch.setattr(archives, "write_archives", tampered)
+    with pytest.raises(Exception, match="has the digest"):
+        QUERIES["archived_results"](spark, sf).collect()
+
+
 # --- recordings by segment -------------------------------------------------------------------------------------------
 
 
