@@ -1,16 +1,17 @@
-"""Linings along a track, from fit to mask: levelled points, windows as rows, peeled planes, support strips, and a mask that meets each scan's own strips.
+"""Linings along a track, from fit to mask: levelled points, windows, peeled planes, support strips, and a mask that meets each scan's own strips.
 
-Only the search for planes runs in Python, on one window of one scan's thinned points at a time, all its trials as one batch of arrays.
-What decides about planes, the strips and the mask are aggregates and joins.
+Scans are dealt out whole, many to a task: points aren't copied to the windows that hold them, and the mask and the normals it asks for are found where a scan's
+points and its strips lie together. What decides about planes and strips are aggregates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import numeric as fn
-from .scans import whole_scans
-from .spatial import XYZ, radius_semi
+from . import scans
+from .registration import directions, spreads
+from .scans import close_pairs, whole_scans
+from .spatial import XYZ
 
 KEYS = ("frame",)
 PLANE = ("nx", "ny", "nz", "offset")
@@ -49,12 +52,17 @@ def levelled(points: DataFrame, planes: DataFrame, keys: tuple[str, ...] = KEYS)
 
     The turn is the shortest one. Points of scans without a plane go.
     """
-    p = points.join(planes.select(*keys, F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("c").alias("__c")), list(keys)).where("__a is not null and __b is not null and __c is not null")
+    return turned(points.join(planes.select(*keys, F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("c").alias("__c")), list(keys)))
+
+
+def turned(points: DataFrame) -> DataFrame:
+    """``levelled`` of points that have their scan's plane as ``__a``, ``__b`` and ``__c``."""
+    p = points.where("__a is not null and __b is not null and __c is not null")
     size = F.sqrt(1 + F.col("__a") * F.col("__a") + F.col("__b") * F.col("__b"))
     p = p.withColumns({"__x": -F.col("__a") / size, "__y": -F.col("__b") / size, "__z": 1 / size, "height": F.col("z") - F.col("__a") * F.col("x") - F.col("__b") * F.col("y") - F.col("__c")})
     across = (F.col("__x") * F.col("x") + F.col("__y") * F.col("y")) / (1 + F.col("__z"))
-    turned = {"x": F.col("x") - F.col("__x") * (across + F.col("z")), "y": F.col("y") - F.col("__y") * (across + F.col("z")), "z": F.col("__x") * F.col("x") + F.col("__y") * F.col("y") + F.col("__z") * F.col("z")}
-    return p.withColumns(turned).drop("__a", "__b", "__c", "__x", "__y", "__z")
+    level = {"x": F.col("x") - F.col("__x") * (across + F.col("z")), "y": F.col("y") - F.col("__y") * (across + F.col("z")), "z": F.col("__x") * F.col("x") + F.col("__y") * F.col("y") + F.col("__z") * F.col("z")}
+    return p.withColumns(level).drop("__a", "__b", "__c", "__x", "__y", "__z")
 
 
 def windows(points: DataFrame, size: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -112,29 +120,60 @@ def peeled_planes(sample: DataFrame, c: LiningParams, keys: tuple[str, ...] = KE
     Windows stream through their task many at a time, in the order of their points; none is a table of its own.
     """
     rows = sample.select(*keys, "window", "point_id", *XYZ)
+    names = [*keys, "window"]
+    # Few bytes make much work here, so Spark isn't left to join small partitions to one task.
+    dealt = rows.repartition(int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names, "point_id")
+    return _peeled(dealt, names, keys, lambda xyz, number: [(np.arange(len(xyz)), int(number[0]))], c)
+
+
+def windows_of(x: np.ndarray, lo: float, size: float) -> list[tuple[np.ndarray, int]]:
+    """(places, window) of the points of one scan, of which ``lo`` is the least, in each window of ``windows``; points without an x are in the whole scan's alone."""
+    out = [(np.arange(len(x)), 0)]
+    if np.isnan(x).all():
+        return out
+    half, hi = size / 2, np.nanmax(x)
+    k, start, w = np.floor((x - lo) / half), lo, 1
+    while start < hi:
+        at = np.flatnonzero((start <= x) & (x <= start + size) & (np.maximum(k - 1, 1) <= w) & (w <= k + 1))
+        if len(at):
+            out.append((at, w))
+        w += 1
+        start = lo + (w - 1) * half
+    return out
+
+
+def peeled_scans(sample: DataFrame, c: LiningParams, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``peeled_planes`` of the ``windows`` of a sample (keys, point_id, x, y, z) whose scans are dealt out whole: no point is copied to the windows that hold it."""
+    # The least x is taken over the scan, so whatever thinned the sample, its scans still lie whole here.
+    rows = sample.select(*keys, F.min("x").over(W.partitionBy(*keys)).alias("window"), "point_id", *XYZ)
+    return _peeled(rows.sortWithinPartitions(*keys, "point_id"), list(keys), keys, lambda xyz, lo: windows_of(xyz[:, 0], lo[0], c.window), c)
+
+
+def _peeled(rows: DataFrame, names: list[str], keys: tuple[str, ...], parts: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, int]]], c: LiningParams) -> DataFrame:
+    """The planes' points of the windows that ``parts`` makes of each run of rows with equal ``names``, from their places and what stands in ``window``."""
     out = T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(n, T.LongType()) for n in ("window", "round")), *(T.StructField(n, T.DoubleType()) for n in PLANE), rows.schema["point_id"], *(T.StructField(n, T.DoubleType()) for n in XYZ)])
-    names, arrow = [*keys, "window"], to_arrow_schema(out)
+    arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, scan in whole_scans(batches, len(names)):
             xyz = np.column_stack([np.asarray(t.column(a), float) for a in XYZ])
-            number = np.asarray(t.column("window"))
+            given = np.asarray(t.column("window"))
             first = np.flatnonzero(np.r_[True, scan[1:] != scan[:-1]])
-            at, rounds, planes = [], [], []
+            at, windows, rounds, planes = [], [], [], []
             for a, b in zip(first, [*first[1:], len(scan)], strict=True):
-                for k, (plane, on) in enumerate(peeled(xyz[a:b], int(number[a]), c)):
-                    at.append(a + on)
-                    rounds.append(np.full(len(on), k))
-                    planes.append(np.broadcast_to(plane, (len(on), 4)))
+                for places, number in parts(xyz[a:b], given[a:b]):
+                    for k, (plane, on) in enumerate(peeled(xyz[a + places], number, c)):
+                        at.append(a + places[on])
+                        windows.append(np.full(len(on), number))
+                        rounds.append(np.full(len(on), k))
+                        planes.append(np.broadcast_to(plane, (len(on), 4)))
             if at:
                 of = t.take(pa.array(np.concatenate(at)))
                 plane = np.concatenate(planes)
-                new = {"round": pa.array(np.concatenate(rounds))} | {n: pa.array(np.ascontiguousarray(plane[:, i])) for i, n in enumerate(PLANE)}
+                new = {"window": pa.array(np.concatenate(windows)), "round": pa.array(np.concatenate(rounds))} | {n: pa.array(np.ascontiguousarray(plane[:, i])) for i, n in enumerate(PLANE)}
                 yield from pa.table([new[n] if n in new else of.column(n) for n in out.names], out.names).cast(arrow).to_batches(max_chunksize=1 << 16)
 
-    # Few bytes make much work here, so Spark isn't left to join small partitions to one task.
-    dealt = rows.repartition(int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names, "point_id")
-    return dealt.mapInArrow(run, out)
+    return rows.mapInArrow(run, out)
 
 
 def across(kind: Column | str) -> Column:
@@ -168,23 +207,88 @@ class ClaimParams:
     guard: float  # points this near something that protrudes stay
 
 
-def lining_mask(points: DataFrame, normals: DataFrame, found: DataFrame, c: ClaimParams, strip: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+@dataclass(frozen=True)
+class NormalParams:
+    radius: float  # a normal is that of the nearest points within this
+    most: int  # of so many at most
+    least: int  # and at least
+
+
+def claimed(xyz: np.ndarray, scan: np.ndarray, normal: np.ndarray, boxes: np.ndarray, of: np.ndarray, c: ClaimParams) -> tuple[np.ndarray, np.ndarray]:
+    """(on, off) of points of many scans against the strips' boxes of their own: whether any strip claims it, and whether it stands off any. A strip and a point meet by their
+    stretch of track, about ``scans.CANDIDATES`` pairs at a time."""
+    on, off = np.zeros(len(xyz), bool), np.zeros(len(xyz), bool)
+    # Boxes: wall or not, normal, offset, x0, x1, t0, t1.
+    known = np.flatnonzero(np.isfinite(xyz[:, 0]))
+    order = known[np.lexsort((xyz[known, 0], scan[known]))]
+    xs = np.sort(xyz[known, 0])
+    place = scan[order] * (len(xs) + 1) + xs.searchsorted(xyz[order, 0], "left")
+    lo = place.searchsorted(of * (len(xs) + 1) + xs.searchsorted(boxes[:, 5] - c.margin, "left"), "left")
+    hi = place.searchsorted(of * (len(xs) + 1) + xs.searchsorted(boxes[:, 6] + c.margin, "right"), "left")
+    count = np.maximum(hi - lo, 0)
+    upto, start = count.cumsum(), 0
+    while start < len(boxes):
+        stop = max(start + 1, int(upto.searchsorted((upto[start - 1] if start else 0) + scans.CANDIDATES, "right")))
+        n = count[start:stop]
+        b = np.arange(start, stop).repeat(n)
+        i = order[(lo[start:stop] - (n.cumsum() - n)).repeat(n) + np.arange(int(n.sum()))]
+        p, s = xyz[i], boxes[b]
+        t = np.where(s[:, 0] > 0, p[:, 2], p[:, 1])
+        inside = (p[:, 0] >= s[:, 5] - c.margin) & (p[:, 0] <= s[:, 6] + c.margin) & (t >= s[:, 7] - c.margin) & (t <= s[:, 8] + c.margin)
+        i, p, s = i[inside], p[inside], s[inside]
+        far = np.abs(s[:, 1] * p[:, 0] + s[:, 2] * p[:, 1] + s[:, 3] * p[:, 2] + s[:, 4])
+        agrees = np.abs(s[:, 1] * normal[i, 0] + s[:, 2] * normal[i, 1] + s[:, 3] * normal[i, 2]) >= c.agreement
+        on[i[(far < c.band) & agrees]] = True
+        off[i[(far >= c.depth) & (far <= c.reach) & ~agrees]] = True
+        start = stop
+    return on, off
+
+
+def lining_mask(points: DataFrame, normals: DataFrame | NormalParams, found: DataFrame, c: ClaimParams, strip: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """``points`` with ``masked`` and ``protects``: a point is masked if any strip of its own scan claims it and nothing that protrudes is near.
 
-    A strip and a point meet by the stretch of track they lie on, so a scan is split wherever it is long. Null normals agree with nothing.
+    ``normals`` is a table (keys, point_id, nx, ny, nz), or says how they are found among the scan's points. Scans are dealt out once, whole, with their ``found`` strips of
+    whatever length (``strip`` needn't be known), and nothing is joined back. Null normals agree with nothing.
     """
-    bins = F.sequence(fn.cell(F.col("x0") - c.margin, strip), fn.cell(F.col("x1") + c.margin, strip))
-    boxes = found.select(*[F.col(k).alias(f"__{k}") for k in keys], "kind", *PLANE, *[F.col(b).alias(f"__{b}") for b in ("x0", "x1", "t0", "t1")], F.explode(bins).alias("__bin"))
-    p = points.join(normals.select(*keys, "point_id", *[F.col(n).alias(f"__{n}") for n in PLANE[:3]]), [*keys, "point_id"], "left")
-    same = fn.cell("x", strip) == F.col("__bin")
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"__{k}"))
-    far = F.abs(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") + F.col("offset"))
-    t = across("kind")
-    inside = (F.col("x") >= F.col("__x0") - c.margin) & (F.col("x") <= F.col("__x1") + c.margin) & (t >= F.col("__t0") - c.margin) & (t <= F.col("__t1") + c.margin)
-    turn = F.abs(F.col("nx") * F.col("__nx") + F.col("ny") * F.col("__ny") + F.col("nz") * F.col("__nz"))
-    agrees = F.coalesce(turn >= c.agreement, F.lit(False))
-    met = p.join(boxes, same).where(inside).groupBy(*keys, "point_id").agg(F.bool_or((far < c.band) & agrees).alias("on"), F.bool_or((far >= c.depth) & (far <= c.reach) & ~agrees).alias("off"))
-    p = points.join(met, [*keys, "point_id"], "left").withColumns({"on": F.coalesce("on", F.lit(False)), "protects": F.coalesce(F.col("off") & ~F.col("on"), F.lit(False))})
-    near = radius_semi(p.where("on").select(*keys, "point_id", *XYZ), p.where("protects"), c.guard, keys).select(*keys, "point_id", F.lit(True).alias("__near"))
-    return p.join(near, [*keys, "point_id"], "left").withColumn("masked", F.col("on") & F.col("__near").isNull()).drop("on", "off", "__near")
+    fit = normals if isinstance(normals, NormalParams) else None
+    own = [*keys, *(n for n in points.columns if n not in keys)]
+    p = points.select(*own)
+    if fit is None:
+        p = p.join(normals.select(*keys, "point_id", F.array(*[F.col(n).cast("double") for n in PLANE[:3]]).alias("__normal")), [*keys, "point_id"], "left").select(*own, "__normal")
+    wall = F.when(F.col("kind") == "wall", 1.0).otherwise(0.0)
+    boxes = found.dropna(subset=list(keys)).select(*keys, F.array(wall, *[F.col(n).cast("double") for n in (*PLANE, "x0", "x1", "t0", "t1")]).alias("__box"))
+    rows = p.unionByName(boxes, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*(points.schema[n] for n in own), T.StructField("masked", T.BooleanType()), T.StructField("protects", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def lists(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        """A column of lists of numbers as rows of an array, NaN for nulls."""
+        out = np.full((len(column), width), np.nan)
+        there = np.flatnonzero(np.asarray(column.is_valid()))
+        if len(there):
+            out[there] = np.asarray(pc.list_flatten(column.take(pa.array(there))), float).reshape(-1, width)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, scan in whole_scans(batches, len(keys)):
+            is_box = np.asarray(t.column("__box").is_valid())
+            mine, theirs = np.flatnonzero(~is_box), np.flatnonzero(is_box)
+            if not len(mine):
+                continue
+            part, of = t.take(pa.array(mine)), scan[mine]
+            xyz = np.column_stack([np.asarray(part.column(a), float) for a in XYZ])
+            if fit is None:
+                normal = lists(part.column("__normal"), 3)
+            else:
+                normal, ids = np.full((len(mine), 3), np.nan), np.asarray(part.column("point_id"))
+                for i, j, d2 in close_pairs(of, xyz, of, xyz, fit.radius):
+                    at, n, cov = spreads(xyz, ids, i, j, d2, fit.most)
+                    normal[at] = directions(n, cov, fit.least)[0]
+            on, off = claimed(xyz, of, normal, lists(t.column("__box").take(pa.array(theirs)), 9), scan[theirs], c)
+            protects, masked = off & ~on, on.copy()
+            a, b = np.flatnonzero(on), np.flatnonzero(protects)
+            for i, _, _ in close_pairs(of[a], xyz[a], of[b], xyz[b], c.guard):
+                masked[a[i]] = False
+            yield from pa.table([*part.select(own).columns, pa.array(masked), pa.array(protects)], schema.names).cast(arrow).to_batches(max_chunksize=1 << 16)
+
+    return rows.mapInArrow(run, schema).select(*points.columns, "masked", "protects")

@@ -18,6 +18,25 @@ from .spatial import XYZ, nearest, radius_semi
 AXES = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
+def spreads(xyz: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray, d2: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, n, covariance by ``AXES``) of the ``most`` nearest j of each i, ties to the smaller id."""
+    i, j, _, _ = nearest_first(i, j, d2, ids, most)
+    own, at, n = np.unique(i, return_inverse=True, return_counts=True)
+    off = dict(zip(XYZ, (xyz[j] - xyz[i]).T, strict=True))
+    mean = lambda v: np.bincount(at, v, len(own)) / n
+    m = {c: mean(off[c]) for c in XYZ}
+    return own, n, np.column_stack([mean(off[p[0]] * off[p[1]]) - m[p[0]] * m[p[1]] for p in AXES])
+
+
+def directions(n: np.ndarray, cov: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(normals, planarity) of covariances by ``AXES``, NaN where there is none."""
+    value, vector = np.linalg.eigh(cov[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))
+    d = vector[:, :, 0]
+    d = d * np.where(d[np.arange(len(d)), np.abs(d).argmax(1)] < 0, -1.0, 1.0)[:, None]
+    ok = (n >= least) & (value[:, 1] > 1e-12)
+    return np.where(ok[:, None], d, np.nan), np.where(ok, 1 - np.maximum(value[:, 0], 0) / np.maximum(value[:, 1], 1e-12), np.nan)
+
+
 def covariances(points: DataFrame, radius: float, most: int, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
     """(keys, point_id, n, xx .. zz): covariance of each point's at most ``most`` nearest neighbours within the radius, itself among them.
 
@@ -27,12 +46,9 @@ def covariances(points: DataFrame, radius: float, most: int, keys: tuple[str, ..
     schema = T.StructType([*(side.schema[c] for c in (*keys, "point_id")), T.StructField("n", T.LongType()), *(T.StructField(p, T.DoubleType()) for p in AXES)])
 
     def solve(a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, d2: np.ndarray) -> pa.Table:
-        i, j, _, _ = nearest_first(i, j, d2, np.asarray(b.column("point_id")), most)
-        own, at, n = np.unique(i, return_inverse=True, return_counts=True)
-        off = {c: np.asarray(b.column(c), float)[j] - np.asarray(a.column(c), float)[i] for c in XYZ}
-        mean = lambda v: np.bincount(at, v, len(own)) / n
-        m = {c: mean(off[c]) for c in XYZ}
-        return pa.table([*a.select([*keys, "point_id"]).take(pa.array(own)).columns, pa.array(n), *(pa.array(mean(off[p[0]] * off[p[1]]) - m[p[0]] * m[p[1]]) for p in AXES)], schema.names)
+        xyz = np.column_stack([np.asarray(a.column(c), float) for c in XYZ])
+        own, n, cov = spreads(xyz, np.asarray(b.column("point_id")), i, j, d2, most)
+        return pa.table([*a.select([*keys, "point_id"]).take(pa.array(own)).columns, pa.array(n), *(pa.array(np.ascontiguousarray(v)) for v in cov.T)], schema.names)
 
     return search(side, side, radius, keys, XYZ, solve, schema)
 
@@ -43,16 +59,10 @@ def normals(cov: DataFrame, keys: tuple[str, ...] = ("frame",), least: int = 3)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            v = b[list(AXES)].to_numpy(float)
-            m = v[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-            value, vector = np.linalg.eigh(m)
-            n = vector[:, :, 0]
-            n = n * np.where(n[np.arange(len(n)), np.abs(n).argmax(1)] < 0, -1.0, 1.0)[:, None]
-            ok = (b["n"].to_numpy() >= least) & (value[:, 1] > 1e-12)
-            flat = np.where(ok, 1 - np.maximum(value[:, 0], 0) / np.maximum(value[:, 1], 1e-12), np.nan)
+            n, flat = directions(b["n"].to_numpy(), b[list(AXES)].to_numpy(float), least)
             out = b[[*keys, "point_id"]].copy()
             for i, c in enumerate(("nx", "ny", "nz")):
-                out[c] = np.where(ok, n[:, i], np.nan)
+                out[c] = n[:, i]
             yield out.assign(planarity=flat)
 
     head = ", ".join(f"{k} {cov.schema[k].dataType.simpleString()}" for k in (*keys, "point_id"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import lining as ln
 from ..operators import mounting as mt
-from ..operators import registration as rg
 from ..operators import spatial as sp
 from ..sources.tables import points, raw_points, table
 from .geometry_queries import RAW
@@ -17,13 +17,30 @@ LINING = ln.LiningParams(40.0, 0.05, 12, 3, 0.3, 0.6, 20.0, 1.0, 10.0, 2, 0.5)
 CLAIM = ln.ClaimParams(0.25, 1.0, 0.7, 0.5, 1.5, 0.4)
 
 
-def bed_planes(p: DataFrame) -> DataFrame:
-    """(frame, a, b, c): least squares of z on x and y."""
+def bed_moments() -> dict[str, Column]:
+    """What the plane of ``bed_plane`` follows from, by name."""
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    m = p.groupBy("frame").agg(F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"), F.covar_pop(x, z).alias("xz"), F.covar_pop(y, z).alias("yz"), *[F.avg(v).alias(f"a{v}") for v in "xyz"])
-    det = F.nullif(F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy"), F.lit(0.0))
-    m = m.withColumns({"a": (F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy")) / det, "b": (F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy")) / det})
-    return m.select("frame", "a", "b", (F.col("az") - F.col("a") * F.col("ax") - F.col("b") * F.col("ay")).alias("c"))
+    return {"xx": F.var_pop(x), "yy": F.var_pop(y), "xy": F.covar_pop(x, y), "xz": F.covar_pop(x, z), "yz": F.covar_pop(y, z)} | {f"a{v}": F.avg(v) for v in "xyz"}
+
+
+def bed_plane(prefix: str = "") -> list[Column]:
+    """(a, b, c): least squares of z on x and y, from the moments' columns."""
+    xx, yy, xy, xz, yz, ax, ay, az = (F.col(f"{prefix}{m}") for m in bed_moments())
+    det = F.nullif(xx * yy - xy * xy, F.lit(0.0))
+    a, b = (xz * yy - yz * xy) / det, (yz * xx - xz * xy) / det
+    return [a, b, az - a * ax - b * ay]
+
+
+def bed_planes(p: DataFrame) -> DataFrame:
+    """(frame, a, b, c) of each scan."""
+    return p.groupBy("frame").agg(*[m.alias(n) for n, m in bed_moments().items()]).select("frame", *[v.alias(n) for n, v in zip("abc", bed_plane(), strict=True)])
+
+
+def level_scans(p: DataFrame) -> DataFrame:
+    """``levelled`` by each scan's bed plane, of points whose scans are dealt out whole: moments are taken where a scan lies."""
+    scan = W.partitionBy("frame")
+    m = p.where("frame is not null").withColumns({f"__{n}": v.over(scan) for n, v in bed_moments().items()})
+    return ln.turned(m.withColumns({f"__{n}": v for n, v in zip("abc", bed_plane("__"), strict=True)})).drop(*[f"__{n}" for n in bed_moments()])
 
 
 BED_SQL = """m AS (SELECT frame, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, avg(x) AS ax, avg(y) AS ay, avg(z) AS az FROM p GROUP BY frame),
@@ -47,13 +64,13 @@ def levelled_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lining_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The levelled points, and those of their walls and ceilings: thinned above the bed, by windows, peeled."""
-    p = points(spark, d)
-    level = ln.levelled(p, bed_planes(p))
-    thin = sp.voxel_centroid(level.where("height >= 0"), 0.3)
+    """The levelled points, and those of their walls and ceilings: thinned above the bed, by windows, peeled. For these a scan is dealt out once."""
+    # Few bytes make much work here, so Spark isn't left to join small partitions to one task.
+    p = raw_points(spark, d).select("frame", *sp.XYZ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame")
+    thin = sp.voxel_centroid(level_scans(p).where("height >= 0"), 0.3)
     name = F.struct("kx", "ky", "kz")
     sample = thin.select("frame", F.xxhash64(name).alias("point_id"), *[F.col(f"mean_{a}").alias(a) for a in "xyz"])
-    return level, ln.linings(ln.peeled_planes(ln.windows(sample, LINING.window), LINING), LINING)
+    return level_scans(points(spark, d)), ln.linings(ln.peeled_scans(sample, LINING), LINING)
 
 
 @query("background_patches", "GEO-9")
@@ -84,8 +101,7 @@ def lining_strips(spark: SparkSession, d: str) -> DataFrame:
 def lining_mask(spark: SparkSession, d: str) -> DataFrame:
     """Each scan's own linings, fitted and then masked out of it, but for what protrudes."""
     level, members = lining_members(spark, d)
-    n = rg.normals(rg.covariances(level, 2.0, 12), least=4)
-    m = ln.lining_mask(level, n, ln.strips(members, LINING), CLAIM, LINING.strip)
+    m = ln.lining_mask(level.select("frame", "point_id", *sp.XYZ), ln.NormalParams(2.0, 12, 4), ln.strips(members, LINING), CLAIM, LINING.strip)
     return m.groupBy("frame").agg(F.count("*").alias("n"), F.count_if("masked").alias("masked"), F.count_if("protects").alias("protruding"))
 
 

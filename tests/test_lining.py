@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import numpy as np
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 from corvane.operators import lining as ln
 from corvane.operators import mounting as mt
+from corvane.operators import registration as rg
+from corvane.operators import scans
+from corvane.plans import QUERIES
 from corvane.plans import lining_queries as lq
 
 POINTS = "frame long, point_id long, x double, y double, z double"
@@ -191,3 +195,33 @@ def test_calibration_is_fitted_on_the_prefix_and_judged_on_the_rest(spark):
     assert (c.fitted, c.later, c.accepted) == (3, 4, 3) and c.fraction == pytest.approx(0.75)
     assert c.worst == pytest.approx(math.degrees(math.atan(0.05) - math.atan(0.02)), abs=0.02)
     assert c.height_span == pytest.approx(2 / math.sqrt(1 + 0.02**2) - 2 / math.sqrt(1 + 0.05**2), abs=0.01)
+
+
+def test_scans_are_peeled_as_their_windows_are(spark, monkeypatch):
+    """Windows of whole scans, wherever batches end, hold the points that they are copied to by hand; a null scan is a scan."""
+    monkeypatch.setattr(scans, "SCAN_ROWS", 60)
+    rng = np.random.default_rng(3)
+    rows = [(f, i, *map(float, p)) for f in (1, None, 2) for i, p in enumerate(np.c_[rng.uniform(-7, 40, 90), rng.integers(0, 3, 90), rng.uniform(0, 4, 90)])]
+    p = spark.createDataFrame(rows, POINTS)
+    c = dataclasses.replace(C, window=10.0, support=8)
+    told = lambda df: sorted(map(str, df.collect()))
+    want = told(ln.peeled_planes(ln.windows(p, c.window), c))
+    assert len(want) > 200 and told(ln.peeled_scans(p.repartition("frame"), c)) == want
+
+
+@pytest.mark.parametrize("pairs", [3, 1 << 20])
+def test_mask_finds_its_normals_and_deals_scans_out_once(spark, sf, monkeypatch, pairs):
+    """Normals found within the pass mask as a table of the same does; a strip of any length is met, however few pairs are looked at at once."""
+    monkeypatch.setattr(scans, "CANDIDATES", pairs)
+    rng = np.random.default_rng(5)
+    rows = [(f, i, *map(float, p)) for f in (1, None, 2) for i, p in enumerate(np.c_[rng.uniform(0, 9, 80), rng.choice([1.9, 2.0, 0.9], 80), rng.uniform(0, 3, 80)])]
+    p = spark.createDataFrame(rows, POINTS)
+    found = spark.createDataFrame([(f, "wall", 0.0, 1.0, 0.0, -2.0, 0.5, 8.5, 0.0, 2.5) for f in (1, None)] + [(2, "ceiling", 0.0, 0.0, 1.0, -1.0, 2.0, 3.0, 0.0, 2.0)], "frame long, kind string, nx double, ny double, nz double, offset double, x0 double, x1 double, t0 double, t1 double")
+    c = ln.ClaimParams(0.15, 0.2, 0.7, 0.5, 1.5, 0.4)
+    n = rg.normals(rg.covariances(p, 1.0, 9), least=4)
+    told = lambda normals: {(r.frame, r.point_id): (r.masked, r.protects) for r in ln.lining_mask(p, normals, found, c, 2.0).collect()}
+    own, given = told(ln.NormalParams(1.0, 9, 4)), told(n)
+    assert len(own) == len(rows) and own == given and not any(any(v) for (f, _), v in own.items() if f is None)
+    assert sum(m for m, _ in own.values()) > 5 and sum(o for _, o in own.values()) > 5
+    plan = QUERIES["lining_mask"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan
