@@ -1,13 +1,23 @@
 """JSON documents without a fixed schema as rows of (path, kind, value), and their differences.
 
-Documents are parsed once to VARIANT and taken apart level by level: each level replaces a container by itself and its children, in one projection and
+Trees: documents are parsed once to VARIANT and taken apart level by level: each level replaces a container by itself and its children, in one projection and
 one explode, so nothing is parsed or read again. The number of levels is that of the deepest document, found beforehand from its brackets.
+
+Differences: documents of equal keys meet in one join; each pair is descended at once, in Arrow batches, and only what differs leaves the descent. What is JSON
+and how values are told is Spark's to say in both.
 """
 
 from __future__ import annotations
 
+import json as js
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.shared import written
 
@@ -40,7 +50,7 @@ def _named(key: Column) -> Column:
     """The path of a key below ``path``."""
     dot = F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit(".")))
     quoted = F.concat("path", F.lit('["'), F.regexp_replace(key, r'(["\\])', r"\\$1"), F.lit('"]'))
-    return F.when(key.rlike(r"^[\w-]+$"), F.concat(dot, key)).otherwise(quoted)
+    return F.when(key.rlike(r"^[\w-]+\z"), F.concat(dot, key)).otherwise(quoted)
 
 
 def json_tree(docs: DataFrame, keys: list[str], json: str, levels: int | None = None, only: list[str] | None = None) -> DataFrame:
@@ -85,39 +95,106 @@ def pattern(path: Column) -> Column:
     return F.regexp_replace(path, r"\[\d+\]", "[*]")
 
 
-def _told(v: Column, kind: Column, text: Column, there: Column) -> Column:
-    """(kind, value) of a value as in ``json_tree``, null where its side has none."""
-    size = lambda of: F.size(v.try_cast(of)).cast("string")
-    value = F.when(kind == OBJECT, size("map<string, variant>")).when(kind == ARRAY, size("array<variant>")).when(kind == "number", F.try_variant_get(v, "$", "double").cast("string"))
-    value = value.when(kind == INVALID, text).when(kind != MISSING, F.try_variant_get(v, "$", "string"))
-    return F.when(there, F.struct(kind.alias("kind"), value.alias("value")))
-
-
-def _compared(rows: DataFrame, names: list[str], deeper: bool) -> DataFrame:
-    """One level of a descent into both sides at once: pairs of values become what differs between them and the pairs below them; equal ones go."""
-    kinds = {x: F.when(F.col(f"{x}text").isNull(), MISSING).when(F.col(x).isNull(), INVALID).otherwise(_kind(F.col(x))) for x in "ba"}
-    rows = rows.withColumns({f"{x}kind": F.when(F.col("change").isNull(), k) for x, k in kinds.items()})  # a column, so it is found once
-    rows = rows.withColumns({f"{x}told": F.when(F.col("change").isNull(), _told(F.col(x), F.col(f"{x}kind"), F.col(f"{x}text"), F.col(f"{x}there"))) for x in "ba"})
-    old, new = F.col("btold"), F.col("atold")
-    kind = F.when(old["kind"] == new["kind"], new["kind"])
-    differs = ~old["value"].eqNullSafe(new["value"])
-    change = F.when(old.isNull(), "added").when(new.isNull(), "removed").when(kind.isNull(), "kind").when((kind == ARRAY) & differs, "length").when(~kind.isin(OBJECT, ARRAY) & differs, "value")
-    open_ = F.col("change").isNull()
-    path = F.when(open_ & (change == "length"), F.concat("path", F.lit(".length"))).otherwise(F.col("path"))
-    pair = lambda path, b, a, change, old, new: F.struct(path.alias("path"), b.alias("b"), a.alias("a"), change.alias("change"), old.alias("old"), new.alias("new"))
-    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("variant")
-    own = F.filter(F.array(pair(path, nothing, nothing, F.when(open_, change).otherwise(F.col("change")), F.when(open_, old["value"]).otherwise(F.col("old")), F.when(open_, new["value"]).otherwise(F.col("new")))), lambda r: r["change"].isNotNull())
-    all_ = own
-    if deeper:
-        within = F.when(open_, kind)
-        mb, ma = (F.when(within == OBJECT, F.col(x).try_cast("map<string, variant>")) for x in "ba")
-        ab, aa = (F.when(within == ARRAY, F.col(x).try_cast("array<variant>")) for x in "ba")
-        of_object = F.transform(F.array_union(F.map_keys(mb), F.map_keys(ma)), lambda k: pair(_named(k), F.try_element_at(mb, k), F.try_element_at(ma, k), none, none, none))
-        of_array = F.transform(F.slice(ab, F.lit(1), F.least(F.size(ab), F.size(aa))), lambda x, i: pair(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")), x, F.get(aa, i), none, none, none))
-        all_ = F.concat(own, F.coalesce(of_object, of_array, F.slice(own, 2, 1)))
-    rows = rows.select(*names, F.explode(all_).alias("r")).select(*names, "r.*")
-    text = F.lit("")
-    return rows.select(*names, "path", text.alias("btext"), text.alias("atext"), F.col("b").isNotNull().alias("bthere"), F.col("a").isNotNull().alias("athere"), "b", "a", "change", "old", "new")
+_PLAIN = re.compile(r"[\w-]+", re.ASCII)
+#: Numbers stay as written, in bytes: nothing else is, so what is equal is of one kind, however deep.
+_DECODER = js.JSONDecoder(strict=False, parse_int=str.encode, parse_float=str.encode)
+
+
+def _parsed(text: str) -> object:
+    return _DECODER.raw_decode(text.lstrip(" \t\r\n"))[0]
+
+
+def _below(path: str, key: str) -> str:
+    """As ``_named``."""
+    if _PLAIN.fullmatch(key):
+        return f"{path}.{key}" if path else key
+    return f'{path}["{key.replace(chr(92), chr(92) * 2).replace(chr(34), chr(92) + chr(34))}"]'
+
+
+def _value(v: object) -> tuple[str, str | None, float | None]:
+    """(kind, value, and that of a number, which is told as Spark tells doubles)."""
+    of = type(v)
+    if of is str:
+        return "string", v, None
+    if of is bytes:
+        text = v.decode().lower()
+        # Whole numbers that are no longs are numbers; a zero has a sign only if it is written with an exponent.
+        if not ("." in text or "e" in text) and len(text) < 21 and -(1 << 63) <= int(text) < 1 << 63:
+            return "integer", str(int(text)), None
+        return "number", None, float(text) if "e" in text else float(text) + 0.0
+    if of is bool:
+        return "boolean", "true" if v else "false", None
+    return ("null", None, None) if v is None else (OBJECT if of is dict else ARRAY, str(len(v)), None)
+
+
+def _differences(b: object, a: object) -> Iterator[tuple]:
+    """(path, change, value before, value after) of what differs between two values, as ``_value`` tells them."""
+    pairs = [] if b == a else [("", b, a)]
+    while pairs:
+        path, b, a = pairs.pop()
+        kind = type(b)
+        if kind is type(a) and kind is dict:
+            for k, v in b.items():
+                if k not in a:
+                    yield _below(path, k), "removed", _value(v), None
+                elif v != (w := a[k]):
+                    pairs.append((_below(path, k), v, w))
+            for k, w in a.items():
+                if k not in b:
+                    yield _below(path, k), "added", None, _value(w)
+        elif kind is type(a) and kind is list:
+            if len(b) != len(a):
+                yield f"{path}.length", "length", _value(b), _value(a)
+            pairs.extend((f"{path}[{i}]", v, w) for i, (v, w) in enumerate(zip(b, a, strict=False)) if v != w)
+        else:
+            old, new = _value(b), _value(a)
+            if old[0] != new[0]:
+                yield path, "kind", old, new
+            elif old != new or (old[2] == 0 and str(old[2]) != str(new[2])):
+                yield path, "value", old, new
+
+
+def _compared(met: DataFrame, names: list[str]) -> DataFrame:
+    """(names, path, change, old, new) of pairs of documents (names, and of both sides ``b`` and ``a`` the text, whether it is there and whether it is JSON)."""
+    told = [T.StructField(f"{x}{c}", of) for x in ("old", "new") for c, of in (("", T.StringType()), ("n", T.DoubleType()))]
+    out = T.StructType([*(met.schema[n] for n in names), T.StructField("path", T.StringType()), T.StructField("change", T.StringType()), *told])
+    arrow = to_arrow_schema(out)
+
+    def whole(text: str | None, there: bool, known: bool) -> tuple[str, str | None, float | None] | None:
+        """What a side is if it can't be descended: not there, missing or no JSON; with ``known`` it is JSON."""
+        return None if not there else (MISSING, None, None) if text is None else _value(_parsed(text)) if known else (INVALID, text, None)
+
+    def strings(values: list[str | None]) -> pa.Array:
+        try:
+            return pa.array(values, pa.string())
+        except UnicodeEncodeError:  # halves of surrogate pairs are no text
+            return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, paths, changes, values = [], [], [], ([], [], [], [])
+            columns = [batch.column(c).to_pylist() for c in ("btext", "atext", "bthere", "athere", "bjson", "ajson")]
+            for i, (bt, at_, bthere, athere, bjson, ajson) in enumerate(zip(*columns, strict=True)):
+                if bthere and athere and bjson and ajson:
+                    found = _differences(_parsed(bt), _parsed(at_))
+                else:
+                    old, new = whole(bt, bthere, bjson), whole(at_, athere, ajson)
+                    change = "added" if old is None else "removed" if new is None else "kind" if old[0] != new[0] else "value" if old != new else None
+                    found = [("", change, old, new)] if change else []
+                for path, change, old, new in found:
+                    at.append(i)
+                    paths.append(path)
+                    changes.append(change)
+                    for k, v in enumerate((old, new)):
+                        values[2 * k].append(v and v[1])
+                        values[2 * k + 1].append(v and v[2])
+            if at:
+                own = batch.select(names).take(pa.array(at))
+                told = [strings(values[0]), pa.array(values[1], pa.float64()), strings(values[2]), pa.array(values[3], pa.float64())]
+                yield from pa.table([*own.columns, strings(paths), pa.array(changes, pa.string()), *told], out.names).cast(arrow).to_batches()
+
+    found = met.mapInArrow(run, out)
+    return found.select(*names, "path", "change", *[F.coalesce(x, F.col(f"{x}n").cast("string")).alias(x) for x in ("old", "new")])
 
 
 def json_difference(before: DataFrame, after: DataFrame, keys: list[str], json: str, allowed: DataFrame | None = None) -> DataFrame:
@@ -133,14 +210,10 @@ def json_difference(before: DataFrame, after: DataFrame, keys: list[str], json:
     for i in range(len(keys)):
         same = same & F.col(f"b{i}").eqNullSafe(F.col(f"a{i}"))
     met = side(before, "b").join(side(after, "a"), same, "full_outer")
-    # Equal texts don't differ and aren't parsed. What is left is read for its depth, then for its differences.
+    # Equal texts don't differ and aren't parsed.
     met = met.where(~(F.coalesce("bthere", F.lit(False)) & F.coalesce("athere", F.lit(False)) & F.col("btext").eqNullSafe(F.col("atext"))))
-    met = written(met.select(*[F.coalesce(f"b{i}", f"a{i}").alias(n) for i, n in enumerate(names)], "btext", "atext", *[F.coalesce(f"{x}there", F.lit(False)).alias(f"{x}there") for x in "ba"]), "documents")
-    levels = depth(met.select(F.explode(F.array("btext", "atext")).alias("text")), "text")
-    none = F.lit(None).cast("string")
-    rows = met.select(*names, F.lit("").alias("path"), "btext", "atext", "bthere", "athere", F.try_parse_json("btext").alias("b"), F.try_parse_json("atext").alias("a"), *[none.alias(c) for c in ("change", "old", "new")])
-    for n in range(levels + 1):
-        rows = _compared(rows, names, n < levels)
+    flags = [v for x in "ba" for v in (F.coalesce(f"{x}there", F.lit(False)).alias(f"{x}there"), F.try_parse_json(f"{x}text").isNotNull().alias(f"{x}json"))]
+    rows = written(_compared(met.select(*[F.coalesce(f"b{i}", f"a{i}").alias(n) for i, n in enumerate(names)], "btext", "atext", *flags), names), "differences")
     out = rows.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], "path", "change", "old", "new")
     if allowed is None:
         return out.withColumn("allowed", F.lit(False))

@@ -146,7 +146,7 @@ _TREE = "SELECT x.id, t.fullkey AS path, t.path AS parent, t.key, CASE WHEN t.ty
 )
 def json_difference(spark: SparkSession, d: str) -> DataFrame:
     """What two runs' documents say differently, whatever their shape, and which removals a plan allows."""
-    allowed = spark.createDataFrame([("meta.prio", None), ("items[*].qty", None), ("meta.status", "O")], "pattern string, value string")
+    allowed = spark.sql("VALUES ('meta.prio', NULL), ('items[*].qty', NULL), ('meta.status', 'O') AS t(pattern, value)")
     found = jt.json_difference(*order_documents(spark, d), ["id"], "doc", allowed)
     price = F.col("path").endswith(".price") & (F.col("change") == "value")
     return found.withColumns({c: F.when(price, F.round(F.col(c).cast("double"), 3).cast("string")).otherwise(F.col(c)) for c in ("old", "new")})

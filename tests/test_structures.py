@@ -239,3 +239,27 @@ def test_json_differences_of_odd_documents_and_allowed_removals(spark):
     assert got == {(1, ""): ("kind", False), (3, ""): ("kind", False), (4, ""): ("kind", False), (None, "m.x"): ("removed", False), (None, "m.y[0].z"): ("removed", True), (6, ""): ("removed", False), (7, ""): ("added", False)}
     assert jt.json_difference(b.limit(0), a.limit(0), ["id"], "doc").count() == 0
     assert [r.path for r in jt.named_keys(jt.json_tree(b, ["id"], "doc"), ["z"]).collect()] == ["m.y[0].z"]
+
+
+def test_differences_tell_values_as_trees_do(spark):
+    """Numbers, halves of surrogate pairs, texts that end early or late: both say the same; equal numbers written otherwise don't differ."""
+    told = ["1", "-0", "007", "1.0", "-0.0", "-0e0", "1e2", "1E400", "0.1e-5", "12345678901234567890", "9223372036854775807", "9223372036854775808", "-9223372036854775808", "1" * 60, "0." + "3" * 50, "100000000.5", '"x\\ud800y"', '"\\u0000"', "true", "null", "[1, [2]]", '{"k": {}}', "NaN", "tru", "1x", '"a" b', "{} {", "\n 5\t6", "", "[1,]", '{"a": 1, "b": {"c": 1, "c": 2}}', "'q'"]
+    docs = spark.createDataFrame(list(enumerate(told)), "id long, doc string")
+    want = {r.id: (r.kind, r.value) for r in jt.json_tree(docs, ["id"], "doc").where("path = ''").collect()}
+    got = {r.id: r.old for r in jt.json_difference(docs, docs.limit(0), ["id"], "doc").where("change = 'removed' and path = ''").collect()}
+    assert got == {i: v for i, (_, v) in want.items()}
+    got = {r.id: (r.change, r.old, r.new) for r in jt.json_difference(docs, docs.withColumn("doc", F.lit('"other"')), ["id"], "doc").collect()}
+    assert got == {i: ("value" if k == "string" else "kind", v, "other") for i, (k, v) in want.items()}
+    same = [("1.0", "1.00"), ("1e2", "100.0"), ("[-0]", "[0]"), ('{"a": 1, "b": 2}', '{"b": 2,"a": 1}'), ('"\\u0041"', '"A"')]
+    differ = [("1", "1.0", "kind"), ("true", "1", "kind"), ("[0.0]", "[-0e0]", "value"), ('"1"', "1", "kind"), ("[[1]]", "[[true]]", "kind")]
+    b, a = (spark.createDataFrame([(i, p[x]) for i, p in enumerate(same + differ)], "id long, doc string") for x in (0, 1))
+    assert {r.id: r.change for r in jt.json_difference(b, a, ["id"], "doc").collect()} == {len(same) + i: p[2] for i, p in enumerate(differ)}
+
+
+def test_differences_of_deep_documents_are_one_descent(spark):
+    """A level of the deepest document is no step of the plan."""
+    doc = lambda v: '{"a": [' * 150 + v + "]}" * 150
+    frame = lambda v: spark.createDataFrame([(1, doc(v)), (2, doc("0"))], "id long, doc string")
+    d = jt.json_difference(frame("1"), frame("2"), ["id"], "doc")
+    assert [(r.id, r.path, r.change, r.old, r.new) for r in d.collect()] == [(1, ".".join(["a[0]"] * 150), "value", "1", "2")]
+    assert "explode" not in d._jdf.queryExecution().optimizedPlan().toString()
